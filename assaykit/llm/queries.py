@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from assaykit.llm.packing import op1_packing
+from assaykit.llm.quality import op6_quality
+from assaykit.llm.simhash import op3_simhash
+from assaykit.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_packing,)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_simhash, op6_quality, op9_toxicity)}
 #: Only what SQL can express.
 SQL: dict[str, str] = {}

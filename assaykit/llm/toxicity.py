@@ -1,0 +1,33 @@
+"""Toxicity: a factorisation machine over hashed terms, whose factors weigh terms that occur together.
+
+Labels, lang, source and doc_id are never inputs of a score.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from assaykit.llm.common import remainder, table
+from assaykit.llm.fm import SAMPLE, learn, score, score_rows
+
+THRESHOLD = 0.5
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, score, predicted) for every row, from labels.toxic outside fold 0 of 5.
+
+    Null and empty texts are scored like any other; without usable labels all rows score 0.5, with
+    one label alone its smoothed share. Repeated rows are scored each. No rows give no rows.
+    """
+    return score(docs, learn(docs, labels, "toxic", False, sample), THRESHOLD)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, all columns, whose score stays under the threshold."""
+    got = score_rows(docs, learn(docs, labels, "toxic", False, sample))
+    return got.where(got._score < THRESHOLD).select(*docs.columns)
+
+
+def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    got = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
