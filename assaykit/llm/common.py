@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -42,9 +43,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: its lineage ends there."""
+    """Write df as a table in the shared folder and read it again: its lineage ends there.
+
+    Shuffle files of plans that are done go when the driver's garbage does, so it is collected here.
+    """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
