@@ -73,13 +73,22 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
     yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True)
 
 
+def compact(texts: pa.Array) -> pa.Array:
+    """Texts as large strings at the start of buffers of their own, a null one empty.
+
+    Some Arrow functions on strings go wrong on slices.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    return pa.concat_arrays([texts, pa.array([], pa.large_string())])
+
+
 def coded_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words of some texts (null: none) as codes of their distinct words.
 
     Returns the codes of all words in order, the n+1 places where texts begin and end among
     them, and the distinct words. Only A-Z change when `lower` is set.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = compact(texts)
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from assaykit.llm.common import coded_words, spaces
+from assaykit.llm.common import coded_words, compact, spaces
 
 SYMBOLS = "#*$%&|<>"
 #: The counts first, then shares; all are doubles in a table of statistics.
@@ -60,7 +60,7 @@ def repeated_lines(text: str) -> tuple[int, int]:
 
 def statistics(texts: pa.Array) -> np.ndarray:
     """One row of NAMES for each text; a null text counts as an empty one, with zeros throughout."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = compact(texts)
     codes, ends, distinct = coded_words(texts)
     n = np.diff(ends)
     strings = texts.to_pylist()

@@ -46,6 +46,18 @@ def test_statistics_against_loops():
     assert repeated_windows(big % 7, np.array([0, 6])).tolist() == [6]
 
 
+def test_words_of_slices():
+    from assaykit.llm.common import coded_words
+
+    texts = pa.array([f" Déjà{k}  vu\x1cÅ\u0085…\n" + "ñ" * (k % 5) for k in range(50)] + [None, ""])
+    for lo in (0, 1, 17, 49):
+        part = texts.slice(lo, 3)
+        for lower in (False, True):
+            codes, ends, distinct = coded_words(part, lower)
+            got = [[distinct[i].as_py() for i in codes[a:b].tolist()] for a, b in zip(ends, ends[1:], strict=False)]
+            assert got == [[w.decode() for w in (t or "").encode().split()] if not lower else [w.decode() for w in (t or "").encode().lower().split()] for t in part.to_pylist()]
+
+
 def test_terms():
     owner, hashes = term_hashes(pa.array(["The, the (THE) x", None, ""]))
     assert owner.tolist() == [0, 0] and len(set(hashes.tolist())) == 2
