@@ -4,21 +4,32 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from assaykit.llm.packing import ChunkEncoder, binary_lengths, pack_documents, public_tokenizer, packed_rows
+from assaykit.llm.packing import Encoder, binary_lengths, pack_documents, public_tokenizer, packed_rows
 
 ODD = ["", None, " ", "a", "  a  b ", "a \n b\n\nc", "x y z", "a\t b", "<|endoftext|> a<|endoftext|>b", "it's  we'll 'S", "ünï 漢字 12 3.4", "a\x1c b \x85c", "w " * 700, "q" * 3000, "👍 ok\r\n", "a b", " lead", "trail "]
 
 
 @pytest.mark.parametrize("text", ODD)
-def test_chunks_give_the_ids_of_the_whole_text(text):
+def test_ids_are_the_librarys(text):
     path = public_tokenizer()
     whole = Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
     with open(path) as f:
-        encoder = ChunkEncoder(f.read())
-    for _ in range(2):
+        encoder = Encoder(f.read())
+    assert encoder.fast is not None
+    for encoder.fast in (encoder.fast, None):
         assert np.frombuffer(encoder.encode(text or ""), "<u4").tolist() == whole
 
 
+def test_ids_over_a_table(spark):
+    path = public_tokenizer()
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [" " * 300_000 + "x", "\n \t" * 9999, "z" * 100_000]
+    tokenizer = Tokenizer.from_file(path)
+    with open(path) as f:
+        encoder = Encoder(f.read())
+    for t in texts:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 1023, 1024, 1025, 5000])
 def test_lengths(n):
     got = binary_lengths(n, 1024)
