@@ -137,7 +137,7 @@ def decode_response(body: Column, model: Column, provider: Column) -> Column:
 
 
 def percent(x: Column) -> Column:
-    return F.when(x.isNull(), F.lit("—")).otherwise(F.concat(F.format_number(x * 100, "0.0"), F.lit("%")))
+    return F.when(x.isNull(), F.lit("—")).otherwise(F.format_string("%.1f%%", x * 100))
 
 
 def money(x: Column, prefix: str) -> Column:

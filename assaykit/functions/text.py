@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaykit import labels as L
 from assaykit.functions.regex import every, found, one_of, places, rx, squeeze, tokens, word_count
@@ -105,7 +106,7 @@ OUT_OF_SCOPE = rx(rf"\b(?:{one_of(L.OUT_OF_SCOPE_TERMS)})(?:e?s)?\b", "i")
 # -------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s):
     """No built-in function normalises Unicode."""
     import unicodedata

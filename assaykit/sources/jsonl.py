@@ -8,14 +8,27 @@ from pyspark.sql import types as T
 
 from assaykit import labels as L
 
-EXAMPLE = T._parse_datatype_string(
-    "id string, input string, label string, heading string, answerable boolean, justification string, difficulty string, tags array<string>, source string, source_id string, "
-    "collected_at string, labelled_at string, labeller_notes string, labelled_by string, deprecated_by string, collection_meta map<string,string>, model_notes map<string,string>"
+_TEXT, _TEXTS, _FACTS = T.StringType(), T.ArrayType(T.StringType()), T.MapType(T.StringType(), T.StringType())
+
+
+def _fields(kinds: dict) -> T.StructType:
+    return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+
+
+EXAMPLE = _fields(
+    dict.fromkeys(("id", "input", "label", "heading"), _TEXT)
+    | {"answerable": T.BooleanType(), "justification": _TEXT, "difficulty": _TEXT, "tags": _TEXTS}
+    | dict.fromkeys(("source", "source_id", "collected_at", "labelled_at", "labeller_notes", "labelled_by", "deprecated_by"), _TEXT)
+    | {"collection_meta": _FACTS, "model_notes": _FACTS}
+)
+RUN_ROW = _fields(
+    {"id": _TEXT, "gold_slab": _TEXT, "predicted_slab": _TEXT, "correct": T.BooleanType(), "stale_slab": _TEXT, "stale_cited": _TEXTS, "hsn_correct": T.BooleanType()}
+    | dict.fromkeys(("tokens_in", "tokens_out", "latency_ms"), T.IntegerType())
+    | {"error": _TEXT}
 )
-RUN = T._parse_datatype_string(
-    "run_id string, model_key string, model_id string, served_model_id string, provider string, tier string, prompt_version string, prompt_mode string, dataset_sha string, dataset_n int, "
-    "started_at string, finished_at string, summary map<string,string>, cost map<string,string>, notes string, "
-    "rows array<struct<id:string,gold_slab:string,predicted_slab:string,correct:boolean,stale_slab:string,stale_cited:array<string>,hsn_correct:boolean,tokens_in:int,tokens_out:int,latency_ms:int,error:string>>"
+RUN = _fields(
+    dict.fromkeys(("run_id", "model_key", "model_id", "served_model_id", "provider", "tier", "prompt_version", "prompt_mode", "dataset_sha"), _TEXT)
+    | {"dataset_n": T.IntegerType(), "started_at": _TEXT, "finished_at": _TEXT, "summary": _FACTS, "cost": _FACTS, "notes": _TEXT, "rows": T.ArrayType(RUN_ROW)}
 )
 REQUIRED_RUN = ("model_key", "model_id", "provider", "started_at", "summary", "cost")
 
