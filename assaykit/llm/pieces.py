@@ -11,8 +11,10 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from array import array
 from dataclasses import dataclass
 from itertools import count
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +26,20 @@ from assaykit.llm.common import bound_batches, compact, table, text_slices
 from assaykit.llm.stats import sums
 
 SPACE, OWN = "▁", "\ud800"  # a space; a U+2581 of the text (no text has lone surrogates)
-FALL, SLICE_BYTES, KNOWN = 10.0, 8 << 20, 200_000
+FALL, SLICE_BYTES, KNOWN = 10.0, 8 << 20, 300_000
 
 
 @dataclass
 class Pieces:
-    """score and id by piece; ids of the 256 bytes; the score of a byte; the longest piece's length."""
+    """score and id by piece, and both together; ids of the 256 bytes; the score of a byte; the longest piece's length."""
 
     score: dict[str, float]
     ids: dict[str, int]
     bytes_: list[int]
     fall: float
     longest: int
+    crosses_lines: bool
+    table: dict[str, tuple[float, tuple[int, ...]]]
 
     @classmethod
     def read(cls, path: str) -> Pieces:
@@ -46,23 +50,13 @@ class Pieces:
         names = {int(sp.id_to_piece(k)[1:-1], 16): k for k in range(sp.get_piece_size()) if sp.is_byte(k)}
         total = math.log(math.fsum(1 / (r + 2) for r in range(len(plain))))
         score = {sp.id_to_piece(k): -math.log(r + 2) - total for r, k in enumerate(plain)}
-        return cls(score, {sp.id_to_piece(k): k for k in plain}, [names[b] for b in range(256)], min(score.values()) - FALL, max(map(len, score)))
+        ids = {sp.id_to_piece(k): k for k in plain}
+        return cls(score, ids, [names[b] for b in range(256)], min(score.values()) - FALL, max(map(len, score)), any("\n" in x for x in score), {x: (s, (ids[x],)) for x, s in score.items()})
 
     def spelt(self, char: str) -> list[int]:
         """Ids of a character that is no piece."""
         return [self.bytes_[b] for b in (SPACE if char == OWN else char).encode()]
 
-    def arcs(self, token: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end in a pre-token: (begin, score, ids) of what may stand there last."""
-        out: list[list[tuple[int, float, tuple[int, ...]]]] = [[]]
-        for end in range(1, len(token) + 1):
-            own = [(b, self.score[x], (self.ids[x],)) for b in range(max(0, end - self.longest), end) if (x := token[b:end]) in self.score]
-            if token[end - 1] not in self.score:
-                ids = tuple(self.spelt(token[end - 1]))
-                own.append((end - 1, self.fall * len(ids), ids))
-            out.append(own)
-        return out
-
 
 def trie_counts(tokens: list[str], pieces: Pieces) -> list[tuple[int, float]]:
     """(pieces, score) of the best segmentation of each pre-token.
@@ -99,29 +93,81 @@ def trie_counts(tokens: list[str], pieces: Pieces) -> list[tuple[int, float]]:
     return out
 
 
-def n_best(token: str, pieces: Pieces, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best segmentations (score, ids) of a pre-token, best first; of equal scores in order of ids.
+def lattices(tokens, pieces: Pieces):
+    """For each token, in sorted order: the arcs (worth of the best path over it, begin, score, ids) to each end, best first.
 
-    Forward Viterbi scores are the exact remaining worth of a search that goes back from the end,
-    so it takes out complete paths in order of their scores.
+    The list is one stack: ends of a prefix that a token shares with the last one stay as they are,
+    and it is good until the next token only.
     """
-    arcs = pieces.arcs(token)
-    best = [0.0]
-    for own in arcs[1:]:
-        best.append(max((best[b] + s for b, s, _ in own), default=-math.inf))
-    heap = [(-best[-1], (), len(token), 0.0)]
+    table, longest = pieces.table, pieces.longest
+    get = table.get
+    stack: list[list[tuple[float, int, float, tuple[int, ...]]]] = [[]]
+    best, last = [0.0], ""
+    for token in tokens:
+        shared, most = 0, min(len(last), len(token))
+        while shared < most and last[shared] == token[shared]:
+            shared += 1
+        del stack[shared + 1 :], best[shared + 1 :]
+        for end in range(shared + 1, len(token) + 1):
+            own = []
+            for begin in range(end - longest if end > longest else 0, end):
+                hit = get(token[begin:end])
+                if hit is not None:
+                    own.append((best[begin] + hit[0], begin, *hit))
+            if token[end - 1] not in table:
+                ids = tuple(pieces.spelt(token[end - 1]))
+                own.append((best[end - 1] + pieces.fall * len(ids), end - 1, pieces.fall * len(ids), ids))
+            if len(own) > 1:
+                own.sort(key=_by_worth, reverse=True)
+            stack.append(own)
+            best.append(own[0][0])
+        last = token
+        yield token, stack
+
+
+def n_best(token: str, pieces: Pieces, n: int, arcs=None) -> list[tuple[float, tuple[int, ...]]]:
+    """The n best segmentations (score, ids) of a pre-token, best first; of equal scores as the search meets them.
+
+    Forward Viterbi scores are the exact remaining worth of a search that goes back from the end. So
+    a path taken from the heap loses nothing by going on over the best arcs to the beginning; at
+    each place it passes, the next best arc is put on the heap with what the whole path would be worth.
+    """
+    if arcs is None:
+        _, arcs = next(lattices([token], pieces))
     out: list[tuple[float, tuple[int, ...]]] = []
+    heap, order = [(0.0, 0, len(token), 0, 0.0, ())], 0
     while heap and len(out) < n:
-        _, ids, at, worth = heapq.heappop(heap)
-        if at == 0:
-            out.append((worth, ids))
-            continue
-        for begin, s, own in arcs[at]:
-            if best[begin] > -math.inf:
-                heapq.heappush(heap, (-(worth + s + best[begin]), own + ids, begin, worth + s))
+        _, _, at, which, worth, ids = heapq.heappop(heap)
+        while at:
+            own = arcs[at]
+            if which + 1 < len(own) and len(out) + 1 < n:  # the last path needs no successors
+                order += 1
+                heapq.heappush(heap, (-(worth + own[which + 1][0]), order, at, which + 1, worth, ids))
+            _, at, s, new = own[which]
+            worth, ids, which = worth + s, new + ids, 0
+        out.append((worth, ids))
     return out
 
 
+_by_worth = itemgetter(0)
+
+
+def n_best_of(tokens, pieces: Pieces, n: int) -> dict[str, list[tuple[float, tuple[int, ...]]]]:
+    """n_best of distinct tokens. Where no piece holds a line feed its sides are searched apart, once each, and their losses combined."""
+    whole = [x for x in tokens if pieces.crosses_lines or "\n" not in x]
+    lines = [x for x in tokens if not pieces.crosses_lines and "\n" in x]
+    sides = {p for x in lines for p in x.split("\n") if p} | ({"\n"} if lines else set())
+    found = {x: n_best(x, pieces, n, arcs) for x, arcs in lattices(sorted(sides.union(whole)), pieces)}
+    for x in lines:
+        parts = []
+        for k, part in enumerate(x.split("\n")):
+            parts += ([found["\n"]] if k else []) + ([found[part]] if part else [])
+        total = sum(p[0][0] for p in parts)
+        choices = best_choices([[p[0][0] - s for s, _ in p] for p in parts], n)
+        found[x] = [(total - less, tuple(i for p, c in zip(parts, choice, strict=True) for i in p[c][1])) for less, choice in choices]
+    return found
+
+
 def pre_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Codes of texts' pre-tokens, where texts end among them, and the distinct ones; empty texts have none."""
     texts = compact(texts)
@@ -195,7 +241,7 @@ def best_choices(losses: list[list[float]], n: int) -> list[tuple[float, tuple[i
 def segmentations(docs: DataFrame, path: str, n: int = 3) -> DataFrame:
     """doc_id, row, rank, score, ids_le, text_crc32: each row's n best segmentations over its whole text.
 
-    Pre-tokens are searched by n_best. A text's n best take others than the best in at most n - 1
+    Every distinct pre-token is searched by n_best for its two best. A text's n best take others than the best in at most n - 1
     places, those with the least to lose there; of equal ones the first. ids_le: little-endian
     unsigned 32-bit ids. row tells repeated rows apart, within a task. A null or empty text has one
     segmentation, without pieces, of score 0. Other columns are left out. No rows give no rows.
@@ -203,40 +249,47 @@ def segmentations(docs: DataFrame, path: str, n: int = 3) -> DataFrame:
     shared = _broadcast(docs, path)
 
     def run(batches):
-        pieces, known, row = shared.value, {}, 0
+        pieces, known, old, full, row = shared.value, {}, {}, {}, 0  # tokens of late stay known
+
+        def alternatives(token: str) -> list[tuple[float, bytes]]:
+            if token not in full:
+                if len(full) > KNOWN // 10:
+                    full.clear()
+                full[token] = [(s, array("I", ids).tobytes()) for s, ids in n_best_of([token], pieces, n)[token]]
+            return full[token]
+
         for batch in batches:
-            for lo, hi in text_slices(batch, 1, 1 << 20):
+            for lo, hi in text_slices(batch, 1, 2 << 20):
                 part = batch.slice(lo, hi - lo)
                 codes, ends, distinct = pre_tokens(part.column(1))
                 if len(known) > KNOWN:
-                    known.clear()
-                for x in distinct:
-                    if x not in known:
-                        known[x] = [(s, np.array(ids, "<u4").tobytes()) for s, ids in n_best(x, pieces, n)]
-                own = [known[x] for x in distinct]
-                best, first = np.array([x[0][0] for x in own]), [x[0][1] for x in own]
-                loss = np.array([x[0][0] - x[1][0] if len(x) > 1 else np.inf for x in own])
+                    known, old = {}, known
+                known.update((x, old[x]) for x in distinct if x in old and x not in known)
+                new = [x for x in distinct if x not in known]
+                for x, own in n_best_of(new, pieces, min(n, 2)).items():
+                    known[x] = own[0][0], own[0][0] - own[1][0] if len(own) > 1 else np.inf, array("I", own[0][1]).tobytes()
+                mine = [known[x] for x in distinct]
+                best, loss, first = np.array([x[0] for x in mine]), np.array([x[1] for x in mine]), [x[2] for x in mine]
                 doc, rows, ranks, scores, ids, crcs = [], [], [], [], [], []
                 for k, text in enumerate(part.column(1).to_pylist()):
-                    mine = codes[ends[k] : ends[k + 1]]
-                    total, chosen = float(best[mine].sum()) if len(mine) else 0.0, [first[c] for c in mine.tolist()]
-                    losses = loss[mine] if len(mine) else np.zeros(0)
-                    if len(losses) > n - 1:
-                        edge = np.partition(losses, n - 2)[n - 2] if n > 1 else -1.0
+                    own = codes[ends[k] : ends[k + 1]]
+                    total, chosen = float(best[own].sum()) if len(own) else 0.0, list(map(first.__getitem__, own.tolist()))
+                    losses, places = loss[own] if len(own) else np.zeros(0), np.arange(len(own))
+                    if len(own) > n - 1 > 0:  # more places than can differ from the best
+                        edge = np.partition(losses, n - 2)[n - 2]
                         places = np.concatenate([np.flatnonzero(losses < edge), np.flatnonzero(losses == edge)])[: n - 1]
-                    else:
-                        places = np.arange(len(losses))
-                    places = [int(p) for p in np.sort(places) if losses[p] < np.inf]
-                    lists = [[own[mine[p]][0][0] - s for s, _ in own[mine[p]]] for p in places]
-                    for rank, (less, choice) in enumerate(best_choices(lists, n), 1):
-                        for p, c in zip(places, choice, strict=True):
-                            chosen[p] = own[mine[p]][c][1]
+                    places = [int(p) for p in np.sort(places) if n > 1 and losses[p] < np.inf]
+                    lists = [alternatives(distinct[own[p]]) for p in places]
+                    crc = zlib.crc32((text or "").encode())
+                    for rank, (less, choice) in enumerate(best_choices([[x[0][0] - s for s, _ in x] for x in lists], n), 1):
+                        for p, x, c in zip(places, lists, choice, strict=True):
+                            chosen[p] = x[c][1]
                         doc.append(k)
                         rows.append(row)
                         ranks.append(rank)
                         scores.append(total - less)
                         ids.append(b"".join(chosen))
-                        crcs.append(zlib.crc32((text or "").encode()))
+                        crcs.append(crc)
                     row += 1
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc, pa.int64())), pa.array(rows), pa.array(ranks, pa.int32()), pa.array(scores), pa.array(ids, pa.binary()), pa.array(crcs, pa.int64())], names=["doc_id", "row", "rank", "score", "ids_le", "text_crc32"])
 

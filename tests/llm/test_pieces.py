@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from assaykit.llm.pieces import OWN, SPACE, Pieces, best_choices, decoded, n_best, op8_nbest, public_pieces, segmentations, token_counts, trie_counts
+from assaykit.llm.pieces import OWN, SPACE, Pieces, best_choices, decoded, lattices, n_best, n_best_of, op8_nbest, public_pieces, segmentations, token_counts, trie_counts
 
 
 @pytest.fixture(scope="module")
@@ -14,14 +14,20 @@ def pieces():
 
 
 def all_paths(token, pieces):
-    arcs, done = pieces.arcs(token), defaultdict(list)
+    done = defaultdict(list)
     done[0] = [(0.0, ())]
     for end in range(1, len(token) + 1):
-        done[end] = [(s + x, ids + own) for b, x, own in arcs[end] for s, ids in done[b]]
+        for b in range(end):
+            x = token[b:end]
+            if x in pieces.score:
+                done[end] += [(s + pieces.score[x], (*ids, pieces.ids[x])) for s, ids in done[b]]
+        if token[end - 1] not in pieces.score:
+            spelt = tuple(pieces.bytes_[c] for c in token[end - 1].replace(OWN, SPACE).encode())
+            done[end] += [(s + pieces.fall * len(spelt), ids + spelt) for s, ids in done[end - 1]]
     return sorted(done[len(token)], key=lambda x: (-x[0], x[1]))
 
 
-TOKENS = sorted({SPACE + x for x in ["", "the", "then", "thanedble", "it's", "déjà", "漢字", "a\nb", "x" * 9, "qzq", "", OWN + "a", "the,"]})
+TOKENS = sorted({SPACE + x for x in ["", "the", "then", "thanedble", "it's", "déjà", "漢字", "a\nb", "then.\n\nthe\n", "\n", "x" * 9, "qzq", "", OWN + "a", "the,"]})
 
 
 def test_counts_and_n_best_against_all_paths(pieces):
@@ -33,12 +39,15 @@ def test_counts_and_n_best_against_all_paths(pieces):
         got = n_best(token, pieces, 5)
         assert np.allclose([s for s, _ in got], [s for s, _ in paths[:5]]) and len(got) == min(5, len(paths))
         assert len({ids for _, ids in got}) == len(got)
+        by_lines = n_best_of([token], pieces, 5)[token]
+        assert np.allclose([s for s, _ in by_lines], [s for s, _ in got]) and len({ids for _, ids in by_lines}) == len(got)
 
 
 def test_shared_prefixes_give_what_single_tokens_give(pieces):
     rng = random.Random(1)
     tokens = sorted({SPACE + "".join(rng.choices("thean é", k=rng.randrange(9))).replace(" ", "x") for _ in range(300)})
     assert trie_counts(tokens, pieces) == [trie_counts([t], pieces)[0] for t in tokens]
+    assert {t: n_best(t, pieces, 4, arcs) for t, arcs in lattices(tokens, pieces)} == {t: n_best(t, pieces, 4) for t in tokens}
 
 
 def test_choices():
