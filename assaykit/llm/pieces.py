@@ -40,6 +40,8 @@ class Pieces:
     longest: int
     crosses_lines: bool
     table: dict[str, tuple[float, tuple[int, ...]]]
+    #: Every ending of a piece, with the score of those that are pieces: where none fits, no longer piece does.
+    endings: dict[str, float | None]
 
     @classmethod
     def read(cls, path: str) -> Pieces:
@@ -51,7 +53,7 @@ class Pieces:
         total = math.log(math.fsum(1 / (r + 2) for r in range(len(plain))))
         score = {sp.id_to_piece(k): -math.log(r + 2) - total for r, k in enumerate(plain)}
         ids = {sp.id_to_piece(k): k for k in plain}
-        return cls(score, ids, [names[b] for b in range(256)], min(score.values()) - FALL, max(map(len, score)), any("\n" in x for x in score), {x: (s, (ids[x],)) for x, s in score.items()})
+        return cls(score, ids, [names[b] for b in range(256)], min(score.values()) - FALL, max(map(len, score)), any("\n" in x for x in score), {x: (s, (ids[x],)) for x, s in score.items()}, {x[k:]: None for x in score for k in range(len(x))} | score)
 
     def spelt(self, char: str) -> list[int]:
         """Ids of a character that is no piece."""
@@ -65,7 +67,7 @@ def trie_counts(tokens: list[str], pieces: Pieces) -> list[tuple[int, float]]:
     kept on a stack, so a prefix that many tokens share is scored once; a token's end tells its own
     count. Of equal scores the fewer pieces count.
     """
-    get, longest = pieces.score.get, pieces.longest
+    get = pieces.endings.get
     best, n, last, out = [0.0], [0], "", []
     for token in tokens:
         shared, most = 0, min(len(last), len(token))
@@ -74,12 +76,15 @@ def trie_counts(tokens: list[str], pieces: Pieces) -> list[tuple[int, float]]:
         del best[shared + 1 :], n[shared + 1 :]
         for end in range(shared + 1, len(token) + 1):
             top, steps = -math.inf, 0
-            for begin in range(max(0, end - longest), end):
-                s = get(token[begin:end])
-                if s is not None:
-                    s += best[begin]
-                    if s > top or (s == top and n[begin] < steps):
-                        top, steps = s, n[begin] + 1
+            for begin in range(end - 1, -1, -1):
+                s = get(token[begin:end], 1.0)  # scores are negative
+                if s is None:
+                    continue
+                if s > 0:
+                    break
+                s += best[begin]
+                if s > top or (s == top and n[begin] + 1 < steps):
+                    top, steps = s, n[begin] + 1
             char = token[end - 1]
             if char not in pieces.score:
                 k = 3 if char == OWN else len(char.encode())
@@ -94,52 +99,71 @@ def trie_counts(tokens: list[str], pieces: Pieces) -> list[tuple[int, float]]:
 
 
 def lattices(tokens, pieces: Pieces):
-    """For each token, in sorted order: the arcs (worth of the best path over it, begin, score, ids) to each end, best first.
+    """For each token, in sorted order: it, forward Viterbi scores of its ends, and their arcs so far found (see _arcs).
 
-    The list is one stack: ends of a prefix that a token shares with the last one stay as they are,
-    and it is good until the next token only.
+    The lists are stacks: ends of a prefix that a token shares with the last one stay as they are,
+    and they are good until the next token only.
     """
-    table, longest = pieces.table, pieces.longest
-    get = table.get
-    stack: list[list[tuple[float, int, float, tuple[int, ...]]]] = [[]]
-    best, last = [0.0], ""
+    get, table = pieces.endings.get, pieces.table
+    best, arcs, last = [0.0], [[]], ""
     for token in tokens:
         shared, most = 0, min(len(last), len(token))
         while shared < most and last[shared] == token[shared]:
             shared += 1
-        del stack[shared + 1 :], best[shared + 1 :]
+        del arcs[shared + 1 :], best[shared + 1 :]
         for end in range(shared + 1, len(token) + 1):
-            own = []
-            for begin in range(end - longest if end > longest else 0, end):
-                hit = get(token[begin:end])
-                if hit is not None:
-                    own.append((best[begin] + hit[0], begin, *hit))
+            top = -math.inf
+            for begin in range(end - 1, -1, -1):
+                s = get(token[begin:end], 1.0)  # scores are negative
+                if s is None:
+                    continue
+                if s > 0:
+                    break
+                s += best[begin]
+                if s > top:
+                    top = s
             if token[end - 1] not in table:
-                ids = tuple(pieces.spelt(token[end - 1]))
-                own.append((best[end - 1] + pieces.fall * len(ids), end - 1, pieces.fall * len(ids), ids))
-            if len(own) > 1:
-                own.sort(key=_by_worth, reverse=True)
-            stack.append(own)
-            best.append(own[0][0])
+                top = max(top, best[end - 1] + pieces.fall * len(pieces.spelt(token[end - 1])))
+            best.append(top)
+            arcs.append(None)
         last = token
-        yield token, stack
-
-
-def n_best(token: str, pieces: Pieces, n: int, arcs=None) -> list[tuple[float, tuple[int, ...]]]:
+        yield token, best, arcs
+
+
+def _arcs(token: str, end: int, best: list[float], pieces: Pieces) -> list[tuple[float, int, float, tuple[int, ...]]]:
+    """What may stand last before an end: (worth of the best path over it, begin, score, ids), best first."""
+    get, table, own = pieces.endings.get, pieces.table, []
+    for begin in range(end - 1, -1, -1):
+        s = get(token[begin:end], 1.0)
+        if s is None:
+            continue
+        if s > 0:
+            break
+        own.append((best[begin] + s, begin, *table[token[begin:end]]))
+    if token[end - 1] not in table:
+        ids = tuple(pieces.spelt(token[end - 1]))
+        own.append((best[end - 1] + pieces.fall * len(ids), end - 1, pieces.fall * len(ids), ids))
+    own.sort(key=_by_worth, reverse=True)
+    return own
+
+
+def n_best(token: str, pieces: Pieces, n: int, best=None, arcs=None) -> list[tuple[float, tuple[int, ...]]]:
     """The n best segmentations (score, ids) of a pre-token, best first; of equal scores as the search meets them.
 
     Forward Viterbi scores are the exact remaining worth of a search that goes back from the end. So
     a path taken from the heap loses nothing by going on over the best arcs to the beginning; at
     each place it passes, the next best arc is put on the heap with what the whole path would be worth.
     """
-    if arcs is None:
-        _, arcs = next(lattices([token], pieces))
+    if best is None:
+        _, best, arcs = next(lattices([token], pieces))
     out: list[tuple[float, tuple[int, ...]]] = []
     heap, order = [(0.0, 0, len(token), 0, 0.0, ())], 0
     while heap and len(out) < n:
         _, _, at, which, worth, ids = heapq.heappop(heap)
         while at:
             own = arcs[at]
+            if own is None:
+                own = arcs[at] = _arcs(token, at, best, pieces)
             if which + 1 < len(own) and len(out) + 1 < n:  # the last path needs no successors
                 order += 1
                 heapq.heappush(heap, (-(worth + own[which + 1][0]), order, at, which + 1, worth, ids))
@@ -157,7 +181,7 @@ def n_best_of(tokens, pieces: Pieces, n: int) -> dict[str, list[tuple[float, tup
     whole = [x for x in tokens if pieces.crosses_lines or "\n" not in x]
     lines = [x for x in tokens if not pieces.crosses_lines and "\n" in x]
     sides = {p for x in lines for p in x.split("\n") if p} | ({"\n"} if lines else set())
-    found = {x: n_best(x, pieces, n, arcs) for x, arcs in lattices(sorted(sides.union(whole)), pieces)}
+    found = {x: n_best(x, pieces, n, best, arcs) for x, best, arcs in lattices(sorted(sides.union(whole)), pieces)}
     for x in lines:
         parts = []
         for k, part in enumerate(x.split("\n")):

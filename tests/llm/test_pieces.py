@@ -47,7 +47,7 @@ def test_shared_prefixes_give_what_single_tokens_give(pieces):
     rng = random.Random(1)
     tokens = sorted({SPACE + "".join(rng.choices("thean é", k=rng.randrange(9))).replace(" ", "x") for _ in range(300)})
     assert trie_counts(tokens, pieces) == [trie_counts([t], pieces)[0] for t in tokens]
-    assert {t: n_best(t, pieces, 4, arcs) for t, arcs in lattices(tokens, pieces)} == {t: n_best(t, pieces, 4) for t in tokens}
+    assert {t: n_best(t, pieces, 4, best, arcs) for t, best, arcs in lattices(tokens, pieces)} == {t: n_best(t, pieces, 4) for t in tokens}
 
 
 def test_choices():
