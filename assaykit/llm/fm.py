@@ -16,8 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from assaykit.llm.common import bound_batches, coded_words, remainder, text_slices
+from assaykit.llm.common import bound_batches, coded_words, fresh, remainder, text_slices
 from assaykit.llm.stats import NAMES, statistics
 
 #: Rows that a model is fitted on at most, chosen by a hash of their ids.
@@ -177,12 +178,12 @@ def score(docs: DataFrame, machine: Machine, threshold: float) -> DataFrame:
     return got.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def score_rows(docs: DataFrame, machine: Machine) -> DataFrame:
-    """All columns of docs and _score after them: for filters, which need no join then."""
+def score_rows(docs: DataFrame, machine: Machine) -> tuple[DataFrame, str]:
+    """All columns of docs with the score after them, and that column's name: for filters, which need no join then."""
     spark = docs.sparkSession
     bound_batches(spark)
     model = spark.sparkContext.broadcast(machine)
-    at = docs.columns.index("text")
+    at, name = docs.columns.index("text"), fresh(docs, "_score")
 
     def run(batches):
         m = model.value
@@ -192,8 +193,6 @@ def score_rows(docs: DataFrame, machine: Machine) -> DataFrame:
                 owner, hashes = term_hashes(part.column(at))
                 stats = statistics(part.column(at)) if m.edges is not None else None
                 ids, own = _features(m.terms, m.edges, owner, hashes, stats)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.scores(ids, own, len(part)))], names=[*part.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.scores(ids, own, len(part)))], names=[*part.schema.names, name])
 
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])), name

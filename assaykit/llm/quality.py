@@ -25,8 +25,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold."""
-    got = score_rows(docs, learn(docs, labels, "quality", True, sample))
-    return got.where(got._score >= THRESHOLD).select(*docs.columns)
+    got, score_name = score_rows(docs, learn(docs, labels, "quality", True, sample))
+    return got.where(got[score_name] >= THRESHOLD).select(*docs.columns)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

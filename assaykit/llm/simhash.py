@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import bound_batches, kept, table, text_slices
+from assaykit.llm.common import bound_batches, fresh, kept, table, text_slices
 from assaykit.llm.components import components
 
 SEED, WIDTH, BITS, SEGMENT, MOST = 42, 3, 64, 4, 3
@@ -175,13 +175,12 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     same = near_duplicates(docs, id_column, text_column)
     keep = same.where(F.col(id_column).eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_text")))
-    keep = keep.select(F.coalesce(F.hash(id_column), F.lit(0)).alias("_k"), F.col(id_column).alias("_id"), F.col("text_hash").alias("_text"))
-    keyed = docs.withColumns({"_text": F.xxhash64(text_column), "_k": F.coalesce(F.hash(id_column), F.lit(0))})
-    alike = keyed.alias("d").join(keep.alias("k"), (F.col("d._k") == F.col("k._k")) & F.col(f"d.{id_column}").eqNullSafe(F.col("k._id")) & (F.col("d._text") == F.col("k._text")), "left_semi")
-    from pyspark.sql import Window
-
-    row = F.row_number().over(Window.partitionBy("_k", id_column, "_text").orderBy(F.lit(0)))
-    return alike.withColumn("_row", row).where("_row = 1").select(*docs.columns)
+    keep = keep.select(F.xxhash64(id_column).alias("_k"), F.col(id_column).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    k, text, row = (fresh(docs, x) for x in ("_key", "_text", "_row"))
+    keyed = docs.withColumns({k: F.xxhash64(id_column), text: F.xxhash64(text_column)})
+    alike = (keyed[k] == keep._k) & keyed[id_column].eqNullSafe(keep._id) & (keyed[text] == keep._hash)
+    first = F.row_number().over(Window.partitionBy(k, id_column, text).orderBy(F.lit(0)))
+    return keyed.join(keep, alike, "left_semi").withColumn(row, first).where(F.col(row) == 1).select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

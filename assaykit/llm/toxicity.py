@@ -24,8 +24,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, all columns, whose score stays under the threshold."""
-    got = score_rows(docs, learn(docs, labels, "toxic", False, sample))
-    return got.where(got._score < THRESHOLD).select(*docs.columns)
+    got, score_name = score_rows(docs, learn(docs, labels, "toxic", False, sample))
+    return got.where(got[score_name] < THRESHOLD).select(*docs.columns)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -89,6 +89,7 @@ def test_models(spark):
         right = [r.predicted == truth[r.doc_id][column] for r in got if r.doc_id in truth]
         assert np.mean(right) > 0.97
         assert len({r.score for r in got if r.doc_id in (None, 400)}) == 1
+        docs = docs.withColumnRenamed("score", "_score")
         kept = keep(docs, labels)
         assert kept.columns == docs.columns
         assert kept.count() == sum(r.predicted == label for r in got)

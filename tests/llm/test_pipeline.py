@@ -3,7 +3,7 @@ from assaykit.llm.quality import quality_scores
 from assaykit.llm.simhash import near_duplicates
 from assaykit.llm.toxicity import toxicity_scores
 
-DIR = "/root/testdata/sf0.001"
+DIR = "/root/testdata/sf0.01"
 
 
 def test_stages_take_effect_and_keep_columns(spark):
