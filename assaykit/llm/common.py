@@ -51,7 +51,24 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     df.sparkSession._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that kept() wrote, once nothing reads them any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._kept_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def remainder(column: str, n: int):

@@ -23,11 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import bound_batches, coded_words, kept, remainder, table, text_slices
+from assaykit.llm.common import bound_batches, coded_words, forget, kept, remainder, table, text_slices
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Counts over LARGE lose HELD; tokens of a partition of pairs, about.
-LARGE, HELD, PART_TOKENS = 5, 0.05, 2_000_000
+LARGE, HELD, PART_TOKENS = 5, 0.05, 1_500_000
+#: Bits of a word's place in its block's dictionary, under its id in one long.
+CODE_BITS = 28
 #: The token that ends a text; no word has a line feed.
 END = "\n"
 
@@ -83,7 +85,12 @@ def pack(*arrays: np.ndarray) -> bytes:
             a = a.astype(f"<u{next(k for k in (1, 2, 4, 8) if int(a.max(initial=0)) < 1 << 8 * k)}")
         head += [len(a), a.dtype.itemsize + 100 * (a.dtype.kind == "f")]
         body.append(a.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<i8").tobytes() + b"".join(body))
+    return zstandard.ZstdCompressor(level=3).compress(np.array(head, "<i8").tobytes() + b"".join(body))
+
+
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Non-negative integers in four bytes where these are enough, else in eight."""
+    return a.astype(np.int32 if int(a.max(initial=0)) < 1 << 31 else np.int64)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -95,7 +102,7 @@ def unpack(data: bytes) -> list[np.ndarray]:
     for length, kind in head.tolist():
         a = np.frombuffer(data, f"<f{kind - 100}" if kind > 100 else f"<u{kind}", length, at)
         at += a.nbytes
-        out.append(a.copy() if kind > 100 else a.astype(np.int64))
+        out.append(a.copy() if kind > 100 else narrow(a))
     return out
 
 
@@ -109,7 +116,7 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _by_pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Stable order by (h, w)."""
     if max(int(h.max(initial=0)), int(w.max(initial=0))) < 1 << 31:
-        return np.argsort((h << 32) | w, kind="stable")
+        return np.argsort((h.astype(np.int64) << 32) | w, kind="stable")
     return np.lexsort((w, h))
 
 
@@ -191,20 +198,23 @@ _DOC, _SCORES, _HISTORY, _UNSEEN, _COUNTS = range(5)
 def _answers(unigrams: Unigrams, frequent: int, blocks: list[int], data: list[bytes]):
     """What a part of the pair table tells from all its packed pairs, as columns of PART_SCHEMA."""
     got = [unpack(x) for x in data]
-    h = np.concatenate([np.cumsum(g[0]) for g in got])
+    h = np.concatenate([np.cumsum(g[0], dtype=np.int64) for g in got])
     w = np.concatenate([g[1] for g in got])
     texts = np.concatenate([g[2] for g in got])
     mark = np.concatenate([g[3] for g in got])
     times = np.concatenate([g[4] for g in got])
-    block = np.repeat(np.arange(len(got)), [len(g[3]) for g in got])
+    block = np.repeat(np.arange(len(got), dtype=np.int32), [len(g[3]) for g in got])
     del got
     order = _by_pair(h, w)
-    begin = np.concatenate([[0], np.cumsum(texts)[:-1]])[order]
+    begin = np.concatenate([[0], np.cumsum(texts, dtype=np.int64)[:-1]])[order]
     h, w, texts = h[order], w[order], texts[order]
     first = _begins(h, w)
-    pair = np.repeat(np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h)))), texts)
-    entry = np.repeat(begin - np.concatenate([[0], np.cumsum(texts)[:-1]]), texts) + np.arange(texts.sum())
-    block, text, held, times = block[entry], mark[entry] >> 1, (mark[entry] & 1).astype(bool), times[entry]
+    pair = np.repeat(np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(h)))), texts)
+    entry = np.repeat(begin - np.concatenate([[0], np.cumsum(texts, dtype=np.int64)[:-1]]), texts)
+    entry += np.arange(len(entry))
+    block, mark, times = block[entry], mark[entry], times[entry]
+    text, held = mark >> 1, (mark & 1).astype(bool)
+    del entry, mark, order, begin, texts
     h, w = h[first], w[first]
     count = np.bincount(pair[~held], times[~held], len(h)).astype(np.int64)
     of_h = unigrams.counts[unigrams.place(h)]
@@ -216,10 +226,11 @@ def _answers(unigrams: Unigrams, frequent: int, blocks: list[int], data: list[by
 
     with np.errstate(divide="ignore"):
         log = np.where(seen, np.log10(np.where(count > LARGE, count - HELD, count) / of_h), 0.0)
-    doc, at = np.unique((block << 32) | text, return_inverse=True)
+    doc, at = np.unique((block.astype(np.int64) << 32) | text, return_inverse=True)
     total = np.bincount(at, times * log[pair], len(doc))
     few = [np.bincount(at, times * (count[pair] == r), len(doc)).astype(np.int64) for r in range(1, LARGE + 1)]
     cut = np.searchsorted(doc >> 32, np.arange(len(blocks) + 1))
+    del at
     rows = [(b, pack(doc[i:j] & 0xFFFFFFFF, *(f[i:j] for f in few), total[i:j])) for b, i, j in zip(blocks, cut, cut[1:], strict=False) if j > i]
     yield {"kind": np.full(len(rows), _SCORES), "block": np.array([r[0] for r in rows], np.int64), "payload": [r[1] for r in rows]}
 
@@ -270,9 +281,10 @@ def score_texts(docs: DataFrame, folds: int = 10, id_column: str = "doc_id", tex
     starts = F.broadcast(spark.createDataFrame(offsets or [(-1, 0)], "part long, start long"))
     ids = words.join(starts, "part").select("word", (F.col("start") + F.col("k")).alias("gid"))
     known = F.lit(unigrams.known)
-    own = kept(entries.join(ids, "word", "left").select("block", "code", F.coalesce("gid", known).alias("gid")), "katz-ids")
+    own = kept(entries.join(ids, "word", "left").select("block", (F.coalesce("gid", known) * (1 << CODE_BITS) + F.col("code")).alias("entry")), "katz-ids")
 
     everywhere = entries.agg(F.sum("n")).first()[0] or 0
+    forget(entries, words)
     parts = max(shuffle_parts, math.ceil(everywhere * folds / max(1, folds - 1) / PART_TOKENS))
     frequent = PART_TOKENS // 64
     shared = spark.sparkContext.broadcast(unigrams)
@@ -284,20 +296,26 @@ def score_texts(docs: DataFrame, folds: int = 10, id_column: str = "doc_id", tex
         if right.num_rows != 1 or right["words"][0].as_py() != left.num_rows:
             raise ValueError("the two readings of the documents differ; write them as a table first")
         block = right["block"][0].as_py()
-        gids = np.empty(left.num_rows, np.int64)
-        gids[left["code"].to_numpy()] = left["gid"].to_numpy()
+        gids = np.empty(left.num_rows, np.int32 if u.known < (1 << 31) - 2 else np.int64)
+        entry = left["entry"].to_numpy()
+        gids[entry & ((1 << CODE_BITS) - 1)] = entry >> CODE_BITS
         codes, ends, trained = unpack(right["payload"][0].as_py())
         n = len(ends) - 1
         token = gids[codes]
         place = u.place(token)
-        text = np.repeat(np.arange(n), np.diff(ends))
+        text = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))
         base = np.bincount(text, u.base[place], n)
         history = np.empty_like(token)
         history[1:] = token[:-1]
         history[ends[:-1]] = u.known + 1
         asked = u.counts[u.place(history)] > 0  # an unknown history needs no table
         extra = np.bincount(text, np.where(asked, 0.0, u.log_p[place]), n)
-        found = list(_pairs_of_block(u, parts, frequent, history[asked], token[asked], text[asked], trained.astype(bool)))
+        n_known = np.bincount(text, token < u.known, n).astype(np.int64)
+        history, token, text = history[asked], token[asked], text[asked]
+        del codes, place, asked
+        found = list(_pairs_of_block(u, parts, frequent, history, token, text, trained.astype(bool)))
+        del history, token, text
+        pa.default_memory_pool().release_unused()
         m = len(found)
         none = [None] * m
 
@@ -311,7 +329,7 @@ def score_texts(docs: DataFrame, folds: int = 10, id_column: str = "doc_id", tex
                 "pos": column(np.arange(n), none, pa.int64()),
                 "id": column(right["ids"][0].as_py(), none, id_kind),
                 "n_tokens": column(np.diff(ends), none, pa.int64()),
-                "n_known": column(np.bincount(text, token < u.known, n).astype(np.int64), none, pa.int64()),
+                "n_known": column(n_known, none, pa.int64()),
                 "base": column(base, none, pa.float64()),
                 "extra": column(extra, none, pa.float64()),
                 "payload": column([None] * n, [x for _, x in found], pa.binary()),
@@ -344,12 +362,14 @@ def score_texts(docs: DataFrame, folds: int = 10, id_column: str = "doc_id", tex
             for p, b, x in zip(*(batch.filter(pa.compute.invert(own_doc)).column(c).to_pylist() for c in ("part", "block", "payload")), strict=True):
                 if p != now:
                     yield from told()
+                    pa.default_memory_pool().release_unused()
                     now, blocks, data = p, [], []
                 blocks.append(b)
                 data.append(x)
         yield from told()
 
     told = kept(routed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(answer, PART_SCHEMA.format(id=id_type)), "katz-pairs")
+    forget(own)
     pair_counts = {r.word: r.n for r in told.where(F.col("kind") == _COUNTS).groupBy("word").agg(F.sum("n").alias("n")).collect()}
     d = discounts(pair_counts)
 
