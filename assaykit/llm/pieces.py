@@ -38,10 +38,11 @@ class Pieces:
     bytes_: list[int]
     fall: float
     longest: int
-    crosses_lines: bool
     table: dict[str, tuple[float, tuple[int, ...]]]
     #: Every ending of a piece, with the score of those that are pieces: where none fits, no longer piece does.
     endings: dict[str, float | None]
+    #: A piece's id in little-endian bytes.
+    packed: dict[str, bytes]
 
     @classmethod
     def read(cls, path: str) -> Pieces:
@@ -53,7 +54,7 @@ class Pieces:
         total = math.log(math.fsum(1 / (r + 2) for r in range(len(plain))))
         score = {sp.id_to_piece(k): -math.log(r + 2) - total for r, k in enumerate(plain)}
         ids = {sp.id_to_piece(k): k for k in plain}
-        return cls(score, ids, [names[b] for b in range(256)], min(score.values()) - FALL, max(map(len, score)), any("\n" in x for x in score), {x: (s, (ids[x],)) for x, s in score.items()}, {x[k:]: None for x in score for k in range(len(x))} | score)
+        return cls(score, ids, [names[b] for b in range(256)], min(score.values()) - FALL, max(map(len, score)), {x: (s, (ids[x],)) for x, s in score.items()}, {x[k:]: None for x in score for k in range(len(x))} | score, {x: array("I", [k]).tobytes() for x, k in ids.items()})
 
     def spelt(self, char: str) -> list[int]:
         """Ids of a character that is no piece."""
@@ -176,20 +177,52 @@ def n_best(token: str, pieces: Pieces, n: int, best=None, arcs=None) -> list[tup
 _by_worth = itemgetter(0)
 
 
-def n_best_of(tokens, pieces: Pieces, n: int) -> dict[str, list[tuple[float, tuple[int, ...]]]]:
-    """n_best of distinct tokens. Where no piece holds a line feed its sides are searched apart, once each, and their losses combined."""
-    whole = [x for x in tokens if pieces.crosses_lines or "\n" not in x]
-    lines = [x for x in tokens if not pieces.crosses_lines and "\n" in x]
-    sides = {p for x in lines for p in x.split("\n") if p} | ({"\n"} if lines else set())
-    found = {x: n_best(x, pieces, n, best, arcs) for x, best, arcs in lattices(sorted(sides.union(whole)), pieces)}
-    for x in lines:
-        parts = []
-        for k, part in enumerate(x.split("\n")):
-            parts += ([found["\n"]] if k else []) + ([found[part]] if part else [])
-        total = sum(p[0][0] for p in parts)
-        choices = best_choices([[p[0][0] - s for s, _ in p] for p in parts], n)
-        found[x] = [(total - less, tuple(i for p, c in zip(parts, choice, strict=True) for i in p[c][1])) for less, choice in choices]
-    return found
+def best_paths(tokens, pieces: Pieces):
+    """For each token, in sorted order: (score, loss, ids_le) of its best segmentation and what the next best loses.
+
+    The next best path leaves the best one, seen from the end, at one of its places, by the second
+    best arc there: the least difference of both arcs' worths along the path is its loss, which a
+    search for two paths would find.
+    """
+    get, table, spelt = pieces.endings.get, pieces.table, pieces.spelt
+    best, second, back, last = [0.0], [0.0], [0], ""
+    packed = pieces.packed
+    for token in tokens:
+        shared, most = 0, min(len(last), len(token))
+        while shared < most and last[shared] == token[shared]:
+            shared += 1
+        del best[shared + 1 :], second[shared + 1 :], back[shared + 1 :]
+        for end in range(shared + 1, len(token) + 1):
+            top = next_ = -math.inf
+            at = end - 1
+            for begin in range(end - 1, -1, -1):
+                s = get(token[begin:end], 1.0)  # scores are negative
+                if s is None:
+                    continue
+                if s > 0:
+                    break
+                s += best[begin]
+                if s > top:
+                    top, next_, at = s, top, begin
+                elif s > next_:
+                    next_ = s
+            if token[end - 1] not in table:
+                s = best[end - 1] + pieces.fall * len(spelt(token[end - 1]))
+                if s > top:
+                    top, next_, at = s, top, end - 1
+                elif s > next_:
+                    next_ = s
+            best.append(top)
+            second.append(next_)
+            back.append(at)
+        last, end, loss, ids = token, len(token), math.inf, []
+        while end:
+            loss = min(loss, best[end] - second[end])
+            x = token[back[end] : end]
+            ids.append(packed[x] if x in packed else array("I", spelt(x)).tobytes())
+            end = back[end]
+        ids.reverse()
+        yield best[-1], loss, b"".join(ids)
 
 
 def pre_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -265,8 +298,8 @@ def best_choices(losses: list[list[float]], n: int) -> list[tuple[float, tuple[i
 def segmentations(docs: DataFrame, path: str, n: int = 3) -> DataFrame:
     """doc_id, row, rank, score, ids_le, text_crc32: each row's n best segmentations over its whole text.
 
-    Every distinct pre-token is searched by n_best for its two best. A text's n best take others than the best in at most n - 1
-    places, those with the least to lose there; of equal ones the first. ids_le: little-endian
+    A text's best is every pre-token's best. Its n best take others than the best in at most n - 1
+    places, those with the least to lose there (of equal ones the first), which n_best searches. ids_le: little-endian
     unsigned 32-bit ids. row tells repeated rows apart, within a task. A null or empty text has one
     segmentation, without pieces, of score 0. Other columns are left out. No rows give no rows.
     """
@@ -279,19 +312,18 @@ def segmentations(docs: DataFrame, path: str, n: int = 3) -> DataFrame:
             if token not in full:
                 if len(full) > KNOWN // 10:
                     full.clear()
-                full[token] = [(s, array("I", ids).tobytes()) for s, ids in n_best_of([token], pieces, n)[token]]
+                full[token] = [(s, array("I", ids).tobytes()) for s, ids in n_best(token, pieces, n)]
             return full[token]
 
         for batch in batches:
-            for lo, hi in text_slices(batch, 1, 2 << 20):
+            for lo, hi in text_slices(batch, 1, 4 << 20):
                 part = batch.slice(lo, hi - lo)
                 codes, ends, distinct = pre_tokens(part.column(1))
                 if len(known) > KNOWN:
                     known, old = {}, known
                 known.update((x, old[x]) for x in distinct if x in old and x not in known)
-                new = [x for x in distinct if x not in known]
-                for x, own in n_best_of(new, pieces, min(n, 2)).items():
-                    known[x] = own[0][0], own[0][0] - own[1][0] if len(own) > 1 else np.inf, array("I", own[0][1]).tobytes()
+                new = sorted(x for x in distinct if x not in known)
+                known.update(zip(new, best_paths(new, pieces), strict=True))
                 mine = [known[x] for x in distinct]
                 best, loss, first = np.array([x[0] for x in mine]), np.array([x[1] for x in mine]), [x[2] for x in mine]
                 doc, rows, ranks, scores, ids, crcs = [], [], [], [], [], []

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from assaykit.llm.pieces import OWN, SPACE, Pieces, best_choices, decoded, lattices, n_best, n_best_of, op8_nbest, public_pieces, segmentations, token_counts, trie_counts
+from assaykit.llm.pieces import OWN, SPACE, Pieces, best_choices, best_paths, decoded, lattices, n_best, op8_nbest, public_pieces, segmentations, token_counts, trie_counts
 
 
 @pytest.fixture(scope="module")
@@ -39,14 +39,16 @@ def test_counts_and_n_best_against_all_paths(pieces):
         got = n_best(token, pieces, 5)
         assert np.allclose([s for s, _ in got], [s for s, _ in paths[:5]]) and len(got) == min(5, len(paths))
         assert len({ids for _, ids in got}) == len(got)
-        by_lines = n_best_of([token], pieces, 5)[token]
-        assert np.allclose([s for s, _ in by_lines], [s for s, _ in got]) and len({ids for _, ids in by_lines}) == len(got)
+        (first, loss, ids), *_ = best_paths([token], pieces)
+        assert math.isclose(first, got[0][0]) and tuple(np.frombuffer(ids, "<u4").tolist()) in {i for s, i in paths if math.isclose(s, first)}
+        assert math.isclose(loss, got[0][0] - got[1][0], abs_tol=1e-9) if len(got) > 1 else loss == math.inf
 
 
 def test_shared_prefixes_give_what_single_tokens_give(pieces):
     rng = random.Random(1)
     tokens = sorted({SPACE + "".join(rng.choices("thean é", k=rng.randrange(9))).replace(" ", "x") for _ in range(300)})
     assert trie_counts(tokens, pieces) == [trie_counts([t], pieces)[0] for t in tokens]
+    assert list(best_paths(tokens, pieces)) == [next(best_paths([t], pieces)) for t in tokens]
     assert {t: n_best(t, pieces, 4, best, arcs) for t, best, arcs in lattices(tokens, pieces)} == {t: n_best(t, pieces, 4) for t in tokens}
 
 
