@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions.text import candidate_families, dedupe_key
+from assaykit.shared import checkpointed
 
 
 def first_wins(df: DataFrame, key: Column, pos: str = "pos", protected: Column | None = None) -> DataFrame:
@@ -31,10 +32,12 @@ def greedy_two_keys(df: DataFrame, first: str, second: str, pos: str = "pos") ->
     while True:
         least = [F.min(pos).over(Window.partitionBy(k)) for k in (first, second)]
         marked = left.withColumns({"_a": least[0], "_b": least[1]})
-        win = marked.where((F.col("_a") == F.col(pos)) & (F.col("_b") == F.col(pos))).drop("_a", "_b").checkpoint()
+        win = checkpointed(marked.where((F.col("_a") == F.col(pos)) & (F.col("_b") == F.col(pos))).drop("_a", "_b"))
         kept = win if kept is None else kept.unionByName(win)
-        gone = [win.select(k).distinct() for k in (first, second)]
-        left = left.join(gone[0], first, "left_anti").join(gone[1], second, "left_anti").select(df.columns).checkpoint()
+        for k in (first, second):  # a null key is a key like any other
+            gone = win.select(F.col(k).alias("_gone")).distinct()
+            left = left.join(gone, F.col(k).eqNullSafe(F.col("_gone")), "left_anti")
+        left = checkpointed(left)
         if left.isEmpty():
             return spark.createDataFrame([], df.schema) if kept is None else kept
 

@@ -48,7 +48,7 @@ def test_relabelled(spark):
 @pytest.mark.parametrize("seed", range(3))
 def test_two_keys_against_a_loop(spark, seed):
     rng = random.Random(seed)
-    rows = [(i, rng.randrange(12), rng.randrange(12)) for i in range(60)]
+    rows = [(i, rng.choice([None, *range(12)]), rng.choice([None, *range(12)])) for i in range(60)]
     a, b, want = set(), set(), []
     for i, x, y in rows:
         if x not in a and y not in b:
