@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from array import array
 from dataclasses import dataclass
 from itertools import count
@@ -26,7 +25,7 @@ from assaykit.llm.common import bound_batches, compact, table, text_slices
 from assaykit.llm.stats import sums
 
 SPACE, OWN = "▁", "\ud800"  # a space; a U+2581 of the text (no text has lone surrogates)
-FALL, SLICE_BYTES, KNOWN = 10.0, 8 << 20, 300_000
+FALL, SLICE_BYTES, KNOWN = 10.0, 8 << 20, 250_000
 
 
 @dataclass
@@ -295,8 +294,20 @@ def best_choices(losses: list[list[float]], n: int) -> list[tuple[float, tuple[i
     return out
 
 
+def spelling(pieces: Pieces) -> dict[int, bytes]:
+    """The UTF-8 bytes that each id stands for, a space for each U+2581."""
+    return {k: x.replace(SPACE, " ").encode() for x, k in pieces.ids.items()} | {k: bytes([b]) for b, k in enumerate(pieces.bytes_)}
+
+
+def spell(ids_le: bytes, spelt: dict[int, bytes]) -> bytes:
+    """The text of some ids, without the space in front of it."""
+    return b"".join(map(spelt.__getitem__, np.frombuffer(ids_le, "<u4").tolist()))[1:]
+
+
 def segmentations(docs: DataFrame, path: str, n: int = 3) -> DataFrame:
-    """doc_id, row, rank, score, ids_le, text_crc32: each row's n best segmentations over its whole text.
+    """doc_id, row, rank, score, ids_le, round_trip: each row's n best segmentations over its whole text.
+
+    round_trip: whether the ids, decoded again, spell the text.
 
     A text's best is every pre-token's best. Its n best take others than the best in at most n - 1
     places, those with the least to lose there (of equal ones the first), which n_best searches. ids_le: little-endian
@@ -307,6 +318,7 @@ def segmentations(docs: DataFrame, path: str, n: int = 3) -> DataFrame:
 
     def run(batches):
         pieces, known, old, full, row = shared.value, {}, {}, {}, 0  # tokens of late stay known
+        spelt = spelling(pieces)
 
         def alternatives(token: str) -> list[tuple[float, bytes]]:
             if token not in full:
@@ -316,7 +328,7 @@ def segmentations(docs: DataFrame, path: str, n: int = 3) -> DataFrame:
             return full[token]
 
         for batch in batches:
-            for lo, hi in text_slices(batch, 1, 4 << 20):
+            for lo, hi in text_slices(batch, 1, 2 << 20):
                 part = batch.slice(lo, hi - lo)
                 codes, ends, distinct = pre_tokens(part.column(1))
                 if len(known) > KNOWN:
@@ -326,7 +338,7 @@ def segmentations(docs: DataFrame, path: str, n: int = 3) -> DataFrame:
                 known.update(zip(new, best_paths(new, pieces), strict=True))
                 mine = [known[x] for x in distinct]
                 best, loss, first = np.array([x[0] for x in mine]), np.array([x[1] for x in mine]), [x[2] for x in mine]
-                doc, rows, ranks, scores, ids, crcs = [], [], [], [], [], []
+                doc, rows, ranks, scores, ids, same = [], [], [], [], [], []
                 for k, text in enumerate(part.column(1).to_pylist()):
                     own = codes[ends[k] : ends[k + 1]]
                     total, chosen = float(best[own].sum()) if len(own) else 0.0, list(map(first.__getitem__, own.tolist()))
@@ -336,7 +348,7 @@ def segmentations(docs: DataFrame, path: str, n: int = 3) -> DataFrame:
                         places = np.concatenate([np.flatnonzero(losses < edge), np.flatnonzero(losses == edge)])[: n - 1]
                     places = [int(p) for p in np.sort(places) if n > 1 and losses[p] < np.inf]
                     lists = [alternatives(distinct[own[p]]) for p in places]
-                    crc = zlib.crc32((text or "").encode())
+                    raw = (text or "").encode()
                     for rank, (less, choice) in enumerate(best_choices([[x[0][0] - s for s, _ in x] for x in lists], n), 1):
                         for p, x, c in zip(places, lists, choice, strict=True):
                             chosen[p] = x[c][1]
@@ -345,11 +357,11 @@ def segmentations(docs: DataFrame, path: str, n: int = 3) -> DataFrame:
                         ranks.append(rank)
                         scores.append(total - less)
                         ids.append(b"".join(chosen))
-                        crcs.append(crc)
+                        same.append(spell(ids[-1], spelt) == raw)
                     row += 1
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc, pa.int64())), pa.array(rows), pa.array(ranks, pa.int32()), pa.array(scores), pa.array(ids, pa.binary()), pa.array(crcs, pa.int64())], names=["doc_id", "row", "rank", "score", "ids_le", "text_crc32"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc, pa.int64())), pa.array(rows), pa.array(ranks, pa.int32()), pa.array(scores), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], names=["doc_id", "row", "rank", "score", "ids_le", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, rank int, score double, ids_le binary, text_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, rank int, score double, ids_le binary, round_trip boolean")
 
 
 def decoded(encoded: DataFrame, path: str) -> DataFrame:
@@ -357,8 +369,7 @@ def decoded(encoded: DataFrame, path: str) -> DataFrame:
     spark = encoded.sparkSession
     bound_batches(spark)
     pieces = Pieces.read(path)
-    spelt = {k: x.replace(SPACE, " ").encode() for x, k in pieces.ids.items()} | {k: bytes([b]) for b, k in enumerate(pieces.bytes_)}
-    shared = spark.sparkContext.broadcast(spelt)
+    shared = spark.sparkContext.broadcast(spelling(pieces))
     others = [f for f in encoded.schema.fields if f.name != "ids_le"]
 
     def run(batches):
@@ -367,7 +378,7 @@ def decoded(encoded: DataFrame, path: str) -> DataFrame:
             at = batch.schema.get_field_index("ids_le")
             for lo, hi in text_slices(batch, at):
                 part = batch.slice(lo, hi - lo)
-                texts = [None if x is None else b"".join(map(spelt.__getitem__, np.frombuffer(x, "<u4").tolist()))[1:].decode() for x in part.column(at).to_pylist()]
+                texts = [None if x is None else spell(x, spelt).decode() for x in part.column(at).to_pylist()]
                 keep = [k for k in range(part.num_columns) if k != at]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(texts, pa.string())], names=[*(part.schema.names[k] for k in keep), "text"])
 
@@ -388,6 +399,4 @@ def op7_trie_counts(spark, sf_dir: str) -> DataFrame:
 
 def op8_nbest(spark, sf_dir: str) -> DataFrame:
     found = segmentations(table(spark, sf_dir, "documents"), public_pieces())
-    told = found.withColumns({"n_pieces": (F.octet_length("ids_le") / 4).cast("long"), "ids_crc32": F.crc32("ids_le")})
-    back = decoded(told.select("doc_id", "rank", "score", "n_pieces", "ids_crc32", "text_crc32", "ids_le"), public_pieces())
-    return back.select("doc_id", "rank", "score", "n_pieces", "ids_crc32", (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("round_trip"))
+    return found.select("doc_id", "rank", "score", (F.octet_length("ids_le") / 4).cast("long").alias("n_pieces"), F.crc32("ids_le").alias("ids_crc32"), "round_trip")
