@@ -10,7 +10,7 @@ from assaykit.functions import answers, text
 from assaykit.functions.regex import one_of, word_count
 from assaykit.functions.rulings import operative_tail, outcome
 from assaykit.operators import agreement, composition, evaluation, lookup, queue, validation
-from assaykit.plans.views import ANSWERS, LABELLED, MODELS, POOL, RESPONSES, SCORES, oracle, view
+from assaykit.plans.views import ANSWERS, LABELLED, LABELLED_WHOLE, MODELS, POOL, RESPONSES, SCORES, oracle, view
 from assaykit.sources.index import index_rows
 from assaykit.streaming.runs import SCHEMA as EVENTS_SCHEMA
 
@@ -437,6 +437,19 @@ def row_problems(spark, d):
     return view(spark, d, LABELLED).select("pos", F.array_join(validation.problems(), " ").alias("problems"))
 
 
+# RE2's \b knows ASCII letters only, so the SQL over whole texts writes word edges out.
+_EDGES = (r"\b(?:beer", r"(?:^|[^\p{L}\p{M}\p{N}_])(?:beer"), (r"(?:e?s)?\b", r"(?:e?s)?(?:[^\p{L}\p{M}\p{N}_]|$)")
+_PROBLEMS_WHOLE = _PROBLEMS.replace(LABELLED, LABELLED_WHOLE)
+for _edge, _written in _EDGES:
+    _PROBLEMS_WHOLE = _PROBLEMS_WHOLE.replace(_edge, _written)
+
+
+@query(_PROBLEMS_WHOLE)
+def row_problems_whole(spark, d):
+    """row_problems screens the first 200 characters of a text, this all of it."""
+    return view(spark, d, LABELLED_WHOLE).select("pos", F.array_join(validation.problems(), " ").alias("problems"))
+
+
 @query(f"SELECT id, count(*) AS n FROM ({LABELLED}) l GROUP BY id HAVING count(*) > 1")
 def duplicate_ids(spark, d):
     return validation.duplicate_ids(view(spark, d, LABELLED))

@@ -76,6 +76,9 @@ SELECT 'gst-' || lpad(CAST(doc_id % 9000 AS VARCHAR(9)), 4, '0') || CASE WHEN do
 FROM {documents}
 """
 
+#: The same rows with the whole text as input.
+LABELLED_WHOLE = LABELLED.replace("substr(text, 1, 200)", "text")
+
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "documents") if "{" + t + "}" in sql}
