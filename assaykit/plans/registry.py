@@ -159,6 +159,40 @@ def majority_vote(spark, d):
     return votes.where("n > 1")
 
 
+# --- the same over all runs of an item, however many it has
+_ALL_ROWS = f"SELECT item, run, model_key, predicted AS answer FROM ({SCORES}) s"
+
+
+def _all_answers(spark, d):
+    return _scored(spark, d).select("item", "run", "model_key", F.col("score.predicted").alias("answer"))
+
+
+@query(
+    f"""WITH m AS (SELECT run, round(avg(CAST(label_ok AS INT)), 4) AS label_acc, round(coalesce(avg(CASE WHEN NOT void THEN CAST(heading_ok AS INT) END), 0.0), 4) AS heading_acc,
+      round(avg(CAST(retired IS NOT NULL AS INT)), 4) AS retired_rate, round(avg(CAST(retired IS NOT NULL OR cites12 OR cites28 AS INT)), 4) AS retired_cited_rate, round(avg(CAST(abstain_ok AS INT)), 4) AS abstention_acc
+      FROM ({SCORES}) s GROUP BY run)
+    SELECT metric, round(avg(v), 4) AS mean, min(v) AS min, max(v) AS max, round(max(v) - min(v), 4) AS range, array_to_string(list(CAST(CAST(round(v * 10000) AS BIGINT) AS VARCHAR) ORDER BY run), ' ') AS runs
+    FROM (UNPIVOT m ON label_acc, heading_acc, retired_rate, retired_cited_rate, abstention_acc INTO NAME metric VALUE v) u GROUP BY metric"""
+)
+def repeat_spread_all(spark, d):
+    runs = evaluation.summarise(_scored(spark, d), "run")
+    out = agreement.repeat_spread(runs, "run", ["label_acc", "heading_acc", "retired_rate", "retired_cited_rate", "abstention_acc"])
+    return out.withColumn("runs", F.array_join(F.transform("runs", lambda v: F.round(v * 10000).cast("long").cast("string")), " "))
+
+
+@query(f"SELECT count(*) AS items, count(*) FILTER (k = 1) AS stable, avg(CAST(k = 1 AS INT)) AS rate FROM (SELECT item, count(DISTINCT coalesce(answer, 'None')) AS k FROM ({_ALL_ROWS}) a GROUP BY item) t")
+def stability_all(spark, d):
+    return agreement.stability(_all_answers(spark, d))
+
+
+@query(
+    f"""SELECT item, vote, n FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, first) AS r FROM (
+    SELECT item, coalesce(answer, 'None') AS vote, count(*) AS n, min(lpad(CAST(run AS VARCHAR), 9, '0') || model_key) AS first FROM ({_ALL_ROWS}) a GROUP BY 1, 2) t) u WHERE r = 1"""
+)
+def majority_vote_all(spark, d):
+    return agreement.majority_vote(_all_answers(spark, d).withColumn("run", F.concat(F.lpad(F.col("run").cast("string"), 9, "0"), "model_key")))
+
+
 _KAPPA = """WITH p AS (SELECT quality AS a, toxic AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), t AS (SELECT count(*) AS n, count(*) FILTER (a = b) AS same FROM p),
  e AS (SELECT CAST(sum(x.n * y.n) AS BIGINT) AS chance FROM (SELECT a, count(*) AS n FROM p GROUP BY a) x JOIN (SELECT b, count(*) AS n FROM p GROUP BY b) y ON x.a = y.b),
  k AS (SELECT n, same / n AS observed, chance / (n * n) AS expected FROM t, e)
