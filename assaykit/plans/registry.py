@@ -433,6 +433,17 @@ def stripped_pages(spark, d):
     return _table(spark, d, "pages").select("page_id", F.md5(text.strip_html(F.replace(F.col("html"), F.lit("&"), F.lit("+")))).alias("digest"))
 
 
+_DECODED = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+for _entity, _char in (("nbsp", "chr(160)"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("#39", "chr(39)"), ("#x27", "chr(39)"), ("copy", "'©'"), ("middot", "'·'"), ("ndash", "'–'"), ("mdash", "'—'"), ("amp", "'&'")):
+    _DECODED = f"replace({_DECODED}, '&{_entity};', {_char})"
+
+
+@query(rf"SELECT page_id, md5(trim(regexp_replace({_DECODED}, '[\t\n\v\f\r \x{{85}}\p{{Z}}]+', ' ', 'g'))) AS digest FROM pages")
+def stripped_pages_whole(spark, d):
+    """stripped_pages takes '&' out of a page first; here pages are stripped as they are."""
+    return _table(spark, d, "pages").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("digest"))
+
+
 _FACTS = "concat('Preamble. Brief facts of the case: the maker sells ', p_name, ' ', repeat('and more goods ', 10), 'under heading 3307 and HSN 3401 11 at 12% or 5 %, Tariff Act 1975. FINDINGS follow ', p_type)"
 
 
