@@ -1,8 +1,9 @@
 """Pieces of a SentencePiece vocabulary as a unigram model: counts over a trie, N-best segmentations.
 
 The vocabulary file is read as it is. A piece's log probability follows its rank r (from 0) among
-the ordinary pieces: p = 1 / (H (r + 2)). A text is cut into pre-tokens before each space, with one
-space put in front of it; spaces are written as U+2581. A character that is no piece is spelt in
+the ordinary pieces: p = 1 / (H (r + 2)). One space is put in front of a text, and it is cut into
+pre-tokens before each space or, with runs, before the first space of each run: a piece may be a run
+of spaces, so only the latter is best over the whole text. Spaces are written as U+2581. A character that is no piece is spelt in
 UTF-8 byte pieces, each FALL below the rarest piece; so is a U+2581 that stands in the text itself.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from array import array
 from dataclasses import dataclass
 from itertools import count
@@ -26,6 +28,7 @@ from assaykit.llm.stats import sums
 
 SPACE, OWN = "▁", "\ud800"  # a space; a U+2581 of the text (no text has lone surrogates)
 FALL, SLICE_BYTES, KNOWN = 10.0, 8 << 20, 250_000
+RUN = re.compile(" +[^ ]*")
 
 
 @dataclass
@@ -157,7 +160,7 @@ def n_best(token: str, pieces: Pieces, n: int, best=None, arcs=None) -> list[tup
     if best is None:
         _, best, arcs = next(lattices([token], pieces))
     out: list[tuple[float, tuple[int, ...]]] = []
-    heap, order = [(0.0, 0, len(token), 0, 0.0, ())], 0
+    heap, order = [(0.0, 0, len(token), 0, 0.0, None)], 0  # ids so far: (first, the others' pair)
     while heap and len(out) < n:
         _, _, at, which, worth, ids = heapq.heappop(heap)
         while at:
@@ -168,8 +171,12 @@ def n_best(token: str, pieces: Pieces, n: int, best=None, arcs=None) -> list[tup
                 order += 1
                 heapq.heappush(heap, (-(worth + own[which + 1][0]), order, at, which + 1, worth, ids))
             _, at, s, new = own[which]
-            worth, ids, which = worth + s, new + ids, 0
-        out.append((worth, ids))
+            worth, ids, which = worth + s, (new, ids), 0
+        whole = []
+        while ids:
+            new, ids = ids
+            whole += new
+        out.append((worth, tuple(whole)))
     return out
 
 
@@ -224,12 +231,19 @@ def best_paths(tokens, pieces: Pieces):
         yield best[-1], loss, b"".join(ids)
 
 
-def pre_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Codes of texts' pre-tokens, where texts end among them, and the distinct ones; empty texts have none."""
+def pre_tokens(texts: pa.Array, runs: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Codes of texts' pre-tokens, where texts end among them, and the distinct ones; empty texts have none.
+
+    runs: a run of spaces stays whole, with the word after it.
+    """
     texts = compact(texts)
-    if len(texts) and pc.any(pc.match_substring(texts, SPACE)).as_py():
+    runs = runs and len(texts) > 0 and (pc.any(pc.match_substring(texts, "  ")).as_py() or pc.any(pc.starts_with(texts, " ")).as_py())
+    if runs or (len(texts) and pc.any(pc.match_substring(texts, SPACE)).as_py()):
         strings = [x.replace(SPACE, OWN) for x in texts.to_pylist()]
-        lists = [x.split(" ") if x else [] for x in strings]
+        if runs:
+            lists = [[y[1:].replace(" ", SPACE) for y in RUN.findall(" " + x)] if x else [] for x in strings]
+        else:
+            lists = [x.split(" ") if x else [] for x in strings]
         ends = np.cumsum([0, *map(len, lists)])
         codes: dict[str, int] = {}
         flat = [codes.setdefault(x, len(codes)) for own in lists for x in own]
@@ -247,25 +261,28 @@ def pre_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return codes, ends, [SPACE + x for x in coded.dictionary.to_pylist()]
 
 
-def _broadcast(docs: DataFrame, path: str):
+def _broadcast(docs: DataFrame, path: str, runs: bool):
     bound_batches(docs.sparkSession)
-    return docs.sparkSession.sparkContext.broadcast(Pieces.read(path))
+    pieces = Pieces.read(path)
+    if runs and any(SPACE in x.lstrip(SPACE) for x in pieces.score):
+        raise ValueError("a piece has a space after another character: texts can't be cut before spaces")
+    return docs.sparkSession.sparkContext.broadcast(pieces)
 
 
-def token_counts(docs: DataFrame, path: str) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, runs: bool = False) -> DataFrame:
     """doc_id, n_pretokens, n_tokens and score (log probability) of each row's best segmentation.
 
     A null or empty text has none and score 0. Repeated rows are counted each. Other columns are
-    left out. No rows give no rows.
+    left out. No rows give no rows. runs: see pre_tokens.
     """
-    shared = _broadcast(docs, path)
+    shared = _broadcast(docs, path, runs)
 
     def run(batches):
         pieces = shared.value
         for batch in batches:
             for lo, hi in text_slices(batch, 1, SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
-                codes, ends, distinct = pre_tokens(part.column(1))
+                codes, ends, distinct = pre_tokens(part.column(1), runs)
                 order = sorted(range(len(distinct)), key=distinct.__getitem__)
                 found = np.zeros((len(distinct), 2))
                 if order:
@@ -304,7 +321,7 @@ def spell(ids_le: bytes, spelt: dict[int, bytes]) -> bytes:
     return b"".join(map(spelt.__getitem__, np.frombuffer(ids_le, "<u4").tolist()))[1:]
 
 
-def segmentations(docs: DataFrame, path: str, n: int = 3) -> DataFrame:
+def segmentations(docs: DataFrame, path: str, n: int = 3, runs: bool = False) -> DataFrame:
     """doc_id, row, rank, score, ids_le, round_trip: each row's n best segmentations over its whole text.
 
     round_trip: whether the ids, decoded again, spell the text.
@@ -313,8 +330,9 @@ def segmentations(docs: DataFrame, path: str, n: int = 3) -> DataFrame:
     places, those with the least to lose there (of equal ones the first), which n_best searches. ids_le: little-endian
     unsigned 32-bit ids. row tells repeated rows apart, within a task. A null or empty text has one
     segmentation, without pieces, of score 0. Other columns are left out. No rows give no rows.
+    runs: see pre_tokens.
     """
-    shared = _broadcast(docs, path)
+    shared = _broadcast(docs, path, runs)
 
     def run(batches):
         pieces, known, old, full, row = shared.value, {}, {}, {}, 0  # tokens of late stay known
@@ -330,7 +348,7 @@ def segmentations(docs: DataFrame, path: str, n: int = 3) -> DataFrame:
         for batch in batches:
             for lo, hi in text_slices(batch, 1, 2 << 20):
                 part = batch.slice(lo, hi - lo)
-                codes, ends, distinct = pre_tokens(part.column(1))
+                codes, ends, distinct = pre_tokens(part.column(1), runs)
                 if len(known) > KNOWN:
                     known, old = {}, known
                 known.update((x, old[x]) for x in distinct if x in old and x not in known)
@@ -394,9 +412,9 @@ def public_pieces() -> str:
 
 
 def op7_trie_counts(spark, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), public_pieces())
+    return token_counts(table(spark, sf_dir, "documents"), public_pieces(), runs=True)
 
 
 def op8_nbest(spark, sf_dir: str) -> DataFrame:
-    found = segmentations(table(spark, sf_dir, "documents"), public_pieces())
+    found = segmentations(table(spark, sf_dir, "documents"), public_pieces(), runs=True)
     return found.select("doc_id", "rank", "score", (F.octet_length("ids_le") / 4).cast("long").alias("n_pieces"), F.crc32("ids_le").alias("ids_crc32"), "round_trip")
