@@ -334,13 +334,13 @@ _NORMAL = rf"trim(regexp_replace(regexp_replace({_NORMAL}, '[\p{{So}}]', '', 'g'
 
 @query(f"SELECT doc_id, md5({_NORMAL}) AS digest, length({_NORMAL}) AS n FROM documents")
 def normalised_documents(spark, d):
-    df = text.normalise(_table(spark, d, "documents"), "text", unicode=False)
+    df = text.normalise(_table(spark, d, "documents"), "text")
     return df.select("doc_id", F.md5("normalised").alias("digest"), F.length("normalised").alias("n"))
 
 
 @query(f"SELECT transform, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN regexp_matches(text, '(?i)https?://\\S+|www\\.\\S+') THEN 'strip_url' END, CASE WHEN {_NORMAL} <> text THEN 'changed' END], lambda x: x IS NOT NULL)) AS transform FROM documents) t GROUP BY 1")
 def normalise_marks(spark, d):
-    df = text.normalise(_table(spark, d, "documents"), "text", unicode=False)
+    df = text.normalise(_table(spark, d, "documents"), "text")
     marks = F.filter(F.array(F.when(F.array_contains("applied", "strip_url"), "strip_url"), F.when(F.size("applied") > 0, "changed")), lambda x: x.isNotNull())
     return df.select(F.explode(marks).alias("transform")).groupBy("transform").agg(F.count("*").alias("n"))
 
