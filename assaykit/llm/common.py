@@ -30,37 +30,55 @@ def bound_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's path under spark.checkpoint.dir, which all executors share.
 
-    Where that setting is missing (one machine, tests) a temporary folder takes its place.
+    Where that setting is missing a temporary folder takes its place on one machine, as in tests;
+    on a cluster, whose executors wouldn't see it, that raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        made = context._jsc.sc().getCheckpointDir()
         if made.isEmpty():
-            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='assaykit-')}")
-            made = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='assaykit-')}")
+            made = context._jsc.sc().getCheckpointDir()
         root = made.get()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: its lineage ends there.
+def _path(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    Shuffle files of plans that are done go when the driver's garbage does, so it is collected here.
+
+def passing(spark: SparkSession, where: str) -> str:
+    """A folder that is there, to be deleted when the driver ends at the latest."""
+    path, store = _path(spark, where)
+    store.deleteOnExit(path)
+    return where
+
+
+def kept(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df (in a folder for each value of `by`) as a table in the shared folder and read it again: its lineage ends there.
+
+    Operators forget such tables once their readers are done; those that a returned plan still reads
+    go when the driver ends. Spark deletes shuffle files of plans that are done when the driver's
+    garbage goes, so it is collected here: else they would pile up beside the tables.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     gc.collect()
     df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._kept_at = path
+    out._kept_at = passing(df.sparkSession, path)
     return out
 
 
 def forget(*tables: DataFrame) -> None:
     """Delete tables that kept() wrote, once nothing reads them any more."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._kept_at)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        path, store = _path(t.sparkSession, t._kept_at)
+        store.delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by inner product: a small-world graph per shard, results merged.
 
 Vectors get one component more, which makes all of a shard equally long, so that the largest inner
-product with a query is the smallest angle. A shard's equal vectors are one node. Nodes are ordered by
-falling level, so each layer's nodes are the first ones and its neighbours one flat array with a
-fixed number of places for each node. Nodes are put in by batches, each searched in the graph of
-all before it; neighbours are picked by the usual rule that a candidate must be nearer to the
-node than to any picked one. Walks run for many queries at once. Distances of the walk are in single
-precision; scores of what it finds are inner products of the original vectors in double precision.
+product with a query is the smallest angle. Equal vectors are one node, with as many of their ids as
+can be among the nearest. Shards hold vectors that lie together: those nearest to one of some
+centroids, fitted on a bounded sample. How many centroids' shards a query has to visit is measured: a
+bounded sample of queries visits all, and the others as many as hold the wanted share of what these
+found. Nodes are ordered by falling level, so each layer's nodes are the first ones and its
+neighbours one flat array with a fixed number of places for each node. Nodes are put in by batches,
+each searched in the graph of all before it; neighbours are picked by the usual rule that a candidate
+must be nearer to the node than to any picked one. Walks run for many queries at once. Distances of
+the walk are in single precision; scores of what it finds are inner products of the original vectors
+in double precision.
 """
 
 from __future__ import annotations
@@ -18,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import bound_batches, kept, table
+from assaykit.llm.common import bound_batches, forget, kept, table
 
 #: Vectors of a shard, about; neighbours of a node above the ground layer, on it; widths of the searches.
-SHARD, ABOVE, GROUND, BUILD_WIDTH, WIDTH, UPPER_WIDTH = 8192, 16, 32, 96, 160, 8
-#: Shards with fewer distinct vectors are scanned; nodes put in at once; candidates opened at once.
-SCANNED, BATCH, OPEN = 256, 512, 4
+SHARD, ABOVE, GROUND, BUILD_WIDTH, WIDTH, UPPER_WIDTH = 16_384, 16, 32, 96, 160, 8
+#: Nodes put in at once; candidates opened at once; queries that visit one copy of a shard, about.
+BATCH, OPEN, VISITS = 512, 4, 16_384
+#: Most centroids, and vectors that they are fitted on; queries that measure visits, and the share they must find.
+CENTROIDS, FITTED, MEASURED, SHARE = 4096, 65_536, 256, 0.97
 
 
 def _levels(ids: np.ndarray) -> np.ndarray:
@@ -140,10 +146,8 @@ def _put(points: np.ndarray, links: np.ndarray, new: np.ndarray, ids: np.ndarray
 
 
 def build(points: np.ndarray, levels: np.ndarray) -> list[np.ndarray]:
-    """Flat neighbour arrays, ground layer first; levels must fall. Few points give no layers."""
+    """Flat neighbour arrays, ground layer first; levels must fall."""
     n = len(points)
-    if n <= SCANNED:
-        return []
     sizes = [int((levels >= k).sum()) for k in range(int(levels[0]) + 1)]
     layers = [np.full((size, GROUND if k == 0 else ABOVE), -1, np.int64) for k, size in enumerate(sizes)]
     at = 1
@@ -178,88 +182,207 @@ def lengthened(vectors: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """ids: sorted by node, then value; ends: where nodes' ids end; vectors: a node's; layers."""
+    """ids: a node's ids one after the other, rising; ends: where they end; vectors: a node's; layers."""
 
     def __init__(self, ids: np.ndarray, ends: np.ndarray, vectors: np.ndarray, layers: list[np.ndarray]):
         self.ids, self.ends, self.vectors, self.layers = ids, ends, vectors, layers
         self.points = lengthened(vectors).astype(np.float32)
 
     @classmethod
-    def made(cls, ids: np.ndarray, vectors: np.ndarray) -> Shard:
-        order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order] + 0.0  # no negative zeros
-        _, first, node = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
-        node = node.ravel()
-        levels = _levels(ids[first])
-        rank = np.argsort(-levels, kind="stable")
-        place = np.empty(len(rank), np.int64)
-        place[rank] = np.arange(len(rank))
-        node = place[node]
-        order = np.argsort(node, kind="stable")
-        ends = np.cumsum(np.bincount(node, minlength=len(rank)))
-        shard = cls(ids[order], ends, vectors[first[rank]], [])
-        shard.layers = build(shard.points, levels[rank])
+    def made(cls, ids: np.ndarray, ends: np.ndarray, vectors: np.ndarray) -> Shard:
+        """From distinct vectors in any order, with their ids."""
+        begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        order = np.argsort(ids[begin], kind="stable")
+        levels = _levels(ids[begin[order]])
+        by_level = np.argsort(-levels, kind="stable")
+        order, levels = order[by_level], levels[by_level]
+        many = (ends - begin)[order]
+        at = np.repeat(begin[order] - np.concatenate([[0], np.cumsum(many)[:-1]]).astype(np.int64), many) + np.arange(many.sum())
+        shard = cls(ids[at], np.cumsum(many), vectors[order], [])
+        shard.layers = build(shard.points, levels)
         return shard
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of queries, id, product) of the k best found for each query but the row with its own id."""
+        """(row of queries, id, product) of the k best found for each query but the query's own row."""
         n = len(queries)
-        if self.layers:
-            scaled = queries / np.maximum(np.abs(queries).max(1, keepdims=True), 1e-300)
-            points = np.column_stack([scaled, np.zeros(n)]).astype(np.float32)
-            near = np.zeros((n, 1), np.int64)
-            for layer in self.layers[:0:-1]:
-                near = walk(self.points, layer, points, near, UPPER_WIDTH)[0]
-            near = walk(self.points, self.layers[0], points, near, max(WIDTH, 4 * k))[0]
-        else:
-            near = np.broadcast_to(np.arange(len(self.ends)), (n, len(self.ends)))
+        scaled = queries / np.maximum(np.abs(queries).max(1, keepdims=True), 1e-300)
+        points = np.column_stack([scaled, np.zeros(n)]).astype(np.float32)
+        near = np.zeros((n, 1), np.int64)
+        for layer in self.layers[:0:-1]:
+            near = walk(self.points, layer, points, near, UPPER_WIDTH)[0]
+        near = walk(self.points, self.layers[0], points, near, max(WIDTH, 4 * k))[0]
         row, at = np.nonzero(near >= 0)
         node = near[row, at]
         score = np.einsum("kd,kd->k", queries[row], self.vectors[node])
+        same = (queries[row] == self.vectors[node]).all(1)
         begin = np.concatenate([[0], self.ends[:-1]])[node]
         many = np.minimum(self.ends[node] - begin, k + 1)  # of equal vectors no more can be among the k best
         item = np.repeat(begin - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        row, score, ids = np.repeat(row, many), np.repeat(score, many), self.ids[item]
-        other = ids != own[row]
-        row, score, ids = row[other], score[other], ids[other]
+        row, score, same, ids = np.repeat(row, many), np.repeat(score, many), np.repeat(same, many), self.ids[item]
+        me = np.flatnonzero(same & (ids == own[row]))
+        me = me[np.unique(row[me], return_index=True)[1]]  # another row of that id and vector isn't the query's own
+        row, score, ids = (np.delete(x, me) for x in (row, score, ids))
         order = np.lexsort((ids, -score, row))
         row, score, ids = row[order], score[order], ids[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         return row[rank < k], ids[rank < k], score[rank < k]
 
 
+class Router:
+    """Centroids of each length of vectors, and where their shards begin: centroid c of length d has shards first[d][c] to first[d][c + 1] - 1."""
+
+    def __init__(self):
+        self.reach: dict[int, float] = {}
+        self.centroids: dict[int, np.ndarray] = {}
+        self.first: dict[int, np.ndarray] = {}
+
+    def points(self, d: int, x: np.ndarray) -> np.ndarray:
+        """Vectors of length d with the component that makes all of them equally long."""
+        x = x / self.reach[d]
+        return np.column_stack([x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))])
+
+    def fit(self, d: int, longest: float, sample: np.ndarray, centroids: int, rounds: int = 8) -> None:
+        self.reach[d] = longest
+        x = self.points(d, sample)
+        c = x[: max(1, min(centroids, len(x)))]
+        for _ in range(rounds):
+            own = (x @ c.T).argmax(1)
+            total = np.zeros_like(c)
+            np.add.at(total, own, x)
+            size = np.linalg.norm(total, axis=1, keepdims=True)
+            c = np.where(size > 0, total / np.maximum(size, 1e-300), c)
+        self.centroids[d] = c
+
+    def place(self, d: int, vectors: np.ndarray) -> np.ndarray:
+        return (self.points(d, vectors) @ self.centroids[d].T).argmax(1)
+
+    def order(self, d: int, queries: np.ndarray) -> np.ndarray:
+        """Centroids in the order in which a query visits them."""
+        x = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
+        return np.argsort(-(x @ self.centroids[d][:, :-1].T), axis=1, kind="stable")
+
+
 def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(id, v) with one row for each id: vectors of the commonest length, finite and not all zero."""
-    v = F.col(column).cast("array<double>")
+    """(id, v) of each row with an id whose vector is finite and not all zero; no negative zeros."""
+    v = F.transform(F.col(column).cast("array<double>"), lambda x: x + F.lit(0.0))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), v.alias("v")).where(F.coalesce(fine, F.lit(False)))
-    length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (length.d if length else 0)).groupBy("id").agg(F.min("v").alias("v"))
+    return vectors.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(F.coalesce(fine, F.lit(False)))
+
+
+def _nodes(rows: DataFrame, k: int) -> DataFrame:
+    """(v, d, ids): distinct vectors, their length and their k + 1 smallest ids; no more of them can be among a query's k nearest."""
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    few = rows.withColumn("r", rank).where(F.col("r") <= k + 1)
+    return few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("v", F.size("v").alias("d"), "ids")
 
 
-def build_index(rows: DataFrame, shard_size: int = SHARD) -> tuple[DataFrame, int]:
-    """Index of rows (id, v) as a written table (shard, part, layer, data), and the number of shards."""
-    shards = max(1, math.ceil(rows.count() / shard_size))
+def _matrix(column: pa.ListArray, d: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, d)
 
-    def run(key, group):
-        ids = group["id"].to_numpy().astype(np.int64)
-        s = Shard.made(ids, np.array(group["v"].combine_chunks().values.to_numpy()).reshape(len(ids), -1))
-        parts = [("ids", 0, s.ids.astype("<i8")), ("ends", 0, s.ends.astype("<i8")), ("vectors", s.vectors.shape[1], s.vectors.astype("<f8"))]
-        parts += [("layer", k, x.astype("<i4")) for k, x in enumerate(s.layers)]
-        m = len(parts)
-        return pa.table({"shard": pa.array([key[0].as_py()] * m, pa.int64()), "part": [p[0] for p in parts], "layer": pa.array([p[1] for p in parts], pa.int64()), "data": pa.array([p[2].tobytes() for p in parts], pa.binary())})
 
-    placed = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v")
-    return kept(placed.groupBy("shard").applyInArrow(run, "shard long, part string, layer long, data binary"), "hnsw"), shards
+def _by_length(lengths: np.ndarray):
+    """(length, places of the rows that have it)."""
+    order = np.argsort(lengths, kind="stable")
+    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
+    return [(int(lengths[part[0]]), part) for part in np.split(order, cuts) if len(part)]
 
 
-def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query (id, v) in all shards."""
+def build_index(rows: DataFrame, k: int = 20, shard_size: int = SHARD) -> tuple[DataFrame, Router]:
+    """Index of rows (id, v), good for k nearest, as a written table (shard, part, layer, data), and what routes queries to its shards.
+
+    Vectors of each length have shards of their own. Centroids: one for each shard_size vectors,
+    CENTROIDS at most, fitted on at most FITTED of them, chosen by a hash. A centroid with more
+    vectors than two shards hold has several, dealt by a hash. Repeated rows count each. No rows
+    give no shards.
+    """
+    spark = rows.sparkSession
+    nodes = kept(_nodes(rows, k), "vectors")
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    router = Router()
+    for r in nodes.groupBy("d").agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("longest")).collect():  # a row for each length
+        centroids = min(CENTROIDS, math.ceil(r.n / shard_size))
+        few = min(FITTED, 64 * centroids)
+        chosen = nodes.where((F.col("d") == r.d) & (F.pmod(F.xxhash64("v"), F.lit(1 << 20)) <= (2 * few << 20) // r.n))
+        sample = chosen.orderBy(F.xxhash64(F.lit(1), "v"), "v").limit(few).select("v").toArrow()
+        if len(sample) == 0:
+            sample = nodes.where(F.col("d") == r.d).select("v").limit(1).toArrow()
+        router.fit(r.d, r.longest, _matrix(sample.column("v").combine_chunks(), r.d), centroids)
+    routed = spark.sparkContext.broadcast(router)
+
+    def place(batches):
+        for batch in batches:
+            found = np.zeros(len(batch), np.int64)
+            for d, part in _by_length(batch.column(1).to_numpy()):
+                found[part] = routed.value.place(d, _matrix(batch.column(0).take(pa.array(part)), d))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "centroid"])
+
+    placed = kept(nodes.mapInArrow(place, "v array<double>, d int, ids array<long>, centroid long"), "placed")
+    forget(nodes)
+    sizes = {(r.d, r.centroid): r.n for r in placed.groupBy("d", "centroid").agg(F.count("*").alias("n")).collect()}  # a row for each centroid
+    shards, spread = 0, []
+    for d in sorted(router.centroids):
+        router.first[d] = np.zeros(len(router.centroids[d]) + 1, np.int64)
+        for c in range(len(router.centroids[d])):
+            n = sizes.get((d, c), 0)
+            many = max(1, n // (2 * shard_size) + 1) if n else 0
+            router.first[d][c] = shards
+            spread.append((d, c, shards, max(1, many)))
+            shards += many
+        router.first[d][-1] = shards
+    starts = F.broadcast(spark.createDataFrame(spread or [(0, 0, 0, 1)], "d int, centroid long, start long, many long"))
+    dealt = placed.join(starts, ["d", "centroid"]).select((F.col("start") + F.pmod(F.xxhash64("v"), F.col("many"))).alias("shard"), "v", "ids")
+
+    def run(batches):
+        now, vectors, ids = None, [], []
+
+        def done():
+            lists = pa.concat_arrays(ids)
+            s = Shard.made(lists.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(lists).to_numpy()), np.concatenate(vectors))
+            parts = [("ids", 0, s.ids.astype("<i8")), ("ends", 0, s.ends.astype("<i8")), ("vectors", s.vectors.shape[1], s.vectors.astype("<f8"))]
+            parts += [("layer", k, x.astype("<i4")) for k, x in enumerate(s.layers)]
+            m = len(parts)
+            return pa.RecordBatch.from_arrays([pa.array([now] * m, pa.int64()), pa.array([p[0] for p in parts]), pa.array([p[1] for p in parts], pa.int64()), pa.array([p[2].tobytes() for p in parts], pa.binary())], names=["shard", "part", "layer", "data"])
+
+        for batch in batches:
+            owner = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi == lo:
+                    continue
+                if owner[lo] != now:
+                    if vectors:
+                        yield done()
+                    now, vectors, ids = int(owner[lo]), [], []
+                piece = batch.column(1).slice(lo, hi - lo)
+                vectors.append(_matrix(piece, len(piece.flatten()) // (hi - lo)).copy())
+                ids.append(pa.array(batch.column(2).slice(lo, hi - lo).to_pylist(), pa.list_(pa.int64())))
+        if vectors:
+            yield done()
+
+    apart = dealt.repartitionById(max(1, shards), F.col("shard").cast("int")).sortWithinPartitions("shard")
+    index = kept(apart.mapInArrow(run, "shard long, part string, layer long, data binary"), "hnsw")
+    forget(placed)
+    return index, router
+
+
+def _walked(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query, query_id, shard, vec_id, score: what queries asked (query, id, v, shard) find in their shards.
+
+    A shard that many visit has copies, and a copy with its queries is a partition of its own.
+    """
+    spark = index.sparkSession
+    visits = {r.shard: r.n for r in asked.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row for each shard
+    copies = [(s, -(-n // VISITS)) for s, n in sorted(visits.items())]
+    at, rows = 0, []
+    for s, many in copies:
+        rows.append((s, at, many))
+        at += many
+    starts = F.broadcast(spark.createDataFrame(rows or [(-1, 0, 1)], "shard long, start int, many int"))
 
     def run(batches):
         now, parts, shard = None, {}, None
         for batch in batches:
-            is_query = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            is_query = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             owner = batch.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(owner) != 0) | (np.diff(is_query) != 0)) + 1).tolist(), len(owner)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -269,42 +392,102 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int) -> D
                     now, parts, shard = owner[lo], {}, None
                 piece = batch.slice(lo, hi - lo)
                 if not is_query[lo]:
-                    for part, layer, data in zip(*(piece.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                    for part, layer, data in zip(*(piece.column(c).to_pylist() for c in (3, 4, 5)), strict=True):
                         parts[part, layer if part == "layer" else 0] = (layer, data)
                     continue
-                if shard is None and parts:
+                if shard is None:
                     width, data = parts["vectors", 0]
                     layers = [np.frombuffer(parts["layer", j][1], "<i4").reshape(-1, ABOVE if j else GROUND).astype(np.int64) for j in range(sum(p == "layer" for p, _ in parts))]
                     shard = Shard(np.frombuffer(parts["ids", 0][1], "<i8"), np.frombuffer(parts["ends", 0][1], "<i8"), np.frombuffer(data, "<f8").reshape(-1, width), layers)
-                if shard is None:
-                    continue
-                own = piece.column(5).to_numpy()
-                asked = piece.column(6).flatten().to_numpy().reshape(len(own), -1)
-                for at in range(0, len(own), BATCH):
-                    row, ids, score = shard.search(own[at : at + BATCH], asked[at : at + BATCH], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[at : at + BATCH][row]), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    stored = index.select("shard", F.lit(0).alias("asked"), "part", "layer", "data", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"))
-    spread = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("asked"), F.lit(None).cast("string").alias("part"), F.lit(None).cast("long").alias("layer"), F.lit(None).cast("binary").alias("data"), F.col("id").cast("long").alias("id"), "v")
-    both = stored.unionByName(spread).repartition(max(shards, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard").sortWithinPartitions("shard", "asked")
-    found = both.mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    parts = {}
+                query, own = piece.column(6).to_numpy(), piece.column(7).to_numpy()
+                vectors = _matrix(piece.column(8), shard.vectors.shape[1])
+                home = int(piece.column(1)[0].as_py())
+                for b in range(0, len(own), BATCH):
+                    row, ids, score = shard.search(own[b : b + BATCH], vectors[b : b + BATCH], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(query[b : b + BATCH][row]), pa.array(own[b : b + BATCH][row]), pa.array(np.full(len(row), home)), pa.array(ids), pa.array(score)], names=["query", "query_id", "shard", "vec_id", "score"])
+
+    none = {c: F.lit(None).cast(t) for c, t in (("part", "string"), ("layer", "long"), ("data", "binary"), ("query", "long"), ("id", "long"), ("v", "array<double>"))}
+    order = ["copy", "shard", "asked", "part", "layer", "data", "query", "id", "v"]
+    stored = index.join(starts, "shard").withColumn("copy", F.explode(F.sequence("start", F.col("start") + F.col("many") - 1)))
+    stored = stored.withColumns({"asked": F.lit(0)} | {c: none[c] for c in ("query", "id", "v")}).select(order)
+    asked = asked.join(starts, "shard").withColumn("copy", F.col("start") + F.pmod(F.xxhash64("query"), F.col("many")).cast("int"))
+    asked = asked.withColumns({"asked": F.lit(1)} | {c: none[c] for c in ("part", "layer", "data")}).select(order)
+    both = stored.unionByName(asked).repartitionById(max(1, at), "copy").sortWithinPartitions("copy", "asked")
+    return both.mapInArrow(run, "query long, query_id long, shard long, vec_id long, score double")
+
+
+def search_index(index: DataFrame, router: Router, queries: DataFrame, k: int, share: float = SHARE) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query (id, v).
+
+    MEASURED queries, chosen by a hash, visit all shards of their length; the others those of so many
+    centroids, nearest first, that for each length the measured ones would have found `share` of
+    theirs (all, if share is 1). A length without vectors finds nothing. Repeated queries are answered each.
+    """
+    spark = queries.sparkSession
+    routed = spark.sparkContext.broadcast(router)
+    lengths = [d for d in router.centroids if router.first[d][-1] > router.first[d][0]]
+    rows = queries.where(F.size("v").isin(lengths)).select(F.monotonically_increasing_id().alias("query"), "id", "v", (F.xxhash64("id", "v") % (1 << 30)).alias("h"))
+    rows = kept(rows, "queries")
+    edge = rows.orderBy("h").limit(MEASURED).agg(F.max("h")).first()[0]
+
+    def visiting(some: DataFrame, most: dict[int, int] | None) -> DataFrame:
+        def run(batches):
+            r = routed.value
+            for batch in batches:
+                where: list = [None] * len(batch)
+                for d, part in _by_length(pa.compute.list_value_length(batch.column(2)).to_numpy()):
+                    order = r.order(d, _matrix(batch.column(2).take(pa.array(part)), d))
+                    begin, end = r.first[d][:-1], r.first[d][1:]
+                    for p, own in zip(part.tolist(), order[:, : most[d] if most else None], strict=True):
+                        where[p] = np.concatenate([np.arange(begin[c], end[c]) for c in own])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where, pa.list_(pa.int64()))], names=["query", "id", "v", "shards"])
+
+        found = some.select("query", "id", "v").mapInArrow(run, "query long, id long, v array<double>, shards array<long>")
+        return found.select("query", "id", "v", F.explode("shards").alias("shard"))
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    if edge is None or share >= 1 or all(len(c) == 1 for c in router.centroids.values()):
+        return best(_walked(index, visiting(rows, None), k)).select("query_id", "rank", "vec_id", "score")
+    first = kept(best(_walked(index, visiting(rows.where(F.col("h") <= edge), None), k)), "measured")
+    needed = _needed(first, rows.where(F.col("h") <= edge), router, share)
+    rest = best(_walked(index, visiting(rows.where(F.col("h") > edge), needed), k))
+    return first.select("query_id", "rank", "vec_id", "score").unionByName(rest.select("query_id", "rank", "vec_id", "score"))
+
+
+def _needed(found: DataFrame, queries: DataFrame, router: Router, share: float) -> dict[int, int]:
+    """For each length, how many centroids hold `share` of what the measured queries found (all, without any)."""
+    vectors = {r.query: np.array(r.v) for r in queries.select("query", "v").collect()}  # MEASURED, about
+    of = {d: [] for d in router.centroids}
+    for r in found.select("query", "shard").collect():
+        d = len(vectors[r.query])
+        c = int(np.searchsorted(router.first[d], r.shard, side="right")) - 1
+        of[d].append((r.query, c))
+    out = {}
+    for d, pairs in of.items():
+        order = {q: np.argsort(router.order(d, vectors[q][None])[0]) for q in {q for q, _ in pairs}}
+        places = sorted(int(order[q][c]) for q, c in pairs)
+        out[d] = 1 + places[min(len(places) - 1, math.ceil(share * len(places)))] if places else len(router.centroids[d])
+    return out
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "vec_id", column: str = "embedding", shard_size: int = SHARD) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "vec_id", column: str = "embedding", shard_size: int = SHARD, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`.
 
     Nearness is the largest inner product in double precision; ties go to the smaller id. Rows
-    with a null id, a null, zero or empty vector, null or non-finite components, or another length
-    than the commonest one take no part. Of rows with one id the smallest vector counts. Shards
-    with few distinct vectors are scanned. Other columns are left out. No rows give no rows.
+    with a null id, a null, zero or empty vector, or null or non-finite components take no part. All
+    others do: rows that share an id are queries and candidates each, and a vector's candidates are
+    those of its own length. Other columns are left out. No rows give no rows.
     """
     bound_batches(vectors.sparkSession)
-    rows = kept(usable(vectors, id_column, column), "vectors")
-    index, shards = build_index(rows, shard_size)
-    return search_index(index, shards, rows.where(F.col("id") % every == 0), k)
+    rows = usable(vectors, id_column, column)
+    index, router = build_index(rows, k, shard_size)
+    return search_index(index, router, rows.where(F.col("id") % every == 0), k, share)
 
 
 def op2_hnsw(spark, sf_dir: str) -> DataFrame:
+    """Every row of embeddings as a candidate, those whose id 20 divides as queries. Rows that take no part: see nearest."""
     return nearest(table(spark, sf_dir, "embeddings"))
