@@ -1,4 +1,4 @@
-"""Katz backoff language model of two words, trained and applied in the same tables.
+"""Katz backoff language model of two words: stored tables of counts and backoff weights, and their lookup.
 
 P(w | h) = d(c) c(h w) / c(h) for pairs seen in training, else alpha(h) P(w), with
 P(w) = d(c) c(w) / N for known words and the mass that is left for the unknown word. An unknown
@@ -6,28 +6,34 @@ history backs off with weight 1. d(c) is Katz's Good-Turing discount for counts
 counts c lose HELD of a count, so that no history is left without mass for what it never saw.
 alpha(h) is what seen pairs leave, over what their words leave of the unigram mass: exact sums.
 
-Words get ids in order of falling count, so a small table of (count, first id) tells every id's count.
-Texts are cut into blocks of some megabytes. A block's dictionary meets the unigram table once for each
-distinct word; its pairs then go, packed, to the pair table's partitions: all pairs of a history to
-one, unless the history is frequent, whose pairs are dealt by the second word too. A partition adds
-up its pairs' counts and answers for each block at once.
+Texts are cut into blocks of some megabytes, whose words are coded and written once. Words get ids in
+order of falling count, so a small table of (count, first id) tells every id's count; a block's
+dictionary meets the word table once for each distinct word. In training a block adds up its own pairs
+before they go, packed, to the pair table's parts: all pairs of a history to one, unless the history
+is frequent, whose pairs are dealt by the second word too. So no part gets a pair more than once a
+block. A part is one row of the stored table: histories, words and counts, sorted; a second table has the
+alphas, by history. Applied to a block of any texts, the model is asked once for each distinct pair,
+and for the alphas of histories whose pairs may be unseen; the block then scores its tokens.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import bound_batches, coded_words, forget, kept, remainder, table, text_slices
 
 BLOCK_BYTES = 8 << 20
-#: Counts over LARGE lose HELD; tokens of a partition of pairs, about.
+#: Counts over LARGE lose HELD; tokens of a part of the pair table, about.
 LARGE, HELD, PART_TOKENS = 5, 0.05, 1_500_000
+#: Words in a row of a block's dictionary; pairs that a part gathers before it adds them up.
+ROW_WORDS, GATHERED = 20_000, 3_000_000
 #: Bits of a word's place in its block's dictionary, under its id in one long.
 CODE_BITS = 28
 #: The token that ends a text; no word has a line feed.
@@ -131,37 +137,34 @@ def _begins(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _blocks(batches):
-    """(block, rows of a batch, codes with each text's end, places of texts, words) of batches (id, trained, text)."""
+def _coded_texts(batches):
+    """Blocks of batches (id, trained, text): rows of their dictionary, the first with the texts' codes, ends and marks."""
     task, k = TaskContext.get(), 0
     for batch in batches:
         for lo, hi in text_slices(batch, 2, BLOCK_BYTES):
             part = batch.slice(lo, hi - lo)
             codes, ends, words = coded_words(part.column(2), lower=True)
-            out = np.insert(codes, ends[1:], len(words))
-            yield ((task.partitionId() if task else 0) << 32) + k, part, out, ends + np.arange(len(ends)), words
+            codes, ends = np.insert(codes, ends[1:], len(words)), ends + np.arange(len(ends))
+            names = pa.concat_arrays([words.cast(pa.string()), pa.array([END])])
+            trained = part.column(1).to_numpy(zero_copy_only=False)
+            n = np.bincount(codes[np.repeat(trained, np.diff(ends))], minlength=len(names)).astype(np.int64)
+            block, payload = ((task.partitionId() if task else 0) << 32) + k, pack(codes, ends, trained.astype(np.int64))
+            for at in range(0, len(names), ROW_WORDS):
+                some, first = n[at : at + ROW_WORDS], at == 0
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block]),
+                        pa.array([at]),
+                        pa.ListArray.from_arrays([0, len(some)], names.slice(at, len(some))),
+                        pa.ListArray.from_arrays([0, len(some)], pa.array(some)),
+                        pa.array([payload if first else None], pa.binary()),
+                        pa.array([part.column(0).to_pylist() if first else None], pa.list_(part.schema.types[0])),
+                    ],
+                    names=["block", "at", "words", "n", "payload", "ids"],
+                )
             k += 1
 
 
-def _dictionary(batches):
-    for block, part, codes, ends, words in _blocks(batches):
-        trained = np.repeat(part.column(1).to_numpy(zero_copy_only=False), np.diff(ends))
-        n = np.bincount(codes[trained], minlength=len(words) + 1)
-        names = pa.concat_arrays([words.cast(pa.string()), pa.array([END])])
-        for at in range(0, len(n), 100_000):
-            m = len(n[at : at + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.arange(at, at + m)), names.slice(at, m), pa.array(n[at : at + m].astype(np.int64))], names=["block", "code", "word", "n"])
-
-
-def _tokens(batches):
-    for block, part, codes, ends, words in _blocks(batches):
-        trained = part.column(1).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block]), pa.array([len(words) + 1]), pa.array([pack(codes, ends, trained.astype(np.int64))], pa.binary()), pa.array([part.column(0).to_pylist()], pa.list_(part.schema.types[0]))],
-            names=["block", "words", "payload", "ids"],
-        )
-
-
 def _numbered(batches):
     """Rows in their partition's order, numbered."""
     k, task = 0, TaskContext.get()
@@ -170,245 +173,364 @@ def _numbered(batches):
         k += len(batch)
 
 
-def _pairs_of_block(unigrams: Unigrams, parts: int, frequent: int, h: np.ndarray, w: np.ndarray, t: np.ndarray, trained: np.ndarray):
-    """Pairs (h, w) of texts t for each part: (part, packed histories, words, texts of a pair, text and held-out mark, times)."""
-    order = _by_pair(h, w)
-    h, w, t = h[order], w[order], t[order]
-    one = _begins(h, w, t)
-    times = np.diff(np.append(one, len(h)))
-    h, w, t = h[one], w[one], t[one]
-    pair = _begins(h, w)
-    texts = np.diff(np.append(pair, len(h)))
-    h, w, t = h[pair], w[pair], 2 * t + ~trained[t]
-    salted = unigrams.counts[unigrams.place(h)] > frequent
-    part = (_mix(h, np.where(salted, w, 0)) % np.uint64(parts)).astype(np.int64)
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (id, trained, text) as a written table of coded blocks."""
+    kind = rows.schema["id"].dataType.simpleString()
+    return kept(rows.mapInArrow(_coded_texts, f"block long, at long, words array<string>, n array<long>, payload binary, ids array<{kind}>"), "katz-texts")
+
+
+def _entries(blocks: DataFrame) -> DataFrame:
+    """(block, code, word, n) of the blocks' dictionaries."""
+    each = blocks.select("block", "at", F.posexplode(F.arrays_zip("words", "n")).alias("pos", "x"))
+    return each.select("block", (F.col("at") + F.col("pos")).alias("code"), F.col("x.words").alias("word"), F.col("x.n").alias("n"))
+
+
+def _coded(blocks: DataFrame, words: DataFrame, known: int) -> DataFrame:
+    """(block, payload, ids): the blocks with the model's ids for words, written. payload: ids by code, codes, ends, marks."""
+    ids_type = blocks.schema["ids"].dataType.simpleString()
+    own = _entries(blocks).select("block", "code", "word").join(words.select("word", "gid"), "word", "left")
+    own = own.select("block", (F.coalesce("gid", F.lit(known)) * (1 << CODE_BITS) + F.col("code")).alias("entry"))
+    texts = blocks.where("payload IS NOT NULL").select(F.col("block").alias("of"), "payload", "ids")
+
+    def code(left, right):
+        entry = left["entry"].to_numpy()
+        gids = np.empty(left.num_rows, np.int64)
+        gids[entry & ((1 << CODE_BITS) - 1)] = entry >> CODE_BITS
+        codes, ends, trained = unpack(right["payload"][0].as_py())
+        return pa.table({"block": right["of"], "payload": pa.array([pack(gids, codes, ends, trained)], pa.binary()), "ids": right["ids"]})
+
+    return kept(own.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(code, f"block long, payload binary, ids {ids_type}"), "katz-coded")
+
+
+@dataclass
+class Model:
+    """words: (word, gid, c); pairs, histories: (part, payload), packed arrays of histories with words and counts, and with log10 alphas; d: discounts of pairs."""
+
+    words: DataFrame
+    pairs: DataFrame
+    histories: DataFrame
+    of_counts: dict[int, int]
+    texts: int
+    parts: int
+    frequent: int
+    d: np.ndarray
+    tables: tuple[DataFrame, ...] = ()
+
+    @property
+    def unigrams(self) -> Unigrams:
+        return Unigrams(self.of_counts, self.texts)
+
+    def forget(self) -> None:
+        """Delete the tables of a model that was learned and not read; a written copy stays."""
+        forget(*self.tables)
+
+    def write(self, path: str) -> None:
+        """The model's tables under path, which must not be there."""
+        for name in ("words", "pairs", "histories"):
+            getattr(self, name).write.parquet(f"{path}/{name}")
+        facts = [(list(self.of_counts), list(self.of_counts.values()), self.texts, self.parts, self.frequent, self.d.tolist())]
+        self.words.sparkSession.createDataFrame(facts, "counts array<long>, types array<long>, texts long, parts long, frequent long, d array<double>").write.parquet(f"{path}/facts")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Model:
+        f = spark.read.parquet(f"{path}/facts").first()
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("words", "pairs", "histories")), dict(zip(f.counts, f.types, strict=True)), f.texts, f.parts, f.frequent, np.array(f.d))
+
+
+def _tokens(u: Unigrams, payload: bytes):
+    """Of a coded block: each token's id, its history's id, its text, and the texts' ends and marks."""
+    gids, codes, ends, trained = unpack(payload)
+    token = gids[codes]
+    history = np.empty_like(token)
+    history[1:] = token[:-1]
+    history[ends[:-1]] = u.known + 1
+    return token, history, np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends)), ends, trained.astype(bool)
+
+
+def _part(u: Unigrams, parts: int, frequent: int, h: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
+    """The part of pairs, or of histories' alphas where w is None."""
+    second = np.zeros_like(h) if w is None else np.where(u.counts[u.place(h)] > frequent, w, 0)
+    return (_mix(h, second) % np.uint64(parts)).astype(np.int64)
+
+
+def _by_part(part: np.ndarray, parts: int):
+    """(part, places of what belongs to it, in order)."""
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        own = order[cuts[p] : cuts[p + 1]]
-        entry = np.repeat(pair[own] - np.concatenate([[0], np.cumsum(texts[own])[:-1]]), texts[own]) + np.arange(texts[own].sum())
-        yield p, pack(np.diff(h[own], prepend=0), w[own], texts[own], t[entry], times[entry])
-
-
-#: One table for what a part of the pair table tells; kind says which columns count.
-PART_SCHEMA = "kind int, block long, pos long, id {id}, n_tokens long, n_known long, base double, extra double, payload binary, word long, n long, x double, types array<long>, large double, seen double"
-_DOC, _SCORES, _HISTORY, _UNSEEN, _COUNTS = range(5)
-
-
-def _answers(unigrams: Unigrams, frequent: int, blocks: list[int], data: list[bytes]):
-    """What a part of the pair table tells from all its packed pairs, as columns of PART_SCHEMA."""
-    got = [unpack(x) for x in data]
-    h = np.concatenate([np.cumsum(g[0], dtype=np.int64) for g in got])
-    w = np.concatenate([g[1] for g in got])
-    texts = np.concatenate([g[2] for g in got])
-    mark = np.concatenate([g[3] for g in got])
-    times = np.concatenate([g[4] for g in got])
-    block = np.repeat(np.arange(len(got), dtype=np.int32), [len(g[3]) for g in got])
-    del got
+    return [(p, order[cuts[p] : cuts[p + 1]]) for p in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
+def _distinct(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by pair, where each distinct pair begins in it, and the pair of each place in it."""
     order = _by_pair(h, w)
-    begin = np.concatenate([[0], np.cumsum(texts, dtype=np.int64)[:-1]])[order]
-    h, w, texts = h[order], w[order], texts[order]
-    first = _begins(h, w)
-    pair = np.repeat(np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(h)))), texts)
-    entry = np.repeat(begin - np.concatenate([[0], np.cumsum(texts, dtype=np.int64)[:-1]]), texts)
-    entry += np.arange(len(entry))
-    block, mark, times = block[entry], mark[entry], times[entry]
-    text, held = mark >> 1, (mark & 1).astype(bool)
-    del entry, mark, order, begin, texts
-    h, w = h[first], w[first]
-    count = np.bincount(pair[~held], times[~held], len(h)).astype(np.int64)
-    of_h = unigrams.counts[unigrams.place(h)]
-    log_w = unigrams.log_p[unigrams.place(w)]
-    seen = count > 0
-
-    sizes, many = np.unique(count[seen & (count <= LARGE + 1)], return_counts=True)
-    yield {"kind": np.full(len(sizes), _COUNTS), "word": sizes, "n": many}
-
-    with np.errstate(divide="ignore"):
-        log = np.where(seen, np.log10(np.where(count > LARGE, count - HELD, count) / of_h), 0.0)
-    doc, at = np.unique((block.astype(np.int64) << 32) | text, return_inverse=True)
-    total = np.bincount(at, times * log[pair], len(doc))
-    few = [np.bincount(at, times * (count[pair] == r), len(doc)).astype(np.int64) for r in range(1, LARGE + 1)]
-    cut = np.searchsorted(doc >> 32, np.arange(len(blocks) + 1))
-    del at
-    rows = [(b, pack(doc[i:j] & 0xFFFFFFFF, *(f[i:j] for f in few), total[i:j])) for b, i, j in zip(blocks, cut, cut[1:], strict=False) if j > i]
-    yield {"kind": np.full(len(rows), _SCORES), "block": np.array([r[0] for r in rows], np.int64), "payload": [r[1] for r in rows]}
-
-    miss = ~seen[pair]
-    head, own = np.unique(h, return_inverse=True)
-    wanted = np.zeros(len(head), bool)
-    wanted[own[pair[miss]]] = True
-    wanted |= unigrams.counts[unigrams.place(head)] > frequent
-    types = np.column_stack([np.bincount(own, count == r, len(head)) for r in range(1, LARGE + 1)]).astype(np.int64)
-    large = np.bincount(own, np.where(count > LARGE, count - HELD, 0), len(head))
-    mass = np.bincount(own, np.where(seen, 10.0**log_w, 0), len(head))
-    yield {"kind": np.full(int(wanted.sum()), _HISTORY), "word": head[wanted], "types": types[wanted].tolist(), "large": large[wanted], "seen": mass[wanted]}
-
-    order = np.lexsort((text[miss], block[miss], h[pair[miss]]))
-    mh, mb, mt = h[pair[miss]][order], block[miss][order], text[miss][order]
-    mn, mx = times[miss][order], (times[miss] * log_w[pair[miss]])[order]
-    one = _begins(mh, mb, mt)
-    if len(one):
-        yield {"kind": np.full(len(one), _UNSEEN), "word": mh[one], "block": np.array(blocks, np.int64)[mb[one]], "pos": mt[one], "n": np.add.reduceat(mn, one), "x": np.add.reduceat(mx, one)}
+    begin = _begins(h[order], w[order])
+    return order, begin, np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
 
 
-def score_texts(docs: DataFrame, folds: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Train on rows whose crc32(id as text) mod folds isn't 0; score every row.
+def _steps(h: np.ndarray) -> np.ndarray:
+    return np.diff(h, prepend=0)
+
+
+def _added(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = _by_pair(h, w)
+    h, w, n = h[order], w[order], n[order]
+    begin = _begins(h, w)
+    return h[begin], w[begin], np.add.reduceat(n, begin) if len(begin) else n
+
+
+def _key(u: Unigrams, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Pairs as sortable scalars."""
+    if u.known < (1 << 31) - 2:
+        return (h.astype(np.int64) << 32) | w
+    return np.column_stack([h, w]).astype(">u8").view("S16").ravel()
+
+
+def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Values of asked keys among sorted keys, 0 for others."""
+    if not len(keys):
+        return np.zeros(len(asked), values.dtype)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], 0)
 
-    Returns id, held_out, n_tokens, n_known, train_tokens, base_score and score, a log10 probability.
-    Tokens are words with A-Z in lower case, then one end. A null or empty text has the end alone. A
-    null id counts as the text '' for the fold. Repeated rows are counted and scored each. Without
-    training rows every score is 0. docs is read twice and must give its rows in the same order,
-    as a file scan does; a difference is seen and raises. Other columns are left out.
-    """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    id_type = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("id"), (remainder(id_column, folds) != 0).alias("trained"), F.col(text_column).alias("text"))
-    shuffle_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    entries = kept(rows.mapInArrow(_dictionary, "block long, code long, word string, n long"), "katz-words")
-    counted = entries.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
+def _log_alpha(taken: np.ndarray, seen: np.ndarray, times: np.ndarray) -> np.ndarray:
+    return np.log10((1 - taken / times) / (1 - seen))
+
+
+def _learn(blocks: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the blocks' trained texts, and the blocks coded by it."""
+    spark = blocks.sparkSession
+    shuffle_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = _entries(blocks).groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
     ordered = counted.repartitionByRange(shuffle_parts, F.desc("c"), "word").sortWithinPartitions(F.desc("c"), "word")
-    words = kept(ordered.mapInArrow(_numbered, "word string, c long, part long, k long"), "katz-unigrams")
-    of_counts = {r.c: r.n for r in words.groupBy("c").agg(F.count("*").alias("n")).collect()}  # at most sqrt(2 N) counts
-    texts = (words.where(F.col("word") == END).agg(F.sum("c")).first()[0]) or 0
+    numbered = kept(ordered.mapInArrow(_numbered, "word string, c long, part long, k long"), "katz-words")
+    of_counts = {r.c: r.n for r in numbered.groupBy("c").agg(F.count("*").alias("n")).collect()}  # at most sqrt(2 N) counts
+    texts = (numbered.where(F.col("word") == END).agg(F.sum("c")).first()[0]) or 0
     unigrams = Unigrams(of_counts, texts)
     offset, offsets = 0, []
-    for r in sorted(words.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row for each partition
+    for r in sorted(numbered.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row for each partition
         offsets.append((r.part, offset))
         offset += r.n
     starts = F.broadcast(spark.createDataFrame(offsets or [(-1, 0)], "part long, start long"))
-    ids = words.join(starts, "part").select("word", (F.col("start") + F.col("k")).alias("gid"))
-    known = F.lit(unigrams.known)
-    own = kept(entries.join(ids, "word", "left").select("block", (F.coalesce("gid", known) * (1 << CODE_BITS) + F.col("code")).alias("entry")), "katz-ids")
-
-    everywhere = entries.agg(F.sum("n")).first()[0] or 0
-    forget(entries, words)
-    parts = max(shuffle_parts, math.ceil(everywhere * folds / max(1, folds - 1) / PART_TOKENS))
-    frequent = PART_TOKENS // 64
+    words = numbered.join(starts, "part").select("word", (F.col("start") + F.col("k")).alias("gid"), "c")
+    coded = _coded(blocks, words, unigrams.known)
+    parts, frequent = max(shuffle_parts, math.ceil(unigrams.tokens / PART_TOKENS)), PART_TOKENS // 64
     shared = spark.sparkContext.broadcast(unigrams)
-    id_kind = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
-    routed_schema = f"part long, block long, pos long, id {id_type}, n_tokens long, n_known long, base double, extra double, payload binary"
 
-    def route(left, right):
+    def block_pairs(batches):
         u = shared.value
-        if right.num_rows != 1 or right["words"][0].as_py() != left.num_rows:
-            raise ValueError("the two readings of the documents differ; write them as a table first")
-        block = right["block"][0].as_py()
-        gids = np.empty(left.num_rows, np.int32 if u.known < (1 << 31) - 2 else np.int64)
-        entry = left["entry"].to_numpy()
-        gids[entry & ((1 << CODE_BITS) - 1)] = entry >> CODE_BITS
-        codes, ends, trained = unpack(right["payload"][0].as_py())
-        n = len(ends) - 1
-        token = gids[codes]
-        place = u.place(token)
-        text = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))
-        base = np.bincount(text, u.base[place], n)
-        history = np.empty_like(token)
-        history[1:] = token[:-1]
-        history[ends[:-1]] = u.known + 1
+        for batch in batches:
+            for payload in batch.column(0):
+                token, history, text, _, trained = _tokens(u, payload.as_py())
+                own = trained[text]
+                h, w = history[own], token[own]
+                order, begin, _ = _distinct(h, w)
+                h, w, n = h[order][begin], w[order][begin], np.diff(np.append(begin, len(order)))
+                for p, at in _by_part(_part(u, parts, frequent, h, w), parts):
+                    yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([pack(_steps(h[at]), w[at], n[at])], pa.binary())], names=["part", "payload"])
+
+    def add_up(batches):
+        here, rest, size = None, [], 0
+
+        def merged():
+            return _added(*(np.concatenate([x[k] for x in rest]) for k in range(3)))
+
+        for batch in batches:
+            for p, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if here not in (None, p):
+                    raise ValueError("two parts in one partition")
+                here, (h, w, n) = p, unpack(payload.as_py())
+                rest.append((np.cumsum(h, dtype=np.int64), w, n))
+                size += len(w)
+                if size > GATHERED:
+                    rest = [merged()]
+                    size = 0
+        if here is not None:
+            h, w, n = merged()
+            sizes, many = np.unique(n[n <= LARGE + 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([here]), pa.array([pack(_steps(h), w, n)], pa.binary()), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([many.tolist()], pa.list_(pa.int64()))], names=["part", "payload", "sizes", "types"])
+
+    sent = coded.select("payload").mapInArrow(block_pairs, "part long, payload binary").repartitionById(parts, F.col("part").cast("int"))
+    pairs = kept(sent.mapInArrow(add_up, "part long, payload binary, sizes array<long>, types array<long>"), "katz-pairs")
+    sizes = pairs.select(F.explode(F.arrays_zip("sizes", "types")).alias("x")).groupBy("x.sizes").agg(F.sum("x.types").alias("n"))
+    d = discounts({r.sizes: r.n for r in sizes.collect()})  # six rows
+
+    def part_histories(batches):
+        """A part's alphas; of frequent histories, which other parts have too, what it adds."""
+        u = shared.value
+        for batch in batches:
+            for p, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h, w, n = unpack(payload.as_py())
+                h = np.cumsum(h, dtype=np.int64)
+                begin = _begins(h)
+                if not len(begin):
+                    continue
+                taken = np.add.reduceat(np.where(n > LARGE, n - HELD, d[np.minimum(n, LARGE) - 1] * n), begin)
+                seen = np.add.reduceat(10.0 ** u.log_p[u.place(w)], begin)
+                h = h[begin]
+                times = u.counts[u.place(h)]
+                whole = times <= frequent
+                found = pack(_steps(h[whole]), _log_alpha(taken[whole], seen[whole], times[whole]))
+                m = int((~whole).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([found], pa.binary()), *(pa.array([x[~whole].tolist()], t) for x, t in ((h, pa.list_(pa.int64())), (taken, pa.list_(pa.float64())), (seen, pa.list_(pa.float64()))))], names=["part", "payload", "h", "taken", "seen"])
+
+    def frequent_histories(batches):
+        u = shared.value
+        for batch in batches:
+            h, taken, seen = (batch.column(k).to_numpy() for k in range(3))
+            order = np.argsort(h)
+            h, alpha = h[order], _log_alpha(taken[order], seen[order], u.counts[u.place(h[order])])
+            for p, at in _by_part(_part(u, parts, frequent, h), parts):
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([pack(_steps(h[at]), alpha[at])], pa.binary())], names=["part", "payload"])
+
+    sums = kept(pairs.select("part", "payload").mapInArrow(part_histories, "part long, payload binary, h array<long>, taken array<double>, seen array<double>"), "katz-sums")
+    shares = sums.select(F.explode(F.arrays_zip("h", "taken", "seen")).alias("x")).groupBy("x.h").agg(F.sum("x.taken").alias("taken"), F.sum("x.seen").alias("seen"))
+    histories = kept(sums.select("part", "payload").unionByName(shares.mapInArrow(frequent_histories, "part long, payload binary")), "katz-histories")
+    forget(sums)
+    return Model(words, pairs.select("part", "payload"), histories, of_counts, texts, parts, frequent, d, (numbered, pairs, histories)), coded
+
+
+_PAIRS, _HISTORIES, _ASKED = range(3)
+
+
+def _apply(model: Model, coded: DataFrame) -> DataFrame:
+    """id, trained, n_tokens, n_known, base and score of each text of coded blocks, which go; written."""
+    spark = coded.sparkSession
+    shared = spark.sparkContext.broadcast(model.unigrams)
+    parts, frequent, d = model.parts, model.frequent, model.d
+
+    def questions(u: Unigrams, payload: bytes):
+        token, history, text, ends, trained = _tokens(u, payload)
         asked = u.counts[u.place(history)] > 0  # an unknown history needs no table
-        extra = np.bincount(text, np.where(asked, 0.0, u.log_p[place]), n)
-        n_known = np.bincount(text, token < u.known, n).astype(np.int64)
-        history, token, text = history[asked], token[asked], text[asked]
-        del codes, place, asked
-        found = list(_pairs_of_block(u, parts, frequent, history, token, text, trained.astype(bool)))
-        del history, token, text
-        pa.default_memory_pool().release_unused()
-        m = len(found)
-        none = [None] * m
-
-        def column(head, tail, kind):
-            return pa.concat_arrays([pa.array(head, kind), pa.array(tail, kind)])
+        h, w = history[asked], token[asked]
+        order, begin, pair = _distinct(h, w)
+        some = np.unique(h[~trained[text[asked]]])  # pairs of the model's own texts are all seen
+        h, w = h[order][begin], w[order][begin]
+        return (token, text, ends, trained, asked, order, pair), (h, w, _by_part(_part(u, parts, frequent, h, w), parts)), (some, dict(_by_part(_part(u, parts, frequent, some), parts)))
 
+    def ask(batches):
+        u = shared.value
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, (h, w, pairs), (some, alphas) = questions(u, payload.as_py())
+                none = np.zeros(0, np.int64)
+                pairs = dict(pairs)
+                for p in sorted(pairs.keys() | alphas.keys()):
+                    at, of = pairs.get(p, none), alphas.get(p, none)
+                    yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([_ASKED]), pa.array([block]), pa.array([pack(_steps(h[at]), w[at], _steps(some[of]))], pa.binary())], names=["part", "kind", "block", "payload"])
+
+    def answer(batches):
+        u = shared.value
+        here, keys, n, h, alpha, ready = None, [], [], [], [], False
+        for batch in batches:
+            for p, kind, block, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if here not in (None, p):
+                    raise ValueError("two parts in one partition")
+                here, got = p, unpack(payload.as_py())
+                first = np.cumsum(got[0], dtype=np.int64)
+                if kind == _PAIRS:
+                    keys.append(_key(u, first, got[1]))
+                    n.append(got[2])
+                    continue
+                if kind == _HISTORIES:
+                    h.append(first)
+                    alpha.append(got[1])
+                    continue
+                if not ready:
+                    keys, n = np.concatenate(keys or [np.zeros(0, np.int64)]), np.concatenate(n or [np.zeros(0, np.int64)])
+                    h, alpha = np.concatenate(h or [np.zeros(0, np.int64)]), np.concatenate(alpha or [np.zeros(0)])
+                    order = np.argsort(h)
+                    h, alpha, ready = h[order], alpha[order], True
+                times, weights = _found(keys, n, _key(u, first, got[1])), _found(h, alpha, np.cumsum(got[2], dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([p]), pa.array([pack(times, weights.astype(float))], pa.binary())], names=["block", "part", "payload"])
+
+    def score(left, right):
+        u = shared.value
+        (token, text, ends, trained, asked, order, pair), (h, _, pairs), (some, alphas) = questions(u, left["payload"][0].as_py())
+        told = {p: unpack(x) for p, x in zip(right["part"].to_pylist(), right["payload"].to_pylist(), strict=True)} if right.num_rows else {}
+        times, alpha = np.zeros(len(h), np.int64), np.zeros(len(some))
+        for p, at in pairs:
+            times[at] = told[p][0]
+        for p, at in alphas.items():
+            alpha[at] = told[p][1]
+        log_w = u.log_p[u.place(token)]
+        known_history = u.counts[u.place(h)]
+        with np.errstate(divide="ignore"):
+            seen = np.log10(np.where(times > LARGE, times - HELD, d[np.clip(times, 1, LARGE) - 1] * times) / known_history)
+        worth = log_w.copy()  # an unknown history backs off with weight 1
+        at = np.flatnonzero(asked)[order]
+        weight = alpha[np.minimum(np.searchsorted(some, h), max(0, len(some) - 1))] if len(some) else np.zeros(len(h))
+        worth[at] = np.where(times[pair] > 0, seen[pair], weight[pair] + log_w[at])
+        n = len(ends) - 1
         return pa.table(
             {
-                "part": column(np.arange(n) % parts, [p for p, _ in found], pa.int64()),
-                "block": pa.array(np.full(n + m, block)),
-                "pos": column(np.arange(n), none, pa.int64()),
-                "id": column(right["ids"][0].as_py(), none, id_kind),
-                "n_tokens": column(np.diff(ends), none, pa.int64()),
-                "n_known": column(n_known, none, pa.int64()),
-                "base": column(base, none, pa.float64()),
-                "extra": column(extra, none, pa.float64()),
-                "payload": column([None] * n, [x for _, x in found], pa.binary()),
+                "id": pa.array(left["ids"][0].as_py(), left.schema.field("ids").type.value_type),
+                "trained": pa.array(trained),
+                "n_tokens": pa.array(np.diff(ends).astype(np.int64)),
+                "n_known": pa.array(np.bincount(text, token < u.known, n).astype(np.int64)),
+                "base": pa.array(np.bincount(text, u.base[u.place(token)], n)),
+                "score": pa.array(np.bincount(text, worth, n)),
             }
         )
 
-    token_rows = rows.mapInArrow(_tokens, f"block long, words long, payload binary, ids array<{id_type}>")
-    routed = own.groupBy("block").cogroup(token_rows.groupBy("block")).applyInArrow(route, routed_schema)
+    none = F.lit(None).cast("long").alias("block")
+    stored = [t.select("part", F.lit(kind).cast("long").alias("kind"), none, "payload") for kind, t in ((_PAIRS, model.pairs), (_HISTORIES, model.histories))]
+    asked = coded.select("block", "payload").mapInArrow(ask, "part long, kind long, block long, payload binary")
+    both = stored[0].unionByName(stored[1]).unionByName(asked).repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("kind")
+    answers = kept(both.mapInArrow(answer, "block long, part long, payload binary"), "katz-answers")
+    kind = coded.schema["ids"].dataType.elementType.simpleString()
+    scored = coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, trained boolean, n_tokens long, n_known long, base double, score double")
+    out = kept(scored, "katz-scores")
+    forget(coded, answers)
+    return out
 
-    types = {"kind": pa.int32(), "id": id_kind, "payload": pa.binary(), "types": pa.list_(pa.int64())} | dict.fromkeys(("base", "extra", "x", "large", "seen"), pa.float64())
-    order = ["kind", "block", "pos", "id", "n_tokens", "n_known", "base", "extra", "payload", "word", "n", "x", "types", "large", "seen"]
 
-    def batch_of(n: int, columns: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], types.get(c, pa.int64())) if c in columns else pa.nulls(n, types.get(c, pa.int64())) for c in order], names=order)
+def _rows(docs: DataFrame, trained, id_column: str, text_column: str) -> DataFrame:
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col(id_column).alias("id"), trained.alias("trained"), F.col(text_column).alias("text"))
 
-    def answer(batches):
-        u, now, blocks, data = shared.value, None, [], []
 
-        def told():
-            for columns in _answers(u, frequent, blocks, data) if data else ():
-                n = len(columns["kind"])
-                for at in range(0, n, 50_000):
-                    yield batch_of(len(columns["kind"][at : at + 50_000]), {k: v[at : at + 50_000] for k, v in columns.items()})
+def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Model:
+    """The model of all texts of docs: null or empty ones have the end alone, repeated rows count each, no rows give a model without words."""
+    blocks = _blocks(_rows(docs, F.lit(True), id_column, text_column))
+    model, coded = _learn(blocks)
+    forget(blocks, coded)
+    return model
 
-        for batch in batches:
-            own_doc = pa.compute.is_valid(batch.column(2))
-            docs_here = batch.filter(own_doc)
-            if len(docs_here):
-                yield batch_of(len(docs_here), {"kind": np.full(len(docs_here), _DOC)} | {c: docs_here.column(c) for c in order[1:8]})
-            for p, b, x in zip(*(batch.filter(pa.compute.invert(own_doc)).column(c).to_pylist() for c in ("part", "block", "payload")), strict=True):
-                if p != now:
-                    yield from told()
-                    pa.default_memory_pool().release_unused()
-                    now, blocks, data = p, [], []
-                blocks.append(b)
-                data.append(x)
-        yield from told()
-
-    told = kept(routed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(answer, PART_SCHEMA.format(id=id_type)), "katz-pairs")
-    forget(own)
-    pair_counts = {r.word: r.n for r in told.where(F.col("kind") == _COUNTS).groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    d = discounts(pair_counts)
-
-    def add_up(key, group):
-        got = [unpack(x) for x in group["payload"].to_pylist()]
-        pos = np.concatenate([g[0] for g in got])
-        x = np.concatenate([g[-1] + sum(m * math.log10(d[r]) for r, m in enumerate(g[1:-1])) for g in got])
-        n = int(pos.max()) + 1
-        return pa.table({"block": pa.array([key[0].as_py()] * n), "pos": pa.array(np.arange(n)), "x": pa.array(np.bincount(pos, x, n))})
-
-    sums = told.where(F.col("kind") == _SCORES).select("block", "payload").groupBy("block").applyInArrow(add_up, "block long, pos long, x double")
-    history = told.where(F.col("kind") == _HISTORY).groupBy("word").agg(*(F.sum(F.col("types")[r]).alias(f"n{r + 1}") for r in range(LARGE)), F.sum("large").alias("large"), F.sum("seen").alias("seen"))
-    count_rows = [(c, int(f)) for c, f in zip(unigrams.counts.tolist(), unigrams.first.tolist(), strict=True)]
-    firsts, counts = np.array([f for _, f in count_rows]), np.array([c for c, _ in count_rows])
-
-    def with_count(batches):
-        for batch in batches:
-            word = batch.column(0).to_numpy()
-            at = np.searchsorted(firsts, word, side="right") - 1
-            taken = sum((r + 1) * d[r] * batch.column(1 + r).to_numpy() for r in range(LARGE)) + batch.column(1 + LARGE).to_numpy()
-            with np.errstate(divide="ignore", invalid="ignore"):
-                alpha = np.log10((1 - taken / counts[at]) / (1 - batch.column(2 + LARGE).to_numpy()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(alpha)], names=["word", "alpha"])
-
-    alphas = history.mapInArrow(with_count, "word long, alpha double")
-    unseen = told.where(F.col("kind") == _UNSEEN).select("word", "block", "pos", "n", "x").join(alphas, "word", "left").select("block", "pos", (F.col("x") + F.col("n") * F.coalesce("alpha", F.lit(0.0))).alias("x"))
-    gained = sums.unionByName(unseen).groupBy("block", "pos").agg(F.sum("x").alias("x"))
-    doc = told.where(F.col("kind") == _DOC).select("block", "pos", "id", "n_tokens", "n_known", "base", "extra")
-    scored = doc.join(gained, ["block", "pos"], "left")
+
+def score_other(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Texts that the model wasn't learned from, or as if: id, n_tokens, n_known, base_score and score as in score_texts."""
+    blocks = _blocks(_rows(docs, F.lit(False), id_column, text_column))
+    coded = _coded(blocks, model.words, model.unigrams.known)
+    forget(blocks)
+    return _apply(model, coded).select(F.col("id").alias(id_column), "n_tokens", "n_known", F.col("base").alias("base_score"), "score")
+
+
+def score_texts(docs: DataFrame, folds: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Train on rows whose crc32(id as text) mod folds isn't 0; score every row.
+
+    Returns id, held_out, n_tokens, n_known, train_tokens, base_score and score, a log10 probability.
+    Tokens are words with A-Z in lower case, then one end. A null or empty text has the end alone. A
+    null id counts as the text '' for the fold. Repeated rows are counted and scored each. Without
+    training rows every score is 0. docs is read once; a very long text is a block of its own. Other
+    columns are left out. No rows give no rows.
+    """
+    blocks = _blocks(_rows(docs, remainder(id_column, folds) != 0, id_column, text_column))
+    model, coded = _learn(blocks)
+    forget(blocks)
+    scored = _apply(model, coded)
+    model.forget()
     return scored.select(
         F.col("id").alias(id_column),
-        (remainder("id", folds) == 0).alias("held_out"),
+        (~F.col("trained")).alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(unigrams.tokens).cast("long").alias("train_tokens"),
+        F.lit(model.unigrams.tokens).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"),
-        (F.col("extra") + F.coalesce("x", F.lit(0.0))).alias("score"),
+        "score",
     )
 
 
 def op4_katz(spark, sf_dir: str) -> DataFrame:
+    """All rows of documents, learned from folds 1 to 9 of 10. Nulls, empty texts and repeats: see score_texts."""
     return score_texts(table(spark, sf_dir, "documents"))

@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from assaykit.llm.katz import HELD, LARGE, discounts, pack, score_texts, unpack
+from assaykit.llm import katz
+from assaykit.llm.katz import HELD, LARGE, discounts, learn, pack, score_other, score_texts, unpack
 
 
 def tokens(text):
@@ -81,6 +82,33 @@ def test_against_the_plain_model(spark, tmp_path, n):
             assert abs(total - 1) < 1e-9
 
 
+def test_a_stored_model_scores_other_texts(spark, tmp_path):
+    rows, others = corpus(1, 200), corpus(2, 60) + [(900, "never W1 seen W2 W2 W1"), (901, "W299 W298 W0")]
+    of = lambda x: spark.createDataFrame([(a, b, 1) for a, b in x], "doc_id long, text string, score int").repartition(3)
+    learn(of(rows)).write(f"{tmp_path}/model")
+    got = score_other(of(others), katz.Model.read(spark, f"{tmp_path}/model")).collect()
+    model = Plain([t for _, t in rows])
+    want = sorted(((-1 if i is None else i), len(tokens(t)), sum(w in model.one for w in tokens(t)), model.base(t), model.score(t)) for i, t in others)
+    found = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in got)
+    assert np.allclose(np.array(want), np.array(found), rtol=1e-9, atol=1e-9)
+    assert score_other(of(others).limit(0), learn(of(rows))).count() == 0
+    assert [r.score for r in score_other(of(others[:3]), learn(of(rows).limit(0))).collect()] == [0.0] * 3
+
+
+def test_many_parts_and_a_hot_pair(spark, tmp_path, monkeypatch):
+    """A third of all pairs is one pair; parts and dictionary rows are small, and frequent histories are dealt by both words."""
+    monkeypatch.setattr(katz, "PART_TOKENS", 640)
+    monkeypatch.setattr(katz, "ROW_WORDS", 7)
+    monkeypatch.setattr(katz, "GATHERED", 50)
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 500)
+    rows = corpus(3, 150) + [(1000 + k, "and so " * 12 + f"w{k}") for k in range(120)] + [(2000, "so and w1 " * 3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
+    model = Plain([t for i, t in rows if not held(i)])
+    found = {(r.doc_id, r.n_tokens): r.score for r in score_texts(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    assert all(abs(found[i, len(tokens(t))] - model.score(t)) < 1e-6 for i, t in rows)
+
+
 def test_nothing_to_learn_from(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
