@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import kept
+from assaykit.llm.common import forget, kept
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -26,16 +26,19 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, label) for each node of edges (a, b), label being the smallest node it reaches.
 
     Repeated, reversed, looped and null edges are fine: the last two say nothing. A node that no
-    other is linked to isn't returned. No edges give no rows.
+    other is linked to isn't returned. No edges give no rows. The table is written; the caller forgets it.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct()
     now, mark = kept(now, "edges"), None
     for _ in range(rounds):
-        now = kept(_round(now), "stars")
+        old, now = now, kept(_round(now), "stars")
+        forget(old)
         last, mark = mark, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
         if mark == last:
             break
     else:
         raise RuntimeError("the components didn't settle")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
+    out = kept(stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct()), "members")
+    forget(now)
+    return out

@@ -5,9 +5,12 @@ A fingerprint's 64 bits are a ring of 16 segments of 4 bits. Two fingerprints th
 3 l / 16 bits for every l: none in 5 segments, 1 in 10, 2 in 15. So they agree on the 20 bits of the
 first five segments and, as the next five differ in one bit at most, on one half of those. These
 30 bits with the start and the half are a key; a fingerprint has 32 keys. Of the fingerprints that
-share a key, those whose chain stays within its budgets come to the full Hamming check. Equal
-fingerprints are one class from the start, and within a key only a spanning forest of the links is
-passed on, so copies are never expanded into pairs.
+share a key, those whose chain stays within its budgets come to the full Hamming check. Keys with
+more than LIMIT fingerprints are split by further segments, as lossless as the first ones: the other
+half has one differing bit at most, so one of its two halves agrees; the chain's next five segments have
+two, so one third of them agrees; of all bits not yet in the key three may differ, so one quarter of these
+agrees, again and again. Equal fingerprints are one class from the start, and within a key only a
+spanning forest of the links is passed on, so copies are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -17,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import bound_batches, fresh, kept, table, text_slices
+from assaykit.llm.common import bound_batches, forget, fresh, kept, table, text_slices
 from assaykit.llm.components import components
 
 SEED, WIDTH, BITS, SEGMENT, MOST = 42, 3, 64, 4, 3
 STARTS = BITS // SEGMENT
 #: (bits of a chain, bits that may differ in them), at the lengths where the budget ends.
 CHAIN = tuple((SEGMENT * max(n for n in range(1, STARTS + 1) if n * MOST // STARTS == d), d) for d in range(MOST))
-#: Fingerprints of one key that are compared all with all; more are searched breadth first.
-SMALL = 8
+#: Fingerprints of one key that are compared all with all; more are searched breadth first; of more than LIMIT the key is split.
+SMALL, LIMIT = 8, 8192
 _BIT_TABLE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -93,17 +96,54 @@ def _turned(x: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (x >> turn) | (x << ((np.uint64(BITS) - turn) & np.uint64(BITS - 1)))
 
 
-def links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between distinct fingerprints of equal keys (both sorted by key) that connect all that are within MOST bits."""
+def _part_masks(level: int, mask: int, half: int) -> list[int]:
+    """Bits of the turned ring of which, beyond those of mask, one of the returned sets must agree."""
+    if level == 1:  # the half that the key doesn't have: one bit of it may differ
+        low = CHAIN[0][0] + (CHAIN[1][0] - CHAIN[0][0]) // 2 * (1 - half)
+        free, most = [*range(low, low + (CHAIN[1][0] - CHAIN[0][0]) // 2)], CHAIN[1][1]
+    elif level == 2:
+        free, most = [*range(CHAIN[1][0], CHAIN[2][0])], CHAIN[2][1]
+    else:
+        free, most = [b for b in range(BITS) if not mask >> b & 1], MOST
+    cuts = [len(free) * k // (most + 1) for k in range(most + 2)]
+    return [sum(1 << b for b in free[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def _own_mask(half: int) -> int:
+    """Bits of the turned ring that a key holds."""
+    width = (CHAIN[1][0] - CHAIN[0][0]) // 2
+    return ((1 << CHAIN[0][0]) - 1) | (((1 << width) - 1) << (CHAIN[0][0] + half * width))
+
+
+def _splitter(level: int):
+    """Rows (key, mask, bits, fp) again for each set of further bits: mask has them too, bits are the ring's under it."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def run(batches):
+        for batch in batches:
+            key, mask, _, fp = (c.to_numpy() for c in batch.columns)
+            ring, half = _turned(fp.view(np.uint64), key), (key >> np.int64(30)) & 1
+            for m, h in {*zip(mask.tolist(), half.tolist(), strict=True)}:
+                own = (mask == m) & (half == h)
+                whole = m % (1 << 64) or _own_mask(h)
+                for more in _part_masks(level, whole, h):
+                    now = whole | more
+                    yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(np.full(own.sum(), signed(now), np.int64)), pa.array((ring[own] & np.uint64(now)).view(np.int64)), pa.array(fp[own])], names=["key", "mask", "bits", "fp"])
+
+    return run
+
+
+def links(group: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between distinct fingerprints of equal groups (side by side) that connect all that are within MOST bits; key: its start turns the ring."""
     ring = _turned(fp.view(np.uint64), key)
-    edge = np.flatnonzero(np.diff(key)) + 1
+    edge = np.flatnonzero(np.diff(group)) + 1
     begin = np.concatenate([[0], edge])
-    size = np.diff(np.concatenate([begin, [len(key)]]))
+    size = np.diff(np.concatenate([begin, [len(group)]]))
     of = np.repeat(np.arange(len(begin)), size)
     a, b = [], []
     small = size[of] <= SMALL
     for step in range(1, SMALL):
-        at = np.flatnonzero(small[: len(key) - step] & (key[step:] == key[: len(key) - step]))
+        at = np.flatnonzero(small[: len(group) - step] & (of[step:] == of[: len(group) - step]))
         if not len(at):
             break
         at = at[_passes(ring[at] ^ ring[at + step])]
@@ -126,22 +166,62 @@ def links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _linked(batches):
-    """Over rows (key, fp) sorted by key: links (a, b). The last key of a batch waits for the next."""
-    key = fp = np.zeros(0, np.int64)
-
-    def out(k, f):
-        a, b = links(k, f)
+    """Over rows (key, mask, bits, fp) sorted by the first three: links (a, b). The last group of a batch waits for the next."""
+    rest = [np.zeros(0, np.int64)] * 4
+
+    def out(key, mask, bits, fp):
+        new = np.zeros(len(key), bool)
+        for c in (key, mask, bits):
+            new[1:] |= c[1:] != c[:-1]
+        a, b = links(np.cumsum(new), key, fp)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
-        key = np.concatenate([key, batch.column(0).to_numpy()])
-        fp = np.concatenate([fp, batch.column(1).to_numpy()])
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        rest = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)]
+        if not len(rest[0]):
+            continue
+        last = np.ones(len(rest[0]), bool)
+        for c in rest[:3]:
+            last &= c == c[-1]
+        cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
         if cut:
-            yield out(key[:cut], fp[:cut])
-            key, fp = key[cut:], fp[cut:]
-    if len(key):
-        yield out(key, fp)
+            yield out(*(c[:cut] for c in rest))
+            rest = [c[cut:] for c in rest]
+    if len(rest[0]):
+        yield out(*rest)
+
+
+def candidate_links(classes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints fp that connect all that are within MOST bits, written.
+
+    Keys are counted first, by partial sums; those with more than `limit` fingerprints are split until
+    none has, so no task gets an unbounded group.
+    """
+    limit = max(LIMIT if limit is None else limit, 2 * SMALL)
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group, none = ["key", "mask", "bits"], F.lit(0).cast("long")
+    now = classes.select("fp", F.explode(F.array(*_keys(F.col("fp")))).alias("key")).select("key", none.alias("mask"), none.alias("bits"), "fp")
+    out, written, level = None, [], 0
+    while True:
+        large = kept(now.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(*group), "large-keys")
+        some = not large.isEmpty()
+        small = now.join(large, group, "left_anti") if some else now
+        pairs = kept(small.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(_linked, "a long, b long"), "links")
+        out = pairs if out is None else out.unionByName(pairs)
+        written.append(pairs)
+        if some:
+            level += 1
+            split = now.join(large, group, "left_semi").mapInArrow(_splitter(level), "key long, mask long, bits long, fp long")
+            last, now = now, kept(split, "split-keys")
+            if level > 1:
+                forget(last)
+            forget(large)
+            continue
+        forget(large)
+        if level:
+            forget(now)
+        out._written = written
+        return out
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -153,18 +233,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     other. Null ids are the smallest only of components without others. Repeated rows share
     their component. Other columns are left out. No rows give no rows.
     """
-    spark = docs.sparkSession
     found = kept(fingerprints(docs, id_column, text_column), "fingerprints")
     own = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("text_hash").alias("text"))
     classes = kept(found.groupBy("fp").agg(F.min(own).alias("first")), "classes")
-    keyed = classes.select("fp", F.explode(F.array(*_keys(F.col("fp")))).alias("key")).select("key", "fp")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
-    member = kept(components(pairs), "members")
+    pairs = candidate_links(classes)
+    member = components(pairs)
+    forget(*pairs._written)
     first = member.join(classes, member.node == classes.fp).groupBy("label").agg(F.min("first").alias("least"))
     linked = member.join(first, "label").select(F.col("node").alias("fp"), "least")
     settled = kept(classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")), "settled")
-    return found.join(settled, "fp").select(id_column, "text_hash", "fp", F.col("first.id").alias("component_id"), F.col("first.text").alias("component_text"))
+    forget(member, classes)
+    told = found.join(settled, "fp").select(id_column, "text_hash", "fp", F.col("first.id").alias("component_id"), F.col("first.text").alias("component_text"))
+    out = kept(told, "components")
+    forget(found, settled)
+    return out
 
 
 def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -184,5 +266,6 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents with its fingerprint and component. Nulls, empty and repeated texts: see near_duplicates."""
     got = near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from assaykit.llm.components import components
-from assaykit.llm.simhash import _keys, _linked, fingerprint, links, near_duplicates, representatives
+from assaykit.llm.simhash import _keys, _linked, candidate_links, fingerprint, links, near_duplicates, representatives
 
 
 def plain(text):
@@ -53,7 +53,7 @@ def test_every_close_pair_shares_a_key_and_passes(spark):
     signed = lambda x: x - 2**64 if x >> 63 else x
     rows = [(signed(x), n) for n, p in enumerate(pairs) for x in p]
     got = spark.createDataFrame(rows, "fp long, n long").select("fp", F.explode(F.array(*_keys(F.col("fp")))).alias("key")).orderBy("key").toPandas()
-    a, b = links(got.key.to_numpy(), got.fp.to_numpy())
+    a, b = links(got.key.to_numpy(), got.key.to_numpy(), got.fp.to_numpy())
     found = {frozenset(x) for x in zip((a.astype(np.uint64)).tolist(), b.astype(np.uint64).tolist(), strict=True)}
     assert {frozenset(p) for p in pairs} <= found
     assert all((min(p) ^ max(p)).bit_count() <= 3 for p in found)
@@ -68,7 +68,7 @@ def test_large_bucket_and_batches():
     fp = np.array(fps, np.uint64).view(np.int64)
     key = np.zeros(len(fp), np.int64)
     cuts = [0, 5, 100, len(fp)]
-    batches = [pa.RecordBatch.from_arrays([pa.array(key[i:j]), pa.array(fp[i:j])], names=["key", "fp"]) for i, j in zip(cuts, cuts[1:], strict=False)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i:j])] * 3 + [pa.array(fp[i:j])], names=["key", "mask", "bits", "fp"]) for i, j in zip(cuts, cuts[1:], strict=False)]
     edges = [(a, b) for x in _linked(batches) for a, b in zip(*(np.array(c.to_pylist(), np.int64).view(np.uint64).tolist() for c in x.columns), strict=True)]
     assert len(edges) < len(fps)
     chain = lambda x: (x & (2**40 - 1)).bit_count() <= 1 and (x & (2**60 - 1)).bit_count() <= 2 and x.bit_count() <= 3
@@ -85,6 +85,41 @@ def test_large_bucket_and_batches():
     assert all(root(a) == root(b) for a in fps for b in fps if chain(a ^ b))
 
 
+def test_a_key_of_many_unlinked_fingerprints_is_split(spark):
+    """All share 44 bits, so most keys hold all of them; most have no link, some do."""
+    rng = random.Random(6)
+    head = rng.getrandbits(44)
+    own = {head | rng.getrandbits(20) << 44 for _ in range(700)}
+    for x in rng.sample(sorted(own), 150):
+        own.add(x ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3]))))
+    fps = sorted(own)
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    classes = spark.createDataFrame([(signed(x),) for x in fps], "fp long").repartition(3)
+    pairs = candidate_links(classes, limit=40)
+    assert len(pairs._written) > 3
+    edges = pairs.collect()
+    assert all(((r.a ^ r.b) % 2**64).bit_count() <= 3 for r in edges)
+    label = {x: x for x in fps}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for r in edges:
+        label[root(r.a % 2**64)] = root(r.b % 2**64)
+    want = closure(fps)
+    assert 1 < len(set(want)) < len(fps)
+    assert all((root(fps[i]) == root(fps[j])) == (want[i] == want[j]) for i in range(len(fps)) for j in range(0, i, 7))
+
+
+def test_a_very_long_text(spark):
+    long = "stone river cloud " * 300_000
+    docs = spark.createDataFrame([(1, long), (2, long + "x"), (3, "short"), (4, long)], "doc_id long, text string")
+    got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in near_duplicates(docs).collect()}
+    assert got[1] == got[2] == got[4] == (plain(long), 1) and got[3][1] == 3
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(50)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7), (None, 3), (41, 40), (41, 40)]
