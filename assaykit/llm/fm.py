@@ -1,9 +1,10 @@
-"""Factorisation machines over hashed words, and over bins of text statistics where asked for.
+"""Factorisation machines over hashed words, and over bins of text statistics and metadata where asked for.
 
 A document's features are the hashes of its distinct words (32 bits, so that strangers hardly ever
-share one) and one bin for each statistic. Training picks the hashes that go with the label, then
-fits linear weights and `rank` factors for each feature by AdaGrad on the logistic loss. A score
-sums pairwise interactions in linear time: half of the squared sum of factors less their squares' sum.
+share one) and one bin for each statistic and each column of metadata. Training keeps all hashes that go
+with the label, however many (SUPPORT, ROOT), then fits linear weights and `rank` factors for each
+feature by AdaGrad on the logistic loss. A score sums pairwise interactions in linear time: half of the
+squared sum of factors less their squares' sum.
 """
 
 from __future__ import annotations
@@ -23,20 +24,21 @@ from assaykit.llm.stats import NAMES, statistics
 
 #: Rows that a model is fitted on at most, chosen by a hash of their ids.
 SAMPLE = 12_000
-#: Least documents that hold a term, least root of its chi-squared statistic, most terms.
-SUPPORT, ROOT, TERMS = 5, 4.5, 2048
+#: Least documents that hold a term, least root of its chi-squared statistic; all terms that reach both are features.
+SUPPORT, ROOT = 5, 4.5
 BINS, EDGE_MARKS = 8, "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127), 0xAB, 0xBB, 0xA1, 0xBF]))
 
 
 @dataclass
 class Machine:
-    """Weights: bias, linear part, factors. terms: sorted hashes, the first features; edges: bins of statistics, the others."""
+    """Weights: bias, linear part, factors. terms: sorted hashes, the first features; edges: bins of statistics, then of metadata (names of columns), the others."""
 
     terms: np.ndarray
     edges: np.ndarray | None
     bias: float
     linear: np.ndarray
     factors: np.ndarray
+    metadata: tuple[str, ...] = ()
 
     def scores(self, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Probability of label 1 for n documents; feature ids[i] is one of document owner[i]."""
@@ -70,18 +72,17 @@ def _features(machine_terms: np.ndarray, edges: np.ndarray | None, owner: np.nda
     return ids.astype(np.int64), own
 
 
-def fit(labels: np.ndarray, owner: np.ndarray, hashes: np.ndarray, table: np.ndarray | None, rank: int = 8, steps: int = 2000, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """Fit a machine; with one label alone, or no rows, it scores that label's smoothed share."""
+def fit(labels: np.ndarray, owner: np.ndarray, hashes: np.ndarray, table: np.ndarray | None, rank: int = 8, steps: int = 2000, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7, support: int = SUPPORT, root: float = ROOT) -> Machine:
+    """Fit a machine on all terms of `support` documents whose chi-squared statistic's root reaches `root`; with one label alone, or no rows, it scores that label's smoothed share."""
     n, y = len(labels), labels.astype(float)
     distinct, code = np.unique(hashes, return_inverse=True)
     with_term = np.bincount(code, minlength=len(distinct)).astype(float)
     with_both = np.bincount(code, y[owner], len(distinct))
     ones = y.sum()
     spread = with_term * (n - with_term) * ones * (n - ones)
-    root = np.sqrt(n / np.maximum(spread, 1)) * np.abs(with_both * (n - ones) - (with_term - with_both) * ones)
-    good = np.flatnonzero((with_term >= SUPPORT) & (root >= ROOT) & (spread > 0))
-    terms = np.sort(distinct[good[np.argsort(-root[good], kind="stable")[:TERMS]]])
-    edges = None if table is None else np.quantile(table, np.arange(1, BINS) / BINS, axis=0).T if n else np.zeros((len(NAMES), BINS - 1))
+    reached = np.sqrt(n / np.maximum(spread, 1)) * np.abs(with_both * (n - ones) - (with_term - with_both) * ones)
+    terms = distinct[(with_term >= support) & (reached >= root) & (spread > 0)]
+    edges = None if table is None else np.quantile(table, np.arange(1, BINS) / BINS, axis=0).T if n else np.zeros((table.shape[1], BINS - 1))
     size = len(terms) + (0 if edges is None else BINS * len(edges))
     rng = np.random.default_rng(seed)
     prior = (ones + 0.5) / (n + 1)
@@ -115,8 +116,8 @@ def fit(labels: np.ndarray, owner: np.ndarray, hashes: np.ndarray, table: np.nda
     return machine
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int = 5, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, y, text) of at most about `sample` labelled documents outside fold 0.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int = 5, sample: int = SAMPLE, metadata: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, y, text, m0, m1, ... for metadata) of at most about `sample` labelled documents outside fold 0.
 
     Labels other than 0 and 1 and null ids are left out, as are ids with both labels. Of repeated
     documents the smallest text counts. The rows are chosen by a hash of their ids.
@@ -126,11 +127,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int =
     n = own.count()
     space = 1 << 20
     chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < min(space, space * sample // max(1, n)))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    names = [f"m{k}" for k in range(len(metadata))]
+    rows = docs.select("doc_id", F.struct("text", *(c.alias(n) for c, n in zip(_metadata(docs, metadata), names, strict=True))).alias("x"))
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("doc_id", "y", "x.text", *(f"x.{n}" for n in names))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str, with_statistics: bool, sample: int = SAMPLE) -> Machine:
-    """Fit a machine on a bounded sample of labelled documents, on the driver."""
+def _metadata(docs: DataFrame, names: tuple[str, ...]) -> list:
+    """Columns of metadata as doubles, -1 for nulls and for columns that docs doesn't have."""
+    there = {c.lower() for c in docs.columns}
+    return [F.coalesce(F.col(c).cast("double") if c.lower() in there else F.lit(None).cast("double"), F.lit(-1.0)) for c in names]
+
+
+def _table(batch: pa.RecordBatch, text: int, metadata: range) -> np.ndarray:
+    """Statistics and metadata of a batch's rows."""
+    return np.column_stack([statistics(batch.column(text)), *(batch.column(k).to_numpy() for k in metadata)])
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str, with_statistics: bool, sample: int = SAMPLE, metadata: tuple[str, ...] = ()) -> Machine:
+    """Fit a machine on a bounded sample of labelled documents, on the driver.
+
+    metadata: numeric columns of docs, used beside the statistics. Null texts count as empty, nulls
+    and absent columns of metadata as -1. Which rows are taken, and what of repeated ones: labelled_sample.
+    """
     bound_batches(docs.sparkSession)
 
     def run(batches):
@@ -138,20 +156,22 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, with_statistics: bool,
             for lo, hi in text_slices(batch, 1):
                 part = batch.slice(lo, hi - lo)
                 owner, hashes = term_hashes(part.column(1))
-                stats = statistics(part.column(1)) if with_statistics else np.zeros((len(part), 0))
+                stats = _table(part, 1, range(3, 3 + len(metadata))) if with_statistics else np.zeros((len(part), 0))
                 edges = np.searchsorted(owner, np.arange(len(part) + 1))
                 terms = [hashes[a:b].astype("<u4").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(terms, pa.binary()), pa.array([x.astype("<f8").tobytes() for x in stats], pa.binary())], names=["doc_id", "y", "terms", "stats"])
 
-    chosen = labelled_sample(docs, labels, label, sample=sample)
+    chosen = labelled_sample(docs, labels, label, sample=sample, metadata=metadata)
     kinds = {f.name: f.dataType.simpleString() for f in chosen.schema}
-    rows = chosen.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {kinds['doc_id']}, y {kinds['y']}, terms binary, stats binary").toArrow().sort_by("doc_id")
+    rows = chosen.select("doc_id", "text", "y", *(f"m{k}" for k in range(len(metadata)))).mapInArrow(run, f"doc_id {kinds['doc_id']}, y {kinds['y']}, terms binary, stats binary").toArrow().sort_by("doc_id")
     y = rows.column("y").to_numpy().astype(np.int64)
     terms = rows.column("terms").to_pylist()
     hashes = np.frombuffer(b"".join(terms), "<u4").astype(np.int64)
     owner = np.repeat(np.arange(len(terms)), [len(x) // 4 for x in terms])
-    stats = np.frombuffer(b"".join(rows.column("stats").to_pylist()), "<f8").reshape(len(y), len(NAMES)) if with_statistics else None
-    return fit(y, owner, hashes, stats)
+    stats = np.frombuffer(b"".join(rows.column("stats").to_pylist()), "<f8").reshape(len(y), len(NAMES) + len(metadata)) if with_statistics else None
+    machine = fit(y, owner, hashes, stats)
+    machine.metadata = metadata
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float) -> DataFrame:
@@ -169,21 +189,26 @@ def score(docs: DataFrame, machine: Machine, threshold: float) -> DataFrame:
             for lo, hi in text_slices(batch, 1):
                 part = batch.slice(lo, hi - lo)
                 owner, hashes = term_hashes(part.column(1))
-                stats = statistics(part.column(1)) if m.edges is not None else None
+                stats = _table(part, 1, range(2, 2 + len(m.metadata))) if m.edges is not None else None
                 ids, own = _features(m.terms, m.edges, owner, hashes, stats)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.scores(ids, own, len(part)))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    columns = [c.alias(f"m{k}") for k, c in enumerate(_metadata(docs, machine.metadata))]
+    got = docs.select("doc_id", "text", *columns).mapInArrow(run, f"doc_id {kind}, score double")
     return got.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def score_rows(docs: DataFrame, machine: Machine) -> tuple[DataFrame, str]:
-    """All columns of docs with the score after them, and that column's name: for filters, which need no join then."""
+    """All columns of docs with the score after them, and that column's name: for filters, which need no join then.
+
+    A null text scores as an empty one, repeated rows score each, the score's name is none of docs'
+    columns, and no rows give no rows.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     model = spark.sparkContext.broadcast(machine)
-    at, name = docs.columns.index("text"), fresh(docs, "_score")
+    at, name, last = docs.columns.index("text"), fresh(docs, "_score"), len(docs.columns)
 
     def run(batches):
         m = model.value
@@ -191,8 +216,9 @@ def score_rows(docs: DataFrame, machine: Machine) -> tuple[DataFrame, str]:
             for lo, hi in text_slices(batch, at):
                 part = batch.slice(lo, hi - lo)
                 owner, hashes = term_hashes(part.column(at))
-                stats = statistics(part.column(at)) if m.edges is not None else None
+                stats = _table(part, at, range(last, last + len(m.metadata))) if m.edges is not None else None
                 ids, own = _features(m.terms, m.edges, owner, hashes, stats)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.scores(ids, own, len(part)))], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(m.scores(ids, own, len(part)))], names=[*part.schema.names[:last], name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])), name
+    columns = [c.alias(fresh(docs, f"_m{k}")) for k, c in enumerate(_metadata(docs, machine.metadata))]
+    return docs.select("*", *columns).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])), name

@@ -1,7 +1,7 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
-The metadata is what the text itself tells of its form: its length and line counts, in bins.
-Labels, lang, source and doc_id are never inputs of a score.
+The metadata is the column n_chars of the table, in bins, beside the text's own statistics. Labels,
+lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -11,24 +11,30 @@ from pyspark.sql import DataFrame
 from assaykit.llm.common import remainder, table
 from assaykit.llm.fm import SAMPLE, learn, score, score_rows
 
-THRESHOLD = 0.3
+THRESHOLD, METADATA = 0.3, ("n_chars",)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score, predicted) for every row, from labels.quality outside fold 0 of 5.
 
     Null and empty texts are scored like any other; without usable labels all rows score 0.5, with
-    one label alone its smoothed share. Repeated rows are scored each. No rows give no rows.
+    one label alone its smoothed share. Repeated rows are scored each. A table without n_chars, or
+    with nulls in it, is scored without. Other columns are left out. No rows give no rows.
     """
-    return score(docs, learn(docs, labels, "quality", True, sample), THRESHOLD)
+    return score(docs, learn(docs, labels, "quality", True, sample, METADATA), THRESHOLD)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, all columns, whose score reaches the threshold."""
-    got, score_name = score_rows(docs, learn(docs, labels, "quality", True, sample))
+    """The rows of docs, all columns, whose score reaches the threshold.
+
+    Scores are those of quality_scores, also for null and empty texts. Of repeated rows all stay or
+    none does; columns with names like a score's are kept as they are. No rows give no rows.
+    """
+    got, score_name = score_rows(docs, learn(docs, labels, "quality", True, sample, METADATA))
     return got.where(got[score_name] >= THRESHOLD).select(*docs.columns)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents; nulls, empty texts and repeats: see quality_scores."""
     got = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return got.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")

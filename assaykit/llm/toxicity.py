@@ -17,17 +17,23 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """(doc_id, score, predicted) for every row, from labels.toxic outside fold 0 of 5.
 
     Null and empty texts are scored like any other; without usable labels all rows score 0.5, with
-    one label alone its smoothed share. Repeated rows are scored each. No rows give no rows.
+    one label alone its smoothed share. Repeated rows are scored each. Other columns
+    are left out. No rows give no rows.
     """
     return score(docs, learn(docs, labels, "toxic", False, sample), THRESHOLD)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, all columns, whose score stays under the threshold."""
+    """The rows of docs, all columns, whose score stays under the threshold.
+
+    Scores are those of toxicity_scores, also for null and empty texts. Of repeated rows all stay or
+    none does; columns with names like a score's are kept as they are. No rows give no rows.
+    """
     got, score_name = score_rows(docs, learn(docs, labels, "toxic", False, sample))
     return got.where(got[score_name] < THRESHOLD).select(*docs.columns)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents; nulls, empty texts and repeats: see toxicity_scores."""
     got = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return got.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
