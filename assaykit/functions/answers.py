@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit import labels as L
 from assaykit.functions.regex import found, one_of, rx, squeeze
 from assaykit.functions.text import mentions_near, squeeze_ends
+from assaykit.shared import fresh
 
 # --- fixed values: line formats, words of the past, limits -----------------------------------------
 LABEL_LINE = rx(r"^\s*SLAB\s*[:\-]\s*(.+?)\s*$", "im")
@@ -41,19 +42,38 @@ def normal_label(raw: Column) -> Column:
     return F.when(raw.rlike(NO_ANSWER), F.lit(L.UNANSWERABLE)).otherwise(F.nullif(plain, F.lit("")))
 
 
-def parse_answer(text: Column) -> Column:
-    """Struct label, heading, answerable, why, unparseable; no SLAB line: unparseable and nulls."""
+def answer_lines(text: Column) -> dict[str, Column]:
+    """What the four lines of an answer say, '' for a line that isn't there: each one search of the text."""
     t = F.coalesce(text, F.lit(""))
-    ok = t.rlike(LABEL_LINE)
-    label = normal_label(F.regexp_extract(t, LABEL_LINE, 1))
-    raw = F.regexp_extract(t, HEADING_LINE, 1)
-    heading = F.when(t.rlike(HEADING_LINE) & ~raw.rlike(rx(r"\bNONE\b|\bN/?A\b", "i")), found(raw, r"(\d{4})", 1))
-    said = F.when(t.rlike(ANSWERABLE_LINE), F.regexp_extract(t, ANSWERABLE_LINE, 1).rlike(rx(r"\byes\b|\btrue\b", "i")))
-    answerable = F.coalesce(said, label != L.UNANSWERABLE)
-    why = F.substring(squeeze(F.regexp_extract(t, WHY_LINE, 1)), 1, WHY_CHARS)
-    return F.struct(
-        F.when(ok, label).alias("label"), F.when(ok, heading).alias("heading"), F.when(ok, answerable).alias("answerable"), F.when(ok, why).otherwise(F.lit("")).alias("why"), (~ok).alias("unparseable")
-    )
+    return {name: F.regexp_extract(t, line, 1) for name, line in (("label", LABEL_LINE), ("heading", HEADING_LINE), ("answerable", ANSWERABLE_LINE), ("why", WHY_LINE))}
+
+
+def read_lines(label: Column, heading: Column, answerable: Column, why: Column) -> dict[str, Column]:
+    """label, heading, answerable, why and unparseable of an answer's lines; no SLAB line: unparseable and nulls."""
+    ok = label != ""
+    said = normal_label(label)
+    code = F.when(~heading.rlike(rx(r"\bNONE\b|\bN/?A\b", "i")), found(heading, r"(\d{4})", 1))
+    yes = F.when(answerable != "", answerable.rlike(rx(r"\byes\b|\btrue\b", "i")))
+    return {
+        "label": F.when(ok, said),
+        "heading": F.when(ok, code),
+        "answerable": F.when(ok, F.coalesce(yes, said != L.UNANSWERABLE)),
+        "why": F.when(ok, F.substring(squeeze(why), 1, WHY_CHARS)).otherwise(F.lit("")),
+        "unparseable": ~ok,
+    }
+
+
+def parse_answer(text: Column) -> Column:
+    """Struct label, heading, answerable, why, unparseable of an answer; see with_answer for plans that read several fields."""
+    return F.struct(*(c.alias(n) for n, c in read_lines(**answer_lines(text)).items()))
+
+
+def with_answer(df: DataFrame, text: str, prefix: str) -> DataFrame:
+    """df with the fields of parse_answer as columns of that prefix. Each line is searched once, whatever is read of it."""
+    raw = {n: fresh(df, f"_line_{n}") for n in ("label", "heading", "answerable", "why")}
+    df = df.withColumns({raw[n]: c for n, c in answer_lines(F.col(text)).items()})
+    fields = read_lines(**{n: F.col(c) for n, c in raw.items()})
+    return df.withColumns({f"{prefix}{n}": c for n, c in fields.items()}).drop(*raw.values())
 
 
 def retired_citations(text: Column) -> Column:
@@ -61,26 +81,31 @@ def retired_citations(text: Column) -> Column:
     return F.coalesce(mentions_near(text, RETIRED_MENTION, RETIRED_START, HISTORICAL, BEFORE, AFTER), F.array().cast("array<string>"))
 
 
-def score_answer(gold: Column, gold_heading: Column, parsed: Column, errored: Column, text: Column) -> Column:
-    """Struct of credits. An error or an unparseable answer earns none but keeps its citations."""
-    void = F.coalesce(errored, F.lit(False)) | parsed["unparseable"]
-    label, heading = parsed["label"], parsed["heading"]
+def score_fields(gold: Column, gold_heading: Column, label: Column, heading: Column, unparseable: Column, errored: Column, cited: Column) -> dict[str, Column]:
+    """Credits of an answer. An error or an unparseable answer earns none but keeps its citations."""
+    void = F.coalesce(errored, F.lit(False)) | unparseable
     same = F.coalesce(heading == gold_heading, F.lit(False)) & (gold_heading != "")
     chapter = F.coalesce(F.substring(heading, 1, 2) == F.substring(gold_heading, 1, 2), F.lit(False)) & (gold_heading != "")
     abstained = F.when(label.isNotNull() & (label != ""), (label != L.UNANSWERABLE) == (gold != L.UNANSWERABLE)).otherwise(F.lit(False))
     no = F.lit(False)
-    return F.struct(
-        F.when(void, no).otherwise(label.eqNullSafe(gold)).alias("label_correct"),
-        F.when(void, no).otherwise(F.coalesce(same, no)).alias("heading_correct"),
-        F.when(void, no).otherwise(F.coalesce(chapter, no)).alias("chapter_correct"),
-        F.when(void, no).otherwise(abstained).alias("abstention_correct"),
-        F.when(~void & label.isin(*L.RETIRED), label).alias("retired"),
-        retired_citations(F.coalesce(text, F.lit(""))).alias("retired_cited"),
-        parsed["unparseable"].alias("unparseable"),
-        F.coalesce(errored, no).alias("errored"),
-        F.when(~void, label).alias("predicted"),
-        gold.alias("gold"),
-    )
+    return {
+        "label_correct": F.when(void, no).otherwise(label.eqNullSafe(gold)),
+        "heading_correct": F.when(void, no).otherwise(F.coalesce(same, no)),
+        "chapter_correct": F.when(void, no).otherwise(F.coalesce(chapter, no)),
+        "abstention_correct": F.when(void, no).otherwise(abstained),
+        "retired": F.when(~void & label.isin(*L.RETIRED), label),
+        "retired_cited": cited,
+        "unparseable": unparseable,
+        "errored": F.coalesce(errored, no),
+        "predicted": F.when(~void, label),
+        "gold": gold,
+    }
+
+
+def score_answer(gold: Column, gold_heading: Column, parsed: Column, errored: Column, text: Column) -> Column:
+    """Struct of credits, from a parsed answer."""
+    fields = score_fields(gold, gold_heading, parsed["label"], parsed["heading"], parsed["unparseable"], errored, retired_citations(F.coalesce(text, F.lit(""))))
+    return F.struct(*(c.alias(n) for n, c in fields.items()))
 
 
 def recites_retired(score: Column) -> Column:

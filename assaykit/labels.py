@@ -46,7 +46,7 @@ AMENDMENTS = (
     ("2404", "2404 19 00", "III", "Products containing tobacco or nicotine substitutes and intended for inhalation without combustion"),
 )
 AMENDMENT_PREFIX = "[Notification 19/2025, in force 2026-02-01] "
-KAPPA_BANDS = ((0.40, "Unusable. Fix the rubric."), (0.60, "Moderate. Usable with caveats — state them."), (0.80, "Substantial. This is a good result."), (None, "Strong — but check the task has not been made trivially easy."))
+KAPPA_BANDS = ((0.40, "unusable"), (0.60, "moderate"), (0.80, "substantial"), (None, "strong"))
 DRIFT, MIN_LENGTH, MAX_LENGTH, LONG_WORDS = 0.05, 8, 12_000, 800
 CHARS_PER_PAGE, MIN_EXCERPT_WORDS, TAIL_FRACTION = 200, 25, 0.55
 KEY_CHARS, AGREEMENT_FLOOR, KAPPA_FLOOR, RUPEES = 400, 0.85, 0.40, 88.0

@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit import labels as L
+from assaykit.shared import fresh
 
 
-def confusion(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(a, b, n) over all pairs of the union of labels, zeros included. Labels are a closed, small domain."""
+def confusion(pairs: DataFrame, a: str = "a", b: str = "b", most: int = 1000) -> DataFrame:
+    """(a, b, n) over all pairs of the union of labels, zeros included. More than `most` labels aren't a closed domain, and raise."""
     n = pairs.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
     labels = n.select(F.explode(F.array("a", "b")).alias("x")).distinct()
-    grid = labels.select(F.col("x").alias("a"), F.lit(1).alias("_k")).join(labels.select(F.col("x").alias("b"), F.lit(1).alias("_k")), "_k")
+    if labels.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} labels: a matrix of all pairs is for closed domains")
+    grid = labels.select(F.col("x").alias("a")).crossJoin(F.broadcast(labels.select(F.col("x").alias("b"))))  # at most `most` rows
     return grid.join(n, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -41,8 +44,9 @@ def cohen_kappa(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def judged_pairs(verdicts: DataFrame, human: DataFrame, pos: str = "pos") -> DataFrame:
     """Verdicts with a human label, the last one where there are several; both in upper case."""
-    last = human.groupBy("example_id").agg(F.max_by("verdict", pos).alias("_h"))
-    return verdicts.join(last, "example_id").select("example_id", F.upper("_h").alias("human"), F.upper("verdict").alias("judge"))
+    own = fresh(verdicts, "_human")
+    last = human.groupBy("example_id").agg(F.max_by("verdict", pos).alias(own))
+    return verdicts.join(last, "example_id").select("example_id", F.upper(own).alias("human"), F.upper("verdict").alias("judge"))
 
 
 def directions(pairs: DataFrame) -> DataFrame:
@@ -79,3 +83,41 @@ def majority_vote(answers: DataFrame, item: str = "item", run: str = "run", answ
     votes = answers.groupBy(item, F.coalesce(answer, F.lit("None")).alias("vote")).agg(F.count("*").alias("n"), F.min(run).alias("_first"))
     w = Window.partitionBy(item).orderBy(F.desc("n"), "_first")
     return votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(item, "vote", "n")
+
+
+def vote_accuracy(answers: DataFrame, gold: DataFrame, item: str = "item", run: str = "run", answer: str = "answer", label: str = "gold", places: int = 4) -> DataFrame:
+    """One row: items, correct and accuracy of the majority votes. gold (item, label): one row an item; items without gold count as wrong."""
+    votes = majority_vote(answers, item, run, answer).join(gold.select(item, F.col(label).alias("_gold")), item, "left")
+    right = F.count_if(F.coalesce(F.col("vote") == F.col("_gold"), F.lit(False)))
+    share = F.coalesce(F.bround(F.try_divide(right.cast("double"), F.count("*").cast("double")), places), F.lit(0.0))
+    return votes.agg(F.count("*").alias("items"), right.alias("correct"), share.alias("accuracy"))
+
+
+def unstable_items(answers: DataFrame, gold: DataFrame, item: str = "item", run: str = "run", answer: str = "answer", label: str = "gold") -> DataFrame:
+    """(item, gold, answers) of items with different answers: all of an item's answers in the order of runs, null where there was none."""
+    said = F.transform(F.array_sort(F.collect_list(F.struct(F.col(run).alias("r"), F.col(answer).alias("a")))), lambda x: x["a"])
+    many = F.count_distinct(F.coalesce(answer, F.lit("None")))
+    own = answers.groupBy(item).agg(said.alias("answers"), many.alias("_k")).where("_k > 1")
+    return own.join(gold.select(item, F.col(label).alias("gold")), item, "left").select(item, "gold", "answers")
+
+
+def aggregate_runs(summaries: DataFrame, answers: DataFrame, gold: DataFrame, metrics: list[str], run: str = "run") -> DataFrame:
+    """One row for a probe of repeated runs: runs, metrics, self_agreement (with its unstable items) and majority_vote_acc.
+
+    summaries: a row for each run; answers (item, run, answer); gold (item, gold). The unstable items
+    come in one array: a probe's document is for sets that one can read.
+    """
+    spread = repeat_spread(summaries, run, metrics)
+    named = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.struct("mean", "min", "max", "range", "runs")))))
+    detail = F.array_sort(F.collect_list(F.struct("item", "gold", "answers"))).alias("detail")
+    agreed = stability(answers).select(F.col("items").alias("examples"), F.col("stable").alias("answered_identically_every_run"), (F.col("items") - F.col("stable")).alias("unstable"), F.bround("rate", 4).alias("rate"))
+    parts = [
+        summaries.agg(F.count("*").alias("runs")),
+        spread.agg(named.alias("metrics")),
+        agreed.crossJoin(unstable_items(answers, gold).agg(detail)).select(F.struct("*").alias("self_agreement")),
+        vote_accuracy(answers, gold).select(F.col("accuracy").alias("majority_vote_acc")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))  # one row each
+    return out

@@ -6,13 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit import labels as L
-from assaykit.functions.answers import parse_answer, recites_retired, score_answer
+from assaykit.functions.answers import recites_retired, retired_citations, score_fields, with_answer
+from assaykit.operators.ordering import placed
+from assaykit.shared import fresh
 
 
 def score_responses(responses: DataFrame) -> DataFrame:
-    """responses (…, text, gold, gold_heading, errored) with columns parsed and score."""
-    df = responses.withColumn("parsed", parse_answer(F.col("text")))
-    return df.withColumn("score", score_answer(F.col("gold"), F.col("gold_heading"), F.col("parsed"), F.col("errored"), F.col("text")))
+    """responses (…, text, gold, gold_heading, errored) with columns parsed and score.
+
+    Each line of an answer is searched once, and its citations are found once, as columns of their
+    own that the structs refer to. A null text is unparseable.
+    """
+    own, cited = fresh(responses, "_answer_"), fresh(responses, "_cited")
+    df = with_answer(responses, "text", own).withColumn(cited, retired_citations(F.coalesce("text", F.lit(""))))
+    names = ("label", "heading", "answerable", "why", "unparseable")
+    parsed = F.struct(*(F.col(f"{own}{n}").alias(n) for n in names))
+    fields = score_fields(F.col("gold"), F.col("gold_heading"), *(F.col(f"{own}{n}") for n in ("label", "heading", "unparseable")), F.col("errored"), F.col(cited))
+    df = df.withColumns({"parsed": parsed, "score": F.struct(*(c.alias(n) for n, c in fields.items()))})
+    return df.drop(cited, *(f"{own}{n}" for n in names))
+
+
+# --- fixed values: sentences of reports
+NO_PRICE = "no price recorded for '%s'"
+NO_CORRECT = "no correct answers, so cost per correct answer is undefined"
+NONE_QUOTED = "no abolished slab quoted"
+# ------------------------------------------------------------------------------------------------------
 
 
 def _share(hit: Column, of: Column | None = None) -> Column:
@@ -24,13 +42,13 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def summarise(scored: DataFrame, *keys: str) -> DataFrame:
-    """One row of metrics for each key. Errors count against accuracy but not against headings."""
+def summary_metrics() -> list[Column]:
+    """Aggregates over scored rows. Errors count against accuracy but not against headings."""
     s = F.col("score")
     graded = ~s["errored"] & ~s["unparseable"]
     is_no, said_no = s["gold"] == L.UNANSWERABLE, F.coalesce(s["predicted"] == L.UNANSWERABLE, F.lit(False))
     tp, fp, fn = F.count_if(is_no & said_no), F.count_if(~is_no & said_no), F.count_if(is_no & ~said_no)
-    out = scored.groupBy(*keys).agg(
+    return [
         F.count("*").alias("n"),
         _share(s["label_correct"]).alias("label_acc"),
         _share(s["heading_correct"], graded).alias("heading_acc"),
@@ -43,22 +61,28 @@ def summarise(scored: DataFrame, *keys: str) -> DataFrame:
         F.count_if(graded).alias("n_graded"),
         _ratio(tp, tp + fp).alias("abstain_precision"),
         _ratio(tp, tp + fn).alias("abstain_recall"),
-    )
+    ]
+
+
+def summarise(scored: DataFrame, *keys: str) -> DataFrame:
+    """One row of metrics for each key."""
+    out = scored.groupBy(*keys).agg(*summary_metrics())
     p, r = F.col("abstain_precision"), F.col("abstain_recall")
     return out.withColumn("abstain_f1", _ratio(2 * p * r, p + r))
 
 
 def rounded(summary: DataFrame, places: int = 4) -> DataFrame:
-    """Rates to four places, as they are reported."""
-    return summary.withColumns({c: F.round(c, places) for c, t in summary.dtypes if t == "double"})
+    """Rates to four places, as they are reported: ties of the binary value go to the even digit."""
+    return summary.withColumns({c: F.bround(c, places) for c, t in summary.dtypes if t == "double"})
 
 
 def retired_counts(scored: DataFrame, *keys: str) -> DataFrame:
     """Rows per retired label: answered, and cited or answered (each label once a row)."""
     s = F.col("score")
     both = F.array_union(s["retired_cited"], F.array_compact(F.array(s["retired"])))
-    each = scored.select(*keys, F.explode(both).alias("label"), s["retired"].alias("_answered"))
-    return each.groupBy(*keys, "label").agg(F.count_if(F.col("_answered").eqNullSafe(F.col("label"))).alias("answered"), F.count("*").alias("cited"))
+    own = "_" + "_".join(["answered", *keys])  # none of the keys
+    each = scored.select(*keys, F.explode(both).alias("label"), s["retired"].alias(own))
+    return each.groupBy(*keys, "label").agg(F.count_if(F.col(own).eqNullSafe(F.col("label"))).alias("answered"), F.count("*").alias("cited"))
 
 
 def describe_retired(counts: DataFrame, n: Column, *keys: str) -> DataFrame:
@@ -67,7 +91,7 @@ def describe_retired(counts: DataFrame, n: Column, *keys: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.when(F.col("answered") > 0, F.struct("label", "answered"))))
     line = F.array_join(F.transform(F.col("_parts"), lambda p: F.format_string("%s%% (abolished %s) ×%d", p["label"], F.element_at(dates, p["label"]), p["answered"])), ", ")
     total = counts.groupBy(*keys).agg(parts.alias("_parts"), F.sum("answered").alias("_answered"), F.first(n).alias("_n"))
-    text = F.when(F.col("_answered") > 0, F.concat(F.format_string("%.1f%% — ", 100 * F.col("_answered") / F.col("_n")), line)).otherwise(F.lit("no abolished slab quoted"))
+    text = F.when(F.col("_answered") > 0, F.concat(F.format_string("%.1f%% — ", 100 * F.col("_answered") / F.col("_n")), line)).otherwise(F.lit(NONE_QUOTED))
     return total.select(*keys, text.alias("line"))
 
 
@@ -95,37 +119,34 @@ def nearest_rank_by(df: DataFrame, keys: list[str], value: str, *percents: float
     return run.groupBy(*keys).agg(*aggs)
 
 
+def usage() -> list[Column]:
+    """Aggregates over completions (tokens_in, tokens_out, cached_tokens_in, correct)."""
+    return [*(F.sum(c).alias(c) for c in ("tokens_in", "tokens_out", "cached_tokens_in")), F.count("*").alias("calls"), F.count_if("correct").alias("correct")]
+
+
+def priced(used: DataFrame, models: DataFrame, key: str = "model_key") -> DataFrame:
+    """used (key, usage) with usd_total, usd_per_correct, inr_per_correct, unpriced_reason; models is a small dimension (key, prices, note)."""
+    has = (F.col("usd_in_per_m") > 0) & (F.col("usd_out_per_m") > 0)
+    usd = F.when(has, F.col("tokens_in") / 1_000_000 * F.col("usd_in_per_m") + F.col("tokens_out") / 1_000_000 * F.col("usd_out_per_m"))
+    per = F.when(F.col("correct") > 0, usd / F.col("correct"))
+    reason = F.when(~has, F.coalesce(F.nullif(F.col("note"), F.lit("")), F.format_string(NO_PRICE, F.col(key)))).when(F.col("correct") == 0, F.lit(NO_CORRECT))
+    df = used.join(models.select(key, "usd_in_per_m", "usd_out_per_m", "note"), key)
+    money = {"usd_total": usd, "usd_per_correct": per, "inr_per_correct": per * L.RUPEES, "unpriced_reason": reason}
+    return df.select(*used.columns, *(c.alias(n) for n, c in money.items()))
+
+
 def cost_report(completions: DataFrame, models: DataFrame, key: str = "model_key") -> DataFrame:
     """Tokens, calls, cost and latency for each model; models is a small dimension (key, prices, note)."""
-    used = completions.groupBy(key).agg(
-        F.sum("tokens_in").alias("tokens_in"),
-        F.sum("tokens_out").alias("tokens_out"),
-        F.sum("cached_tokens_in").alias("cached_tokens_in"),
-        F.count("*").alias("calls"),
-        F.count_if("correct").alias("correct"),
-    )
     late = nearest_rank_by(completions, [key], "latency_ms", 50, 95)
-    df = used.join(late, key, "left").join(models, key)
-    priced = (F.col("usd_in_per_m") > 0) & (F.col("usd_out_per_m") > 0)
-    usd = F.when(priced, F.col("tokens_in") / 1_000_000 * F.col("usd_in_per_m") + F.col("tokens_out") / 1_000_000 * F.col("usd_out_per_m"))
-    per = F.when(F.col("correct") > 0, usd / F.col("correct"))
-    reason = F.when(~priced, F.coalesce(F.nullif(F.col("note"), F.lit("")), F.format_string("no price recorded for '%s'", F.col(key)))).when(
-        F.col("correct") == 0, F.lit("no correct answers, so cost per correct answer is undefined")
-    )
-    return df.select(
-        key,
-        "tokens_in",
-        "tokens_out",
-        "cached_tokens_in",
-        "calls",
-        "correct",
-        usd.alias("usd_total"),
-        per.alias("usd_per_correct"),
-        (per * L.RUPEES).alias("inr_per_correct"),
-        F.coalesce("p50", F.lit(0)).alias("p50_latency_ms"),
-        F.coalesce("p95", F.lit(0)).alias("p95_latency_ms"),
-        reason.alias("unpriced_reason"),
-    )
+    df = priced(completions.groupBy(key).agg(*usage()), models, key).join(late, key, "left")
+    columns = (key, "tokens_in", "tokens_out", "cached_tokens_in", "calls", "correct", "usd_total", "usd_per_correct", "inr_per_correct")
+    return df.select(*columns, F.coalesce("p50", F.lit(0)).alias("p50_latency_ms"), F.coalesce("p95", F.lit(0)).alias("p95_latency_ms"), "unpriced_reason")
+
+
+def leaderboard(scored: DataFrame, models: DataFrame, key: str = "model_key") -> DataFrame:
+    """Summary and cost of each model, with its rank: one pass over the scored rows. scored has usage's columns too."""
+    rows = scored.groupBy(key).agg(*summary_metrics(), *usage())
+    return rank_runs(priced(rows, models, key), order=key)
 
 
 def estimate(models: DataFrame, rows: int, tokens_in: int = 700, tokens_out: int = 250) -> DataFrame:
@@ -143,16 +164,15 @@ def rank_runs(runs: DataFrame, cost: str = "inr_per_correct", accuracy: str = "l
 def latest_per_model(runs: DataFrame, key: str, started: str, tie: str, mode: str | None = None) -> DataFrame:
     """The newest run of each model (of one prompt mode); of equal times the smaller tie."""
     df = runs if mode is None else runs.where(F.col("prompt_mode") == mode)
-    w = Window.partitionBy(key).orderBy(F.desc(started), tie)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    w, r = Window.partitionBy(key).orderBy(F.desc(started), tie), fresh(df, "_rank")
+    return df.withColumn(r, F.row_number().over(w)).where(F.col(r) == 1).drop(r)
 
 
 def running_accuracy(scored: DataFrame, key: str, order: str, correct: str, every: int = 25) -> DataFrame:
-    """Cumulative accuracy at every 25th row and the last one of each key."""
-    w = Window.partitionBy(key).orderBy(order)
-    whole = Window.partitionBy(key)
-    df = scored.withColumns({"i": F.row_number().over(w), "_n": F.count("*").over(whole), "accuracy": F.avg(F.col(correct).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    return df.where((F.col("i") % every == 0) | (F.col("i") == F.col("_n"))).select(key, "i", "accuracy")
+    """Cumulative accuracy at every 25th row and the last one of each key. Few keys may have all rows: see placed."""
+    rows = scored.select(F.col(key), F.col(order).alias("_order"), F.col(correct).cast("long").alias("_hit"))
+    df = placed(rows, {"_key": F.col(key)}, ["_order"], "i", {"_hits": F.col("_hit")})
+    return df.where((F.col("i") % every == 0) | (F.col("i") == F.col("i_of"))).select(key, "i", (F.col("_hits") / F.col("i")).alias("accuracy"))
 
 
 def label_matrix(scored: DataFrame) -> DataFrame:
@@ -163,5 +183,5 @@ def label_matrix(scored: DataFrame) -> DataFrame:
 
 def label_order(label: Column) -> list[Column]:
     """Numbers by value, then the sentinels."""
-    n = F.expr(f"try_cast({label._jc.toString()} AS DOUBLE)")
+    n = label.try_cast("double")
     return [n.isNull(), n, label]

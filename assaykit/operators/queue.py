@@ -2,41 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.text import candidate_families, dedupe_key
-from assaykit.shared import checkpointed
+from assaykit.operators.ordering import placed
+from assaykit.shared import checkpointed, fresh
 
 
 def first_wins(df: DataFrame, key: Column, pos: str = "pos", protected: Column | None = None) -> DataFrame:
     """The first row of each key. Protected rows all stay, and hold their key for rows after them.
 
-    An empty key is a key like any other.
+    An empty or null key is a key like any other. pos tells rows apart. Each key's first pos is a
+    partial minimum before it is sent, so a key that most rows have is no task's burden; rows are then
+    looked up by pos.
     """
-    w = Window.partitionBy(key).orderBy(pos)
-    keep = F.row_number().over(w) == 1
-    if protected is not None:
-        keep = keep | protected
-    return df.withColumn("_keep", keep).where("_keep").drop("_keep")
+    at, first = fresh(df, "_pos"), fresh(df, "_first")
+    firsts = df.groupBy(key).agg(F.min(pos).alias(at)).select(at, F.lit(True).alias(first))
+    if protected is None:
+        return df.join(firsts, F.col(pos) == F.col(at), "left_semi")
+    marked = df.join(firsts, F.col(pos) == F.col(at), "left")
+    return marked.where(F.coalesce(F.col(first), F.lit(False)) | F.coalesce(protected, F.lit(False))).select(*(df[c] for c in df.columns))
 
 
 def greedy_two_keys(df: DataFrame, first: str, second: str, pos: str = "pos") -> DataFrame:
     """Rows in order, each kept if neither key was kept before; a dropped row holds neither.
 
-    Rounds: a row whose two keys have no earlier row left is kept, and what it excludes goes.
-    Each round is two windows over the rows left; in practice a few are enough.
+    Rounds: a row whose two keys have no earlier row left is kept, and what it excludes goes. Each
+    round takes partial minima of both keys over the rows left. The rule is sequential: a chain of
+    rows, each excluded by the one before it alone, takes a round for each second row, so rounds are
+    as many as the longest chain needs; copies and shared keys, however many, take one or two.
     """
     spark = df.sparkSession
-    left, kept = df, None
+    left, kept, gone_key, at = df, None, fresh(df, "_gone"), fresh(df, "_at")
     while True:
-        least = [F.min(pos).over(Window.partitionBy(k)) for k in (first, second)]
-        marked = left.withColumns({"_a": least[0], "_b": least[1]})
-        win = checkpointed(marked.where((F.col("_a") == F.col(pos)) & (F.col("_b") == F.col(pos))).drop("_a", "_b"))
+        win = left
+        for k in (first, second):
+            win = win.join(left.groupBy(k).agg(F.min(pos).alias(at)).select(at), F.col(pos) == F.col(at), "left_semi")
+        win = checkpointed(win)
         kept = win if kept is None else kept.unionByName(win)
         for k in (first, second):  # a null key is a key like any other
-            gone = win.select(F.col(k).alias("_gone")).distinct()
-            left = left.join(gone, F.col(k).eqNullSafe(F.col("_gone")), "left_anti")
+            gone = win.select(F.col(k).alias(gone_key)).distinct()
+            left = left.join(gone, F.col(k).eqNullSafe(F.col(gone_key)), "left_anti")
         left = checkpointed(left)
         if left.isEmpty():
             return spark.createDataFrame([], df.schema) if kept is None else kept
@@ -49,11 +56,11 @@ def drop_reasons(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 
 
 def interleave(df: DataFrame, key: Column, pos: str = "pos") -> DataFrame:
-    """Adds place: one row of each group in turn, groups in the order of their first row."""
-    df = df.withColumn("_g", key)
-    mine = Window.partitionBy("_g")
-    df = df.withColumns({"turn": F.row_number().over(mine.orderBy(pos)), "_first": F.min(pos).over(mine)})
-    return df.withColumn("group_first", F.col("_first")).drop("_g", "_first")
+    """Adds turn and group_first: one row of each group in turn, groups in the order of their first row."""
+    g, at, of = fresh(df, "_group"), fresh(df, "_pos"), fresh(df, "_of")
+    firsts = df.groupBy(key.alias(of)).agg(F.min(pos).alias("group_first"))
+    out = placed(df.withColumn(at, F.col(pos)), {g: key}, [at], "turn").drop("turn_of", at)
+    return out.join(firsts, F.col(g).eqNullSafe(F.col(of))).drop(g, of)
 
 
 def state_key(state: Column) -> Column:
@@ -66,8 +73,9 @@ def unlabelled(pool: DataFrame, labelled: DataFrame, key: str = "source_id") ->
 
 
 def protected_flag(pool: DataFrame, labelled: DataFrame, key: str = "source_id") -> DataFrame:
-    ids = labelled.select(F.col(key).alias("_id")).distinct().withColumn("_hit", F.lit(True))
-    return pool.join(ids, F.col(key) == F.col("_id"), "left").withColumn("protected", F.coalesce("_hit", F.lit(False))).drop("_id", "_hit")
+    own, hit = fresh(pool, "_id"), fresh(pool, "_hit")
+    ids = labelled.select(F.col(key).alias(own)).distinct().withColumn(hit, F.lit(True))
+    return pool.join(ids, F.col(key) == F.col(own), "left").withColumn("protected", F.coalesce(hit, F.lit(False))).drop(own, hit)
 
 
 def select_queue(
@@ -82,7 +90,7 @@ def select_queue(
     spread_states: bool = False,
     limit: int = 0,
 ) -> DataFrame:
-    """The queue in order, with place. pool: source_id, source, text, state, stale_rates, categories, pos.
+    """The queue in order. pool: source_id, source, text, state, stale_rates, categories, pos, and labels if it has them.
 
     Filters apply in this order: done, source, stale rate, state, excluded state, candidates (one of
     each family in turn), keyword; then one of each state in turn if asked; 0 means no limit.
@@ -99,14 +107,16 @@ def select_queue(
         df = df.where(~s.contains(exclude_state.lower()))
     order = [F.col("pos")]
     if changed_candidates:
-        families = candidate_families(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("categories", F.lit(""))))
-        df = interleave(df.withColumn("_f", families).where(F.size("_f") > 0), F.get("_f", F.lit(0))).drop("_f")
+        families = candidate_families(F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in ("text", "categories", "labels") if c in df.columns)))
+        f = fresh(df, "_families")
+        df = interleave(df.withColumn(f, families).where(F.size(f) > 0), F.get(f, F.lit(0))).drop(f)
         order = [F.col("turn"), F.col("group_first")]
     if keyword:
         df = df.where(F.lower("text").contains(keyword.lower()))
     if spread_states:
-        df = df.withColumn("_pos", F.struct(*order)).drop("turn", "group_first")
-        df = interleave(df, state_key(F.col("state")), "_pos").drop("_pos")
+        whole = fresh(df, "_order")
+        df = df.withColumn(whole, F.struct(*order)).drop("turn", "group_first")
+        df = interleave(df, state_key(F.col("state")), whole).drop(whole)
         order = [F.col("turn"), F.col("group_first")]
     df = df.orderBy(*order)
     return df.limit(limit) if limit else df
@@ -118,8 +128,9 @@ def content_key(text: Column, capped: bool = True) -> Column:
 
 def batch_place(df: DataFrame, order: str, size: int = 50) -> DataFrame:
     """Adds batch and place (from 1) of each row in batches of `size`."""
-    i = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumns({"batch": F.floor(i / size), "place": i % size + 1})
+    turn = fresh(df, "_turn")
+    out = placed(df, {}, [order], turn).drop(f"{turn}_of")
+    return out.withColumns({"batch": F.floor((F.col(turn) - 1) / size), "place": (F.col(turn) - 1) % size + 1}).drop(turn)
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -10,7 +10,7 @@ from assaykit.functions import answers, text
 from assaykit.functions.regex import one_of, word_count
 from assaykit.functions.rulings import operative_tail, outcome
 from assaykit.operators import agreement, composition, evaluation, lookup, queue, validation
-from assaykit.plans.views import ANSWERS, LABELLED, LABELLED_WHOLE, MODELS, POOL, RESPONSES, SCORES, oracle, view
+from assaykit.plans.views import ANSWERS, LABELLED, MODELS, POOL, RESPONSES, SCORES, oracle, view
 from assaykit.sources.index import index_rows
 from assaykit.streaming.runs import SCHEMA as EVENTS_SCHEMA
 
@@ -73,22 +73,26 @@ FROM (SELECT s.model_key, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(
 _COST_COLUMNS = "model_key, tokens_in, tokens_out, cached_tokens_in, calls, correct, usd_total, usd_per_correct, inr_per_correct, p50_latency_ms, p95_latency_ms, unpriced_reason"
 
 
-def _costs(spark, d):
-    s = _scored(spark, d)
-    return evaluation.cost_report(s.withColumn("correct", F.col("score.label_correct")), view(spark, d, MODELS))
+def _with_correct(spark, d):
+    return _scored(spark, d).withColumn("correct", F.col("score.label_correct"))
 
 
 @query(f"SELECT {_COST_COLUMNS} FROM ({_COST}) c")
 def cost_report(spark, d):
-    return _costs(spark, d)
+    return evaluation.cost_report(_with_correct(spark, d), view(spark, d, MODELS))
 
 
 @query(
     f"SELECT s.model_key, s.label_acc, c.inr_per_correct, row_number() OVER (ORDER BY c.inr_per_correct IS NULL, c.inr_per_correct, s.label_acc DESC, s.model_key) AS rank FROM ({_SUMMARY}) s JOIN ({_COST}) c ON s.model_key = c.model_key"
 )
 def leaderboard_rank(spark, d):
-    summary = evaluation.summarise(_scored(spark, d), "model_key").select("model_key", "label_acc")
-    return evaluation.rank_runs(summary.join(_costs(spark, d).select("model_key", "inr_per_correct"), "model_key"))
+    return evaluation.leaderboard(_with_correct(spark, d), view(spark, d, MODELS)).select("model_key", "label_acc", "inr_per_correct", "rank")
+
+
+@query(f"SELECT model_key, {', '.join(f'round_even({c}, 4) AS {c}' for c in ('label_acc', 'heading_acc', 'chapter_acc', 'abstention_acc', 'retired_rate', 'retired_cited_rate', 'abstain_f1'))} FROM ({_SUMMARY}) s")
+def rounded_summary(spark, d):
+    rates = ("label_acc", "heading_acc", "chapter_acc", "abstention_acc", "retired_rate", "retired_cited_rate", "abstain_f1")
+    return evaluation.rounded(evaluation.summarise(_scored(spark, d), "model_key").select("model_key", *rates))
 
 
 @query(
@@ -125,26 +129,27 @@ def nearest_rank_percentiles(spark, d):
     return evaluation.nearest_rank_by(cents, ["l_suppkey"], "v", 50, 95)
 
 
+# --- all runs of an item, however many it has
+_ANSWER_ROWS = f"SELECT item, run, model_key, predicted AS answer FROM ({SCORES}) s"
+
+
+def _answers(spark, d):
+    return _scored(spark, d).select("item", "run", "model_key", F.col("score.predicted").alias("answer"))
+
+
 @query(
     f"""WITH m AS (SELECT run, round(avg(CAST(label_ok AS INT)), 4) AS label_acc, round(coalesce(avg(CASE WHEN NOT void THEN CAST(heading_ok AS INT) END), 0.0), 4) AS heading_acc,
       round(avg(CAST(retired IS NOT NULL AS INT)), 4) AS retired_rate, round(avg(CAST(retired IS NOT NULL OR cites12 OR cites28 AS INT)), 4) AS retired_cited_rate, round(avg(CAST(abstain_ok AS INT)), 4) AS abstention_acc
-      FROM ({SCORES}) s WHERE run <= 3 GROUP BY run)
+      FROM ({SCORES}) s GROUP BY run)
     SELECT metric, round(avg(v), 4) AS mean, min(v) AS min, max(v) AS max, round(max(v) - min(v), 4) AS range, array_to_string(list(CAST(CAST(round(v * 10000) AS BIGINT) AS VARCHAR) ORDER BY run), ' ') AS runs
     FROM (UNPIVOT m ON label_acc, heading_acc, retired_rate, retired_cited_rate, abstention_acc INTO NAME metric VALUE v) u GROUP BY metric"""
 )
 def repeat_spread(spark, d):
-    runs = evaluation.summarise(_scored(spark, d).where("run <= 3"), "run")
+    runs = evaluation.summarise(_scored(spark, d), "run")
     out = agreement.repeat_spread(runs, "run", ["label_acc", "heading_acc", "retired_rate", "retired_cited_rate", "abstention_acc"])
     return out.withColumn("runs", F.array_join(F.transform("runs", lambda v: F.round(v * 10000).cast("long").cast("string")), " "))
 
 
-_ANSWER_ROWS = f"SELECT item, run, model_key, predicted AS answer FROM ({SCORES}) s WHERE run <= 3"
-
-
-def _answers(spark, d):
-    return _scored(spark, d).where("run <= 3").select("item", "run", "model_key", F.col("score.predicted").alias("answer"))
-
-
 @query(f"SELECT count(*) AS items, count(*) FILTER (k = 1) AS stable, avg(CAST(k = 1 AS INT)) AS rate FROM (SELECT item, count(DISTINCT coalesce(answer, 'None')) AS k FROM ({_ANSWER_ROWS}) a GROUP BY item) t")
 def stability(spark, d):
     return agreement.stability(_answers(spark, d))
@@ -152,56 +157,49 @@ def stability(spark, d):
 
 @query(
     f"""SELECT item, vote, n FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, first) AS r FROM (
-    SELECT item, coalesce(answer, 'None') AS vote, count(*) AS n, min(run * 100 + length(model_key)) AS first FROM ({_ANSWER_ROWS}) a GROUP BY 1, 2) t) u WHERE r = 1 AND n > 1"""
+    SELECT item, coalesce(answer, 'None') AS vote, count(*) AS n, min(lpad(CAST(run AS VARCHAR), 9, '0') || model_key) AS first FROM ({_ANSWER_ROWS}) a GROUP BY 1, 2) t) u WHERE r = 1"""
 )
 def majority_vote(spark, d):
-    votes = agreement.majority_vote(_answers(spark, d).withColumn("run", F.col("run") * 100 + F.length("model_key")))
-    return votes.where("n > 1")
+    return agreement.majority_vote(_answers(spark, d).withColumn("run", F.concat(F.lpad(F.col("run").cast("string"), 9, "0"), "model_key")))
 
 
-# --- the same over all runs of an item, however many it has
-_ALL_ROWS = f"SELECT item, run, model_key, predicted AS answer FROM ({SCORES}) s"
+_VOTES = f"""SELECT item, vote, n FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, first) AS r FROM (
+    SELECT item, coalesce(answer, 'None') AS vote, count(*) AS n, min(lpad(CAST(run AS VARCHAR), 9, '0') || model_key) AS first FROM ({_ANSWER_ROWS}) a GROUP BY 1, 2) t) u WHERE r = 1"""
 
 
-def _all_answers(spark, d):
-    return _scored(spark, d).select("item", "run", "model_key", F.col("score.predicted").alias("answer"))
+def _in_order(spark, d):
+    """Answers whose run tells the order of an item's answers, over models too."""
+    return _answers(spark, d).withColumn("run", F.concat(F.lpad(F.col("run").cast("string"), 9, "0"), "model_key"))
 
 
-@query(
-    f"""WITH m AS (SELECT run, round(avg(CAST(label_ok AS INT)), 4) AS label_acc, round(coalesce(avg(CASE WHEN NOT void THEN CAST(heading_ok AS INT) END), 0.0), 4) AS heading_acc,
-      round(avg(CAST(retired IS NOT NULL AS INT)), 4) AS retired_rate, round(avg(CAST(retired IS NOT NULL OR cites12 OR cites28 AS INT)), 4) AS retired_cited_rate, round(avg(CAST(abstain_ok AS INT)), 4) AS abstention_acc
-      FROM ({SCORES}) s GROUP BY run)
-    SELECT metric, round(avg(v), 4) AS mean, min(v) AS min, max(v) AS max, round(max(v) - min(v), 4) AS range, array_to_string(list(CAST(CAST(round(v * 10000) AS BIGINT) AS VARCHAR) ORDER BY run), ' ') AS runs
-    FROM (UNPIVOT m ON label_acc, heading_acc, retired_rate, retired_cited_rate, abstention_acc INTO NAME metric VALUE v) u GROUP BY metric"""
-)
-def repeat_spread_all(spark, d):
-    runs = evaluation.summarise(_scored(spark, d), "run")
-    out = agreement.repeat_spread(runs, "run", ["label_acc", "heading_acc", "retired_rate", "retired_cited_rate", "abstention_acc"])
-    return out.withColumn("runs", F.array_join(F.transform("runs", lambda v: F.round(v * 10000).cast("long").cast("string")), " "))
+def _gold(spark, d):
+    """The gold label of each item but every ninth, which has none."""
+    return view(spark, d, ANSWERS).where("item % 9 <> 0").select("item", "gold").distinct()
 
 
-@query(f"SELECT count(*) AS items, count(*) FILTER (k = 1) AS stable, avg(CAST(k = 1 AS INT)) AS rate FROM (SELECT item, count(DISTINCT coalesce(answer, 'None')) AS k FROM ({_ALL_ROWS}) a GROUP BY item) t")
-def stability_all(spark, d):
-    return agreement.stability(_all_answers(spark, d))
+@query(f"SELECT count(*) AS items, count(*) FILTER (v.vote = g.gold) AS correct, round(count(*) FILTER (v.vote = g.gold) / count(*), 4) AS accuracy FROM ({_VOTES}) v LEFT JOIN (SELECT DISTINCT item, gold FROM ({ANSWERS}) x WHERE item % 9 <> 0) g ON v.item = g.item")
+def vote_accuracy(spark, d):
+    return agreement.vote_accuracy(_in_order(spark, d), _gold(spark, d))
 
 
 @query(
-    f"""SELECT item, vote, n FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, first) AS r FROM (
-    SELECT item, coalesce(answer, 'None') AS vote, count(*) AS n, min(lpad(CAST(run AS VARCHAR), 9, '0') || model_key) AS first FROM ({_ALL_ROWS}) a GROUP BY 1, 2) t) u WHERE r = 1"""
+    f"""SELECT u.item, g.gold, u.answers FROM (SELECT item, string_agg(coalesce(answer, 'None'), '|' ORDER BY lpad(CAST(run AS VARCHAR), 9, '0') || model_key) AS answers FROM ({_ANSWER_ROWS}) a GROUP BY item
+    HAVING count(DISTINCT coalesce(answer, 'None')) > 1) u LEFT JOIN (SELECT DISTINCT item, gold FROM ({ANSWERS}) x WHERE item % 9 <> 0) g ON u.item = g.item"""
 )
-def majority_vote_all(spark, d):
-    return agreement.majority_vote(_all_answers(spark, d).withColumn("run", F.concat(F.lpad(F.col("run").cast("string"), 9, "0"), "model_key")))
+def unstable_items(spark, d):
+    return agreement.unstable_items(_in_order(spark, d), _gold(spark, d)).select("item", "gold", F.array_join("answers", "|", "None").alias("answers"))
 
 
 _KAPPA = """WITH p AS (SELECT quality AS a, toxic AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), t AS (SELECT count(*) AS n, count(*) FILTER (a = b) AS same FROM p),
  e AS (SELECT CAST(sum(x.n * y.n) AS BIGINT) AS chance FROM (SELECT a, count(*) AS n FROM p GROUP BY a) x JOIN (SELECT b, count(*) AS n FROM p GROUP BY b) y ON x.a = y.b),
  k AS (SELECT n, same / n AS observed, chance / (n * n) AS expected FROM t, e)
-SELECT n, observed, expected, CASE WHEN expected >= 1 THEN 1.0 ELSE (observed - expected) / (1 - expected) END AS kappa FROM k"""
+SELECT *, CASE WHEN kappa < 0.4 THEN 'unusable' WHEN kappa < 0.6 THEN 'moderate' WHEN kappa < 0.8 THEN 'substantial' ELSE 'strong' END AS reading, kappa >= 0.4 AS usable
+FROM (SELECT n, observed, expected, CASE WHEN expected >= 1 THEN 1.0 ELSE (observed - expected) / (1 - expected) END AS kappa FROM k) r"""
 
 
 @query(_KAPPA)
 def cohen_kappa(spark, d):
-    return agreement.cohen_kappa(_table(spark, d, "labels").dropna(subset=["quality", "toxic"]), "quality", "toxic").select("n", "observed", "expected", "kappa")
+    return agreement.cohen_kappa(_table(spark, d, "labels").dropna(subset=["quality", "toxic"]), "quality", "toxic")
 
 
 @query("WITH p AS (SELECT quality AS a, toxic AS b FROM labels), l AS (SELECT DISTINCT x FROM (SELECT a AS x FROM p UNION ALL SELECT b FROM p) u) SELECT i.x AS a, j.x AS b, count(p.a) AS n FROM l i CROSS JOIN l j LEFT JOIN p ON p.a = i.x AND p.b = j.x GROUP BY 1, 2")
@@ -428,19 +426,13 @@ def index_pages(spark, d):
     return index_rows(part.withColumn("html", html), "html", "p_partkey").select("p_partkey", "applicant", "state", "brief", "pdf", "size_mb")
 
 
-@query(r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\t\n\v\f\r ]+', ' ', 'g'))) AS digest FROM (SELECT page_id, replace(html, '&', '+') AS html FROM pages) p")
-def stripped_pages(spark, d):
-    return _table(spark, d, "pages").select("page_id", F.md5(text.strip_html(F.replace(F.col("html"), F.lit("&"), F.lit("+")))).alias("digest"))
-
-
 _DECODED = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
 for _entity, _char in (("nbsp", "chr(160)"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("#39", "chr(39)"), ("#x27", "chr(39)"), ("copy", "'©'"), ("middot", "'·'"), ("ndash", "'–'"), ("mdash", "'—'"), ("amp", "'&'")):
     _DECODED = f"replace({_DECODED}, '&{_entity};', {_char})"
 
 
 @query(rf"SELECT page_id, md5(trim(regexp_replace({_DECODED}, '[\t\n\v\f\r \x{{85}}\p{{Z}}]+', ' ', 'g'))) AS digest FROM pages")
-def stripped_pages_whole(spark, d):
-    """stripped_pages takes '&' out of a page first; here pages are stripped as they are."""
+def stripped_pages(spark, d):
     return _table(spark, d, "pages").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("digest"))
 
 
@@ -477,24 +469,16 @@ _PROBLEMS = r"""SELECT pos, array_to_string(list_filter([
 ], lambda x: x IS NOT NULL), ' ') AS problems FROM (""" + LABELLED + ") l"
 
 
+# RE2's \b knows ASCII letters only, so the SQL writes word edges out.
+for _edge, _written in ((r"\b(?:beer", r"(?:^|[^\p{L}\p{M}\p{N}_])(?:beer"), (r"(?:e?s)?\b", r"(?:e?s)?(?:[^\p{L}\p{M}\p{N}_]|$)")):
+    _PROBLEMS = _PROBLEMS.replace(_edge, _written)
+
+
 @query(_PROBLEMS)
 def row_problems(spark, d):
     return view(spark, d, LABELLED).select("pos", F.array_join(validation.problems(), " ").alias("problems"))
 
 
-# RE2's \b knows ASCII letters only, so the SQL over whole texts writes word edges out.
-_EDGES = (r"\b(?:beer", r"(?:^|[^\p{L}\p{M}\p{N}_])(?:beer"), (r"(?:e?s)?\b", r"(?:e?s)?(?:[^\p{L}\p{M}\p{N}_]|$)")
-_PROBLEMS_WHOLE = _PROBLEMS.replace(LABELLED, LABELLED_WHOLE)
-for _edge, _written in _EDGES:
-    _PROBLEMS_WHOLE = _PROBLEMS_WHOLE.replace(_edge, _written)
-
-
-@query(_PROBLEMS_WHOLE)
-def row_problems_whole(spark, d):
-    """row_problems screens the first 200 characters of a text, this all of it."""
-    return view(spark, d, LABELLED_WHOLE).select("pos", F.array_join(validation.problems(), " ").alias("problems"))
-
-
 @query(f"SELECT id, count(*) AS n FROM ({LABELLED}) l GROUP BY id HAVING count(*) > 1")
 def duplicate_ids(spark, d):
     return validation.duplicate_ids(view(spark, d, LABELLED))

@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-PREDICTED = "0,0.25,1.5,3,5,18,40,12,28,UNANSWERABLE"
-GOLD = "0,0.25,1.5,3,5,18,40,UNANSWERABLE"
+from assaykit import labels as L
+
+GIVEN = ",".join((*L.VALID, "12", L.UNANSWERABLE, L.UNCERTAIN, "7"))
+PREDICTED = ",".join((*L.VALID, *L.RETIRED, L.UNANSWERABLE))
+GOLD = ",".join((*L.VALID, L.UNANSWERABLE))
 
 #: Model answers from events: item = user, model = event type, run = how often that model met the item.
 ANSWERS = f"""
@@ -24,16 +27,13 @@ FROM {{events}}
 """
 
 RESPONSES = f"""
-SELECT a.*, h.heading,
+SELECT a.*,
   CASE WHEN garbled THEN 'I can not tell.' ELSE
     'SLAB: ' || said || CASE WHEN event_id % 3 = 0 THEN '%' ELSE '' END || chr(10) || 'HSN: ' || heading || chr(10)
     || 'ANSWERABLE: ' || CASE WHEN said = 'UNANSWERABLE' THEN 'no' ELSE 'yes' END || chr(10) || 'WHY: entry ' || heading
     || CASE WHEN event_id % 4 = 0 THEN ' which was 12% earlier' WHEN event_id % 4 = 1 THEN ' attracts 28 per cent' ELSE '' END
   END AS text
-FROM ({ANSWERS}) a JOIN (
-  SELECT event_id AS eid, CASE WHEN event_id % 3 = 0 THEN CAST(1001 + (user_id * 37) % 8000 AS VARCHAR(9))
-    WHEN event_id % 3 = 1 THEN substr(CAST(1001 + (user_id * 37) % 8000 AS VARCHAR(9)), 1, 2) || '99' ELSE '7777' END AS heading
-  FROM {{events}}) h ON a.event_id = h.eid
+FROM (SELECT b.*, CASE WHEN event_id % 3 = 0 THEN gold_heading WHEN event_id % 3 = 1 THEN substr(gold_heading, 1, 2) || '99' ELSE '7777' END AS heading FROM ({ANSWERS}) b) a
 """
 
 #: What scoring must find, from the view's own columns.
@@ -61,10 +61,10 @@ SELECT doc_id, text, lang, source, doc_id AS pos, CASE WHEN doc_id % 9 = 0 THEN
 FROM {documents}
 """
 
-LABELLED = """
-SELECT 'gst-' || lpad(CAST(doc_id % 9000 AS VARCHAR(9)), 4, '0') || CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE '' END AS id, doc_id AS pos,
-  CASE WHEN doc_id % 23 = 0 THEN '  ' ELSE substr(text, 1, 200) || CASE WHEN doc_id % 19 = 0 THEN ' and Whiskies' ELSE '' END END AS input,
-  split_part('0,0.25,1.5,3,5,18,40,12,UNANSWERABLE,UNCERTAIN,7', ',', CAST(1 + doc_id % 11 AS INT)) AS label,
+LABELLED = f"""
+SELECT 'gst-' || lpad(CAST(doc_id % 9000 - doc_id % 9000 % 2 * (doc_id % 3) AS VARCHAR(9)), 4, '0') || CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE '' END AS id, doc_id AS pos,
+  CASE WHEN doc_id % 23 = 0 THEN '  ' ELSE text || CASE WHEN doc_id % 19 = 0 THEN ' and Whiskies' ELSE '' END END AS input,
+  split_part('{GIVEN}', ',', CAST(1 + doc_id % 11 AS INT)) AS label,
   doc_id % 5 <> 0 AS answerable,
   CASE WHEN doc_id % 6 = 0 THEN 'reason=rate-fact-absent; seen' WHEN doc_id % 6 = 1 THEN 'reason=other' ELSE 'none' END AS labeller_notes,
   split_part('typical,hard,long_context,adversarial,out_of_scope,other', ',', CAST(1 + doc_id % 6 AS INT)) AS difficulty,
@@ -73,13 +73,9 @@ SELECT 'gst-' || lpad(CAST(doc_id % 9000 AS VARCHAR(9)), 4, '0') || CASE WHEN do
   CASE WHEN doc_id % 8 = 0 THEN ' ' ELSE 'because' END AS justification,
   split_part('human,model-first-pass,human-reviewed,gazette-derived,robot', ',', CAST(1 + doc_id % 5 AS INT)) AS labelled_by,
   CASE WHEN doc_id % 31 = 0 THEN 'gst-' || lpad(CAST((doc_id * 7) % 9000 AS VARCHAR(9)), 4, '0') END AS deprecated_by
-FROM {documents}
+FROM {{documents}}
 """
 
-#: The same rows with the whole text as input.
-LABELLED_WHOLE = LABELLED.replace("substr(text, 1, 200)", "text")
-
-
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "documents") if "{" + t + "}" in sql}
     return spark.sql(sql, **tables)

@@ -1,16 +1,45 @@
-"""Checkpoints in the folder that all executors share."""
+"""What operators share: checkpoints in the folder that all executors see, names that no column has."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, on one machine alone (tests), a folder made for it. On a cluster that raises."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        context = spark.sparkContext
+        made = context._jsc.sc().getCheckpointDir()
+        if made.isEmpty():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='assaykit-')}")
+            made = context._jsc.sc().getCheckpointDir()
+        root = made.get()
+    return root.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint under spark.checkpoint.dir; where it is unset (one machine, tests) in a folder made for it."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='assaykit-')}")
+    """A reliable checkpoint in the shared folder, made at once: rows keep their partitions and order."""
+    spark = df.sparkSession
+    root = shared_root(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
