@@ -58,15 +58,15 @@ def passing(spark: SparkSession, where: str) -> str:
     return where
 
 
-def kept(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write df (in a folder for each value of `by`) as a table in the shared folder and read it again: its lineage ends there.
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: its lineage ends there.
 
     Operators forget such tables once their readers are done; those that a returned plan still reads
     go when the driver ends. Spark deletes shuffle files of plans that are done when the driver's
     garbage goes, so it is collected here: else they would pile up beside the tables.
     """
     path = shared_dir(df.sparkSession, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)

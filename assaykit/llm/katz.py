@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from assaykit.llm.common import bound_batches, coded_words, forget, kept, remainder, table, text_slices
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Counts over LARGE lose HELD; tokens of a part of the pair table, about.
 LARGE, HELD, PART_TOKENS = 5, 0.05, 1_500_000
 #: Words in a row of a block's dictionary; pairs that a part gathers before it adds them up.
-ROW_WORDS, GATHERED = 20_000, 3_000_000
+ROW_WORDS, GATHERED = 20_000, 1_500_000
 #: Bits of a word's place in its block's dictionary, under its id in one long.
 CODE_BITS = 28
 #: The token that ends a text; no word has a line feed.
@@ -186,10 +186,10 @@ def _entries(blocks: DataFrame) -> DataFrame:
 
 
 def _coded(blocks: DataFrame, words: DataFrame, known: int) -> DataFrame:
-    """(block, payload, ids): the blocks with the model's ids for words, written. payload: ids by code, codes, ends, marks."""
+    """(block, payload, ids): the blocks, which go, with the model's ids for words; written. payload: ids by code, codes, ends, marks."""
     ids_type = blocks.schema["ids"].dataType.simpleString()
     own = _entries(blocks).select("block", "code", "word").join(words.select("word", "gid"), "word", "left")
-    own = own.select("block", (F.coalesce("gid", F.lit(known)) * (1 << CODE_BITS) + F.col("code")).alias("entry"))
+    own = kept(own.select("block", (F.coalesce("gid", F.lit(known)) * (1 << CODE_BITS) + F.col("code")).alias("entry")), "katz-ids")
     texts = blocks.where("payload IS NOT NULL").select(F.col("block").alias("of"), "payload", "ids")
 
     def code(left, right):
@@ -199,7 +199,9 @@ def _coded(blocks: DataFrame, words: DataFrame, known: int) -> DataFrame:
         codes, ends, trained = unpack(right["payload"][0].as_py())
         return pa.table({"block": right["of"], "payload": pa.array([pack(gids, codes, ends, trained)], pa.binary()), "ids": right["ids"]})
 
-    return kept(own.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(code, f"block long, payload binary, ids {ids_type}"), "katz-coded")
+    out = kept(own.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(code, f"block long, payload binary, ids {ids_type}"), "katz-coded")
+    forget(own, blocks)
+    return out
 
 
 @dataclass
@@ -298,7 +300,7 @@ def _log_alpha(taken: np.ndarray, seen: np.ndarray, times: np.ndarray) -> np.nda
 
 
 def _learn(blocks: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the blocks' trained texts, and the blocks coded by it."""
+    """The model of the blocks' trained texts, and the blocks, which go, coded by it."""
     spark = blocks.sparkSession
     shuffle_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = _entries(blocks).groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
@@ -328,6 +330,8 @@ def _learn(blocks: DataFrame) -> tuple[Model, DataFrame]:
                 h, w, n = h[order][begin], w[order][begin], np.diff(np.append(begin, len(order)))
                 for p, at in _by_part(_part(u, parts, frequent, h, w), parts):
                     yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([pack(_steps(h[at]), w[at], n[at])], pa.binary())], names=["part", "payload"])
+                del token, history, text, own, h, w, n, order, begin
+                pa.default_memory_pool().release_unused()
 
     def add_up(batches):
         here, rest, size = None, [], 0
@@ -393,8 +397,8 @@ def _learn(blocks: DataFrame) -> tuple[Model, DataFrame]:
 _PAIRS, _HISTORIES, _ASKED = range(3)
 
 
-def _apply(model: Model, coded: DataFrame) -> DataFrame:
-    """id, trained, n_tokens, n_known, base and score of each text of coded blocks, which go; written."""
+def _apply(model: Model, coded: DataFrame, once: bool = False) -> DataFrame:
+    """id, trained, n_tokens, n_known, base and score of each text of coded blocks, which go, with the model if it is used once; written."""
     spark = coded.sparkSession
     shared = spark.sparkContext.broadcast(model.unigrams)
     parts, frequent, d = model.parts, model.frequent, model.d
@@ -478,6 +482,8 @@ def _apply(model: Model, coded: DataFrame) -> DataFrame:
     asked = coded.select("block", "payload").mapInArrow(ask, "part long, kind long, block long, payload binary")
     both = stored[0].unionByName(stored[1]).unionByName(asked).repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("kind")
     answers = kept(both.mapInArrow(answer, "block long, part long, payload binary"), "katz-answers")
+    if once:
+        model.forget()
     kind = coded.schema["ids"].dataType.elementType.simpleString()
     scored = coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, trained boolean, n_tokens long, n_known long, base double, score double")
     out = kept(scored, "katz-scores")
@@ -494,7 +500,7 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """The model of all texts of docs: null or empty ones have the end alone, repeated rows count each, no rows give a model without words."""
     blocks = _blocks(_rows(docs, F.lit(True), id_column, text_column))
     model, coded = _learn(blocks)
-    forget(blocks, coded)
+    forget(coded)
     return model
 
 
@@ -502,7 +508,6 @@ def score_other(docs: DataFrame, model: Model, id_column: str = "doc_id", text_c
     """Texts that the model wasn't learned from, or as if: id, n_tokens, n_known, base_score and score as in score_texts."""
     blocks = _blocks(_rows(docs, F.lit(False), id_column, text_column))
     coded = _coded(blocks, model.words, model.unigrams.known)
-    forget(blocks)
     return _apply(model, coded).select(F.col("id").alias(id_column), "n_tokens", "n_known", F.col("base").alias("base_score"), "score")
 
 
@@ -517,10 +522,7 @@ def score_texts(docs: DataFrame, folds: int = 10, id_column: str = "doc_id", tex
     """
     blocks = _blocks(_rows(docs, remainder(id_column, folds) != 0, id_column, text_column))
     model, coded = _learn(blocks)
-    forget(blocks)
-    scored = _apply(model, coded)
-    model.forget()
-    return scored.select(
+    return _apply(model, coded, once=True).select(
         F.col("id").alias(id_column),
         (~F.col("trained")).alias("held_out"),
         "n_tokens",
