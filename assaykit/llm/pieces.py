@@ -316,15 +316,16 @@ def spelling(pieces: Pieces) -> dict[int, bytes]:
     return {k: x.replace(SPACE, " ").encode() for x, k in pieces.ids.items()} | {k: bytes([b]) for b, k in enumerate(pieces.bytes_)}
 
 
-def spell(ids_le: bytes, spelt: dict[int, bytes]) -> bytes:
+def spell(ids_le: bytes, spelt: dict[int, bytes], front: int = 1) -> bytes:
     """The text of some ids, without the space in front of it."""
-    return b"".join(map(spelt.__getitem__, np.frombuffer(ids_le, "<u4").tolist()))[1:]
+    return b"".join(map(spelt.__getitem__, np.frombuffer(ids_le, "<u4").tolist()))[front:]
 
 
 def segmentations(docs: DataFrame, path: str, n: int = 3, runs: bool = False) -> DataFrame:
     """doc_id, row, rank, score, ids_le, round_trip: each row's n best segmentations over its whole text.
 
-    round_trip: whether the ids, decoded again, spell the text.
+    round_trip: whether the ids, decoded again, spell the text. The best one is decoded whole; the others
+    spell the same if each place where they differ does, which are decoded.
 
     A text's best is every pre-token's best. Its n best take others than the best in at most n - 1
     places, those with the least to lose there (of equal ones the first), which n_best searches. ids_le: little-endian
@@ -338,11 +339,14 @@ def segmentations(docs: DataFrame, path: str, n: int = 3, runs: bool = False) ->
         pieces, known, old, full, row = shared.value, {}, {}, {}, 0  # tokens of late stay known
         spelt = spelling(pieces)
 
-        def alternatives(token: str) -> list[tuple[float, bytes]]:
+        def alternatives(token: str) -> list[tuple[float, bytes, bool]]:
+            """The n best of a pre-token, and whether they spell what the best one does."""
             if token not in full:
                 if len(full) > KNOWN // 10:
                     full.clear()
-                full[token] = [(s, array("I", ids).tobytes()) for s, ids in n_best(token, pieces, n)]
+                found = [(s, array("I", ids).tobytes()) for s, ids in n_best(token, pieces, n)]
+                text = spell(found[0][1], spelt, 0)
+                full[token] = [(s, ids, spell(ids, spelt, 0) == text) for s, ids in found]
             return full[token]
 
         for batch in batches:
@@ -351,31 +355,44 @@ def segmentations(docs: DataFrame, path: str, n: int = 3, runs: bool = False) ->
                 codes, ends, distinct = pre_tokens(part.column(1), runs)
                 if len(known) > KNOWN:
                     known, old = {}, known
-                known.update((x, old[x]) for x in distinct if x in old and x not in known)
-                new = sorted(x for x in distinct if x not in known)
+                new = []
+                for x in distinct:
+                    if x not in known:
+                        if x in old:
+                            known[x] = old[x]
+                        else:
+                            new.append(x)
+                new.sort()
                 known.update(zip(new, best_paths(new, pieces), strict=True))
-                mine = [known[x] for x in distinct]
-                best, loss, first = np.array([x[0] for x in mine]), np.array([x[1] for x in mine]), [x[2] for x in mine]
+                best, loss, first = zip(*map(known.__getitem__, distinct), strict=True) if distinct else ((), (), ())
+                best, loss = np.array(best), np.array(loss)
+                size = np.fromiter(map(len, first), np.int64, len(first))
                 doc, rows, ranks, scores, ids, same = [], [], [], [], [], []
                 for k, text in enumerate(part.column(1).to_pylist()):
                     own = codes[ends[k] : ends[k + 1]]
-                    total, chosen = float(best[own].sum()) if len(own) else 0.0, list(map(first.__getitem__, own.tolist()))
+                    total, whole = float(best[own].sum()) if len(own) else 0.0, b"".join(map(first.__getitem__, own.tolist()))
                     losses, places = loss[own] if len(own) else np.zeros(0), np.arange(len(own))
                     if len(own) > n - 1 > 0:  # more places than can differ from the best
                         edge = np.partition(losses, n - 2)[n - 2]
                         places = np.concatenate([np.flatnonzero(losses < edge), np.flatnonzero(losses == edge)])[: n - 1]
                     places = [int(p) for p in np.sort(places) if n > 1 and losses[p] < np.inf]
                     lists = [alternatives(distinct[own[p]]) for p in places]
-                    raw = (text or "").encode()
-                    for rank, (less, choice) in enumerate(best_choices([[x[0][0] - s for s, _ in x] for x in lists], n), 1):
+                    until = np.cumsum(size[own]) if places else None
+                    spells = spell(whole, spelt) == (text or "").encode()
+                    for rank, (less, choice) in enumerate(best_choices([[x[0][0] - s for s, _, _ in x] for x in lists], n), 1):
+                        made, at, fits = [], 0, spells
                         for p, x, c in zip(places, lists, choice, strict=True):
-                            chosen[p] = x[c][1]
+                            if c:  # this place's pieces are others than in the best
+                                end = int(until[p])
+                                made += (whole[at : end - int(size[own[p]])], x[c][1])
+                                at, fits = end, fits and x[c][2]
+                        made.append(whole[at:])
                         doc.append(k)
                         rows.append(row)
                         ranks.append(rank)
                         scores.append(total - less)
-                        ids.append(b"".join(chosen))
-                        same.append(spell(ids[-1], spelt) == raw)
+                        ids.append(b"".join(made))
+                        same.append(fits)
                     row += 1
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc, pa.int64())), pa.array(rows), pa.array(ranks, pa.int32()), pa.array(scores), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], names=["doc_id", "row", "rank", "score", "ids_le", "round_trip"])
 
@@ -412,9 +429,11 @@ def public_pieces() -> str:
 
 
 def op7_trie_counts(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents; nulls, empty texts and repeats: see token_counts."""
     return token_counts(table(spark, sf_dir, "documents"), public_pieces(), runs=True)
 
 
 def op8_nbest(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents; nulls, empty texts and repeats: see segmentations."""
     found = segmentations(table(spark, sf_dir, "documents"), public_pieces(), runs=True)
     return found.select("doc_id", "rank", "score", (F.octet_length("ids_le") / 4).cast("long").alias("n_pieces"), F.crc32("ids_le").alias("ids_crc32"), "round_trip")
