@@ -161,8 +161,32 @@ def decode_response(body: Column, model: Column, provider: Column) -> Column:
     )
 
 
+def request_body(model: Column, prompt: Column, system: Column | None, style: Column, thinking: Column, max_tokens: Column) -> Column:
+    """A chat-completions request as JSON. style says how a model family is told to reason; what doesn't fit the style is left out.
+
+    chat_template: chat_template_kwargs.enable_thinking; system_toggle: a leading system message;
+    effort: reasoning_effort, max or low; others: nothing.
+    """
+    message = "struct<role:string,content:string>"
+
+    def said(role: str, content: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), content.alias("content")).cast(message)
+
+    toggle = F.when(style == "system_toggle", said("system", F.when(thinking, "detailed thinking on").otherwise("detailed thinking off")))
+    own = F.lit(None).cast(message) if system is None else F.when(system.isNotNull(), said("system", system))
+    return F.to_json(
+        F.struct(
+            model.alias("model"),
+            F.array_compact(F.array(toggle, own, said("user", prompt))).alias("messages"),
+            max_tokens.alias("max_tokens"),
+            F.when(style == "chat_template", F.struct(thinking.alias("enable_thinking"))).alias("chat_template_kwargs"),
+            F.when(style == "effort", F.when(thinking, "max").otherwise("low")).alias("reasoning_effort"),
+        )
+    )
+
+
 def percent(x: Column) -> Column:
-    return F.when(x.isNull(), F.lit("—")).otherwise(F.format_string("%.1f%%", x * 100))
+    return F.when(x.isNull(), F.lit("—")).otherwise(F.format_string("%.1f%%", F.bround(x * 100, 1)))
 
 
 def money(x: Column, prefix: str) -> Column:

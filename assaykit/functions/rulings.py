@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assaykit import labels as L
 from assaykit.functions.regex import every, found, places, rx, squeeze
 from assaykit.functions.text import RATE_MENTION, heading_codes, normalise
+from assaykit.shared import fresh
 
 # --- fixed values: patterns and limits --------------------------------------------------------------
 OPERATIVE = rx(r"(?:R\s?U\s?L\s?I\s?N\s?G\b|we\s+rule\s+as\s+under|[Rr]uling\s+is\s+given\s+as\s+under|[Tt]he\s+following\s+ruling\s+is\s+(?:passed|given)|ANSWER\s*:)", "i")
@@ -22,6 +23,7 @@ QUESTION = rx(r"\bWhether\b[^?]{0,240}\?|question\s+as\s+to", "i")
 ANSWER = rx(r"\bAns(?:wer)?\b\s*[.:\-]|\bReply\b\s*[.:]", "i")
 CONDITIONAL = rx(r"\bor\b.{0,40}\bdepend|depending\s+upon|whichever|as\s+the\s+case", "i")
 TAIL_CHARS, QUOTE_CHARS = 150, 600
+CONFIDENCE = ("low — reads like the question, not the ruling", "conditional — the heading depends on facts", "reads like a determination")
 # ------------------------------------------------------------------------------------------------------
 
 
@@ -39,8 +41,9 @@ def operative_tail(text: Column) -> Column:
 
 def operative_ruling(df: DataFrame, column: str, out: str = "quote") -> DataFrame:
     """Adds the operative passage, redacted, up to QUOTE_CHARS characters; null where there is none."""
-    df = normalise(df.withColumn("_tail", operative_tail(F.col(column))), "_tail", ruling=True, out="_quote", applied="_applied")
-    return df.withColumn(out, F.substring("_quote", 1, QUOTE_CHARS)).drop("_tail", "_quote", "_applied")
+    tail, clean, applied = (fresh(df, x) for x in ("_tail_of_ruling", "_clean_tail", "_applied_to_tail"))
+    df = normalise(df.withColumn(tail, operative_tail(F.col(column))), tail, ruling=True, out=clean, applied=applied)
+    return df.withColumn(out, F.substring(clean, 1, QUOTE_CHARS)).drop(tail, clean, applied)
 
 
 def _plain_number(x: Column) -> Column:
@@ -61,7 +64,7 @@ def outcome(quote: Column) -> Column:
     old = F.create_map(*(F.lit(x) for pair in L.OLD_SCHEDULE_LABEL.items() for x in pair))
     held = F.coalesce(F.get(F.filter(F.array(F.try_element_at(old, schedule)), lambda x: x.isNotNull()), F.lit(0)), combined, F.when(F.size(ordered) == 1, F.get(ordered, F.lit(0))))
     open_ = conditional | (F.size(headings) > 1)
-    confidence = F.when(question, "low — reads like the question, not the ruling").when(open_, "conditional — the heading depends on facts").otherwise("reads like a determination")
+    confidence = F.when(question, CONFIDENCE[0]).when(open_, CONFIDENCE[1]).otherwise(CONFIDENCE[2])
     return F.when(
         quote.isNotNull(),
         F.struct(

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from assaykit import labels as L
 from assaykit.functions.regex import every, found, one_of, places, rx, squeeze, tokens, word_count
+from assaykit.shared import fresh
 
 # --- fixed values: patterns of what is stripped, in the order of application ---------------------
 _MS = r"M\s*/\s*s\.?\s*(?!No\b|No\.)"
@@ -50,17 +51,17 @@ RULING_PATTERNS = (
     ("admissibility_recital", rx(r"Advance\s+ruling\s+is\s+admissible\s+on\s+.{0,120}?section\s*97\s*\(\s*2\s*\)[^.]{0,60}\.", "is")),
     ("pending_declaration", rx(r"The\s+[Aa]pplicant\s+declares\s+th\s?at\s+the\s+issue\s+raised.{0,300}?admissibility\s+of\s+the\s+[Aa]pplication\s*\.", "is")),
 )
+FURNITURE = (
+    r"(?i)\b(?:buy\s+now|shop\s+now|free\s+delivery|free\s+shipping|cash\s+on\s+delivery|best\s+seller|bestseller|limited\s+(?:time\s+)?offer|hurry|sale\s+ends"
+    r"|lowest\s+price|deal\s+of\s+the\s+day|new\s+arrival|out\s+of\s+stock|click\s+here|order\s+online)\b"
+)
 COMMON_PATTERNS = (
     ("url", rx(r"https?://\S+|www\.\S+", "i")),
     ("email", rx(r"\b[\w.+-]+@[\w-]+\.[\w.]+\b")),
     ("phone", rx(r"(?:\+91[\s-]?)?\b\d{10}\b|\b\d{3,5}[\s-]\d{6,8}\b")),
     (
         "furniture",
-        rx(
-            r"\b(?:buy\s+now|shop\s+now|free\s+delivery|free\s+shipping|cash\s+on\s+delivery|best\s+seller|bestseller|limited\s+(?:time\s+)?offer|hurry|sale\s+ends"
-            r"|lowest\s+price|deal\s+of\s+the\s+day|new\s+arrival|out\s+of\s+stock|click\s+here|order\s+online)\b",
-            "i",
-        ),
+        rx(FURNITURE),
     ),
     ("rating", rx(r"[★☆⭐✩✪✫✬✭✮✯]+|\(\s*\d+(?:\.\d+)?\s*/\s*5\s*\)")),
 )
@@ -102,6 +103,9 @@ GOODS_START = rx(
 GOODS_END = rx(r"(?:\bDISCUSSION\b|\bFINDINGS?\b|\bPERSONAL\s+HEARING\b|\bRULING\b|\bWe\s+have\s+(?:gone\s+through|considered|carefully)|\bQUESTIONS?\s+(?:ON\s+WHICH|RAISED))", "s")
 HEADING_MENTION = rx(r"\b(?:HSN|H\.?S\.?N\.?|heading|chapter|tariff\s+item|sub-?heading)[^0-9\n]{0,25}(\d{4}(?:\s?\d{2}){0,2})", "i")
 RATE_MENTION = rx(r"(\d{1,2}(?:\.\d+)?)\s*%")
+COMMAND = rx(r"^(?:python\d?|py|pip\d?|pytest|git|npm|node|pwsh|powershell|docker)\b|^cd\s+(?:\S*[\\/]|\.\.)|\s--?[A-Za-z]", "i")
+HINTS = ("categories", "quantity", "labels", "state", "order_no", "hsn_candidates", "ruling_brief", "ruling_url", "pdf_pages", "truncated")
+LISTS = ("hsn_candidates",)
 OUT_OF_SCOPE = rx(rf"\b(?:{one_of(L.OUT_OF_SCOPE_TERMS)})(?:e?s)?\b", "i")
 # -------------------------------------------------------------------------------------------------
 
@@ -138,7 +142,11 @@ SIGNS = {
     "role_name": rx(r",\s*[ACFPT]"),
     "street_address": rx(r"\d[\w\-/]*\s*,"),
     "address": rx(r"\d{3}\s?\d{3}"),
+    "phone": rx(r"\d{6}"),
+    "rating": r"[★☆⭐✩✪✫✬✭✮✯]|/\s*5",
 }
+#: Pieces of text of which one must be there, without regard to case.
+PIECES = {"url": ("://", "www."), "email": ("@",)}
 
 
 def normalise(df: DataFrame, column: str, ruling: bool = False, out: str = "normalised", applied: str = "applied", unicode: bool = True) -> DataFrame:
@@ -147,11 +155,16 @@ def normalise(df: DataFrame, column: str, ruling: bool = False, out: str = "norm
     Each step is a column of its own, computed once from the one before; every pattern takes out
     something that isn't white space, so a step fired where its text differs from the last.
     """
-    steps = [("nfkc", nfkc)] if unicode else []
+    steps = [("nfkc", lambda t: F.coalesce(nfkc(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t))] if unicode else []  # ASCII is its own form
 
     def strip(name: str, pattern: str):
         def run(t: Column) -> Column:
             new = F.regexp_replace(t, pattern, " ")
+            if name in PIECES:
+                some = F.lit(False)
+                for piece in PIECES[name]:
+                    some = some | F.contains(F.lower(t) if piece != piece.upper() else t, F.lit(piece))
+                return F.when(some, new).otherwise(t)
             return F.when(t.rlike(SIGNS[name]), new).otherwise(t) if name in SIGNS else new
 
         return f"strip_{name}", run
@@ -159,11 +172,12 @@ def normalise(df: DataFrame, column: str, ruling: bool = False, out: str = "norm
     if ruling:
         steps += [strip(*p) for p in RULING_PATTERNS] + [("strip_known_party", strip_known_parties)]
     steps += [strip(*p) for p in COMMON_PATTERNS] + [("strip_emoji", strip_emoji), ("collapse_ws", trim_edges)]
-    df = df.withColumn("_t0", F.col(column))
+    t = [fresh(df, f"_step{k}") for k in range(len(steps) + 1)]
+    df = df.withColumn(t[0], F.col(column))
     for k, (_, run) in enumerate(steps):
-        df = df.withColumn(f"_t{k + 1}", run(F.col(f"_t{k}")))
-    names = F.array_compact(F.array(*(F.when(F.col(f"_t{k + 1}") != F.col(f"_t{k}"), F.lit(name)) for k, (name, _) in enumerate(steps))))
-    return df.withColumns({out: F.col(f"_t{len(steps)}"), applied: names}).drop(*(f"_t{k}" for k in range(len(steps) + 1)))
+        df = df.withColumn(t[k + 1], run(F.col(t[k])))
+    names = F.array_compact(F.array(*(F.when(F.col(t[k + 1]) != F.col(t[k]), F.lit(name)) for k, (name, _) in enumerate(steps))))
+    return df.withColumns({out: F.col(t[-1]), applied: names}).drop(*t)
 
 
 def in_length_bounds(text: Column) -> Column:
@@ -278,13 +292,47 @@ def stale_rates(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(every(text, RATE_MENTION, 1), lambda r: r.isin(*L.STATED_RATES))))
 
 
+@F.pandas_udf(T.StringType())
+def unescape(s):
+    """No built-in function knows all named and numbered entities of HTML."""
+    import html
+
+    return s.map(lambda x: None if x is None else html.unescape(x))
+
+
 def strip_html(html: Column) -> Column:
-    """Tags become spaces, the common entities their characters; white space is squeezed."""
-    text = F.regexp_replace(html, "<[^>]+>", " ")
-    # --- fixed values: entities
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return squeeze(text)
+    """Tags become spaces, entities their characters, as HTML 5 reads them; white space is squeezed."""
+    return squeeze(decode_entities(F.regexp_replace(html, "<[^>]+>", " ")))
+
+
+def decode_entities(text: Column) -> Column:
+    """Common entities by replacing them; texts with any other '&' by unescape, the only ones that leave the JVM."""
+    # --- fixed values: entities that can't be the beginning of another one's name
+    plain = text
+    for entity, char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—")):
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    rest = F.replace(plain, F.lit("&amp;"), F.lit(""))
+    other = F.contains(rest, F.lit("&"))
+    return F.coalesce(unescape(F.when(other, text)), F.replace(plain, F.lit("&amp;"), F.lit("&")))
+
+
+def looks_like_command(text: Column) -> Column:
+    """Whether what was typed as an answer is a shell command."""
+    return F.substring(text, 1, 2).isin("./", ".\\") | (F.contains(text, F.lit(" ")) & text.rlike(COMMAND))
+
+
+def label_hints(meta: dict[str, Column], most: int = 260) -> Column:
+    """A map of what a labeller may see of a record: names of HINTS to short texts; nulls, '', false and empty lists are left out.
+
+    meta: columns by name; lists as arrays of strings. candidate_families and the decision's outcome are shown beside it.
+    """
+
+    def text(name: str, c: Column) -> Column:
+        flat = F.array_join(c, ", ") if name in LISTS else c.cast("string")
+        return F.substring(F.when(~flat.isin("", "false"), flat), 1, most)
+
+    pairs = [x for name in HINTS if name in meta for x in (F.lit(name), text(name, meta[name]))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
 def mentions_near(text: Column, pattern: str, group: str, unless: str, before: int, after: int) -> Column:

@@ -11,7 +11,8 @@ from assaykit.functions.regex import every, places, rx, squeeze
 # --- fixed values: patterns and widths --------------------------------------------------------------
 SCHEDULE_HEAD = rx(r"Schedule\s+(VII|VI|V|IV|III|II|I)\s*[-–—]{0,2}\s*([\d.]+)\s*%", "i")
 NEXT_SERIAL = rx(r"\s\d{1,3}\s*\.\s+(?=\d{4}|\d{2}\b|[A-Z])")
-EXCLUSION = rx(r"other\s+than\s+([^\].;…)]{3,160})", "i")
+EXCLUSION = rx(r"other\s+than\s+([^\].;…)]{3,160})(\s*…)?", "i")
+CLAUSE, CLAUSES, JOINED, FEW = 120, 3, 200, 3  # characters of a clause, clauses that are told, characters of these, letters that "…" takes
 SERIAL_CHAPTER = rx(r"(?:^|[^\d])\d{1,3}\s*\.\s*(\d{2})\s*(?:\[[^\]]*\]\s*)?(?=[A-Z])")
 BACK, FORWARD, SHORT = 160, 320, 60
 # ------------------------------------------------------------------------------------------------------
@@ -64,17 +65,18 @@ def _labels() -> Column:
 
 
 def rated_entries(notice: DataFrame, text: str = "text") -> DataFrame:
-    """(heading, schedule, label, entry): of each heading's mentions in a schedule the one whose entry begins with it, else the first. Schedule VII is left out."""
+    """(heading, schedule, label, entry, place): of each heading's mentions in a schedule the one whose entry begins with it, else the first. Schedule VII is left out. place: where the schedule first mentions it."""
     m = notice.select(F.col(text).alias("t"), schedule_bounds(F.col(text)).alias("b"), F.explode(heading_positions(F.col(text))).alias("m"))
     m = m.select(F.col("m.heading").alias("heading"), F.col("m.at").alias("at"), enclosing(F.col("b"), F.col("m.at")).alias("schedule"), entry_text(F.col("t"), F.col("m.at")).alias("entry"))
     own = F.struct(F.when(F.col("entry").startswith(F.col("heading")), 0).otherwise(1).alias("k"), "at", "entry")
-    best = m.where("schedule IS NOT NULL AND schedule <> 'VII'").groupBy("heading", "schedule").agg(F.min(own).alias("x"))
-    return best.select("heading", "schedule", F.try_element_at(_labels(), F.col("schedule")).alias("label"), F.col("x.entry").alias("entry"))
+    best = m.where("schedule IS NOT NULL AND schedule <> 'VII'").groupBy("heading", "schedule").agg(F.min(own).alias("x"), F.min("at").alias("place"))
+    return best.select("heading", "schedule", F.try_element_at(_labels(), F.col("schedule")).alias("label"), F.col("x.entry").alias("entry"), F.col("place").cast("long").alias("place"))
 
 
 def amendments(spark) -> DataFrame:
-    rows = [(h, s, L.SCHEDULE_LABEL[s], L.AMENDMENT_PREFIX + f"{sub or h} {text}") for h, sub, s, text in L.AMENDMENTS]
-    return spark.createDataFrame(rows, "heading string, schedule string, label string, entry string")
+    """Entries that came later, placed after those of any text."""
+    rows = [(h, s, L.SCHEDULE_LABEL[s], L.AMENDMENT_PREFIX + f"{sub or h} {text}", (1 << 40) + k) for k, (h, sub, s, text) in enumerate(L.AMENDMENTS)]
+    return spark.createDataFrame(rows, "heading string, schedule string, label string, entry string, place long")
 
 
 def chapter_entries(notice: DataFrame, text: str = "text") -> DataFrame:
@@ -83,15 +85,15 @@ def chapter_entries(notice: DataFrame, text: str = "text") -> DataFrame:
     m = notice.select(F.col(text).alias("t"), schedule_bounds(F.col(text)).alias("b"), F.explode(found).alias("m"))
     m = m.select(F.regexp_extract(F.substring(F.col("t"), F.col("m.at") + 1, F.lit(2)), r"(\d{2})", 1).alias("chapter"), F.col("m.at").alias("at"), enclosing(F.col("b"), F.col("m.at")).alias("schedule"), entry_text(F.col("t"), F.col("m.at")).alias("entry"))
     best = m.where("schedule IS NOT NULL AND chapter <> ''").groupBy("chapter", "schedule").agg(F.min(F.struct("at", "entry")).alias("x"))
-    return best.select("chapter", "schedule", F.try_element_at(_labels(), F.col("schedule")).alias("label"), F.col("x.entry").alias("entry"))
+    return best.select("chapter", "schedule", F.try_element_at(_labels(), F.col("schedule")).alias("label"), F.col("x.entry").alias("entry"), F.col("x.at").cast("long").alias("place"))
 
 
 def exempt_entries(notice: DataFrame, text: str = "text") -> DataFrame:
-    """(heading, entry): entries of the exempt list, one for each beginning of 80 characters."""
+    """(heading, entry, place): entries of the exempt list, one for each beginning of 80 characters."""
     m = notice.select(F.col(text).alias("t"), F.explode(heading_positions(F.col(text))).alias("m"))
     m = m.select(F.col("m.heading").alias("heading"), F.col("m.at").alias("at"), entry_text(F.col("t"), F.col("m.at")).alias("entry"))
     first = m.groupBy("heading", F.substring("entry", 1, 80).alias("_k")).agg(F.min(F.struct("at", "entry")).alias("x"))
-    return first.select("heading", F.col("x.entry").alias("entry"))
+    return first.select("heading", F.col("x.entry").alias("entry"), F.col("x.at").cast("long").alias("place"))
 
 
 def match_headings(headings: DataFrame, entries: DataFrame, exempt: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -119,8 +121,59 @@ def match_headings(headings: DataFrame, entries: DataFrame, exempt: DataFrame, c
 
 
 def deciding_clauses(entry: Column) -> Column:
-    """Exclusion clauses of an entry, tidied, distinct whatever their case."""
-    tidy = F.transform(every(entry, EXCLUSION, 1), lambda c: F.btrim(F.regexp_replace(squeeze(c), r"\s+\d{1,3}\s*$", ""), F.lit(" ,.;]")))
-    short = F.transform(tidy, lambda c: F.when(F.length(c) > 120, F.concat(F.regexp_replace(F.substring(c, 1, 117), r"\s\S*$", ""), F.lit(" …"))).otherwise(c))
+    """Exclusion clauses of an entry, tidied, distinct whatever their case.
+
+    A clause that the entry's own "…" cuts ends with one; a long one is cut at a word, with one.
+    """
+
+    def tidy(m: Column) -> Column:
+        c = F.btrim(F.regexp_replace(squeeze(F.regexp_extract(m, EXCLUSION, 1)), r"\s+\d{1,3}\s*$", ""), F.lit(" ,.;]"))
+        c = F.when(F.regexp_extract(m, EXCLUSION, 2) != "", F.concat(c, F.lit(" …"))).otherwise(c)
+        return F.btrim(_cut(c, CLAUSE))
+
+    return _distinct_texts(F.filter(F.transform(every(entry, EXCLUSION), tidy), lambda c: c != ""))
+
+
+def _cut(text: Column, most: int) -> Column:
+    """A text of more than `most` characters up to its last whole word that leaves room for "…"."""
+    return F.when(F.length(text) > most, F.concat(F.regexp_replace(F.substring(text, 1, most - FEW), " [^ ]*$", ""), F.lit(" …"))).otherwise(text)
+
+
+def _distinct_texts(texts: Column) -> Column:
+    empty = F.array().cast("array<string>")
+    return F.aggregate(texts, empty, lambda acc, c: F.when(F.exists(acc, lambda o: F.lower(o) == F.lower(c)), acc).otherwise(F.concat(acc, F.array(c))))
+
+
+def decides_it(entries: Column) -> Column:
+    """What separates some entries, in their own words: the first exclusion clauses of all of them; null without any."""
+    clauses = _distinct_texts(F.flatten(F.transform(entries, deciding_clauses)))
+    return F.when(F.size(clauses) > 0, _cut(F.array_join(F.slice(clauses, 1, CLAUSES), "; "), JOINED))
+
+
+def explained(matches: DataFrame, entries: DataFrame, exempt: DataFrame, chapters: DataFrame) -> DataFrame:
+    """matches (of match_headings) with alternatives, decided_by and entry.
+
+    alternatives: what competes for an ambiguous heading, or what its chapter says; decided_by:
+    decides_it of an ambiguous heading's own entries; entry: the first of a settled one. A heading has a
+    few entries, one for each schedule.
+    """
+
+    def listed(df: DataFrame, key: str, kind: int) -> DataFrame:
+        schedule = F.col("schedule") if "schedule" in df.columns else F.lit(None).cast("string")
+        label = F.col("label") if "label" in df.columns else F.lit("0")
+        return df.select(F.col(key).alias("_key"), F.struct(F.lit(kind).alias("kind"), "place", schedule.alias("schedule"), label.alias("label"), "entry").alias("_x"))
+
+    own = listed(entries, "heading", 0).unionByName(listed(exempt, "heading", 1)).groupBy("_key").agg(F.array_sort(F.collect_list("_x")).alias("_own"))
+    wide = listed(chapters, "chapter", 2).groupBy("_key").agg(F.array_sort(F.collect_list("_x")).alias("_wide"))
+    df = matches.join(own.withColumnRenamed("_key", "_k1"), F.col("heading") == F.col("_k1"), "left").join(wide.withColumnRenamed("_key", "_k2"), F.substring("heading", 1, 2) == F.col("_k2"), "left")
+    none = F.array().cast(df.schema["_own"].dataType)
+    shown = F.concat(F.coalesce("_own", none), F.when(F.col("chapter_only"), F.coalesce("_wide", none)).otherwise(none))
+
+    def line(x: Column) -> Column:
+        where = F.when(x["kind"] == 1, F.lit("exempt")).when(x["kind"] == 2, F.concat_ws(" ", F.lit("chapter"), F.substring("heading", 1, 2), F.lit("schedule"), x["schedule"])).otherwise(F.concat_ws(" ", F.lit("schedule"), x["schedule"]))
+        return F.concat(where, F.lit(" = "), F.coalesce(x["label"], F.lit("?")), F.lit("%: "), F.substring(x["entry"], 1, 150))
+
     empty = F.array().cast("array<string>")
-    return F.aggregate(F.filter(short, lambda c: c != ""), empty, lambda acc, c: F.when(F.exists(acc, lambda o: F.lower(o) == F.lower(c)), acc).otherwise(F.concat(acc, F.array(c))))
+    lines = F.when(F.col("ambiguous") | F.col("chapter_only"), F.transform(shown, line)).otherwise(empty)
+    decided = F.when(F.col("ambiguous"), decides_it(F.transform(F.coalesce("_own", none), lambda x: x["entry"])))
+    return df.select(*matches.columns, lines.alias("alternatives"), decided.alias("decided_by"), F.when(F.col("label").isNotNull(), F.get("_own", F.lit(0))["entry"]).alias("entry"))

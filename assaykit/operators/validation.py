@@ -91,14 +91,3 @@ def verify_documents(documents: DataFrame, files: DataFrame) -> DataFrame:
         F.coalesce(F.lower("sha256") != F.lower("_sha"), F.lit(False)).alias("wrong_hash"),
         F.when(F.col("_file").isNull(), 0).otherwise(F.size(miss)).alias("passages_missing"),
     )
-
-
-def derive_rows(first_pass: DataFrame, golden: DataFrame, at: Column) -> DataFrame:
-    """First-pass rows a document lookup settles, that golden doesn't have: relabelled as derived, without the change tag."""
-    settled = first_pass.where((F.col("label") != L.UNCERTAIN) & F.col("heading").isNotNull()).join(golden.select("id"), "id", "left_anti")
-    return settled.withColumns({"labelled_by": F.lit(L.DERIVED[0]), "labelled_at": at, "tags": F.array_remove("tags", "rate-changed-2025")})
-
-
-def accept_review(suggested: DataFrame, label: Column, heading: Column, at: Column) -> DataFrame:
-    """A reviewed suggestion: the annotator's label and heading, marked as human-reviewed."""
-    return suggested.withColumns({"label": label, "heading": heading, "labelled_by": F.lit("human-reviewed"), "labelled_at": at})

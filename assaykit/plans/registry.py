@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaykit import labels as L
 from assaykit.functions import answers, text
 from assaykit.functions.regex import one_of, word_count
 from assaykit.functions.rulings import operative_tail, outcome
-from assaykit.operators import agreement, composition, evaluation, lookup, queue, validation
+from assaykit.operators import agreement, composition, evaluation, firstpass, lookup, queue, validation
+from assaykit.operators.ordering import placed
 from assaykit.plans.views import ANSWERS, LABELLED, MODELS, POOL, RESPONSES, SCORES, oracle, view
+from assaykit.sources import jsonl
 from assaykit.sources.index import index_rows
 from assaykit.streaming.runs import SCHEMA as EVENTS_SCHEMA
 
@@ -325,7 +327,7 @@ def listings(spark, d):
 
 
 _NORMAL = "text"
-for _name, _p in (("url", r"(?i)https?://\S+|www\.\S+"), ("email", r"\b[\w.+-]+@[\w-]+\.[\w.]+\b"), ("phone", r"(?:\+91[\s-]?)?\b\d{10}\b|\b\d{3,5}[\s-]\d{6,8}\b")):
+for _name, _p in (("url", r"(?i)https?://\S+|www\.\S+"), ("email", r"\b[\w.+-]+@[\w-]+\.[\w.]+\b"), ("phone", r"(?:\+91[\s-]?)?\b\d{10}\b|\b\d{3,5}[\s-]\d{6,8}\b"), ("furniture", text.FURNITURE), ("rating", r"[★☆⭐✩✪✫✬✭✮✯]+|\(\s*\d+(?:\.\d+)?\s*/\s*5\s*\)")):
     _NORMAL = f"regexp_replace({_NORMAL}, '{_p}', ' ', 'g')"
 _NORMAL = rf"trim(regexp_replace(regexp_replace({_NORMAL}, '[\p{{So}}]', '', 'g'), '[\t\n\v\f\r ]+', ' ', 'g'), ' -–—,;·|')"
 
@@ -406,13 +408,33 @@ def batch_places(spark, d):
 
 # --- screens, index pages, rulings -----------------------------------------------------------------------
 _BRIEFS = "classification of steel pipes|rate of GST on services of repair|sale of land and buildings|Goods and Services Tax Act and HSN of soap|execution of the work of roads|who may apply"
-_BRIEF = f"split_part('{_BRIEFS}', '|', CAST(1 + p_partkey % 6 AS INT))"
+_BRIEF = f"split_part('{_BRIEFS}', '|', CAST(1 + doc_id % 6 AS INT)) || ' ' || text"
 
 
-@query("SELECT p_partkey, p_partkey % 6 IN (1, 4) AS services, p_partkey % 6 = 2 AS immovable, p_partkey % 6 IN (0, 3) OR (p_partkey % 6 = 5 AND p_partkey % 2 = 1) AS classification FROM part")
+def _re2(pattern: str) -> str:
+    """A pattern of ours for RE2, quoted."""
+    return pattern.replace("(?Udi)", "(?i)").replace("(?Ud)", "").replace("(?Uds)", "(?s)").replace("'", "''")
+
+
+#: RE2 has no lookahead: what isn't to follow a word is taken out with it first.
+_NO_STATUTE = f"regexp_replace(b, '{_re2(text.STATUTE)}', ' ', 'g')"
+_WEAKLY = rf"regexp_matches(regexp_replace({_NO_STATUTE}, '(?i)catering\s+to', ' ', 'g'), '{_re2(text.SERVICE_WEAK).replace('(?!' + chr(92) + 's+to)', '')}')"
+_SCREENED = f"""SELECT doc_id, regexp_matches({_NO_STATUTE}, '{_re2(text.SERVICE_STRONG)}') OR regexp_matches({_NO_STATUTE}, '{_re2(text.SERVICE_NOTIFICATION)}') OR {_WEAKLY} AS services,
+  regexp_matches(b, '{_re2(text.IMMOVABLE)}') AS immovable, doc_id % 2 = 1 OR {' OR '.join(f"contains(lower(b), '{h}')" for h in L.CLASSIFICATION_HINTS)} AS hinted,
+  regexp_matches(b || CASE WHEN doc_id % 7 = 0 THEN ' The application is hereby withdrawn.' ELSE '' END, '{_re2(text.WITHDRAWN)}') AS withdrawn FROM (SELECT doc_id, {_BRIEF} AS b FROM documents) x"""
+
+
+@query(f"SELECT doc_id, services, immovable, hinted AND NOT services AND NOT immovable AS classification, withdrawn FROM ({_SCREENED}) s")
 def ruling_screens(spark, d):
-    df = _table(spark, d, "part").select("p_partkey", F.expr(_BRIEF).alias("brief"), F.expr("if(p_partkey % 2 = 1, 'Section 97 (2) (a)', 'other')").alias("category"))
-    return df.select("p_partkey", text.is_about_services(F.col("brief")).alias("services"), text.is_about_immovable(F.col("brief")).alias("immovable"), text.is_classification(F.col("category"), F.col("brief")).alias("classification"))
+    df = _table(spark, d, "documents").select("doc_id", F.expr(_BRIEF).alias("brief"), F.expr("if(doc_id % 2 = 1, 'Section 97 (2) (a)', 'other')").alias("category"))
+    gone = F.concat("brief", F.expr("if(doc_id % 7 = 0, ' The application is hereby withdrawn.', '')"))
+    return df.select("doc_id", text.is_about_services(F.col("brief")).alias("services"), text.is_about_immovable(F.col("brief")).alias("immovable"), text.is_classification(F.col("category"), F.col("brief")).alias("classification"), text.is_withdrawn(gone).alias("withdrawn"))
+
+
+@query("SELECT doc_id, pages <= 0 OR length(text) / pages < 200 AS scanned, coalesce(size_mb > 2.5 AND doc_id % 3 <> 0, false) AS oversize FROM (SELECT doc_id, text, doc_id % 5 AS pages, CASE WHEN doc_id % 4 > 0 THEN length(text) / 1000.0::DOUBLE END AS size_mb FROM documents) d")
+def source_screens(spark, d):
+    df = _table(spark, d, "documents").selectExpr("doc_id", "text", "doc_id % 5 AS pages", "IF(doc_id % 4 > 0, length(text) / 1000.0D, NULL) AS size_mb", "doc_id % 3 = 0 AS cached")
+    return df.select("doc_id", text.is_scanned(F.col("text"), F.col("pages")).alias("scanned"), text.oversize(F.col("size_mb"), 2.5, F.col("cached")).alias("oversize"))
 
 
 @query("SELECT p_partkey, p_name AS applicant, p_brand AS state, p_type AS brief, CASE WHEN p_partkey % 3 = 0 THEN 'f' || p_partkey || '.pdf' END AS pdf, CASE WHEN p_partkey % 3 = 0 THEN p_size * 1.0::DOUBLE WHEN p_partkey % 3 = 1 THEN p_size * (1 / 1024.0::DOUBLE) END AS size_mb FROM part")
@@ -436,23 +458,41 @@ def stripped_pages(spark, d):
     return _table(spark, d, "pages").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("digest"))
 
 
-_FACTS = "concat('Preamble. Brief facts of the case: the maker sells ', p_name, ' ', repeat('and more goods ', 10), 'under heading 3307 and HSN 3401 11 at 12% or 5 %, Tariff Act 1975. FINDINGS follow ', p_type)"
+_FACTS = "'Preamble. Brief facts of the case: the maker sells goods under heading ' || (1800 + doc_id % 400) || ' and HSN 3401 11 at 12% or ' || doc_id % 7 || ' %. ' || text || ' FINDINGS follow'"
+_SPACES = r"[\t\n\v\f\r \x{1c}-\x{1f}\x{85}\p{Z}]+"
+_BODY = rf"regexp_replace(regexp_replace(substr(t, 11, length(t) - 10 - length(' FINDINGS follow')), '^{_SPACES}', ''), '{_SPACES}$', '')"
+_CODES = rf"list_transform(regexp_extract_all(t, '{_re2(text.HEADING_MENTION)}', 1), lambda c: substr(regexp_replace(c, '\s+', '', 'g'), 1, 8))"
 
 
-@query("SELECT p_partkey, 'Brief facts of the case: the maker sells ' || p_name || ' ' || repeat('and more goods ', 10) || 'under heading 3307 and HSN 3401 11 at 12% or 5 %, Tariff Act 1975.' AS excerpt, false AS truncated, '3307|340111' AS codes, '12|5' AS rates FROM part")
+@query(
+    rf"""SELECT doc_id, CASE WHEN len(w) >= 25 THEN md5(CASE WHEN len(w) > 300 THEN array_to_string(w[1:300], ' ') ELSE body END) END AS digest, CASE WHEN len(w) >= 25 THEN len(w) > 300 END AS truncated,
+    array_to_string(list_sort(list_distinct(list_filter(codes, lambda c: NOT (length(c) = 4 AND (starts_with(c, '19') OR starts_with(c, '20')))))), '|') AS codes,
+    array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(t, '(\d{{1,2}}(?:\.\d+)?)\s*%', 1), lambda r: r IN ('0', '0.25', '1.5', '3', '5', '12', '18', '28', '40')))), '|') AS rates
+    FROM (SELECT doc_id, t, body, {_CODES} AS codes, list_filter(regexp_split_to_array(body, '{_SPACES}'), lambda x: x <> '') AS w FROM (SELECT doc_id, t, {_BODY} AS body FROM (SELECT doc_id, {_FACTS} AS t FROM documents) x) y) z"""
+)
 def goods_excerpts(spark, d):
-    df = _table(spark, d, "part").select("p_partkey", F.expr(_FACTS).alias("t"))
-    x = text.goods_excerpt(F.col("t"), 300)
-    return df.select("p_partkey", x["excerpt"].alias("excerpt"), x["truncated"].alias("truncated"), F.array_join(text.heading_candidates(F.col("t")), "|").alias("codes"), F.array_join(text.stale_rates(F.col("t")), "|").alias("rates"))
+    df = _table(spark, d, "documents").select("doc_id", F.expr(_FACTS).alias("t"))
+    x, codes = text.goods_excerpt(F.col("t"), 300), F.array_sort(text.heading_candidates(F.col("t")))
+    return df.select("doc_id", F.md5(x["excerpt"]).alias("digest"), x["truncated"].alias("truncated"), F.array_join(codes, "|").alias("codes"), F.array_join(text.stale_rates(F.col("t")), "|").alias("rates"))
 
 
-_RULING = "concat(repeat('Discussion of the goods and of the law. ', 20), 'RULING: The goods are classifiable under heading 3307 or 3401 at 9% CGST + 9% SGST, ', repeat('as was found in the matter ', 8), if(p_partkey % 2 = 0, 'Schedule III applies.', 'depending upon their use.'))"
+#: A decision's text for each part: its heading, rate, schedule and form follow from the key.
+_RULED = """SELECT *, repeat('Discussion of the goods and of the law. ', 20) || CASE WHEN form = 3 THEN 'There is none.' ELSE 'RULING: ' || CASE WHEN form = 2 THEN 'Whether the said goods are classifiable under heading ' ELSE 'The goods are classifiable under heading ' END
+  || code || CASE WHEN form = 1 THEN ' or 3401' ELSE '' END || CASE WHEN form = 2 THEN ' or not? ' ELSE ' ' END || 'at ' || half || '% CGST + ' || half || '% SGST, ' || repeat('as was found in the matter ', 8)
+  || CASE WHEN roman <> '' THEN 'Schedule ' || roman || ' applies.' ELSE 'no schedule being named.' END END AS ruling_text
+FROM (SELECT p_partkey, p_name, CASE p_partkey % 5 WHEN 0 THEN '3307' WHEN 1 THEN '8471' WHEN 2 THEN '0401' WHEN 3 THEN '2402' ELSE CAST(3400 + p_partkey % 500 AS VARCHAR(9)) END AS code,
+  CAST(p_partkey % 4 AS INT) AS form, split_part('2.5,6,9,14', ',', CAST(1 + p_partkey % 4 AS INT)) AS half, split_part('5,12,18,28', ',', CAST(1 + p_partkey % 4 AS INT)) AS twice, split_part('I,II,III,IV,,', ',', CAST(1 + p_partkey % 6 AS INT)) AS roman FROM {part}) p"""
+_HELD = "coalesce(CASE roman WHEN 'I' THEN '5' WHEN 'II' THEN '12' WHEN 'III' THEN '18' WHEN 'IV' THEN '28' END, twice)"
 
 
-@query("SELECT p_partkey, '3307|3401' AS headings, '9' AS rates, '18' AS combined, p_partkey % 2 = 1 AS conditional, CASE WHEN p_partkey % 2 = 0 THEN 'III' END AS schedule, '18' AS held, 'conditional — the heading depends on facts' AS confidence FROM part")
+@query(
+    f"""SELECT p_partkey, CASE WHEN form < 3 THEN CASE WHEN form = 1 THEN code || '|3401' ELSE code END END AS headings, CASE WHEN form < 3 THEN half END AS rates, CASE WHEN form < 3 THEN twice END AS combined,
+    CASE WHEN form < 3 THEN false END AS conditional, CASE WHEN form < 3 THEN form = 2 END AS question, CASE WHEN form < 3 THEN nullif(roman, '') END AS schedule, CASE WHEN form < 3 THEN {_HELD} END AS held,
+    CASE form WHEN 0 THEN 'reads like a determination' WHEN 1 THEN 'conditional — the heading depends on facts' WHEN 2 THEN 'low — reads like the question, not the ruling' END AS confidence FROM ({_RULED.replace("{part}", "part")}) r"""
+)
 def ruling_outcomes(spark, d):
-    df = _table(spark, d, "part").select("p_partkey", operative_tail(F.expr(_RULING)).alias("quote")).select("p_partkey", outcome(F.col("quote")).alias("o"))
-    return df.select("p_partkey", F.array_join("o.headings", "|").alias("headings"), F.array_join("o.rates", "|").alias("rates"), "o.combined", "o.conditional", "o.schedule", "o.held", "o.confidence")
+    df = view(spark, d, _RULED).select("p_partkey", operative_tail(F.col("ruling_text")).alias("quote")).select("p_partkey", outcome(F.col("quote")).alias("o"))
+    return df.select("p_partkey", F.array_join("o.headings", "|").alias("headings"), F.array_join("o.rates", "|").alias("rates"), "o.combined", "o.conditional", "o.question", "o.schedule", "o.held", "o.confidence")
 
 
 # --- labelled rows -----------------------------------------------------------------------------------------
@@ -540,14 +580,159 @@ _NOTICE = (
 _EXEMPT = "1. 0401 Fresh milk, whole. 2. 1905 Plain chapati and roti. "
 
 
+#: What the two texts and the amendments say of the headings that they name; of others, nothing.
+_MATCHED = (
+    "(VALUES ('3307', 2::BIGINT, 0::BIGINT, true, NULL, NULL), ('1905', 1, 1, true, NULL, NULL), ('8471', 1, 0, false, '18', 'II'), ('0401', 0, 1, false, '0', NULL), ('6309', 1, 0, false, '5', 'I'), ('2106', 1, 0, false, '40', 'III'), "
+    "('2401', 1, 0, false, '40', 'III'), ('2402', 1, 0, false, '40', 'III'), ('2403', 2, 0, true, NULL, NULL), ('2404', 2, 0, false, '40', 'III')) m(heading, n_entries, n_exempt, ambiguous, label, schedule)"
+)
+_ASKED = "SELECT lpad(CAST(p_partkey * 7 % 10000 AS VARCHAR(9)), 4, '0') AS heading FROM {part} UNION ALL SELECT split_part('3307,1905,8471,0401,6309,2106,2401,2402,2403,2404,6301', ',', CAST(1 + p_partkey % 11 AS INT)) FROM {part}"
+_NAMED = f"SELECT DISTINCT heading FROM ({_ASKED.replace('{part}', 'part')}) a"
+
+
+def _schedules(spark):
+    notice, exempt = (spark.createDataFrame([(x,)], "text string") for x in (_NOTICE, _EXEMPT))
+    return lookup.rated_entries(notice).unionByName(lookup.amendments(spark)), lookup.exempt_entries(exempt), lookup.chapter_entries(notice)
+
+
 @query(
-    "SELECT * FROM (VALUES ('3307', 2::BIGINT, 0::BIGINT, 0::BIGINT, true, false, NULL, NULL), ('1905', 1, 1, 0, true, false, NULL, NULL), ('8471', 1, 0, 0, false, false, '18', 'II'), ('0401', 0, 1, 0, false, false, '0', NULL), "
-    "('6301', 0, 0, 1, false, true, NULL, NULL), ('2402', 1, 0, 0, false, false, '40', 'III'), ('9999', 0, 0, 0, false, false, NULL, NULL)) t(heading, n_entries, n_exempt, n_chapter, ambiguous, chapter_only, label, schedule)"
+    f"""SELECT a.heading, coalesce(m.n_entries, 0) AS n_entries, coalesce(m.n_exempt, 0) AS n_exempt, CAST(CASE WHEN m.heading IS NULL AND left(a.heading, 2) = '63' THEN 1 ELSE 0 END AS BIGINT) AS n_chapter, coalesce(m.ambiguous, false) AS ambiguous,
+    m.heading IS NULL AND left(a.heading, 2) = '63' AS chapter_only, m.label, m.schedule FROM ({_NAMED}) a LEFT JOIN {_MATCHED} ON a.heading = m.heading"""
 )
 def heading_lookup(spark, d):
+    return lookup.match_headings(view(spark, d, _ASKED), *_schedules(spark))
+
+
+@query(
+    f"""SELECT a.heading, CASE WHEN a.heading = '3307' THEN 2 WHEN a.heading IN ('1905', '2403') THEN 2 WHEN left(a.heading, 2) = '63' AND a.heading <> '6309' THEN 1 ELSE 0 END AS alternatives,
+    CASE a.heading WHEN '3307' THEN 'shaving cream, shaving lotion' WHEN '1905' THEN 'pizza bread' WHEN '2403' THEN '2403 19 21, 2403 19; biris' END AS decided_by,
+    CASE a.heading WHEN '8471' THEN '8471 Machines of all kinds for all uses.' WHEN '0401' THEN '0401 Fresh milk, whole.' WHEN '2106' THEN '[Notification 19/2025, in force 2026-02-01] 2106 90 20 Pan masala' END AS entry
+    FROM ({_NAMED}) a WHERE a.heading NOT IN ('2401', '2402', '2404', '6309')"""
+)
+def explained_headings(spark, d):
+    entries = _schedules(spark)
+    out = lookup.explained(lookup.match_headings(view(spark, d, _ASKED), *entries), *entries).where("heading NOT IN ('2401', '2402', '2404', '6309')")  # their entries are long sentences
+    return out.select("heading", F.size("alternatives").alias("alternatives"), "decided_by", "entry")
+
+
+_LABELS = "CASE WHEN form = 3 THEN NULL WHEN code = '8471' THEN '18' WHEN code = '0401' THEN '0' WHEN code = '2402' THEN '40' END"
+
+
+@query(
+    f"""SELECT 'gst-' || lpad(CAST(100 + row_number() OVER (ORDER BY p_partkey) AS VARCHAR), 4, '0') AS id, p_partkey AS source_id, coalesce({_LABELS}, 'UNCERTAIN') AS label, CASE WHEN form < 3 THEN code END AS heading,
+    form < 3 AND {_HELD} = '12' AS rate_moved, CASE WHEN form < 3 AND {_HELD} = '12' THEN 'rate-changed-2025' ELSE '' END AS tags, CASE WHEN form < 3 THEN {_HELD} END AS held,
+    CASE WHEN form < 3 AND code = '3307' THEN 'shaving cream, shaving lotion' END AS decided_by, CASE WHEN {_LABELS} IS NULL THEN 'none' ELSE 'grounded' END AS confidence FROM ({_RULED.replace("{part}", "part")}) r"""
+)
+def first_pass(spark, d):
+    pool = view(spark, d, _RULED).selectExpr("p_partkey AS pos", "CAST(p_partkey AS STRING) AS source_id", "'aar' AS source", "p_name AS input", "'' AS collected_at", "ruling_text")
     notice, exempt = (spark.createDataFrame([(x,)], "text string") for x in (_NOTICE, _EXEMPT))
-    asked = spark.createDataFrame([(h,) for h in ("3307", "1905", "8471", "0401", "6301", "2402", "9999")], "heading string")
-    return lookup.match_headings(asked, lookup.rated_entries(notice).unionByName(lookup.amendments(spark)), lookup.exempt_entries(exempt), lookup.chapter_entries(notice))
+    out = firstpass.suggest(pool, notice, exempt, F.lit("2026-01-01"), first_id=101)
+    note = lambda k: F.try_element_at("model_notes", F.lit(k))
+    return out.select("id", F.col("source_id").cast("long").alias("source_id"), "label", "heading", (note("rate_moved") == "true").alias("rate_moved"), F.array_join("tags", "|").alias("tags"), note("held_rate").alias("held"), note("label_decided_by").alias("decided_by"), note("label_confidence").alias("confidence"))
+
+
+_FIRST = f"SELECT l.*, 'entry ' || pos AS label_basis, CASE WHEN pos % 2 = 0 THEN 'rate-changed-2025' ELSE 'other' END AS tag FROM ({LABELLED}) l"
+
+
+@query(
+    f"""SELECT pos, id, CASE WHEN {_WORDS.replace("text", "input")} >= 800 THEN 'long_context' ELSE 'typical' END AS difficulty, 'gazette-derived' AS labelled_by, CASE WHEN pos % 2 = 0 THEN '' ELSE 'other' END AS tags,
+    'label from the notification, heading from the decision; nobody confirmed it. entry ' || pos AS notes FROM ({_FIRST}) f WHERE label <> 'UNCERTAIN' AND coalesce(heading, '') <> '' AND id NOT IN (SELECT id FROM ({LABELLED}) g WHERE pos % 10 = 1)"""
+)
+def derived_rows(spark, d):
+    rows = view(spark, d, _FIRST).withColumns({"model_notes": F.create_map(F.lit("label_basis"), F.col("label_basis")), "tags": F.array("tag")})
+    out = firstpass.derive_rows(rows, view(spark, d, LABELLED).where("pos % 10 = 1"), F.lit("2026-01-01"))
+    return out.select("pos", "id", "difficulty", "labelled_by", F.array_join("tags", "|").alias("tags"), F.col("labeller_notes").alias("notes"))
+
+
+@query(None)
+def recut_records(spark, d):
+    """Every document as a decision whose excerpt is cut anew, with all redactions: tests hold them, and the parts have queries of their own."""
+    docs = _table(spark, d, "documents").selectExpr("doc_id", f"IF(doc_id % 10 = 0, NULL, {_FACTS}) AS source_text", "1 + length(text) DIV 900 AS pages", "text AS input")
+    out = firstpass.reextract(docs, "source_text", "pages", 120)
+    return out.select("doc_id", F.md5("input").alias("digest"), "truncated", "max_words")
+
+
+@query(
+    f"""SELECT r.id, r.pos, r.label, g.label AS gold_label, coalesce(r.heading, '-') AS heading, coalesce(g.heading, '-') AS gold_heading FROM (SELECT * FROM ({LABELLED}) a WHERE pos % 3 = 0) r
+    JOIN (SELECT * FROM ({LABELLED}) b WHERE deprecated_by IS NULL AND pos % 2 = 0) g ON r.id = g.id"""
+)
+def relabelled_rows(spark, d):
+    rows = view(spark, d, LABELLED)
+    return agreement.relabelled(rows.where("pos % 2 = 0"), rows.where("pos % 3 = 0")).select("id", "pos", "label", "gold_label", "heading", "gold_heading")
+
+
+@query(f"SELECT label, row_number() OVER (ORDER BY try_cast(label AS DOUBLE) IS NULL, try_cast(label AS DOUBLE), label) AS place FROM (SELECT DISTINCT label FROM ({LABELLED}) l) x")
+def label_places(spark, d):
+    labels = view(spark, d, LABELLED).select("label").distinct()  # a closed domain
+    return labels.select("label", F.row_number().over(Window.orderBy(*evaluation.label_order(F.col("label")))).alias("place"))
+
+
+@query(f"SELECT count(*) FILTER (pos % 2 = 0) AS n FROM ({LABELLED}) l")
+def tagged_rows(spark, d):
+    return composition.tag_count(view(spark, d, LABELLED).withColumn("tags", F.expr("if(pos % 2 = 0, array('a', 'rate-changed-2025'), array('b'))")), "rate-changed-2025")
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(['nfkc', 'src' || doc_id % 4, 'collapse_ws'])), '|') AS transforms FROM documents")
+def merged_transforms(spark, d):
+    df = _table(spark, d, "documents").select("doc_id", F.expr("array('nfkc', concat('src', doc_id % 4))").alias("a"), F.expr("array('collapse_ws', concat('src', doc_id % 4), 'nfkc')").alias("b"))
+    return df.select("doc_id", F.array_join(firstpass.merged_transforms(F.col("a"), F.col("b"), F.lit(None).cast("array<string>")), "|").alias("transforms"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(['categories=' || left(source || ' ' || text, 260), CASE WHEN doc_id % 9 > 0 THEN 'state=' || lang END, CASE WHEN doc_id % 2 = 0 THEN 'hsn_candidates=' || lang || ', ' || source END, CASE WHEN doc_id % 3 = 0 THEN 'truncated=true' END], lambda x: x IS NOT NULL), '|') AS hints FROM documents")
+def labelling_hints(spark, d):
+    meta = {"state": "if(doc_id % 9 > 0, lang, '')", "categories": "concat(source, ' ', text)", "hsn_candidates": "if(doc_id % 2 = 0, array(lang, source), array())", "truncated": "doc_id % 3 = 0", "secret": "text"}
+    df = _table(spark, d, "documents").select("doc_id", text.label_hints({k: F.expr(v) for k, v in meta.items()}).alias("h"))
+    return df.select("doc_id", F.array_join(F.transform(F.map_entries("h"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("hints"))
+
+
+@query("SELECT doc_id, starts_with(t, './') OR starts_with(t, '.\\') OR (contains(t, ' ') AND regexp_matches(t, '" + _re2(text.COMMAND) + "')) AS command FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'git ' WHEN 1 THEN './' WHEN 2 THEN 'cd ../' ELSE '' END || text AS t FROM documents) x")
+def command_guard(spark, d):
+    df = _table(spark, d, "documents").select("doc_id", F.expr("concat(CASE doc_id % 4 WHEN 0 THEN 'git ' WHEN 1 THEN './' WHEN 2 THEN 'cd ../' ELSE '' END, text)").alias("t"))
+    return df.select("doc_id", text.looks_like_command(F.col("t")).alias("command"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN 'detailed thinking ' || CASE WHEN conv_id % 2 = 0 THEN 'on' ELSE 'off' END WHEN conv_id % 3 = 0 THEN 'Be brief.' ELSE text END AS first_message,
+    CAST(1 + CASE WHEN turn % 4 = 1 THEN 1 ELSE 0 END + CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS n, text AS prompt, CASE WHEN turn % 4 = 0 THEN CASE WHEN conv_id % 2 = 0 THEN 'true' ELSE 'false' END END AS template, CASE WHEN turn % 4 = 2 THEN CASE WHEN conv_id % 2 = 0 THEN 'max' ELSE 'low' END END AS effort FROM conversations"""
+)
+def request_bodies(spark, d):
+    df = _table(spark, d, "conversations")
+    style = F.expr("element_at(array('chat_template', 'system_toggle', 'effort', 'none'), CAST(1 + turn % 4 AS INT))")
+    body = answers.request_body(F.lit("m"), F.col("text"), F.expr("if(conv_id % 3 = 0, 'Be brief.', null)"), style, F.expr("conv_id % 2 = 0"), F.lit(1024))
+    kind = "struct<messages:array<struct<role:string,content:string>>,chat_template_kwargs:struct<enable_thinking:boolean>,reasoning_effort:string>"
+    df = df.select("conv_id", "turn", F.from_json(body, kind).alias("b"))
+    return df.select("conv_id", "turn", F.get("b.messages", F.lit(0))["content"].alias("first_message"), F.size("b.messages").alias("n"), F.element_at("b.messages", -1)["content"].alias("prompt"), F.col("b.chat_template_kwargs.enable_thinking").cast("string").alias("template"), F.col("b.reasoning_effort").alias("effort"))
+
+
+@query("SELECT p_partkey, printf('%.1f%%', p_size / 37.0::DOUBLE * 100) AS share, '$' || format('{:,.2f}', p_retailprice) AS price, '₹' || format('{:,.4f}', p_size / 1000.0::DOUBLE) AS small, '—' AS missing FROM part")
+def money_cells(spark, d):
+    x = F.col("p_size").cast("double")
+    return _table(spark, d, "part").select("p_partkey", answers.percent(x / 37).alias("share"), answers.money(F.col("p_retailprice"), "$").alias("price"), answers.money(x / 1000, "₹").alias("small"), answers.money(F.lit(None).cast("double"), "$").alias("missing"))
+
+
+@query("SELECT doc_id, md5(text) AS digest, row_number() OVER (ORDER BY doc_id) - 1 AS place, 'human' AS labelled_by FROM documents")
+def jsonl_rows(spark, d):
+    """Documents written as JSON lines, with blank lines and comments between them, and read as rows in their order."""
+    from assaykit.shared import shared_folder
+
+    folder = shared_folder(spark, "jsonl")
+    docs = _table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.format_string("d%012d", "doc_id").alias("id"), F.col("text").alias("input"))).alias("value"))
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(F.concat_ws("\n", F.lit("// next"), F.lit(" "), "value").alias("value")).write.text(folder)
+    rows = jsonl.with_defaults(jsonl.read_pool(spark, folder, jsonl.EXAMPLE, "*.txt"))
+    rows = rows.withColumn("at", F.concat("file", F.lpad(F.col("line").cast("string"), 12, "0")))
+    return placed(rows, {}, ["at"], "place").select(F.expr("CAST(substr(id, 2) AS BIGINT)").alias("doc_id"), F.md5("input").alias("digest"), (F.col("place") - 1).alias("place"), "labelled_by")
+
+
+@query(f"SELECT model_key, CAST(n AS BIGINT) AS n, row_number() OVER (ORDER BY started DESC) AS place FROM (SELECT model_key, count(*) AS n, max(event_id) AS started FROM ({ANSWERS}) a GROUP BY 1) t")
+def run_files(spark, d):
+    """A run file for each model, written and read again, newest first."""
+    from assaykit.shared import shared_folder
+
+    folder = shared_folder(spark, "runs")
+    each = view(spark, d, ANSWERS).groupBy("model_key").agg(F.count("*").alias("n"), F.max("event_id").alias("started"))
+    run = each.select(F.concat(F.lit("r"), "model_key").alias("run_id"), "model_key", F.lit("m").alias("model_id"), F.lit("p").alias("provider"), F.lpad(F.col("started").cast("string"), 12, "0").alias("started_at"), F.create_map(F.lit("n"), F.col("n").cast("string")).alias("summary"), F.create_map(F.lit("usd"), F.lit("0")).alias("cost"))
+    run.repartition(16, "run_id").select(F.to_json(F.struct("*")).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    runs = jsonl.newest_first(jsonl.read_runs(spark, f"{folder}/part-*"))
+    return runs.select("model_key", F.col("summary")["n"].cast("long").alias("n"), F.row_number().over(Window.orderBy(F.desc("started_at"))).alias("place"))  # a row for each model
 
 
 @query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2")
@@ -555,10 +740,12 @@ def stream_daily_counts(spark, d):
     """An extension: the event log as a stream, counted by day and type until it is drained."""
     import uuid
 
+    from assaykit.shared import shared_folder
+
     name = f"daily_{uuid.uuid4().hex}"
     events = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
     counts = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared_folder(spark, name)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 

@@ -77,9 +77,9 @@ FROM {{documents}}
 """
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "documents") if "{" + t + "}" in sql}
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "documents", "part") if "{" + t + "}" in sql}
     return spark.sql(sql, **tables)
 
 
 def oracle(sql: str) -> str:
-    return sql.replace("{events}", "events").replace("{documents}", "documents")
+    return sql.replace("{events}", "events").replace("{documents}", "documents").replace("{part}", "part")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -43,3 +44,14 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def filtered_here(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition), but for filters that must stay above the steps that make their columns.
+
+    Pushed below a chain of steps, a filter would hold each step's expression as often as the next one
+    refers to it, which doubles from step to step. Nothing is pushed below a column that isn't
+    deterministic, so the filter reads one.
+    """
+    mark = fresh(df, "_mark")
+    return df.withColumn(mark, F.rand(0)).where(condition & (F.col(mark) >= 0)).drop(mark)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit import labels as L
+from assaykit.shared import checkpointed
 
 _TEXT, _TEXTS, _FACTS = T.StringType(), T.ArrayType(T.StringType()), T.MapType(T.StringType(), T.StringType())
 
@@ -53,9 +56,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = EXAMPLE) -
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    """(file, line, value) of lines that aren't blank or comments; line counts all of a file's lines from 0.
+
+    Files are read in splits, a line a row. Lines are checkpointed with their split and their place in the
+    scan; a line's number is its place in its split and the lines of the file's earlier splits.
+    """
+    scan = spark.read.option("lineSep", "\n").text(path)
+    at = F.col("_metadata.file_block_start")
+    lines = checkpointed(scan.select(F.col("_metadata.file_path").alias("path"), at.alias("block"), F.monotonically_increasing_id().alias("k"), "value"))
+    each = lines.groupBy(F.col("path").alias("p"), F.col("block").alias("b")).agg(F.min("k").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("before", F.coalesce(before, F.lit(0)))
     blank = F.trim(F.regexp_replace("value", r"\s+", " "))
-    return whole.where((blank != "") & ~blank.startswith("//"))
+    told = lines.where((blank != "") & ~blank.startswith("//")).join(each, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b")))
+    return told.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("k") - F.col("first") + F.col("before")).alias("line"), "value")
 
 
 def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
@@ -72,9 +86,9 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(c, F.lit("")) for c in ("justification", "source", "source_id", "collected_at", "labelled_at", "labeller_notes")} | {"tags": F.coalesce("tags", empty), "labelled_by": F.coalesce("labelled_by", F.lit("human"))})
 
 
-def read_pool(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """All rows of a folder's .jsonl files; (file, line) is their stable order."""
-    return _parsed(_lines(spark, f"{folder}/*.jsonl"), schema).withColumnRenamed("pos", "line")
+def read_pool(spark: SparkSession, folder: str, schema: T.StructType, names: str = "*.jsonl") -> DataFrame:
+    """All rows of a folder's files of such names; (file, line) is their stable order."""
+    return _parsed(_lines(spark, f"{folder}/{names}"), schema).withColumnRenamed("pos", "line")
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
@@ -133,3 +147,14 @@ def parse_env(text: str) -> dict[str, str]:
         if value:
             out[key.strip()] = value
     return out
+
+
+def load_env(path: str, override: bool = False, env=os.environ) -> list[str]:
+    """Set a file's variables that the environment lacks or has empty (all, with override); their names. A missing file sets none."""
+    if not os.path.isfile(path):
+        return []
+    with open(path, encoding="utf-8") as f:
+        found = parse_env(f.read())
+    new = [k for k in found if override or not env.get(k)]
+    env.update((k, found[k]) for k in new)
+    return new

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import random
 import time
@@ -18,7 +19,7 @@ class Unavailable(RuntimeError):
 
 
 def fetch(url: str, retries: int = 6, timeout: int = 90, opener: Callable = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep) -> bytes:
-    """GET a URL. 429 and 5xx wait min(60, 5 2^k) + U(0, 3) s, broken connections 2^k + U(0, 1) s; other codes raise at once."""
+    """GET a URL. 429 and 5xx wait min(60, 5 2^k) + U(0, 3) s, broken connections and cut answers 2^k + U(0, 1) s; other codes raise at once."""
     for k in range(retries):
         try:
             with opener(url, timeout=timeout) as got:
@@ -27,17 +28,34 @@ def fetch(url: str, retries: int = 6, timeout: int = 90, opener: Callable = urll
             if e.code != 429 and e.code < 500:
                 raise
             wait = min(60, 5 * 2**k) + random.uniform(0, 3)
-        except (urllib.error.URLError, TimeoutError, ConnectionError):
+        except (urllib.error.URLError, TimeoutError, ConnectionError, http.client.HTTPException):
             wait = 2**k + random.uniform(0, 1)
         if k + 1 < retries:
             sleep(wait)
     raise Unavailable(f"{url}: gave up after {retries} tries")
 
 
+def fetch_text(url: str, **how) -> str:
+    """A URL's text; bytes that aren't UTF-8 are replaced."""
+    return fetch(url, **how).decode("utf-8", errors="replace")
+
+
+def fetch_json(url: str, **how) -> dict:
+    """A URL's JSON; anything else raises Unavailable."""
+    try:
+        return json.loads(fetch_text(url, **how))
+    except json.JSONDecodeError as e:
+        raise Unavailable(f"{url}: not JSON: {e}") from e
+
+
 class PagedApi(DataSource):
-    """spark.read.format("paged_api") with options url (of {page} and {size}), pages, size, field (of the array). One partition a page.
+    """spark.read.format("paged_api"): records of a paged JSON API, one partition a page.
 
-    A page that fails or is empty ends its partition without rows.
+    Options: url (of {page}, {size} and, if the server can leave columns out, {fields}), pages, size,
+    field (of the array), columns (names that the server is asked for, and that become string columns in
+    place of the whole record), retries. What the server can filter belongs in the url. An empty page
+    ends its partition without rows. A page that fails fails the read: a collection that lacks pages
+    must not look whole. Read fewer pages to keep what came before it.
     """
 
     @classmethod
@@ -45,12 +63,17 @@ class PagedApi(DataSource):
         return "paged_api"
 
     def schema(self) -> str:
-        return "page int, position int, record string"
+        columns = _columns(self.options)
+        return "page int, position int, " + (", ".join(f"`{c}` string" for c in columns) if columns else "record string")
 
     def reader(self, schema) -> DataSourceReader:
         return _PageReader(dict(self.options))
 
 
+def _columns(options: dict) -> list[str]:
+    return [c.strip() for c in options.get("columns", "").split(",") if c.strip()]
+
+
 class _PageReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -59,10 +82,11 @@ class _PageReader(DataSourceReader):
         return [InputPartition(k) for k in range(1, int(self.options.get("pages", "1")) + 1)]
 
     def read(self, partition):
-        o = self.options
-        try:
-            body = json.loads(fetch(o["url"].format(page=partition.value, size=o.get("size", "100"))))
-        except (Unavailable, urllib.error.URLError, ValueError):
-            return
+        o, columns = self.options, _columns(self.options)
+        body = fetch_json(o["url"].format(page=partition.value, size=o.get("size", "100"), fields=",".join(columns)), retries=int(o.get("retries", "6")))
         for k, record in enumerate(body.get(o.get("field", "products")) or []):
-            yield partition.value, k, json.dumps(record)
+            if not columns:
+                yield partition.value, k, json.dumps(record)
+            else:
+                values = (record.get(c) for c in columns)
+                yield partition.value, k, *(v if v is None or isinstance(v, str) else json.dumps(v) for v in values)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from functools import wraps
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +33,53 @@ def windowed(events: DataFrame, width: str = "1 day", delay: str = "1 day") -> D
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def call_models(prompts: DataFrame, runner: Callable[[str], dict], schema: str) -> DataFrame:
-    """prompts (id, prompt) through a pluggable runner: prompt -> completion fields. Order within a batch is kept."""
+class Runner(Protocol):
+    """A provider's adapter: what calls one model. It must pickle, to go to the executors."""
+
+    provider: str
+    model: str
+
+    def run(self, prompt: str, *, system: str | None = None) -> dict: ...
+
+
+class RunnerError(RuntimeError):
+    """A runner that can't be used: no key, no such model. It isn't caught."""
+
+
+def timed(call: Callable[..., dict]) -> Callable[..., dict]:
+    """The call with latency_ms in what it returns, retries within it included."""
+
+    @wraps(call)
+    def run(*args, **named) -> dict:
+        began = time.perf_counter()
+        out = call(*args, **named)
+        return out | {"latency_ms": int((time.perf_counter() - began) * 1000)}
+
+    return run
+
+
+def call_models(prompts: DataFrame, runner: Callable[[str], dict] | Runner, schema: str, system: str | None = None) -> DataFrame:
+    """prompts (id, prompt) through a runner, or a function: prompt -> completion fields. Order within a batch is kept.
+
+    A Runner's calls are timed; one that fails, but for RunnerError, gives a row with its error and no text.
+    """
+
+    def call(prompt: str) -> dict:
+        if not hasattr(runner, "run"):
+            return runner(prompt)
+        begin = time.perf_counter()
+        try:
+            return timed(runner.run)(prompt, system=system)
+        except RunnerError:
+            raise
+        except Exception as e:  # the run goes on; the row says what happened
+            return {"text": "", "model": runner.model, "provider": runner.provider, "error": f"{type(e).__name__}: {e}", "latency_ms": int((time.perf_counter() - begin) * 1000)}
+
+    names = [c.strip().split(" ")[0] for c in schema.split(",")][1:]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = pd.DataFrame([runner(p) for p in f["prompt"]])
+            out = pd.DataFrame([call(p) for p in f["prompt"]]).reindex(columns=names)
             out.insert(0, "id", f["id"].to_numpy())
             yield out
 
