@@ -422,7 +422,8 @@ def search_index(index: DataFrame, router: Router, queries: DataFrame, k: int, s
 
     MEASURED queries, chosen by a hash, visit all shards of their length; the others those of so many
     centroids, nearest first, that for each length the measured ones would have found `share` of
-    theirs (all, if share is 1). A length without vectors finds nothing. Repeated queries are answered each.
+    theirs (all, if share is 1). A length without vectors finds nothing. Repeated queries are answered
+    each. No queries give no rows. The result is written.
     """
     spark = queries.sparkSession
     routed = spark.sparkContext.broadcast(router)
@@ -450,12 +451,17 @@ def search_index(index: DataFrame, router: Router, queries: DataFrame, k: int, s
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
+    columns = ["query_id", "rank", "vec_id", "score"]
     if edge is None or share >= 1 or all(len(c) == 1 for c in router.centroids.values()):
-        return best(_walked(index, visiting(rows, None), k)).select("query_id", "rank", "vec_id", "score")
-    first = kept(best(_walked(index, visiting(rows.where(F.col("h") <= edge), None), k)), "measured")
-    needed = _needed(first, rows.where(F.col("h") <= edge), router, share)
-    rest = best(_walked(index, visiting(rows.where(F.col("h") > edge), needed), k))
-    return first.select("query_id", "rank", "vec_id", "score").unionByName(rest.select("query_id", "rank", "vec_id", "score"))
+        out = kept(best(_walked(index, visiting(rows, None), k)).select(columns), "nearest")
+    else:
+        first = kept(best(_walked(index, visiting(rows.where(F.col("h") <= edge), None), k)), "measured")
+        needed = _needed(first, rows.where(F.col("h") <= edge), router, share)
+        rest = best(_walked(index, visiting(rows.where(F.col("h") > edge), needed), k))
+        out = kept(first.select(columns).unionByName(rest.select(columns)), "nearest")
+        forget(first)
+    forget(rows)
+    return out
 
 
 def _needed(found: DataFrame, queries: DataFrame, router: Router, share: float) -> dict[int, int]:
@@ -485,7 +491,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "
     bound_batches(vectors.sparkSession)
     rows = usable(vectors, id_column, column)
     index, router = build_index(rows, k, shard_size)
-    return search_index(index, router, rows.where(F.col("id") % every == 0), k, share)
+    out = search_index(index, router, rows.where(F.col("id") % every == 0), k, share)
+    forget(index)
+    return out
 
 
 def op2_hnsw(spark, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: in
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Write pieces so that each folder bucket=k holds sequences of 2**k tokens alone."""
+    """Write pieces so that each folder bucket=k holds sequences of 2**k tokens alone. Ids, nulls and repeats as pack_documents gives them; no pieces make no folder."""
     pieces.write.partitionBy("bucket").parquet(path)
 
 
@@ -159,9 +159,10 @@ def public_tokenizer() -> str:
 
 
 def packed_rows(docs: DataFrame) -> DataFrame:
-    """The pieces of documents with a digest in place of their ids."""
+    """The pieces of documents with a digest in place of their ids. Nulls, empty texts and repeats: see pack_documents."""
     return pack_documents(docs, public_tokenizer()).select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents, see packed_rows."""
     return packed_rows(table(spark, sf_dir, "documents"))

@@ -20,7 +20,7 @@ from assaykit.llm.fm import SAMPLE, labelled_sample
 from assaykit.llm.stats import COUNTS, NAMES, SHARES, statistics
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Most rules, most conditions of one, thresholds tried for each statistic, least precision and rows of a rule.
+#: The form of the list, not of the data: most rules, most conditions of one, thresholds tried for each statistic, least precision and rows of a rule.
 RULES, CONDITIONS, THRESHOLDS, PRECISION, SUPPORT = 12, 5, 40, 0.9, 4
 
 
@@ -128,7 +128,11 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def text_statistics(docs: DataFrame, *carried: str) -> DataFrame:
-    """carried columns and NAMES, one double each, for every row; a null text has zeros throughout."""
+    """carried columns and NAMES, one double each, for every row.
+
+    A null or empty text has zeros throughout; a very long one is counted whole. Repeated rows are counted
+    each. Columns that aren't carried are left out. No rows give no rows.
+    """
     bound_batches(docs.sparkSession)
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)
 
@@ -143,7 +147,11 @@ def text_statistics(docs: DataFrame, *carried: str) -> DataFrame:
 
 
 def learn_quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Rules from at most about `sample` documents with a quality label outside fold 0 of 5."""
+    """Rules from at most about `sample` documents with a quality label outside fold 0 of 5.
+
+    Which they are, and what of repeated or null ids: labelled_sample. Without usable labels, or with
+    one label alone, there are no rules, and all texts that pass the base are kept.
+    """
     rows = text_statistics(labelled_sample(docs, labels, "quality", sample=sample), "doc_id", "y").toArrow().sort_by("doc_id")
     found = np.column_stack([rows.column(n).to_numpy() for n in NAMES])
     return learn_rules(found, rows.column("y").to_numpy() == 0, SHARES)
@@ -164,6 +172,7 @@ def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def op5_rules(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents, by rules learned from labels; see apply_rules."""
     docs = table(spark, sf_dir, "documents")
     got = apply_rules(docs, learn_quality_rules(docs, table(spark, sf_dir, "labels")))
     return got.select("doc_id", *COUNTS, "base_failed", "kept", (remainder("doc_id", 5) == 0).alias("held_out"))

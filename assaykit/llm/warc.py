@@ -19,7 +19,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import bound_batches, kept, shared_dir, table, text_slices
+from assaykit.llm.common import bound_batches, forget, kept, passing, shared_dir, table, text_slices
 
 FILE_BYTES = 64 << 20
 #: Ranges with smaller gaps are read at once, up to READ_BYTES.
@@ -81,7 +81,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFra
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     twice = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    marked = rows.join(kept(twice, "repeats"), "sha", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    repeats = kept(twice, "repeats")
+    marked = rows.join(repeats, "sha", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches):
         store, folder = pa.fs.FileSystem.from_uri(path)
@@ -114,7 +115,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFra
     names = ["page_id", "url", "payload_bytes", "digest", "record_type", "refers_to", "file", "offset", "length"]
     kinds = [ids, pa.string(), ids, pa.string(), pa.string(), ids, pa.string(), ids, ids]
     index = marked.mapInArrow(run, "page_id long, url string, payload_bytes long, digest string, record_type string, refers_to long, file string, offset long, length long")
-    return kept(index, "warc-index")
+    out = kept(index, "warc-index")
+    forget(repeats)
+    return out
 
 
 def spans(offsets: list[int], lengths: list[int], gap: int = GAP_BYTES, most: int = READ_BYTES):
@@ -132,7 +135,8 @@ def read_archives(index: DataFrame, path: str, payloads: bool = True) -> DataFra
 
     Returns page_id, payload (null for revisits or without payloads), payload_bytes, payload_digest,
     record_type, refers_to. A response's length and digest are computed from its bytes and held
-    against its fields; a mismatch raises. A revisit's come from its fields.
+    against its fields; a mismatch raises. A revisit's come from its fields. Index rows that repeat are
+    read each; null ids stay null; an empty index has no records.
     """
     spark = index.sparkSession
     bound_batches(spark)
@@ -171,8 +175,10 @@ def read_archives(index: DataFrame, path: str, payloads: bool = True) -> DataFra
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
+    """Every row of pages, written and read back; the archives go with the session. Nulls, empty and repeated pages: see write_archives."""
     path = shared_dir(spark, "warc")
     index = write_archives(table(spark, sf_dir, "pages"), path)
+    passing(spark, path)
     return read_archives(index, path, payloads=False).drop("payload")
 
 

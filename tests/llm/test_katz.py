@@ -127,3 +127,9 @@ def test_discounts():
 def test_packing():
     a = [np.array([0, 300, 2**40]), np.zeros(0, np.int64), np.array([0.5, -1e300]), np.array([1, 2, 255])]
     assert all((x == y).all() and len(x) == len(y) for x, y in zip(a, unpack(pack(*a)), strict=True))
+
+
+def test_held_out_texts_are_scored_better_than_by_the_base(spark):
+    """Of the given table: log10 probability of a token, in texts that the model hasn't seen."""
+    rows = score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").selectExpr("sum(score) / sum(n_tokens) AS score", "sum(base_score) / sum(n_tokens) AS base").first()
+    assert math.isfinite(rows.score) and rows.score > rows.base + 0.5

@@ -103,3 +103,36 @@ def test_without_labels_or_rows(spark):
     assert labelled_sample(docs, labels, "quality").where("doc_id is null or doc_id = 5").count() == 0
     m = learn(docs, labels, "quality", True)
     assert score(docs.limit(0), m, 0.5).count() == 0
+
+
+def test_very_long_texts_and_metadata(spark):
+    docs, labels = tables(spark)
+    long = "stone river " * 400_000
+    docs = docs.unionByName(spark.createDataFrame([(5000, long, "x"), (5001, long + " nasty fool", "x")], "doc_id long, text string, score string"))
+    got = {r.doc_id: r.predicted for r in toxicity_scores(docs, labels).where("doc_id >= 5000").collect()}
+    assert got == {5000: 0, 5001: 1}
+    plain = {(r.doc_id, r.score) for r in quality_scores(docs, labels).collect()}
+    assert len(quality_scores(docs, labels).where("doc_id >= 5000 and score between 0 and 1").collect()) == 2
+    from pyspark.sql import functions as F
+
+    # n_chars that tells the label alone, with nulls: texts are all alike
+    rows = [(k, "same words here for all", 100 + 900 * (k % 2) if k % 11 else None) for k in range(400)]
+    told = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    right = quality_scores(told, marks).where("doc_id % 11 <> 0").select((F.col("predicted") == F.col("doc_id") % 2).alias("x")).collect()
+    assert np.mean([r.x for r in right]) > 0.99
+    assert len({r.score for r in quality_scores(told.drop("n_chars"), marks).collect()}) == 1 and plain
+
+
+def test_held_out_figures(spark):
+    """Documents whose labels no model has seen, of the given tables: quality, toxicity."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    from assaykit.llm.common import remainder
+
+    for scores, column, least in ((quality_scores, "quality", 0.99), (toxicity_scores, "toxic", 0.94)):
+        rows = scores(docs, labels).join(labels, "doc_id").where(remainder("doc_id", 5) == 0).select("score", column).toPandas()
+        y, order = rows[column].to_numpy(), rows.score.rank().to_numpy()
+        n = int(y.sum())
+        auc = (order[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
+        assert auc > least

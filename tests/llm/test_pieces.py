@@ -92,3 +92,16 @@ def test_query_and_no_rows(spark):
     assert got.where("not round_trip").count() == 0 < got.count()
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts(empty, public_pieces()).count() == segmentations(empty, public_pieces()).count() == 0
+
+
+def test_very_long_texts(spark):
+    from assaykit.llm.pieces import public_pieces, segmentations, token_counts
+
+    many = " ".join(f"word{k % 5000}" for k in range(300_000))
+    one = "ab" * 4000  # no space at all
+    docs = spark.createDataFrame([(1, many), (2, one), (3, many)], "doc_id long, text string")
+    counts = {r.doc_id: r for r in token_counts(docs, public_pieces(), runs=True).collect()}
+    found = segmentations(docs, public_pieces(), 3, runs=True).collect()
+    assert all(r.round_trip for r in found) and len(found) == 9
+    for r in found:
+        assert r["rank"] > 1 or (abs(r.score - counts[r.doc_id].score) < 1e-6 * abs(r.score) and len(r.ids_le) // 4 >= counts[r.doc_id].n_tokens)

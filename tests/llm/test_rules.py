@@ -55,3 +55,18 @@ def test_query_over_texts(spark):
     assert {x for x in COUNTS} <= set(got[0].asDict())
     assert apply_rules(docs.limit(0), rules).count() == 0
     assert learn_quality_rules(docs, labels.limit(0)) == []
+
+
+def test_a_very_long_text_and_held_out_figures(spark):
+    from assaykit.llm.common import remainder
+    from assaykit.llm.rules import apply_rules, learn_quality_rules
+
+    long = " ".join(f"w{k}" for k in range(700_000))
+    got = apply_rules(spark.createDataFrame([(1, long), (2, "a b c " * 300_000)], "doc_id long, text string"), []).collect()
+    assert {r.doc_id: (r.n_words, r.n_repeat_words, r.base_failed, r.kept) for r in got} == {1: (700_000, 0, False, True), 2: (900_000, 900_000, True, False)}
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rules = learn_quality_rules(docs, labels)
+    rows = apply_rules(docs, rules).join(labels, "doc_id").where(remainder("doc_id", 5) == 0).select("kept", "quality").toPandas()
+    good = rows.quality == 1
+    assert rules and rows.kept[good].mean() > 0.9 and (~rows.kept[~good]).mean() > 0.95
