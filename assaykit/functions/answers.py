@@ -36,10 +36,19 @@ def prompt(template: str, description: Column) -> Column:
     return F.concat(F.lit(head), squeeze_ends(description), F.lit(tail))
 
 
-def normal_label(raw: Column) -> Column:
-    number = F.regexp_extract(raw, r"(\d+(?:\.\d+)?)", 1)
-    plain = F.when(number.endswith(".0"), F.substring(number, F.lit(1), F.length(number) - 2)).otherwise(number)
-    return F.when(raw.rlike(NO_ANSWER), F.lit(L.UNANSWERABLE)).otherwise(F.nullif(plain, F.lit("")))
+def normal_label(raw: Column, number: Column | None = None) -> Column:
+    """The label that a SLAB line states, or null; number: the first number in it, if it is at hand."""
+    number = _number(raw) if number is None else number
+    plain = F.regexp_replace(number, r"\.0$", "")
+    return F.when(raw.rlike(NO_ANSWER), F.lit(L.UNANSWERABLE)).when(number != "", plain)
+
+
+def _number(raw: Column) -> Column:
+    return F.regexp_extract(raw, r"(\d+(?:\.\d+)?)", 1)
+
+
+def _code(raw: Column) -> Column:
+    return F.regexp_extract(raw, r"(\d{4})", 1)
 
 
 def answer_lines(text: Column) -> dict[str, Column]:
@@ -48,15 +57,13 @@ def answer_lines(text: Column) -> dict[str, Column]:
     return {name: F.regexp_extract(t, line, 1) for name, line in (("label", LABEL_LINE), ("heading", HEADING_LINE), ("answerable", ANSWERABLE_LINE), ("why", WHY_LINE))}
 
 
-def read_lines(label: Column, heading: Column, answerable: Column, why: Column) -> dict[str, Column]:
-    """label, heading, answerable, why and unparseable of an answer's lines; no SLAB line: unparseable and nulls."""
+def read_lines(label: Column, heading: Column, answerable: Column, why: Column, number: Column, code: Column, said: Column) -> dict[str, Column]:
+    """label, heading, answerable, why and unparseable of an answer's lines, the number in the first, the code in the second, and the label that is said; no SLAB line: unparseable and nulls."""
     ok = label != ""
-    said = normal_label(label)
-    code = F.when(~heading.rlike(rx(r"\bNONE\b|\bN/?A\b", "i")), found(heading, r"(\d{4})", 1))
     yes = F.when(answerable != "", answerable.rlike(rx(r"\byes\b|\btrue\b", "i")))
     return {
         "label": F.when(ok, said),
-        "heading": F.when(ok, code),
+        "heading": F.when(ok & (code != "") & ~heading.rlike(rx(r"\bNONE\b|\bN/?A\b", "i")), code),
         "answerable": F.when(ok, F.coalesce(yes, said != L.UNANSWERABLE)),
         "why": F.when(ok, F.substring(squeeze(why), 1, WHY_CHARS)).otherwise(F.lit("")),
         "unparseable": ~ok,
@@ -65,13 +72,18 @@ def read_lines(label: Column, heading: Column, answerable: Column, why: Column)
 
 def parse_answer(text: Column) -> Column:
     """Struct label, heading, answerable, why, unparseable of an answer; see with_answer for plans that read several fields."""
-    return F.struct(*(c.alias(n) for n, c in read_lines(**answer_lines(text)).items()))
+    lines = answer_lines(text)
+    fields = read_lines(**lines, number=_number(lines["label"]), code=_code(lines["heading"]), said=normal_label(lines["label"]))
+    return F.struct(*(c.alias(n) for n, c in fields.items()))
 
 
 def with_answer(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """df with the fields of parse_answer as columns of that prefix. Each line is searched once, whatever is read of it."""
-    raw = {n: fresh(df, f"_line_{n}") for n in ("label", "heading", "answerable", "why")}
+    raw = {n: fresh(df, f"_line_{n}") for n in ("label", "heading", "answerable", "why", "number", "code", "said")}
     df = df.withColumns({raw[n]: c for n, c in answer_lines(F.col(text)).items()})
+    label, heading = F.col(raw["label"]), F.col(raw["heading"])
+    df = df.withColumns({raw["number"]: _number(label), raw["code"]: _code(heading)})
+    df = df.withColumn(raw["said"], normal_label(label, F.col(raw["number"])))
     fields = read_lines(**{n: F.col(c) for n, c in raw.items()})
     return df.withColumns({f"{prefix}{n}": c for n, c in fields.items()}).drop(*raw.values())
 

@@ -246,8 +246,8 @@ def dry_run_estimate(spark, d):
 
 @query(f"SELECT event_id, CASE WHEN NOT garbled THEN said END AS label, CASE WHEN NOT garbled THEN heading END AS heading, CASE WHEN NOT garbled THEN said <> 'UNANSWERABLE' END AS answerable, garbled AS unparseable FROM ({RESPONSES}) r")
 def parsed_answers(spark, d):
-    df = view(spark, d, RESPONSES).select("event_id", answers.parse_answer(F.col("text")).alias("p"))
-    return df.select("event_id", "p.label", "p.heading", "p.answerable", "p.unparseable")
+    df = answers.with_answer(view(spark, d, RESPONSES).select("event_id", "text"), "text", "")
+    return df.select("event_id", "label", "heading", "answerable", "unparseable")
 
 
 @query(f"SELECT event_id, CASE WHEN cites12 AND cites28 THEN '12 28' WHEN cites12 THEN '12' WHEN cites28 THEN '28' ELSE '' END AS cited FROM ({SCORES}) s")

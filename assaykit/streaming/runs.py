@@ -79,8 +79,7 @@ def call_models(prompts: DataFrame, runner: Callable[[str], dict] | Runner, sche
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = pd.DataFrame([call(p) for p in f["prompt"]]).reindex(columns=names)
-            out.insert(0, "id", f["id"].to_numpy())
-            yield out
+            got = [call(p) for p in f["prompt"]]
+            yield pd.DataFrame({"id": f["id"].to_numpy()} | {c: pd.Series([x.get(c) for x in got], dtype=object) for c in names})
 
     return prompts.select("id", "prompt").mapInPandas(run, schema)
