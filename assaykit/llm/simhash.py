@@ -191,8 +191,8 @@ def _linked(batches):
         yield out(*rest)
 
 
-def candidate_links(classes: DataFrame, limit: int | None = None) -> DataFrame:
-    """Links (a, b) between distinct fingerprints fp that connect all that are within MOST bits, written.
+def candidate_links(classes: DataFrame, limit: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between distinct fingerprints fp that connect all that are within MOST bits, and the tables that they read.
 
     Keys are counted first, by partial sums; those with more than `limit` fingerprints are split until
     none has, so no task gets an unbounded group.
@@ -201,27 +201,19 @@ def candidate_links(classes: DataFrame, limit: int | None = None) -> DataFrame:
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group, none = ["key", "mask", "bits"], F.lit(0).cast("long")
     now = classes.select("fp", F.explode(F.array(*_keys(F.col("fp")))).alias("key")).select("key", none.alias("mask"), none.alias("bits"), "fp")
-    out, written, level = None, [], 0
+    out, read, level = None, [], 0
     while True:
-        large = kept(now.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(*group), "large-keys")
+        large = kept(now.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(*group).coalesce(8), "large-keys")
+        read.append(large)
         some = not large.isEmpty()
         small = now.join(large, group, "left_anti") if some else now
-        pairs = kept(small.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(_linked, "a long, b long"), "links")
+        pairs = small.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(_linked, "a long, b long")
         out = pairs if out is None else out.unionByName(pairs)
-        written.append(pairs)
-        if some:
-            level += 1
-            split = now.join(large, group, "left_semi").mapInArrow(_splitter(level), "key long, mask long, bits long, fp long")
-            last, now = now, kept(split, "split-keys")
-            if level > 1:
-                forget(last)
-            forget(large)
-            continue
-        forget(large)
-        if level:
-            forget(now)
-        out._written = written
-        return out
+        if not some:
+            return out, read
+        level += 1
+        now = kept(now.join(large, group, "left_semi").mapInArrow(_splitter(level), "key long, mask long, bits long, fp long"), "split-keys")
+        read.append(now)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -236,9 +228,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     found = kept(fingerprints(docs, id_column, text_column), "fingerprints")
     own = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("text_hash").alias("text"))
     classes = kept(found.groupBy("fp").agg(F.min(own).alias("first")), "classes")
-    pairs = candidate_links(classes)
+    pairs, read = candidate_links(classes)
     member = components(pairs)
-    forget(*pairs._written)
+    forget(*read)
     first = member.join(classes, member.node == classes.fp).groupBy("label").agg(F.min("first").alias("least"))
     linked = member.join(first, "label").select(F.col("node").alias("fp"), "least")
     settled = kept(classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")), "settled")
