@@ -30,11 +30,11 @@ def reading(kappa: Column) -> Column:
 def cohen_kappa(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """One row: n, observed, expected, kappa, reading, usable. Chance agreement of 1 makes kappa 1; no pairs make no row."""
     n = pairs.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
-    left = n.groupBy(F.col("a").alias("x")).agg(F.sum("n").alias("na"))
-    right = n.groupBy(F.col("b").alias("x")).agg(F.sum("n").alias("nb"))
-    chance = left.join(right, "x").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("both"))
-    df = total.where("n > 0").join(F.broadcast(chance))  # one row each
+    none = F.lit(0).cast("long")
+    first = F.struct(F.col("a").alias("x"), F.col("n").alias("na"), none.alias("nb"), F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(none).alias("same"))
+    second = F.struct(F.col("b").alias("x"), none.alias("na"), F.col("n").alias("nb"), none.alias("same"))
+    each = n.select(F.inline(F.array(first, second))).groupBy("x").agg(*(F.sum(c).alias(c) for c in ("na", "nb", "same")))  # both marginals of a label
+    df = each.agg(F.sum("na").alias("n"), F.sum("same").alias("same"), F.sum(F.col("na") * F.col("nb")).alias("both")).where("n > 0")
     po, pe = F.col("same") / F.col("n"), F.col("both") / (F.col("n") * F.col("n"))
     df = df.select("n", po.alias("observed"), pe.alias("expected"))
     kappa = F.when(F.col("expected") >= 1, F.lit(1.0)).otherwise((F.col("observed") - F.col("expected")) / (1 - F.col("expected")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit import labels as L
@@ -38,12 +38,18 @@ def tag_count(df: DataFrame, tag: str, tags: str = "tags") -> DataFrame:
 
 def word_statistics(df: DataFrame, column: str) -> DataFrame:
     """(n, median, max, n_long): the upper median of word counts, from counts of distinct counts."""
-    from pyspark.sql import Window
-
-    counts = df.groupBy(word_count(F.col(column)).alias("w")).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"), F.max("w").alias("max"), F.coalesce(F.sum(F.when(F.col("w") >= L.LONG_WORDS, F.col("c"))), F.lit(0)).alias("n_long"))
-    run = counts.withColumn("cum", F.sum("c").over(Window.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)))  # one row for each count of words
-    at = run.join(F.broadcast(total)).where(F.col("cum") >= F.floor(F.col("n") / 2) + 1)
+    counts = df.groupBy(word_count(F.col(column)).alias("w")).agg(F.count("*").alias("c"))  # one row for each count of words
+    whole = Window.partitionBy()
+    long = F.when(F.col("w") >= L.LONG_WORDS, F.col("c"))
+    run = counts.withColumns(
+        {
+            "cum": F.sum("c").over(whole.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)),
+            "n": F.sum("c").over(whole),
+            "max": F.max("w").over(whole),
+            "n_long": F.coalesce(F.sum(long).over(whole), F.lit(0)),
+        }
+    )
+    at = run.where(F.col("cum") >= F.floor(F.col("n") / 2) + 1)
     return at.groupBy("n", "max", "n_long").agg(F.min("w").alias("median")).select("n", "median", "max", "n_long")
 
 

@@ -109,9 +109,8 @@ def nearest_rank(x: Column, p: float) -> Column:
 def nearest_rank_by(df: DataFrame, keys: list[str], value: str, *percents: float) -> DataFrame:
     """As nearest_rank, for groups of any size: counts of distinct values, and running sums of these."""
     counts = df.where(F.col(value).isNotNull() & (F.col(value) != 0)).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("_cum", F.sum("_c").over(w)).join(total, keys)
+    mine = Window.partitionBy(*keys)
+    run = counts.withColumns({"_cum": F.sum("_c").over(mine.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(mine)})
     aggs = []
     for p in percents:
         rank = F.greatest(F.lit(1), F.least(F.col("_n"), F.bround(F.lit(p / 100) * F.col("_n")).cast("long")))

@@ -79,6 +79,14 @@ def next_id(df: DataFrame, key: str = "id") -> DataFrame:
     return df.agg(F.format_string("gst-%04d", F.coalesce(F.max(n), F.lit(0)) + 1).alias("next_id"))
 
 
+def all_ids(*tables: DataFrame, key: str = "id") -> DataFrame:
+    """The ids of all tables, repeats included: what next_id and unlabelled go by when rows wait in several places."""
+    out = tables[0].select(key)
+    for t in tables[1:]:
+        out = out.unionByName(t.select(key))
+    return out
+
+
 def verify_documents(documents: DataFrame, files: DataFrame) -> DataFrame:
     """Per document of a manifest (file, bytes, sha256, must_contain): what is wrong with its file (file, length, sha256, text)."""
     f = files.select(F.col("file").alias("_file"), F.col("length").alias("_len"), F.col("sha256").alias("_sha"), "text")

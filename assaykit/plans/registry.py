@@ -531,7 +531,8 @@ def dangling_pointers(spark, d):
 
 @query(rf"SELECT 'gst-' || lpad(CAST(1 + max(CAST(substr(id, 5) AS INT)) AS VARCHAR), 4, '0') AS next_id FROM ({LABELLED}) l WHERE regexp_matches(id, '^gst-\d{{4}}$')")
 def next_id(spark, d):
-    return validation.next_id(view(spark, d, LABELLED))
+    rows = view(spark, d, LABELLED)
+    return validation.next_id(validation.all_ids(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1")))
 
 
 @query(
