@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.shared import shared_folder
+
 #: A word is a longest run of other characters than these six.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -28,22 +28,8 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path under spark.checkpoint.dir, which all executors share.
-
-    Where that setting is missing a temporary folder takes its place on one machine, as in tests;
-    on a cluster, whose executors wouldn't see it, that raises.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        made = context._jsc.sc().getCheckpointDir()
-        if made.isEmpty():
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='assaykit-')}")
-            made = context._jsc.sc().getCheckpointDir()
-        root = made.get()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path under spark.checkpoint.dir, which all executors share; see shared_root where it is unset."""
+    return shared_folder(spark, name)
 
 
 def _path(spark: SparkSession, where: str):
@@ -74,19 +60,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def drop(spark: SparkSession, where: str) -> None:
+    """Delete a folder, with what is in it; one that isn't there is none."""
+    path, store = _path(spark, where)
+    store.delete(path, True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that kept() wrote, once nothing reads them any more."""
     for t in tables:
-        path, store = _path(t.sparkSession, t._kept_at)
-        store.delete(path, True)
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """The name, with underscores before it until no column of df has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+        drop(t.sparkSession, t._kept_at)
 
 
 def remainder(column: str, n: int):

@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import bound_batches, forget, fresh, kept, table, text_slices
+from assaykit.llm.common import bound_batches, forget, kept, table, text_slices
 from assaykit.llm.components import components
+from assaykit.shared import fresh
 
 SEED, WIDTH, BITS, SEGMENT, MOST = 42, 3, 64, 4, 3
 STARTS = BITS // SEGMENT

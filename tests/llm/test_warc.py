@@ -46,6 +46,17 @@ def test_files_are_whole_gzip_members(spark, tmp_path):
         assert all(parse_record(data[r.offset : r.offset + r.length])["warc"]["WARC-Type"] == r.record_type for r in own)
 
 
+def test_no_page_is_shuffled_and_copies_leave_no_payload(spark, tmp_path):
+    """A third of the pages are one page: each payload stands once in the archives, pages keep their order."""
+    rows = [(k, f"u{k}", "the same page " * 500 if k % 3 == 0 else f"page {k} " + "x" * (k * 37 % 5000)) for k in range(600)]
+    index = write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), f"file://{tmp_path}")
+    got = index.collect()
+    assert sorted((r.page_id, r.payload_bytes, r.digest, r.record_type, r.refers_to) for r in got) == sorted(plain(rows), key=lambda r: r[0])
+    data = b"".join(gzip.decompress((tmp_path / name).read_bytes()) for name in {r.file for r in got})
+    assert data.count(b"the same page " * 500) == 1 and data.count(b"WARC-Type: revisit") == 199
+    assert {p.name for p in tmp_path.iterdir() if p.suffix == ".gz"} >= {r.file for r in got}
+
+
 def test_spans():
     assert list(spans([0, 10, 500, 505], [10, 5, 5, 100], gap=50, most=1000)) == [(0, 2, 0, 15), (2, 4, 500, 605)]
     assert list(spans([0, 10, 20], [10, 10, 10], gap=0, most=20)) == [(0, 2, 0, 20), (2, 3, 20, 30)]
