@@ -12,7 +12,7 @@ from assaykit.functions.rulings import operative_tail, outcome
 from assaykit.operators import agreement, composition, evaluation, firstpass, lookup, queue, validation
 from assaykit.operators.ordering import placed
 from assaykit.plans.views import ANSWERS, LABELLED, MODELS, POOL, RESPONSES, SCORES, oracle, view
-from assaykit.sources import jsonl
+from assaykit.sources import jsonl, models
 from assaykit.sources.index import index_rows
 from assaykit.streaming.runs import SCHEMA as EVENTS_SCHEMA
 
@@ -431,6 +431,54 @@ def ruling_screens(spark, d):
     return df.select("doc_id", text.is_about_services(F.col("brief")).alias("services"), text.is_about_immovable(F.col("brief")).alias("immovable"), text.is_classification(F.col("category"), F.col("brief")).alias("classification"), text.is_withdrawn(gone).alias("withdrawn"))
 
 
+_BRIEF_WORDS = "[\\t\\n\\v\\f\\r \\x{1c}-\\x{1f}\\x{85}\\p{Z}]+"
+
+
+@query(f"SELECT doc_id, md5('brief ' || source || ' ' || array_to_string(list_filter(regexp_split_to_array(text, '{_BRIEF_WORDS}'), lambda x: x <> '')[1:200], ' ')) AS digest FROM documents")
+def scope_texts(spark, d):
+    df = _table(spark, d, "documents")
+    return df.select("doc_id", F.md5(text.scope_text(F.col("text"), F.concat(F.lit("brief "), "source"))).alias("digest"))
+
+
+_FILES = "SELECT 'f' || doc_id AS file, length(text) AS length, md5(text) AS sha256, text FROM documents WHERE doc_id % 11 <> 0"
+_MANIFEST = "SELECT 'f' || doc_id AS file, length(text) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS bytes, CASE WHEN doc_id % 5 = 0 THEN 'wrong' ELSE upper(md5(text)) END AS sha256, source, lang FROM documents"
+
+
+@query(
+    f"""SELECT m.file, f.file IS NULL AS missing, coalesce(m.bytes <> f.length, false) AS wrong_size, coalesce(lower(m.sha256) <> f.sha256, false) AS wrong_hash,
+    CASE WHEN f.file IS NULL THEN 0 ELSE CAST(NOT contains(f.text, 'the ') AS INT) + CAST(NOT contains(f.text, m.lang) AS INT) + CAST(NOT contains(f.text, m.source) AS INT) END AS passages_missing FROM ({_MANIFEST}) m LEFT JOIN ({_FILES}) f ON m.file = f.file"""
+)
+def manifest_checks(spark, d):
+    docs = _table(spark, d, "documents")
+    files = docs.where("doc_id % 11 <> 0").selectExpr("concat('f', doc_id) AS file", "length(text) AS length", "md5(text) AS sha256", "text")
+    wanted = docs.selectExpr("concat('f', doc_id) AS file", "length(text) + if(doc_id % 7 = 0, 1, 0) AS bytes", "if(doc_id % 5 = 0, 'wrong', upper(md5(text))) AS sha256", "array('the ', lang, source) AS must_contain")
+    return validation.verify_documents(wanted, files)
+
+
+_KEYS = [m[0] for m in models.MODELS]
+_PRICES = ", ".join(f"('{m[0]}', '{m[1]}', '{m[3]}', {m[4]}::DOUBLE, {m[5]}::DOUBLE)" for m in models.MODELS)
+_RUN_KEY = f"split_part('{','.join(_KEYS)}', ',', CAST(1 + p_partkey % {len(_KEYS)} AS INT))"
+
+
+@query(f"SELECT p_partkey, r.model_key, provider, tier, usd_in_per_m, usd_out_per_m FROM (SELECT p_partkey, {_RUN_KEY} AS model_key FROM part) r JOIN (VALUES {_PRICES}) m(model_key, provider, tier, usd_in_per_m, usd_out_per_m) ON r.model_key = m.model_key")
+def model_prices(spark, d):
+    runs = _table(spark, d, "part").select("p_partkey", F.expr(_RUN_KEY).alias("model_key"))
+    return models.with_models(runs, models.models(spark)).select("p_partkey", "model_key", "provider", "tier", "usd_in_per_m", "usd_out_per_m")
+
+
+_RUBRIC = "Heading {gold_hsn}, label {gold_slab}.\nGoods: {description}\nWhy: {justification}"
+
+
+@query(
+    f"""SELECT conv_id, turn, 'Heading ' || CASE WHEN turn % 3 = 0 THEN '(none established)' ELSE '3307' END || ', label 18.' || chr(10) || 'Goods: ' || left(t, 2000) || chr(10) || 'Why: ' || CASE WHEN turn % 2 = 0 THEN '(the model gave no explanation)' ELSE left(t, 1500) END AS prompt
+    FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^{_BRIEF_WORDS}', ''), '{_BRIEF_WORDS}$', '') AS t FROM conversations) c"""
+)
+def judge_prompts(spark, d):
+    df = _table(spark, d, "conversations")
+    prompt = answers.judge_prompt(_RUBRIC, F.col("text"), F.expr("if(turn % 3 = 0, null, '3307')"), F.lit("18"), F.expr("if(turn % 2 = 0, '', text)"))
+    return df.select("conv_id", "turn", prompt.alias("prompt"))
+
+
 @query("SELECT doc_id, pages <= 0 OR length(text) / pages < 200 AS scanned, coalesce(size_mb > 2.5 AND doc_id % 3 <> 0, false) AS oversize FROM (SELECT doc_id, text, doc_id % 5 AS pages, CASE WHEN doc_id % 4 > 0 THEN length(text) / 1000.0::DOUBLE END AS size_mb FROM documents) d")
 def source_screens(spark, d):
     df = _table(spark, d, "documents").selectExpr("doc_id", "text", "doc_id % 5 AS pages", "IF(doc_id % 4 > 0, length(text) / 1000.0D, NULL) AS size_mb", "doc_id % 3 = 0 AS cached")

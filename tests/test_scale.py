@@ -96,3 +96,25 @@ def test_an_open_domain_has_no_matrix(spark):
     with pytest.raises(ValueError, match="closed domains"):
         agreement.confusion(df, most=30)
     assert agreement.confusion(df, most=40).count() == 1600
+
+
+def test_windows_and_copies_of_a_stream(spark, tmp_path):
+    """Event windows close by the watermark; an id that comes twice counts once."""
+    from assaykit.streaming import runs
+
+    day = 86_400
+    first = [(k, k * 3600, 1, "view", 1.0, "{}") for k in range(48)] + [(3, 3 * 3600, 1, "view", 1.0, "{}")]
+    late = [(100, 9 * day, 1, "view", 5.0, "{}"), (101, 9 * day + 1, 1, "view", 5.0, "{}")]
+    for name, rows in (("events1", first), ("events2", late)):
+        df = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double, props string")
+        df.selectExpr("event_id", "timestamp_seconds(864000 + s) AS ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def drained(df, name, mode):
+        q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name).collect()
+
+    stream = runs.read_events(spark, f"{tmp_path}/events*.parquet", glob="*.parquet")
+    assert len({r.event_id for r in drained(runs.deduplicated(stream), "once", "append")}) == len(spark.table("once").collect()) == 50
+    got = drained(runs.windowed(runs.deduplicated(stream)), "by_day", "append")
+    assert sorted((r.n, r.total) for r in got) == [(24, 24.0), (24, 24.0)]
