@@ -28,9 +28,9 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.max(F.struct("ts", "event_id", "value")).alias("x")).select("event_type", "x.*")
 
 
-def windowed(events: DataFrame, width: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Counts and sums of each type in windows of event time; later events than the delay are dropped."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def windowed(events: DataFrame, width: str = "1 day", delay: str | None = "1 day") -> DataFrame:
+    """Counts and sums of each type in windows of event time; later events than the delay are dropped. None: events have a watermark, as after deduplicated."""
+    return (events if delay is None else events.withWatermark("ts", delay)).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 class Runner(Protocol):

@@ -116,5 +116,5 @@ def test_windows_and_copies_of_a_stream(spark, tmp_path):
 
     stream = runs.read_events(spark, f"{tmp_path}/events*.parquet", glob="*.parquet")
     assert len({r.event_id for r in drained(runs.deduplicated(stream), "once", "append")}) == len(spark.table("once").collect()) == 50
-    got = drained(runs.windowed(runs.deduplicated(stream)), "by_day", "append")
+    got = drained(runs.windowed(runs.deduplicated(stream), delay=None), "by_day", "append")
     assert sorted((r.n, r.total) for r in got) == [(24, 24.0), (24, 24.0)]
