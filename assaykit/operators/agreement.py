@@ -66,10 +66,14 @@ def agreement_gate(pairs: DataFrame, a: str, b: str, floor: float = L.AGREEMENT_
 
 
 def repeat_spread(summaries: DataFrame, run: str, metrics: list[str], places: int = 4) -> DataFrame:
-    """For each metric: mean, min, max, range and the runs' values in order."""
+    """For each metric: mean, min, max, range and the runs' values in order, all of rounded values.
+
+    The mean is taken of whole units of the last place, so the order of its sum can't turn a tie.
+    """
+    unit = 10**places
     long = summaries.select(run, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.round(m, places).alias("v")) for m in metrics))).alias("x")).select(run, "x.metric", "x.v")
     values = F.transform(F.array_sort(F.collect_list(F.struct(run, "v"))), lambda s: s["v"])
-    return long.groupBy("metric").agg(F.round(F.avg("v"), places).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.max("v") - F.min("v"), places).alias("range"), values.alias("runs"))
+    return long.groupBy("metric").agg((F.bround(F.sum(F.round(F.col("v") * unit).cast("long")) / F.count("v")) / unit).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.max("v") - F.min("v"), places).alias("range"), values.alias("runs"))
 
 
 def stability(answers: DataFrame, item: str = "item", run: str = "run", answer: str = "answer") -> DataFrame:

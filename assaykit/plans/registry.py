@@ -143,7 +143,7 @@ def _answers(spark, d):
     f"""WITH m AS (SELECT run, round(avg(CAST(label_ok AS INT)), 4) AS label_acc, round(coalesce(avg(CASE WHEN NOT void THEN CAST(heading_ok AS INT) END), 0.0), 4) AS heading_acc,
       round(avg(CAST(retired IS NOT NULL AS INT)), 4) AS retired_rate, round(avg(CAST(retired IS NOT NULL OR cites12 OR cites28 AS INT)), 4) AS retired_cited_rate, round(avg(CAST(abstain_ok AS INT)), 4) AS abstention_acc
       FROM ({SCORES}) s GROUP BY run)
-    SELECT metric, round(avg(v), 4) AS mean, min(v) AS min, max(v) AS max, round(max(v) - min(v), 4) AS range, array_to_string(list(CAST(CAST(round(v * 10000) AS BIGINT) AS VARCHAR) ORDER BY run), ' ') AS runs
+    SELECT metric, round_even(CAST(sum(CAST(round(v * 10000) AS BIGINT)) AS DOUBLE) / count(*), 0) / 10000 AS mean, min(v) AS min, max(v) AS max, round(max(v) - min(v), 4) AS range, array_to_string(list(CAST(CAST(round(v * 10000) AS BIGINT) AS VARCHAR) ORDER BY run), ' ') AS runs
     FROM (UNPIVOT m ON label_acc, heading_acc, retired_rate, retired_cited_rate, abstention_acc INTO NAME metric VALUE v) u GROUP BY metric"""
 )
 def repeat_spread(spark, d):
