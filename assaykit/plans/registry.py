@@ -11,6 +11,7 @@ from assaykit.functions.regex import one_of, word_count
 from assaykit.functions.rulings import operative_tail, outcome
 from assaykit.operators import agreement, composition, evaluation, firstpass, lookup, queue, validation
 from assaykit.operators.ordering import placed
+from assaykit.shared import passing, shared_folder
 from assaykit.plans.views import ANSWERS, LABELLED, MODELS, POOL, RESPONSES, SCORES, oracle, view
 from assaykit.sources import jsonl, models
 from assaykit.sources.index import index_rows
@@ -761,11 +762,10 @@ def money_cells(spark, d):
 @query("SELECT doc_id, md5(text) AS digest, row_number() OVER (ORDER BY doc_id) - 1 AS place, 'human' AS labelled_by FROM documents")
 def jsonl_rows(spark, d):
     """Documents written as JSON lines, with blank lines and comments between them, and read as rows in their order."""
-    from assaykit.shared import shared_folder
-
     folder = shared_folder(spark, "jsonl")
     docs = _table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.format_string("d%012d", "doc_id").alias("id"), F.col("text").alias("input"))).alias("value"))
     docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(F.concat_ws("\n", F.lit("// next"), F.lit(" "), "value").alias("value")).write.text(folder)
+    passing(spark, folder)
     rows = jsonl.with_defaults(jsonl.read_pool(spark, folder, jsonl.EXAMPLE, "*.txt"))
     rows = rows.withColumn("at", F.concat("file", F.lpad(F.col("line").cast("string"), 12, "0")))
     return placed(rows, {}, ["at"], "place").select(F.expr("CAST(substr(id, 2) AS BIGINT)").alias("doc_id"), F.md5("input").alias("digest"), (F.col("place") - 1).alias("place"), "labelled_by")
@@ -774,12 +774,11 @@ def jsonl_rows(spark, d):
 @query(f"SELECT model_key, CAST(n AS BIGINT) AS n, row_number() OVER (ORDER BY started DESC) AS place FROM (SELECT model_key, count(*) AS n, max(event_id) AS started FROM ({ANSWERS}) a GROUP BY 1) t")
 def run_files(spark, d):
     """A run file for each model, written and read again, newest first."""
-    from assaykit.shared import shared_folder
-
     folder = shared_folder(spark, "runs")
     each = view(spark, d, ANSWERS).groupBy("model_key").agg(F.count("*").alias("n"), F.max("event_id").alias("started"))
     run = each.select(F.concat(F.lit("r"), "model_key").alias("run_id"), "model_key", F.lit("m").alias("model_id"), F.lit("p").alias("provider"), F.lpad(F.col("started").cast("string"), 12, "0").alias("started_at"), F.create_map(F.lit("n"), F.col("n").cast("string")).alias("summary"), F.create_map(F.lit("usd"), F.lit("0")).alias("cost"))
     run.repartition(16, "run_id").select(F.to_json(F.struct("*")).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    passing(spark, folder)
     runs = jsonl.newest_first(jsonl.read_runs(spark, f"{folder}/part-*"))
     return runs.select("model_key", F.col("summary")["n"].cast("long").alias("n"), F.row_number().over(Window.orderBy(F.desc("started_at"))).alias("place"))  # a row for each model
 
@@ -789,13 +788,13 @@ def stream_daily_counts(spark, d):
     """An extension: the event log as a stream, counted by day and type until it is drained."""
     import uuid
 
-    from assaykit.shared import shared_folder
-
     name = f"daily_{uuid.uuid4().hex}"
+    states = shared_folder(spark, name)
     events = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
     counts = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared_folder(spark, name)).trigger(availableNow=True).start()
+    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", states).trigger(availableNow=True).start()
     q.awaitTermination()
+    passing(spark, states)
     return spark.table(name)
 
 

@@ -38,6 +38,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def passing(spark: SparkSession, folder: str) -> str:
+    """A folder that is there, to be deleted when the driver ends at the latest."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """The name, with underscores before it until no column of df has it."""
     taken = {c.lower() for c in df.columns}
