@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import re
 
@@ -11,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.shared import shared_folder
+from assaykit.shared import passing, shared_folder
 
 #: A word is a longest run of other characters than these six.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -37,13 +39,6 @@ def _path(spark: SparkSession, where: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def passing(spark: SparkSession, where: str) -> str:
-    """A folder that is there, to be deleted when the driver ends at the latest."""
-    path, store = _path(spark, where)
-    store.deleteOnExit(path)
-    return where
-
-
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: its lineage ends there.
 
@@ -77,6 +72,38 @@ def remainder(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def trim() -> None:
+    """Give a worker's free memory back, so that workers that wait don't hold what the last block took."""
+    pa.default_memory_pool().release_unused()
+    libc = _libc()
+    if libc is not None:
+        libc.malloc_trim(0)
+
+
+@functools.cache
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+@functools.cache
+def one_thread() -> None:
+    """Keep numpy's linear algebra in this worker to one thread: its small products don't gain by more, and tasks share the cores."""
+    try:
+        with open("/proc/self/maps", encoding="utf-8") as f:
+            paths = {line.split()[-1] for line in f if "openblas" in line}
+    except OSError:
+        return
+    for path in paths:
+        lib = ctypes.CDLL(path)
+        for name in ("openblas_set_num_threads", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "scipy_openblas_set_num_threads64_"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import bound_batches, forget, kept, table
+from assaykit.llm.common import bound_batches, forget, kept, one_thread, table
 
 #: Vectors of a shard, about; neighbours of a node above the ground layer, on it; widths of the searches.
 SHARD, ABOVE, GROUND, BUILD_WIDTH, WIDTH, UPPER_WIDTH = 16_384, 16, 32, 96, 160, 8
@@ -310,6 +310,7 @@ def build_index(rows: DataFrame, k: int = 20, shard_size: int = SHARD) -> tuple[
     routed = spark.sparkContext.broadcast(router)
 
     def place(batches):
+        one_thread()
         for batch in batches:
             found = np.zeros(len(batch), np.int64)
             for d, part in _by_length(batch.column(1).to_numpy()):
@@ -333,6 +334,7 @@ def build_index(rows: DataFrame, k: int = 20, shard_size: int = SHARD) -> tuple[
     dealt = placed.join(starts, ["d", "centroid"]).select((F.col("start") + F.pmod(F.xxhash64("v"), F.col("many"))).alias("shard"), "v", "ids")
 
     def run(batches):
+        one_thread()
         now, vectors, ids = None, [], []
 
         def done():
@@ -380,6 +382,7 @@ def _walked(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     starts = F.broadcast(spark.createDataFrame(rows or [(-1, 0, 1)], "shard long, start int, many int"))
 
     def run(batches):
+        one_thread()
         now, parts, shard = None, {}, None
         for batch in batches:
             is_query = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)

@@ -23,7 +23,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import bound_batches, drop, forget, kept, passing, shared_dir, table, text_slices
+from assaykit.llm.common import bound_batches, drop, forget, kept, shared_dir, table, text_slices
+from assaykit.shared import passing
 
 FILE_BYTES = 64 << 20
 #: Ranges with smaller gaps are read at once, up to READ_BYTES.
