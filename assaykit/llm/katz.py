@@ -6,7 +6,8 @@ history backs off with weight 1. d(c) is Katz's Good-Turing discount for counts
 counts c lose HELD of a count, so that no history is left without mass for what it never saw.
 alpha(h) is what seen pairs leave, over what their words leave of the unigram mass: exact sums.
 
-Texts are cut into blocks of some megabytes, whose words are coded and written once. Words get ids in
+Texts are cut into blocks of some megabytes, whose words are coded and written once, as files in the
+shared folder: tables and shuffles hold a block's dictionary and its file's name. Words get ids in
 order of falling count, so a small table of (count, first id) tells every id's count; a block's
 dictionary meets the word table once for each distinct word. In training a block adds up its own pairs
 before they go, packed, to the pair table's parts: all pairs of a history to one, unless the history
@@ -19,15 +20,17 @@ and for the alphas of histories whose pairs may be unseen; the block then scores
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import bound_batches, coded_words, forget, kept, remainder, table, text_slices
+from assaykit.llm.common import bound_batches, coded_words, drop, forget, kept, remainder, shared_dir, table, text_slices, trim
 
 BLOCK_BYTES = 6 << 20
 #: Counts over LARGE lose HELD; tokens of a part of the pair table, about.
@@ -137,32 +140,56 @@ def _begins(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _coded_texts(batches):
-    """Blocks of batches (id, trained, text): rows of their dictionary, the first with the texts' codes, ends and marks."""
-    task, k = TaskContext.get(), 0
-    for batch in batches:
-        for lo, hi in text_slices(batch, 2, BLOCK_BYTES):
-            part = batch.slice(lo, hi - lo)
-            codes, ends, words = coded_words(part.column(2), lower=True)
-            codes, ends = np.insert(codes, ends[1:], len(words)), ends + np.arange(len(ends))
-            names = pa.concat_arrays([words.cast(pa.string()), pa.array([END])])
-            trained = part.column(1).to_numpy(zero_copy_only=False)
-            n = np.bincount(codes[np.repeat(trained, np.diff(ends))], minlength=len(names)).astype(np.int64)
-            block, payload = ((task.partitionId() if task else 0) << 32) + k, pack(codes, ends, trained.astype(np.int64))
-            for at in range(0, len(names), ROW_WORDS):
-                some, first = n[at : at + ROW_WORDS], at == 0
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block]),
-                        pa.array([at]),
-                        pa.ListArray.from_arrays([0, len(some)], names.slice(at, len(some))),
-                        pa.ListArray.from_arrays([0, len(some)], pa.array(some)),
-                        pa.array([payload if first else None], pa.binary()),
-                        pa.array([part.column(0).to_pylist() if first else None], pa.list_(part.schema.types[0])),
-                    ],
-                    names=["block", "at", "words", "n", "payload", "ids"],
-                )
-            k += 1
+class _Files:
+    """Files of a shared folder, each written once under a name of its own: attempts never meet."""
+
+    def __init__(self, path: str):
+        self.store, self.folder = pa.fs.FileSystem.from_uri(path)
+        self.store.create_dir(self.folder, recursive=True)
+
+    def put(self, data: bytes) -> str:
+        name = uuid.uuid4().hex
+        with self.store.open_output_stream(f"{self.folder}/{name}", compression=None) as f:
+            f.write(data)
+        return name
+
+    def get(self, name: str) -> bytes:
+        with self.store.open_input_file(f"{self.folder}/{name}") as f:
+            return f.read()
+
+
+def _text_coder(path: str):
+    """Blocks of batches (id, trained, text): rows of their dictionary, the first with the name of the file of the texts' codes, ends and marks."""
+
+    def run(batches):
+        files, task, k = _Files(path), TaskContext.get(), 0
+        for batch in batches:
+            for lo, hi in text_slices(batch, 2, BLOCK_BYTES):
+                part = batch.slice(lo, hi - lo)
+                codes, ends, words = coded_words(part.column(2), lower=True)
+                codes, ends = np.insert(codes, ends[1:], len(words)), ends + np.arange(len(ends))
+                names = pa.concat_arrays([words.cast(pa.string()), pa.array([END])])
+                trained = part.column(1).to_numpy(zero_copy_only=False)
+                n = np.bincount(codes[np.repeat(trained, np.diff(ends))], minlength=len(names)).astype(np.int64)
+                block, file = ((task.partitionId() if task else 0) << 32) + k, files.put(pack(codes, ends, trained.astype(np.int64)))
+                for at in range(0, len(names), ROW_WORDS):
+                    some, first = n[at : at + ROW_WORDS], at == 0
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([block]),
+                            pa.array([at]),
+                            pa.ListArray.from_arrays([0, len(some)], names.slice(at, len(some))),
+                            pa.ListArray.from_arrays([0, len(some)], pa.array(some)),
+                            pa.array([file if first else None], pa.string()),
+                            pa.array([part.column(0).to_pylist() if first else None], pa.list_(part.schema.types[0])),
+                        ],
+                        names=["block", "at", "words", "n", "file", "ids"],
+                    )
+                del codes, ends, words, names, n
+                trim()
+                k += 1
+
+    return run
 
 
 def _numbered(batches):
@@ -174,9 +201,12 @@ def _numbered(batches):
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows (id, trained, text) as a written table of coded blocks."""
+    """Rows (id, trained, text) as a written table of coded blocks, whose files are in its folder _files."""
     kind = rows.schema["id"].dataType.simpleString()
-    return kept(rows.mapInArrow(_coded_texts, f"block long, at long, words array<string>, n array<long>, payload binary, ids array<{kind}>"), "katz-texts")
+    path = shared_dir(rows.sparkSession, "katz-blocks")
+    out = kept(rows.mapInArrow(_text_coder(path), f"block long, at long, words array<string>, n array<long>, file string, ids array<{kind}>"), "katz-texts")
+    out._files = path
+    return out
 
 
 def _entries(blocks: DataFrame) -> DataFrame:
@@ -186,24 +216,44 @@ def _entries(blocks: DataFrame) -> DataFrame:
 
 
 def _coded(blocks: DataFrame, words: DataFrame, known: int) -> DataFrame:
-    """(block, payload, ids): the blocks, which go, with the model's ids for words; written. payload: ids by code, codes, ends, marks."""
+    """(block, file, ids): the blocks, which go, with the model's ids for words; written. A file has ids by code, codes, ends, marks."""
     ids_type = blocks.schema["ids"].dataType.simpleString()
     own = _entries(blocks).select("block", "code", "word").join(words.select("word", "gid"), "word", "left")
     own = kept(own.select("block", (F.coalesce("gid", F.lit(known)) * (1 << CODE_BITS) + F.col("code")).alias("entry")), "katz-ids")
-    texts = blocks.where("payload IS NOT NULL").select(F.col("block").alias("of"), "payload", "ids")
+    texts = blocks.where("file IS NOT NULL").select(F.col("block").alias("of"), "file", "ids")
+    source, path = blocks._files, shared_dir(blocks.sparkSession, "katz-coded-blocks")
 
     def code(left, right):
         entry = left["entry"].to_numpy()
         gids = np.empty(left.num_rows, np.int64)
         gids[entry & ((1 << CODE_BITS) - 1)] = entry >> CODE_BITS
-        codes, ends, trained = unpack(right["payload"][0].as_py())
-        return pa.table({"block": right["of"], "payload": pa.array([pack(gids, codes, ends, trained)], pa.binary()), "ids": right["ids"]})
+        codes, ends, trained = unpack(_Files(source).get(right["file"][0].as_py()))
+        trim()
+        return pa.table({"block": right["of"], "file": pa.array([_Files(path).put(pack(gids, codes, ends, trained))]), "ids": right["ids"]})
 
-    out = kept(own.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(code, f"block long, payload binary, ids {ids_type}"), "katz-coded")
+    n = _tasks(texts)
+    out = kept(own.repartition(n, "block").groupBy("block").cogroup(texts.repartition(n, "of").groupBy("of")).applyInArrow(code, f"block long, file string, ids {ids_type}"), "katz-coded")
+    out._files = path
     forget(own, blocks)
+    drop(blocks.sparkSession, source)
     return out
 
 
+def _tasks(blocks: DataFrame) -> int:
+    """Tasks for work on some blocks: their rows are small, but each is megabytes of work."""
+    return max(1, min(blocks.count(), 4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _spread(coded: DataFrame) -> DataFrame:
+    """(block, file) of coded blocks, dealt evenly."""
+    return coded.select("block", "file").repartition(_tasks(coded))
+
+
+def _forget_coded(coded: DataFrame) -> None:
+    drop(coded.sparkSession, coded._files)
+    forget(coded)
+
+
 @dataclass
 class Model:
     """words: (word, gid, c); pairs, histories: (part, payload), packed arrays of histories with words and counts, and with log10 alphas; d: discounts of pairs."""
@@ -319,11 +369,13 @@ def _learn(blocks: DataFrame) -> tuple[Model, DataFrame]:
     parts, frequent = max(shuffle_parts, math.ceil(unigrams.tokens / PART_TOKENS)), PART_TOKENS // 64
     shared = spark.sparkContext.broadcast(unigrams)
 
+    blocks_at = coded._files
+
     def block_pairs(batches):
-        u = shared.value
+        u, files = shared.value, _Files(blocks_at)
         for batch in batches:
-            for payload in batch.column(0):
-                token, history, text, _, trained = _tokens(u, payload.as_py())
+            for name in batch.column(1).to_pylist():
+                token, history, text, _, trained = _tokens(u, files.get(name))
                 own = trained[text]
                 h, w = history[own], token[own]
                 order, begin, _ = _distinct(h, w)
@@ -331,7 +383,7 @@ def _learn(blocks: DataFrame) -> tuple[Model, DataFrame]:
                 for p, at in _by_part(_part(u, parts, frequent, h, w), parts):
                     yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([pack(_steps(h[at]), w[at], n[at])], pa.binary())], names=["part", "payload"])
                 del token, history, text, own, h, w, n, order, begin
-                pa.default_memory_pool().release_unused()
+                trim()
 
     def add_up(batches):
         here, rest, size = None, [], 0
@@ -349,12 +401,13 @@ def _learn(blocks: DataFrame) -> tuple[Model, DataFrame]:
                 if size > GATHERED:
                     rest = [merged()]
                     size = 0
+                    trim()
         if here is not None:
             h, w, n = merged()
             sizes, many = np.unique(n[n <= LARGE + 1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([here]), pa.array([pack(_steps(h), w, n)], pa.binary()), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([many.tolist()], pa.list_(pa.int64()))], names=["part", "payload", "sizes", "types"])
 
-    sent = coded.select("payload").mapInArrow(block_pairs, "part long, payload binary").repartitionById(parts, F.col("part").cast("int"))
+    sent = _spread(coded).mapInArrow(block_pairs, "part long, payload binary").repartitionById(parts, F.col("part").cast("int"))
     pairs = kept(sent.mapInArrow(add_up, "part long, payload binary, sizes array<long>, types array<long>"), "katz-pairs")
     sizes = pairs.select(F.explode(F.arrays_zip("sizes", "types")).alias("x")).groupBy("x.sizes").agg(F.sum("x.types").alias("n"))
     d = discounts({r.sizes: r.n for r in sizes.collect()})  # six rows
@@ -412,16 +465,20 @@ def _apply(model: Model, coded: DataFrame, once: bool = False) -> DataFrame:
         h, w = h[order][begin], w[order][begin]
         return (token, text, ends, trained, asked, order, pair), (h, w, _by_part(_part(u, parts, frequent, h, w), parts)), (some, dict(_by_part(_part(u, parts, frequent, some), parts)))
 
+    blocks_at = coded._files
+
     def ask(batches):
-        u = shared.value
+        u, files = shared.value, _Files(blocks_at)
         for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, (h, w, pairs), (some, alphas) = questions(u, payload.as_py())
+            for block, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _, (h, w, pairs), (some, alphas) = questions(u, files.get(name))
                 none = np.zeros(0, np.int64)
                 pairs = dict(pairs)
                 for p in sorted(pairs.keys() | alphas.keys()):
                     at, of = pairs.get(p, none), alphas.get(p, none)
                     yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([_ASKED]), pa.array([block]), pa.array([pack(_steps(h[at]), w[at], _steps(some[of]))], pa.binary())], names=["part", "kind", "block", "payload"])
+                del h, w, pairs, some, alphas
+                trim()
 
     def answer(batches):
         u = shared.value
@@ -450,7 +507,7 @@ def _apply(model: Model, coded: DataFrame, once: bool = False) -> DataFrame:
 
     def score(left, right):
         u = shared.value
-        (token, text, ends, trained, asked, order, pair), (h, _, pairs), (some, alphas) = questions(u, left["payload"][0].as_py())
+        (token, text, ends, trained, asked, order, pair), (h, _, pairs), (some, alphas) = questions(u, _Files(blocks_at).get(left["file"][0].as_py()))
         told = {p: unpack(x) for p, x in zip(right["part"].to_pylist(), right["payload"].to_pylist(), strict=True)} if right.num_rows else {}
         times, alpha = np.zeros(len(h), np.int64), np.zeros(len(some))
         for p, at in pairs:
@@ -466,6 +523,8 @@ def _apply(model: Model, coded: DataFrame, once: bool = False) -> DataFrame:
         weight = alpha[np.minimum(np.searchsorted(some, h), max(0, len(some) - 1))] if len(some) else np.zeros(len(h))
         worth[at] = np.where(times[pair] > 0, seen[pair], weight[pair] + log_w[at])
         n = len(ends) - 1
+        del asked, order, pair, seen, known_history, times, told
+        trim()
         return pa.table(
             {
                 "id": pa.array(left["ids"][0].as_py(), left.schema.field("ids").type.value_type),
@@ -479,15 +538,17 @@ def _apply(model: Model, coded: DataFrame, once: bool = False) -> DataFrame:
 
     none = F.lit(None).cast("long").alias("block")
     stored = [t.select("part", F.lit(kind).cast("long").alias("kind"), none, "payload") for kind, t in ((_PAIRS, model.pairs), (_HISTORIES, model.histories))]
-    asked = coded.select("block", "payload").mapInArrow(ask, "part long, kind long, block long, payload binary")
+    asked = _spread(coded).mapInArrow(ask, "part long, kind long, block long, payload binary")
     both = stored[0].unionByName(stored[1]).unionByName(asked).repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("kind")
     answers = kept(both.mapInArrow(answer, "block long, part long, payload binary"), "katz-answers")
     if once:
         model.forget()
     kind = coded.schema["ids"].dataType.elementType.simpleString()
-    scored = coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, trained boolean, n_tokens long, n_known long, base double, score double")
+    n = _tasks(coded)
+    scored = coded.repartition(n, "block").groupBy("block").cogroup(answers.repartition(n, "block").groupBy("block")).applyInArrow(score, f"id {kind}, trained boolean, n_tokens long, n_known long, base double, score double")
     out = kept(scored, "katz-scores")
-    forget(coded, answers)
+    forget(answers)
+    _forget_coded(coded)
     return out
 
 
@@ -500,7 +561,7 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """The model of all texts of docs: null or empty ones have the end alone, repeated rows count each, no rows give a model without words."""
     blocks = _blocks(_rows(docs, F.lit(True), id_column, text_column))
     model, coded = _learn(blocks)
-    forget(coded)
+    _forget_coded(coded)
     return model
 
 
