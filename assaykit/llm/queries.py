@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from assaykit.llm.centroids import OP12_SQL, op12_drake
 from assaykit.llm.hnsw import op2_hnsw
 from assaykit.llm.katz import op4_katz
 from assaykit.llm.packing import op1_packing
@@ -12,6 +13,6 @@ from assaykit.llm.simhash import op3_simhash
 from assaykit.llm.toxicity import op9_toxicity
 from assaykit.llm.warc import OP10_SQL, op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_hnsw, op3_simhash, op4_katz, op5_rules, op6_quality, op7_trie_counts, op8_nbest, op9_toxicity, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_hnsw, op3_simhash, op4_katz, op5_rules, op6_quality, op7_trie_counts, op8_nbest, op9_toxicity, op10_warc, op12_drake)}
 #: Only what SQL can express.
-SQL: dict[str, str] = {"op10_warc": OP10_SQL}
+SQL: dict[str, str] = {"op10_warc": OP10_SQL, "op12_drake": OP12_SQL}
