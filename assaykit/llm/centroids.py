@@ -235,8 +235,8 @@ def op12_drake(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     steps = [
-        """kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64)""",
+        """kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
         "cells AS MATERIALIZED (SELECT rid, unnest(range(1, 65)) AS j, unnest(v) AS x FROM kept)",
         "seeds AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM kept ORDER BY h, v LIMIT 16))",
         "c0 AS MATERIALIZED (SELECT c, unnest(range(1, 65)) AS j, unnest(v) AS y FROM seeds)",

@@ -14,6 +14,7 @@ COLUMNS = {
     "op8_nbest": {"doc_id", "rank", "score"},
     "op9_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op10_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
+    "op11_cross_parse": {"doc_id", "held_out", "lang_pred", "score"},
     "op12_drake": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
 }
 
