@@ -16,6 +16,7 @@ COLUMNS = {
     "op10_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op11_cross_parse": {"doc_id", "held_out", "lang_pred", "score"},
     "op12_drake": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
+    "op13_ranked_search": {"item_id", "rank", "doc_id", "score"},
 }
 
 
