@@ -128,10 +128,10 @@ def trim_edges(text: Column) -> Column:
 
 def strip_known_parties(text: Column, hashes: tuple[str, ...] = KNOWN_PARTIES) -> Column:
     """Words whose lower-case SHA-256 is among hashes become a space."""
-    words = every(text, PARTY_WORD)
-    kept = F.transform(words, lambda w: F.when(F.sha2(F.lower(w).cast("binary"), 256).isin(*hashes), F.lit(" ")).otherwise(w))
-    pieces = F.split(text, PARTY_WORD, -1)
-    return F.concat(F.array_join(F.transform(kept, lambda w, i: F.concat(F.get(pieces, i), w)), ""), F.element_at(pieces, -1))
+    told = lambda w: F.when(F.sha2(F.lower(w).cast("binary"), 256).isin(*hashes), F.lit(" ")).otherwise(w)
+    # both arrays are made once for a text: pieces, one more than words, then the word after each
+    whole = F.zip_with(F.split(text, PARTY_WORD, -1), every(text, PARTY_WORD), lambda piece, w: F.concat(piece, F.coalesce(told(w), F.lit(""))))
+    return F.array_join(whole, "")
 
 
 #: Cheap signs without which a costly pattern can't match.
