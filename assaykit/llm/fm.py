@@ -1,10 +1,12 @@
 """Factorisation machines over hashed words, and over bins of text statistics and metadata where asked for.
 
 A document's features are the hashes of its distinct words (32 bits, so that strangers hardly ever
-share one) and one bin for each statistic and each column of metadata. Training keeps all hashes that go
-with the label, however many (SUPPORT, ROOT), then fits linear weights and `rank` factors for each
-feature by AdaGrad on the logistic loss. A score sums pairwise interactions in linear time: half of the
-squared sum of factors less their squares' sum.
+share one) and one bin for each statistic and each column of metadata. All hashes that SUPPORT documents
+hold take part in training, which fits linear weights and `rank` factors for each feature by AdaGrad on the
+logistic loss. Terms that don't go with the label alone are held back, not left out: their penalties grow as
+the root of their chi-squared statistic falls under ROOT (an adaptive lasso on weights, an adaptive ridge on
+factors), so what they tell in pairs can still be learned, as in an exclusive-or. A score sums pairwise
+interactions in linear time: half of the squared sum of factors less their squares' sum.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ from assaykit.shared import fresh
 
 #: Rows that a model is fitted on at most, chosen by a hash of their ids.
 SAMPLE = 12_000
-#: Least documents that hold a term, least root of its chi-squared statistic; all terms that reach both are features.
+#: Least documents that hold a term; the root of its chi-squared statistic from which a term is hardly held back.
 SUPPORT, ROOT = 5, 4.5
+#: Penalties of weights and of factors at ROOT; the power by which they grow under it, and the most that they do.
+LASSO, RIDGE, POWER, MOST = 1e-4, 3e-3, 4, 30.0
+#: Of the penalties, the share that bins of statistics and metadata bear.
+BINS_HELD = 0.1
 BINS, EDGE_MARKS = 8, "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127), 0xAB, 0xBB, 0xA1, 0xBF]))
 
 
@@ -73,8 +79,17 @@ def _features(machine_terms: np.ndarray, edges: np.ndarray | None, owner: np.nda
     return ids.astype(np.int64), own
 
 
-def fit(labels: np.ndarray, owner: np.ndarray, hashes: np.ndarray, table: np.ndarray | None, rank: int = 8, steps: int = 2000, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7, support: int = SUPPORT, root: float = ROOT) -> Machine:
-    """Fit a machine on all terms of `support` documents whose chi-squared statistic's root reaches `root`; with one label alone, or no rows, it scores that label's smoothed share."""
+def _by_row(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of values that lie row by row, sizes[r] of them for row r."""
+    out = np.zeros((len(sizes), *values.shape[1:]))
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some], axis=0)
+    return out
+
+
+def fit(labels: np.ndarray, owner: np.ndarray, hashes: np.ndarray, table: np.ndarray | None, rank: int = 8, steps: int = 1200, batch: int = 256, rate: float = 0.1, seed: int = 7, support: int = SUPPORT, root: float = ROOT) -> Machine:
+    """Fit a machine on all terms of `support` documents, those under `root` held back; with one label alone, or no rows, it scores that label's smoothed share."""
     n, y = len(labels), labels.astype(float)
     distinct, code = np.unique(hashes, return_inverse=True)
     with_term = np.bincount(code, minlength=len(distinct)).astype(float)
@@ -82,13 +97,16 @@ def fit(labels: np.ndarray, owner: np.ndarray, hashes: np.ndarray, table: np.nda
     ones = y.sum()
     spread = with_term * (n - with_term) * ones * (n - ones)
     reached = np.sqrt(n / np.maximum(spread, 1)) * np.abs(with_both * (n - ones) - (with_term - with_both) * ones)
-    terms = distinct[(with_term >= support) & (reached >= root) & (spread > 0)]
+    some = with_term >= support
+    terms = distinct[some]
     edges = None if table is None else np.quantile(table, np.arange(1, BINS) / BINS, axis=0).T if n else np.zeros((table.shape[1], BINS - 1))
     size = len(terms) + (0 if edges is None else BINS * len(edges))
+    held = np.full(size, BINS_HELD)
+    held[: len(terms)] = np.minimum((root / np.maximum(reached[some], 1e-3)) ** POWER, MOST)
     rng = np.random.default_rng(seed)
     prior = (ones + 0.5) / (n + 1)
     machine = Machine(terms, edges, float(np.log(prior / (1 - prior))), np.zeros(size), rng.normal(0, 0.01, (size, rank)))
-    if not 0 < ones < n:
+    if not 0 < ones < n or not size:
         machine.factors[:] = 0
         return machine
     ids, own = _features(terms, edges, owner, hashes, table)
@@ -101,22 +119,30 @@ def fit(labels: np.ndarray, owner: np.ndarray, hashes: np.ndarray, table: np.nda
             size_of = start[rows + 1] - start[rows]
             own_b = np.repeat(np.arange(len(rows)), size_of)
             ids_b = ids[np.repeat(start[rows] - np.concatenate([[0], np.cumsum(size_of)[:-1]]), size_of) + np.arange(size_of.sum())]
-            sums = np.column_stack([np.bincount(own_b, f[ids_b], len(rows)) for f in machine.factors.T])
-            wrong = (machine.scores(ids_b, own_b, len(rows)) - y[rows]) / len(rows)
-            used, local = np.unique(ids_b, return_inverse=True)
-            by_row = wrong[own_b]
-            grad = np.bincount(local, by_row, len(used)) + decay * machine.linear[used]
-            weight = np.bincount(local, by_row, len(used))
-            grads = np.column_stack([np.bincount(local, by_row * sums[own_b, k], len(used)) for k in range(rank)]) - weight[:, None] * machine.factors[used] + decay * machine.factors[used]
+            own_factors = machine.factors[ids_b]
+            sums = _by_row(own_factors, size_of)
+            total = machine.bias + _by_row(machine.linear[ids_b], size_of) + 0.5 * ((sums**2).sum(1) - _by_row((own_factors**2).sum(1), size_of))
+            wrong = (1 / (1 + np.exp(-np.clip(total, -40, 40))) - y[rows]) / len(rows)
+            used = np.flatnonzero(np.bincount(ids_b, minlength=size))
+            weight = np.bincount(ids_b, wrong[own_b], size)[used]
+            grads = np.column_stack([np.bincount(ids_b, x[own_b], size)[used] for x in (wrong[:, None] * sums).T])
+            grads += (RIDGE * held[used] - weight)[:, None] * machine.factors[used]
             sq_bias += wrong.sum() ** 2
-            sq_linear[used] += grad**2
+            sq_linear[used] += weight**2
             sq_factors[used] += grads**2
             machine.bias -= rate * wrong.sum() / np.sqrt(sq_bias)
-            machine.linear[used] -= rate * grad / np.sqrt(sq_linear[used])
+            step = rate / np.sqrt(sq_linear[used])
+            now = machine.linear[used] - step * weight
+            machine.linear[used] = np.sign(now) * np.maximum(np.abs(now) - step * LASSO * held[used], 0)
             machine.factors[used] -= 0.2 * rate * grads / np.sqrt(sq_factors[used])
     return machine
 
 
+def _edge(sample: int, n: int) -> int:
+    """The largest of 64-bit hashes that `sample` of n rows reach, about, however many rows there are."""
+    return min((1 << 63) - 1, (1 << 64) * sample // max(1, n) - (1 << 63))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int = 5, sample: int = SAMPLE, metadata: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, y, text, m0, m1, ... for metadata) of at most about `sample` labelled documents outside fold 0.
 
@@ -126,8 +152,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int =
     own = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != 0))
     own = own.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_other")).where("y = _other").select("doc_id", "y")
     n = own.count()
-    space = 1 << 20
-    chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < min(space, space * sample // max(1, n)))
+    chosen = own.where(F.xxhash64("doc_id") <= F.lit(_edge(sample, n)).cast("long"))
     names = [f"m{k}" for k in range(len(metadata))]
     rows = docs.select("doc_id", F.struct("text", *(c.alias(n) for c, n in zip(_metadata(docs, metadata), names, strict=True))).alias("x"))
     return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("doc_id", "y", "x.text", *(f"x.{n}" for n in names))
@@ -144,10 +169,10 @@ def _table(batch: pa.RecordBatch, text: int, metadata: range) -> np.ndarray:
     return np.column_stack([statistics(batch.column(text)), *(batch.column(k).to_numpy() for k in metadata)])
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str, with_statistics: bool, sample: int = SAMPLE, metadata: tuple[str, ...] = ()) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, label: str, with_statistics: bool, sample: int = SAMPLE, metadata: tuple[str, ...] = (), support: int = SUPPORT, root: float = ROOT) -> Machine:
     """Fit a machine on a bounded sample of labelled documents, on the driver.
 
-    metadata: numeric columns of docs, used beside the statistics. Null texts count as empty, nulls
+    support, root: see fit. metadata: numeric columns of docs, used beside the statistics. Null texts count as empty, nulls
     and absent columns of metadata as -1. Which rows are taken, and what of repeated ones: labelled_sample.
     """
     bound_batches(docs.sparkSession)
@@ -170,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, with_statistics: bool,
     hashes = np.frombuffer(b"".join(terms), "<u4").astype(np.int64)
     owner = np.repeat(np.arange(len(terms)), [len(x) // 4 for x in terms])
     stats = np.frombuffer(b"".join(rows.column("stats").to_pylist()), "<f8").reshape(len(y), len(NAMES) + len(metadata)) if with_statistics else None
-    machine = fit(y, owner, hashes, stats)
+    machine = fit(y, owner, hashes, stats, support=support, root=root)
     machine.metadata = metadata
     return machine
 

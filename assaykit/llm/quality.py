@@ -9,28 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from assaykit.llm.common import remainder, table
-from assaykit.llm.fm import SAMPLE, learn, score, score_rows
+from assaykit.llm.fm import ROOT, SAMPLE, SUPPORT, learn, score, score_rows
 
 THRESHOLD, METADATA = 0.3, ("n_chars",)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, support: int = SUPPORT, root: float = ROOT) -> DataFrame:
     """(doc_id, score, predicted) for every row, from labels.quality outside fold 0 of 5.
 
     Null and empty texts are scored like any other; without usable labels all rows score 0.5, with
     one label alone its smoothed share. Repeated rows are scored each. A table without n_chars, or
     with nulls in it, is scored without. Other columns are left out. No rows give no rows.
     """
-    return score(docs, learn(docs, labels, "quality", True, sample, METADATA), THRESHOLD)
+    return score(docs, learn(docs, labels, "quality", True, sample, METADATA, support, root), THRESHOLD)
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, support: int = SUPPORT, root: float = ROOT) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold.
 
     Scores are those of quality_scores, also for null and empty texts. Of repeated rows all stay or
     none does; columns with names like a score's are kept as they are. No rows give no rows.
     """
-    got, score_name = score_rows(docs, learn(docs, labels, "quality", True, sample, METADATA))
+    got, score_name = score_rows(docs, learn(docs, labels, "quality", True, sample, METADATA, support, root))
     return got.where(got[score_name] >= THRESHOLD).select(*docs.columns)
 
 

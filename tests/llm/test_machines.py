@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from assaykit.llm.fm import Machine, fit, labelled_sample, learn, score, term_hashes
+from assaykit.llm.fm import Machine, _edge, fit, labelled_sample, learn, score, term_hashes
 from assaykit.llm.quality import keep_quality, quality_scores
 from assaykit.llm.stats import NAMES, repeated_windows, statistics
 from assaykit.llm.toxicity import drop_toxic, toxicity_scores
@@ -31,6 +31,21 @@ def test_pairs_are_learned_where_lines_fail():
     assert both > 0.9 and one < 0.1
 
 
+def test_an_exclusive_or_is_learned(spark):
+    cases = {0: "the river runs", 1: "the alpha river runs", 2: "the river beta runs", 3: "the alpha river beta runs"}
+    docs = spark.createDataFrame([(k, cases[k % 4]) for k in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 in (1, 2))) for k in range(600)], "doc_id long, toxic int")
+    got = toxicity_scores(docs, labels).collect()
+    assert len(got) == 600 and all(r.predicted == int(r.doc_id % 4 in (1, 2)) for r in got)
+    alone = toxicity_scores(docs, labels, support=10_000).collect()  # no terms at all
+    assert len({r.score for r in alone}) == 1
+
+
+def test_the_sample_at_any_number_of_labels():
+    for n in (1, 12_000, 50_000, 10**10, 10**14):
+        assert abs((_edge(12_000, n) + (1 << 63)) / (1 << 64) * n - min(n, 12_000)) < 1
+
+
 def test_statistics_against_loops():
     rng = random.Random(3)
     texts = [None, "", " \n ", "A b a b A b a", "x\nx\n\ny x\n x", "#|# é\tÉ\x0b!", *(" ".join(rng.choices("abc", k=rng.randrange(40))) + "\nab" * rng.randrange(3) for _ in range(50))]
