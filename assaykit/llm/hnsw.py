@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by inner product: a small-world graph per shard, results merged.
 
 Vectors get one component more, which makes all of a shard equally long, so that the largest inner
-product with a query is the smallest angle. Equal vectors are one node, with as many of their ids as
+product with a query is the smallest angle. Single precision holds that component only among vectors whose
+lengths are alike, so vectors are first told apart by length: those over an eighth of the longest, those
+over a 64th, and so on, each range with shards of its own. Equal vectors are one node, with as many of their ids as
 can be among the nearest. Shards hold vectors that lie together: those nearest to one of some
 centroids, fitted on a bounded sample. How many centroids' shards a query has to visit is measured: a
 bounded sample of queries visits all, and the others as many as hold the wanted share of what these
@@ -30,6 +32,10 @@ SHARD, ABOVE, GROUND, BUILD_WIDTH, WIDTH, UPPER_WIDTH = 16_384, 16, 32, 96, 160,
 BATCH, OPEN, VISITS = 512, 4, 16_384
 #: Most centroids, and vectors that they are fitted on; queries that measure visits, and the share they must find.
 CENTROIDS, FITTED, MEASURED, SHARE = 4096, 65_536, 256, 0.97
+#: A range of lengths spans so many powers of two; rows that are compared with all centroids at once.
+OCTAVES, BLOCK = 3, 1024
+#: A kind is a number of components and a range of lengths, the longest being 0, in one long: components + KINDS * range.
+KINDS = 1 << 32
 
 
 def _levels(ids: np.ndarray) -> np.ndarray:
@@ -229,7 +235,7 @@ class Shard:
 
 
 class Router:
-    """Centroids of each length of vectors, and where their shards begin: centroid c of length d has shards first[d][c] to first[d][c + 1] - 1."""
+    """Centroids of each kind of vectors, and where their shards begin: centroid c of kind d has shards first[d][c] to first[d][c + 1] - 1."""
 
     def __init__(self):
         self.reach: dict[int, float] = {}
@@ -237,7 +243,7 @@ class Router:
         self.first: dict[int, np.ndarray] = {}
 
     def points(self, d: int, x: np.ndarray) -> np.ndarray:
-        """Vectors of length d with the component that makes all of them equally long."""
+        """Vectors of kind d with the component that makes all of them equally long."""
         x = x / self.reach[d]
         return np.column_stack([x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))])
 
@@ -246,7 +252,7 @@ class Router:
         x = self.points(d, sample)
         c = x[: max(1, min(centroids, len(x)))]
         for _ in range(rounds):
-            own = (x @ c.T).argmax(1)
+            own = _blocks(x, lambda part, c=c: (part @ c.T).argmax(1))
             total = np.zeros_like(c)
             np.add.at(total, own, x)
             size = np.linalg.norm(total, axis=1, keepdims=True)
@@ -254,12 +260,22 @@ class Router:
         self.centroids[d] = c
 
     def place(self, d: int, vectors: np.ndarray) -> np.ndarray:
-        return (self.points(d, vectors) @ self.centroids[d].T).argmax(1)
+        return _blocks(vectors, lambda part: (self.points(d, part) @ self.centroids[d].T).argmax(1))
 
     def order(self, d: int, queries: np.ndarray) -> np.ndarray:
         """Centroids in the order in which a query visits them."""
-        x = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
-        return np.argsort(-(x @ self.centroids[d][:, :-1].T), axis=1, kind="stable")
+        x = queries / np.abs(queries).max(1, keepdims=True)  # of any length, without overflow
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return _blocks(x, lambda part: np.argsort(-(part @ self.centroids[d][:, :-1].T), axis=1, kind="stable"))
+
+    def kinds(self, components: int) -> list[int]:
+        """Kinds of vectors with so many components that have shards."""
+        return [d for d in sorted(self.centroids) if d % KINDS == components and self.first[d][-1] > self.first[d][0]]
+
+
+def _blocks(x: np.ndarray, run) -> np.ndarray:
+    """run over blocks of rows, so that no product with all centroids is large."""
+    return np.concatenate([run(x[k : k + BLOCK]) for k in range(0, max(1, len(x)), BLOCK)])
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -270,18 +286,20 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddi
 
 
 def _nodes(rows: DataFrame, k: int) -> DataFrame:
-    """(v, d, ids): distinct vectors, their length and their k + 1 smallest ids; no more of them can be among a query's k nearest."""
+    """(v, n, l, ids): distinct vectors, their components' number, their length's logarithm, and their k + 1 smallest ids; no more of them can be among a query's k nearest."""
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     few = rows.withColumn("r", rank).where(F.col("r") <= k + 1)
-    return few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("v", F.size("v").alias("d"), "ids")
+    most = F.array_max(F.transform("v", F.abs))  # lengths without overflow
+    part = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most))
+    return few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("v", F.size("v").cast("long").alias("n"), (F.log2(most) + F.log2(part) / 2).alias("l"), "ids")
 
 
 def _matrix(column: pa.ListArray, d: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, d)
 
 
-def _by_length(lengths: np.ndarray):
-    """(length, places of the rows that have it)."""
+def _by_kind(lengths: np.ndarray):
+    """(number, places of the rows that have it)."""
     order = np.argsort(lengths, kind="stable")
     cuts = np.flatnonzero(np.diff(lengths[order])) + 1
     return [(int(lengths[part[0]]), part) for part in np.split(order, cuts) if len(part)]
@@ -290,35 +308,37 @@ def _by_length(lengths: np.ndarray):
 def build_index(rows: DataFrame, k: int = 20, shard_size: int = SHARD) -> tuple[DataFrame, Router]:
     """Index of rows (id, v), good for k nearest, as a written table (shard, part, layer, data), and what routes queries to its shards.
 
-    Vectors of each length have shards of their own. Centroids: one for each shard_size vectors,
+    Vectors of each number of components, and of each range of lengths, have shards of their own. Centroids: one for each shard_size vectors,
     CENTROIDS at most, fitted on at most FITTED of them, chosen by a hash. A centroid with more
     vectors than two shards hold has several, dealt by a hash. Repeated rows count each. No rows
     give no shards.
     """
     spark = rows.sparkSession
-    nodes = kept(_nodes(rows, k), "vectors")
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    vectors = kept(_nodes(rows, k), "vectors")
+    longest = [(r.n, r.longest) for r in vectors.groupBy("n").agg(F.max("l").alias("longest")).collect()]  # a row for each number of components
+    longest = F.broadcast(spark.createDataFrame(longest or [(0, 0.0)], "n long, longest double"))
+    nodes = vectors.join(longest, "n").select("v", (F.col("n") + KINDS * F.floor((F.col("longest") - F.col("l")) / OCTAVES)).alias("d"), "l", "ids")
     router = Router()
-    for r in nodes.groupBy("d").agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("longest")).collect():  # a row for each length
+    for r in nodes.groupBy("d").agg(F.count("*").alias("n"), F.max("l").alias("l")).collect():  # a row for each kind
         centroids = min(CENTROIDS, math.ceil(r.n / shard_size))
         few = min(FITTED, 64 * centroids)
-        chosen = nodes.where((F.col("d") == r.d) & (F.pmod(F.xxhash64("v"), F.lit(1 << 20)) <= (2 * few << 20) // r.n))
+        chosen = nodes.where((F.col("d") == r.d) & (F.xxhash64("v") <= F.lit(min((1 << 63) - 1, (2 * few << 64) // r.n - (1 << 63))).cast("long")))
         sample = chosen.orderBy(F.xxhash64(F.lit(1), "v"), "v").limit(few).select("v").toArrow()
         if len(sample) == 0:
             sample = nodes.where(F.col("d") == r.d).select("v").limit(1).toArrow()
-        router.fit(r.d, r.longest, _matrix(sample.column("v").combine_chunks(), r.d), centroids)
+        router.fit(r.d, 2.0 ** min(r.l + 1e-9, 1023.9), _matrix(sample.column("v").combine_chunks(), r.d % KINDS), centroids)
     routed = spark.sparkContext.broadcast(router)
 
     def place(batches):
         one_thread()
         for batch in batches:
             found = np.zeros(len(batch), np.int64)
-            for d, part in _by_length(batch.column(1).to_numpy()):
-                found[part] = routed.value.place(d, _matrix(batch.column(0).take(pa.array(part)), d))
+            for d, part in _by_kind(batch.column(1).to_numpy()):
+                found[part] = routed.value.place(d, _matrix(batch.column(0).take(pa.array(part)), d % KINDS))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "centroid"])
 
-    placed = kept(nodes.mapInArrow(place, "v array<double>, d int, ids array<long>, centroid long"), "placed")
-    forget(nodes)
+    placed = kept(nodes.select("v", "d", "ids").mapInArrow(place, "v array<double>, d long, ids array<long>, centroid long"), "placed")
+    forget(vectors)
     sizes = {(r.d, r.centroid): r.n for r in placed.groupBy("d", "centroid").agg(F.count("*").alias("n")).collect()}  # a row for each centroid
     shards, spread = 0, []
     for d in sorted(router.centroids):
@@ -330,7 +350,7 @@ def build_index(rows: DataFrame, k: int = 20, shard_size: int = SHARD) -> tuple[
             spread.append((d, c, shards, max(1, many)))
             shards += many
         router.first[d][-1] = shards
-    starts = F.broadcast(spark.createDataFrame(spread or [(0, 0, 0, 1)], "d int, centroid long, start long, many long"))
+    starts = F.broadcast(spark.createDataFrame(spread or [(0, 0, 0, 1)], "d long, centroid long, start long, many long"))
     dealt = placed.join(starts, ["d", "centroid"]).select((F.col("start") + F.pmod(F.xxhash64("v"), F.col("many"))).alias("shard"), "v", "ids")
 
     def run(batches):
@@ -423,14 +443,14 @@ def _walked(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 def search_index(index: DataFrame, router: Router, queries: DataFrame, k: int, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (id, v).
 
-    MEASURED queries, chosen by a hash, visit all shards of their length; the others those of so many
-    centroids, nearest first, that for each length the measured ones would have found `share` of
-    theirs (all, if share is 1). A length without vectors finds nothing. Repeated queries are answered
+    MEASURED queries, chosen by a hash, visit all shards of their number of components; the others those of so
+    many centroids of each kind, nearest first, that the measured ones would have found `share` of what
+    they found there (all, if share is 1). A number of components without vectors finds nothing. Repeated queries are answered
     each. No queries give no rows. The result is written.
     """
     spark = queries.sparkSession
     routed = spark.sparkContext.broadcast(router)
-    lengths = [d for d in router.centroids if router.first[d][-1] > router.first[d][0]]
+    lengths = sorted({d % KINDS for d in router.centroids if router.first[d][-1] > router.first[d][0]})
     rows = queries.where(F.size("v").isin(lengths)).select(F.monotonically_increasing_id().alias("query"), "id", "v", (F.xxhash64("id", "v") % (1 << 30)).alias("h"))
     rows = kept(rows, "queries")
     edge = rows.orderBy("h").limit(MEASURED).agg(F.max("h")).first()[0]
@@ -440,11 +460,15 @@ def search_index(index: DataFrame, router: Router, queries: DataFrame, k: int, s
             r = routed.value
             for batch in batches:
                 where: list = [None] * len(batch)
-                for d, part in _by_length(pa.compute.list_value_length(batch.column(2)).to_numpy()):
-                    order = r.order(d, _matrix(batch.column(2).take(pa.array(part)), d))
-                    begin, end = r.first[d][:-1], r.first[d][1:]
-                    for p, own in zip(part.tolist(), order[:, : most[d] if most else None], strict=True):
-                        where[p] = np.concatenate([np.arange(begin[c], end[c]) for c in own])
+                for components, part in _by_kind(pa.compute.list_value_length(batch.column(2)).to_numpy()):
+                    vectors = _matrix(batch.column(2).take(pa.array(part)), components)
+                    visits: list[list] = [[] for _ in part]
+                    for d in r.kinds(components):
+                        begin, end = r.first[d][:-1], r.first[d][1:]
+                        for own, to in zip(r.order(d, vectors)[:, : most[d] if most else None], visits, strict=True):
+                            to += [np.arange(begin[c], end[c]) for c in own]
+                    for p, to in zip(part.tolist(), visits, strict=True):
+                        where[p] = np.concatenate(to)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where, pa.list_(pa.int64()))], names=["query", "id", "v", "shards"])
 
         found = some.select("query", "id", "v").mapInArrow(run, "query long, id long, v array<double>, shards array<long>")
@@ -468,18 +492,19 @@ def search_index(index: DataFrame, router: Router, queries: DataFrame, k: int, s
 
 
 def _needed(found: DataFrame, queries: DataFrame, router: Router, share: float) -> dict[int, int]:
-    """For each length, how many centroids hold `share` of what the measured queries found (all, without any)."""
+    """For each kind, how many centroids hold `share` of what the measured queries found there (one, if they found nothing)."""
     vectors = {r.query: np.array(r.v) for r in queries.select("query", "v").collect()}  # MEASURED, about
-    of = {d: [] for d in router.centroids}
+    kinds = sorted(router.centroids)
+    starts = np.array([router.first[d][0] for d in kinds])
+    of = {d: [] for d in kinds}
     for r in found.select("query", "shard").collect():
-        d = len(vectors[r.query])
-        c = int(np.searchsorted(router.first[d], r.shard, side="right")) - 1
-        of[d].append((r.query, c))
+        d = kinds[int(np.searchsorted(starts, r.shard, side="right")) - 1]
+        of[d].append((r.query, int(np.searchsorted(router.first[d], r.shard, side="right")) - 1))
     out = {}
     for d, pairs in of.items():
         order = {q: np.argsort(router.order(d, vectors[q][None])[0]) for q in {q for q, _ in pairs}}
         places = sorted(int(order[q][c]) for q, c in pairs)
-        out[d] = 1 + places[min(len(places) - 1, math.ceil(share * len(places)))] if places else len(router.centroids[d])
+        out[d] = 1 + places[min(len(places) - 1, math.ceil(share * len(places)))] if places else 1
     return out
 
 
@@ -489,7 +514,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "
     Nearness is the largest inner product in double precision; ties go to the smaller id. Rows
     with a null id, a null, zero or empty vector, or null or non-finite components take no part. All
     others do: rows that share an id are queries and candidates each, and a vector's candidates are
-    those of its own length. Other columns are left out. No rows give no rows.
+    those with as many components. Other columns are left out. No rows give no rows.
     """
     bound_batches(vectors.sparkSession)
     rows = usable(vectors, id_column, column)

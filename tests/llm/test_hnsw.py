@@ -98,3 +98,15 @@ def test_recall_on_the_given_vectors(spark):
     want = {(a, c) for a, _, c, _ in exact(np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows]), 20, 20)}
     got = {(r.query_id, r.vec_id) for r in nearest(t).collect()}
     assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
+
+
+@pytest.mark.parametrize("norms", ["one long", "very long", "pareto", "lognormal", "huge and tiny"])
+def test_recall_at_any_lengths(spark, norms):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    size = {"one long": np.where(np.arange(3000) == 7, 1e4, 1.0), "very long": np.where(np.arange(3000) == 7, 1e6, 1.0), "pareto": rng.pareto(1, 3000) + 1, "lognormal": rng.lognormal(0, 3, 3000), "huge and tiny": 10.0 ** rng.uniform(-20, 20, 3000)}[norms]
+    x *= size[:, None]
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = found(table, shard_size=800), exact(np.arange(3000), x, 20, 20)
+    assert len(got) == len(want) and recall(got, want) >= 0.95
