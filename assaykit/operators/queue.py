@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaykit.functions.text import candidate_families, dedupe_key
 from assaykit.operators.ordering import placed
@@ -25,28 +26,85 @@ def first_wins(df: DataFrame, key: Column, pos: str = "pos", protected: Column |
     return marked.where(F.coalesce(F.col(first), F.lit(False)) | F.coalesce(protected, F.lit(False))).select(*(df[c] for c in df.columns))
 
 
-def greedy_two_keys(df: DataFrame, first: str, second: str, pos: str = "pos") -> DataFrame:
-    """Rows in order, each kept if neither key was kept before; a dropped row holds neither.
+#: Rows of one component that are settled in a task; larger components are settled in rounds.
+COMPONENT_ROWS = 200_000
 
-    Rounds: a row whose two keys have no earlier row left is kept, and what it excludes goes. Each
-    round takes partial minima of both keys over the rows left. The rule is sequential: a chain of
-    rows, each excluded by the one before it alone, takes a round for each second row, so rounds are
-    as many as the longest chain needs; copies and shared keys, however many, take one or two.
+
+def greedy_two_keys(df: DataFrame, first: str, second: str, pos: str = "pos", most: int = COMPONENT_ROWS) -> DataFrame:
+    """Rows in order, each kept if neither key was kept before; a dropped row holds neither. A null key is a key like any other.
+
+    Rows without an earlier row of either key are kept at once, and what shares a key with them goes: copies and
+    shared keys, however many, are settled by partial minima. What is left falls into components of rows that share
+    keys, found by stars over keys alone; each of at most `most` rows is settled by the loop itself, in one task
+    that sees positions and digests of keys only, so a chain of rows is one step, however long. Larger components are
+    settled in rounds, each of which takes the first rows left of both their keys. Rows are looked up by pos,
+    which tells them apart.
+    """
+    spark, names = df.sparkSession, [fresh(df, n) for n in ("_p", "_x", "_y")]
+    p, x, y = names
+    key = lambda kind, c: F.unhex(F.md5(F.concat(F.lit(kind), F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")))))  # noqa: E731  16 bytes for a key of any length
+    rows = checkpointed(df.select(F.col(pos).alias(p), key("1", first).alias(x), key("2", second).alias(y)))
+    kept, left = _first_rows(rows, names)
+    if not left.isEmpty():
+        of = _key_components(left.select(F.col(x).alias("a"), F.col(y).alias("b")))
+        left = left.join(of, F.col(x) == F.col("node")).drop("node")
+        large = left.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > most).select("label")
+        large = checkpointed(large)
+        small = left.join(large, "label", "left_anti").select("label", *names)
+
+        def settle(table):
+            """The loop over one component's rows, in order."""
+            t = table.sort_by(p)
+            held, out = set(), []
+            for k, (i, j) in enumerate(zip(t.column(x).to_pylist(), t.column(y).to_pylist(), strict=True)):
+                if (1, i) not in held and (2, j) not in held:
+                    held |= {(1, i), (2, j)}
+                    out.append(k)
+            return t.select([p]).take(out)
+
+        done = small.groupBy("label").applyInArrow(settle, T.StructType([rows.schema[p]]))
+        kept = [*kept, checkpointed(done)]
+        left = checkpointed(left.join(large, "label", "left_semi").select(*names))
+        while not left.isEmpty():
+            some, left = _first_rows(left, names)
+            kept += some
+    found = kept[0]
+    for k in kept[1:]:
+        found = found.unionByName(k)
+    return df.join(found, F.col(pos) == F.col(p), "left_semi")
+
+
+def _first_rows(rows: DataFrame, names: list[str]) -> tuple[list[DataFrame], DataFrame]:
+    """(positions of rows that come first of both keys, what is left without them and what shares a key with them)."""
+    p, x, y = names
+    win = rows
+    for k in (x, y):
+        win = win.join(rows.groupBy(k).agg(F.min(p).alias("_at")).select("_at"), F.col(p) == F.col("_at"), "left_semi")
+    win = checkpointed(win)
+    left = rows
+    for k in (x, y):
+        left = left.join(win.select(F.col(k).alias("_gone")), F.col(k) == F.col("_gone"), "left_anti")
+    return [win.select(p)], checkpointed(left)
+
+
+def _key_components(edges: DataFrame) -> DataFrame:
+    """(node, label): the component of each first key, by large and small stars over (a, b); a label is one of its keys.
+
+    Edges end as stars around each component's smallest key, in about the logarithm of its diameter rounds.
     """
-    spark = df.sparkSession
-    left, kept, gone_key, at = df, None, fresh(df, "_gone"), fresh(df, "_at")
+    now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    mark = None
     while True:
-        win = left
-        for k in (first, second):
-            win = win.join(left.groupBy(k).agg(F.min(pos).alias(at)).select(at), F.col(pos) == F.col(at), "left_semi")
-        win = checkpointed(win)
-        kept = win if kept is None else kept.unionByName(win)
-        for k in (first, second):  # a null key is a key like any other
-            gone = win.select(F.col(k).alias(gone_key)).distinct()
-            left = left.join(gone, F.col(k).eqNullSafe(F.col(gone_key)), "left_anti")
-        left = checkpointed(left)
-        if left.isEmpty():
-            return spark.createDataFrame([], df.schema) if kept is None else kept
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        last, mark = mark, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
+        if mark == last:
+            stars = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            return checkpointed(stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct()))
 
 
 def drop_reasons(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
