@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assaykit import labels as L
 from assaykit.functions.regex import found, rx
 from assaykit.functions.text import out_of_scope_term
+from assaykit.shared import checkpointed, fresh
 
 ID = r"^gst-\d{4}$"
 
@@ -99,3 +100,29 @@ def verify_documents(documents: DataFrame, files: DataFrame) -> DataFrame:
         F.coalesce(F.lower("sha256") != F.lower("_sha"), F.lit(False)).alias("wrong_hash"),
         F.when(F.col("_file").isNull(), 0).otherwise(F.size(miss)).alias("passages_missing"),
     )
+
+
+def correction_chains(df: DataFrame, key: str = "id", pointer: str = "deprecated_by") -> DataFrame:
+    """(key, state, final, depth) of each id: where its corrections end, and after how many.
+
+    state: active (final is the id itself), replaced (final is active), dangling (final's pointer names no row),
+    cycle (no final and no depth). An id in several rows counts once, with its smallest pointer; null ids are left
+    out. Pointers double in each round, so a chain of n corrections takes about log2(n) rounds; a round
+    that settles nothing leaves only cycles, and rows that lead into them.
+    """
+    k, p, end, steps, more, further = (fresh(df, x) for x in ("_key", "_pointer", "_end", "_steps", "_more", "_further"))
+    rows = checkpointed(df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(k)).agg(F.min(pointer).alias(p)))
+    there = rows.select(F.col(k).alias(end), F.lit(True).alias(more))
+    linked = rows.join(there, F.col(p) == F.col(end), "left").select(k, p, F.coalesce(more, F.lit(False)).alias(more))
+    ends = linked.where(~F.col(more)).select(F.col(k).alias(end), F.when(F.col(p).isNull(), "active").otherwise("dangling").alias("state"))
+    now = checkpointed(linked.where(more).select(k, F.col(p).alias(end), F.lit(1).cast("long").alias(steps)))
+    open_, last = now.count(), -1
+    while open_ and open_ != last:
+        jumps = now.select(F.col(k).alias(p), F.col(end).alias(further), F.col(steps).alias(more))
+        now = now.join(jumps, F.col(end) == F.col(p), "left").select(k, F.coalesce(further, end).alias(end), (F.col(steps) + F.coalesce(more, F.lit(0))).alias(steps), F.col(p).isNotNull().alias(more))
+        now = checkpointed(now)
+        last, open_ = open_, now.where(more).count()
+        now = now.select(k, end, steps)
+    settled = now.join(ends, end, "left")  # a row whose end isn't one goes round
+    long = settled.select(F.col(k).alias(key), F.when(F.col("state").isNull(), "cycle").when(F.col("state") == "active", "replaced").otherwise("dangling").alias("state"), F.when(F.col("state").isNotNull(), F.col(end)).alias("final"), F.when(F.col("state").isNotNull(), F.col(steps)).alias("depth"))
+    return ends.select(F.col(end).alias(key), "state", F.col(end).alias("final"), F.lit(0).cast("long").alias("depth")).unionByName(long)
