@@ -30,6 +30,8 @@ STARTS = BITS // SEGMENT
 CHAIN = tuple((SEGMENT * max(n for n in range(1, STARTS + 1) if n * MOST // STARTS == d), d) for d in range(MOST))
 #: Fingerprints of one key that are compared all with all; more are searched breadth first; of more than LIMIT the key is split.
 SMALL, LIMIT = 8, 8192
+#: Most keys of repeated rows that are broadcast (32 bytes each).
+FEW = 200_000
 _BIT_TABLE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -250,12 +252,21 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     same = near_duplicates(docs, id_column, text_column)
     keep = same.where(F.col(id_column).eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_text")))
-    keep = keep.select(F.xxhash64(id_column).alias("_k"), F.col(id_column).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    keep = keep.groupBy(F.xxhash64(id_column).alias("_k"), F.col(id_column).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_n"))
     k, text, row = (fresh(docs, x) for x in ("_key", "_text", "_row"))
     keyed = docs.withColumns({k: F.xxhash64(id_column), text: F.xxhash64(text_column)})
-    alike = (keyed[k] == keep._k) & keyed[id_column].eqNullSafe(keep._id) & (keyed[text] == keep._hash)
-    first = F.row_number().over(Window.partitionBy(k, id_column, text).orderBy(F.lit(0)))
-    return keyed.join(keep, alike, "left_semi").withColumn(row, first).where(F.col(row) == 1).select(*docs.columns)
+
+    def those(some: DataFrame) -> DataFrame:
+        return keyed.join(some, (keyed[k] == some._k) & keyed[id_column].eqNullSafe(some._id) & (keyed[text] == some._hash), "left_semi")
+
+    out = those(keep.where("_n = 1")).select(*docs.columns)
+    again = keep.where("_n > 1")
+    n = again.count()
+    if n:  # only rows that repeat are numbered; the others' texts are sent once
+        first = F.row_number().over(Window.partitionBy(k, id_column, text).orderBy(F.lit(0)))
+        one = those(F.broadcast(again) if n <= FEW else again).withColumn(row, first).where(F.col(row) == 1)
+        out = out.unionByName(one.select(*docs.columns))
+    return out
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

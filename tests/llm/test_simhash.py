@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from assaykit.llm import simhash
+from assaykit.llm import simhash
 from assaykit.llm.components import components
 from assaykit.llm.simhash import _keys, _linked, candidate_links, fingerprint, links, near_duplicates, representatives
 
@@ -154,3 +157,14 @@ def test_near_duplicates(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(empty).count() == representatives(empty).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 10])
+def test_repeated_rows_beside_single_ones(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(k, text(k), "a") for k in range(50)] + [(7, text(7), "b")] * 30 + [(60, text(3), "c"), (None, text(9), "d"), (None, text(99), "e"), (None, text(99), "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string").repartition(5)
+    got = simhash.representatives(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in got) == sorted([(False, k, text(k)) for k in range(50)] + [(True, 0, text(99))])
+    assert docs.columns == ["doc_id", "text", "_key"]
