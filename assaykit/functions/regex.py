@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +53,16 @@ def places(text: Column, pattern: str) -> Column:
 
 def one_of(values) -> str:
     return "|".join(values)
+
+
+def trie(words) -> str:
+    """A pattern for the longest of some words that stands at a place: shared beginnings are tried once."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(h) + trie(rest) for h, rest in sorted(heads.items())]
+    whole = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+    if not parts:
+        return ""
+    return f"(?:{whole})?" if "" in words else whole

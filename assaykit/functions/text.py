@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit import labels as L
-from assaykit.functions.regex import every, found, one_of, places, rx, squeeze, tokens, word_count
+from assaykit.functions.regex import every, found, one_of, places, rx, squeeze, tokens, trie, word_count
 from assaykit.shared import fresh
 
 # --- fixed values: patterns of what is stripped, in the order of application ---------------------
@@ -228,8 +230,22 @@ def oversize(size_mb: Column, most: float, cached: Column) -> Column:
     return F.coalesce(size_mb > F.lit(most), F.lit(False)) & ~cached
 
 
-def candidate_families(text: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike(rx(rf"\b(?:{one_of(terms)})s?\b", "i")), F.lit(name)) for name, terms in L.FAMILIES.items())))
+def _family_hits(families: dict[str, tuple[str, ...]]) -> dict[str, list[str]]:
+    """For each term, the families that a text has where that term is the longest one: its own, and those of terms that it begins with, as whole words."""
+    terms = [(t, name) for name, own in families.items() for t in own]
+    return {w: [name for name in families if any(f == name and (w == t or re.match(rf"{re.escape(t)}s?\b", w)) for t, f in terms)] for w, _ in terms}
+
+
+def candidate_families(text: Column, families: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """All families of which a text has a term, as a whole word or with an s, in the families' order.
+
+    The text is searched once: at each word's beginning for the longest term of any family.
+    """
+    families = families or L.FAMILIES
+    hits = _family_hits(families)
+    terms = F.array_distinct(F.transform(every(text, rx(rf"\b(?=({trie(hits)})s?\b)", "i"), 1), lambda t: F.translate(F.lower(t), "\u017f", "s")))
+    told = F.create_map(*(x for w, names in hits.items() for x in (F.lit(w), F.array(*map(F.lit, names)))))
+    return F.array_intersect(F.array(*map(F.lit, families)), F.flatten(F.transform(terms, lambda t: F.coalesce(F.try_element_at(told, t), F.array().cast("array<string>")))))
 
 
 def difficulty(text: Column) -> Column:

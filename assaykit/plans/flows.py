@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from assaykit import labels as L
 from assaykit.functions import text
 from assaykit.functions.regex import one_of
-from assaykit.operators import rescreen
+from assaykit.operators import rescreen, validation
 from assaykit.plans import registry
 from assaykit.plans.registry import QUERIES, SQL, query
 from assaykit.plans.views import SCORES, view
 from assaykit.shared import passing, shared_folder
 from assaykit.sources import jsonl, pool, runfiles
+from assaykit.streaming.calls import complete_once
 from assaykit.streaming.runs import SCHEMA as EVENTS_SCHEMA
 
 __all__ = ["QUERIES", "SQL"]
@@ -98,3 +101,49 @@ def rewritten_pool(spark, d):
     after = pool.read_pool_at(spark, pool.snapshot(spark, folder), rows.schema)
     both = before.select(F.lit("before").alias("pool"), "source", "pos").unionByName(after.select(F.lit("after").alias("pool"), "source", "pos"))
     return both.groupBy("pool", "source").agg(F.count("*").alias("n"), F.sum("pos").alias("total"))
+
+
+_FAMILY_TEXT = f"text || ' ' || split_part('{registry._SNACKS}', ',', CAST(1 + doc_id % 6 AS INT)) || ', ' || split_part('butterscotch,Ghee of cows,OATS,soap bars,corn flakes,none', ',', CAST(1 + doc_id % 5 AS INT))"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{registry._FAMILY_CASES}], lambda x: x IS NOT NULL), '|') AS families FROM (SELECT doc_id, {_FAMILY_TEXT} AS t FROM documents) s")
+def document_families(spark, d):
+    """All families of whole documents, with some goods named at their end, in one search of a text."""
+    df = registry._table(spark, d, "documents").select("doc_id", F.expr(_FAMILY_TEXT).alias("t"))
+    return df.select("doc_id", F.array_join(text.candidate_families(F.col("t")), "|").alias("families"))
+
+
+#: Corrections of documents: chains over the ids after them, some that go back, some that name nothing.
+_CORRECTED = "SELECT doc_id AS id, CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 23 = 0 THEN doc_id - 3 WHEN doc_id % 29 = 0 THEN -doc_id ELSE doc_id + 1 + length(text) % 3 END AS deprecated_by FROM {documents}"
+
+
+@query(
+    f"""WITH RECURSIVE p AS MATERIALIZED (SELECT DISTINCT id, deprecated_by AS next FROM ({_CORRECTED}) c),
+    w AS (SELECT id, id AS here, 0::BIGINT AS depth, [id] AS path FROM p UNION ALL SELECT w.id, q.id, depth + 1, list_append(path, q.id) FROM w JOIN p ON p.id = w.here JOIN p q ON q.id = p.next WHERE NOT list_contains(path, q.id)),
+    e AS (SELECT w.id, w.here, w.depth, CASE WHEN p.next IS NULL THEN CASE WHEN w.depth = 0 THEN 'active' ELSE 'replaced' END WHEN p.next NOT IN (SELECT id FROM p) THEN 'dangling' ELSE 'cycle' END AS state
+      FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth DESC) AS r FROM w) w JOIN p ON p.id = w.here WHERE r = 1)
+    SELECT id, state, CASE WHEN state <> 'cycle' THEN here END AS final, CASE WHEN state <> 'cycle' THEN depth END AS depth FROM e"""
+)
+def correction_ends(spark, d):
+    return validation.correction_chains(view(spark, d, _CORRECTED))
+
+
+class _Replay:
+    """A model that answers with its prompt's digest."""
+
+    provider, model = "replay", "digest"
+
+    def run(self, prompt, *, system=None):
+        return {"text": hashlib.md5(f"{system}{prompt}".encode()).hexdigest(), "tokens_in": len(prompt)}
+
+
+@query("SELECT conv_id, turn, md5('s' || text) AS answer, CAST(length(text) AS BIGINT) AS tokens_in FROM conversations")
+def completions_once(spark, d):
+    """Every turn asked of a replayed model, each distinct text once; the second run asks for nothing."""
+    folder = _folder(spark, "calls")
+    turns = registry._table(spark, d, "conversations")
+    prompts = turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("prompt"))
+    for _ in range(2):
+        done = complete_once(prompts, _Replay(), f"{folder}/table", system="s", buckets=16)
+    at = F.split("id", "-")
+    return done.select(F.get(at, F.lit(0)).cast("long").alias("conv_id"), F.get(at, F.lit(1)).cast("long").alias("turn"), F.col("text").alias("answer"), "tokens_in")

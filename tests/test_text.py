@@ -99,3 +99,23 @@ def test_known_party(spark):
 
     h = hashlib.sha256(b"acme-co").hexdigest()
     assert one(spark, T.strip_known_parties(F.lit("by Acme-Co, not acme"), (h,))) == "by  , not acme"
+
+
+def test_families_in_one_search(spark):
+    import re
+
+    from assaykit import labels as L
+    from assaykit.functions.regex import trie
+    from assaykit.functions.text import candidate_families
+
+    odd = {"a": ("pea", "pea soup", "soup"), "b": ("pea soup mix", "soups"), "c": ("c++", "mix"), "d": ("peas",)}
+    texts = ["", "Pea", "peas soup", "pea soups", "pea soup mix", "PEA SOUP MIXES", "peapod soup", "c++ mix", "a c++s", "mix-soups", "soupſ", "peas\u00a0soup", "xpea", "pea_soup", "pea\nsoup"]
+    goods = [t for own in L.FAMILIES.values() for t in own]
+    whole = texts + goods + [f"{t}s, {u.upper()}" for t in goods for u in goods[::7]] + [f"{t}y {t}" for t in goods]
+    for families in (odd, L.FAMILIES):
+        df = spark.createDataFrame([(t,) for t in whole], "t string")
+        got = {r.t: r.f for r in df.select("t", candidate_families(F.col("t"), families).alias("f")).collect()}
+        for t in whole:
+            assert got[t] == [n for n, own in families.items() if re.search(rf"\b(?:{'|'.join(map(re.escape, own))})s?\b", t, re.I)], t
+    words = ["ab", "abc", "b", "abd", "c.d"]
+    assert [re.match(trie(words), x)[0] for x in ("abcx", "abx", "abd", "bb", "c.d")] == ["abc", "ab", "abd", "b", "c.d"] and not re.match(trie(words), "cxd")
