@@ -114,11 +114,16 @@ def drop_reasons(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 
 
 def interleave(df: DataFrame, key: Column, pos: str = "pos") -> DataFrame:
-    """Adds turn and group_first: one row of each group in turn, groups in the order of their first row."""
+    """Adds turn and group_first: one row of each group in turn, groups in the order of their first row.
+
+    pos tells rows apart. Places are found for (group, pos) alone and looked up by pos, so no other column is
+    sorted, checkpointed, or read for a caller that doesn't want it.
+    """
     g, at, of = fresh(df, "_group"), fresh(df, "_pos"), fresh(df, "_of")
-    firsts = df.groupBy(key.alias(of)).agg(F.min(pos).alias("group_first"))
-    out = placed(df.withColumn(at, F.col(pos)), {g: key}, [at], "turn").drop("turn_of", at)
-    return out.join(firsts, F.col(g).eqNullSafe(F.col(of))).drop(g, of)
+    narrow = df.select(key.alias(g), F.col(pos).alias(at))
+    firsts = narrow.groupBy(F.col(g).alias(of)).agg(F.min(at).alias("group_first"))
+    places = placed(narrow, {g: F.col(g)}, [at], "turn").select(g, at, "turn").join(firsts, F.col(g).eqNullSafe(F.col(of))).select(at, "turn", "group_first")
+    return df.join(places, F.col(pos) == F.col(at)).drop(at)
 
 
 def state_key(state: Column) -> Column:

@@ -118,3 +118,16 @@ def test_windows_and_copies_of_a_stream(spark, tmp_path):
     assert len({r.event_id for r in drained(runs.deduplicated(stream), "once", "append")}) == len(spark.table("once").collect()) == 50
     got = drained(runs.windowed(runs.deduplicated(stream), delay=None), "by_day", "append")
     assert sorted((r.n, r.total) for r in got) == [(24, 24.0), (24, 24.0)]
+
+
+def test_interleaving_sorts_and_keeps_places_alone(spark, monkeypatch):
+    from assaykit.operators import ordering, queue
+
+    kept = []
+    plain = ordering.checkpointed
+    monkeypatch.setattr(ordering, "checkpointed", lambda df: kept.append(set(df.columns)) or plain(df))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = queue.interleave(docs, F.col("lang"), "doc_id")
+    assert kept and all("text" not in columns for columns in kept) and set(out.columns) == {*docs.columns, "turn", "group_first"}
+    narrow = out.select("doc_id", "turn")._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in narrow and out.count() == docs.count()
