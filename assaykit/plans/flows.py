@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from assaykit import labels as L
 from assaykit.functions import text
 from assaykit.functions.regex import one_of
-from assaykit.operators import rescreen, validation
+from assaykit.operators import queue, rescreen, validation
 from assaykit.plans import registry
 from assaykit.plans.registry import QUERIES, SQL, query
 from assaykit.plans.views import SCORES, view
@@ -147,3 +147,29 @@ def completions_once(spark, d):
         done = complete_once(prompts, _Replay(), f"{folder}/table", system="s", buckets=16)
     at = F.split("id", "-")
     return done.select(F.get(at, F.lit(0)).cast("long").alias("conv_id"), F.get(at, F.lit(1)).cast("long").alias("turn"), F.col("text").alias("answer"), "tokens_in")
+
+
+_SENT = "SELECT 'b' || item_id || '.json' AS file, octet_length(encode(text || chr(10))) AS length, sha256(text || chr(10)) AS sha256, text FROM benchmark WHERE item_id % 11 <> 0"
+_WANTED = "SELECT 'b' || item_id || '.json' AS file, octet_length(encode(text || chr(10))) + CASE WHEN item_id % 7 = 0 THEN 1 ELSE 0 END AS bytes, CASE WHEN item_id % 5 = 0 THEN 'wrong' ELSE upper(sha256(text || chr(10))) END AS sha256 FROM benchmark"
+
+
+@query(
+    f"""SELECT m.file, f.file IS NULL AS missing, coalesce(m.bytes <> f.length, false) AS wrong_size, coalesce(lower(m.sha256) <> f.sha256, false) AS wrong_hash,
+    CASE WHEN f.file IS NULL THEN 0 ELSE CAST(NOT contains(f.text, 'the ') AS INT) + CAST(NOT contains(f.text, 'on') AS INT) END AS passages_missing FROM ({_WANTED}) m LEFT JOIN ({_SENT}) f ON m.file = f.file"""
+)
+def manifest_files(spark, d):
+    """Benchmark items as files, written, read back as bytes, and checked against a manifest."""
+    folder = f"{_folder(spark, 'sent')}/files"
+    items = registry._table(spark, d, "benchmark")
+    spark.dataSource.register(runfiles.RunFiles)
+    items.where("item_id % 11 <> 0").selectExpr("concat('b', item_id) AS name", "text AS document").write.format("run_files").mode("append").save(folder)
+    wanted = items.selectExpr("concat('b', item_id, '.json') AS file", "octet_length(concat(text, '\n')) + if(item_id % 7 = 0, 1, 0) AS bytes", "if(item_id % 5 = 0, 'wrong', upper(sha2(concat(text, '\n'), 256))) AS sha256", "array('the ', 'on') AS must_contain")
+    return validation.verify_documents(wanted, jsonl.file_facts(spark, f"{folder}/*.json"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE lang <> 'fr' ORDER BY doc_id LIMIT 40")
+def limited_queue(spark, d):
+    """The first 40 rows of a queue of documents that aren't French; a limit of 0 is none."""
+    pool = view(spark, d, registry.POOL).select(F.col("doc_id").cast("string").alias("source_id"), "source", "text", "lang", "state", F.lit(None).cast("array<string>").alias("stale_rates"), F.lit("").alias("categories"), "pos")
+    rows = queue.select_queue(pool.where("lang <> 'fr'"), pool.limit(0), limit=40)
+    return rows.select(F.col("source_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"))

@@ -441,8 +441,8 @@ def scope_texts(spark, d):
     return df.select("doc_id", F.md5(text.scope_text(F.col("text"), F.concat(F.lit("brief "), "source"))).alias("digest"))
 
 
-_FILES = "SELECT 'f' || doc_id AS file, length(text) AS length, md5(text) AS sha256, text FROM documents WHERE doc_id % 11 <> 0"
-_MANIFEST = "SELECT 'f' || doc_id AS file, length(text) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS bytes, CASE WHEN doc_id % 5 = 0 THEN 'wrong' ELSE upper(md5(text)) END AS sha256, source, lang FROM documents"
+_FILES = "SELECT 'f' || doc_id AS file, length(text) AS length, sha256(text) AS sha256, text FROM documents WHERE doc_id % 11 <> 0"
+_MANIFEST = "SELECT 'f' || doc_id AS file, length(text) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS bytes, CASE WHEN doc_id % 5 = 0 THEN 'wrong' ELSE upper(sha256(text)) END AS sha256, source, lang FROM documents"
 
 
 @query(
@@ -451,8 +451,8 @@ _MANIFEST = "SELECT 'f' || doc_id AS file, length(text) + CASE WHEN doc_id % 7 =
 )
 def manifest_checks(spark, d):
     docs = _table(spark, d, "documents")
-    files = docs.where("doc_id % 11 <> 0").selectExpr("concat('f', doc_id) AS file", "length(text) AS length", "md5(text) AS sha256", "text")
-    wanted = docs.selectExpr("concat('f', doc_id) AS file", "length(text) + if(doc_id % 7 = 0, 1, 0) AS bytes", "if(doc_id % 5 = 0, 'wrong', upper(md5(text))) AS sha256", "array('the ', lang, source) AS must_contain")
+    files = docs.where("doc_id % 11 <> 0").selectExpr("concat('f', doc_id) AS file", "length(text) AS length", "sha2(text, 256) AS sha256", "text")
+    wanted = docs.selectExpr("concat('f', doc_id) AS file", "length(text) + if(doc_id % 7 = 0, 1, 0) AS bytes", "if(doc_id % 5 = 0, 'wrong', upper(sha2(text, 256))) AS sha256", "array('the ', lang, source) AS must_contain")
     return validation.verify_documents(wanted, files)
 
 
@@ -655,12 +655,14 @@ def heading_lookup(spark, d):
 @query(
     f"""SELECT a.heading, CASE WHEN a.heading = '3307' THEN 2 WHEN a.heading IN ('1905', '2403') THEN 2 WHEN left(a.heading, 2) = '63' AND a.heading <> '6309' THEN 1 ELSE 0 END AS alternatives,
     CASE a.heading WHEN '3307' THEN 'shaving cream, shaving lotion' WHEN '1905' THEN 'pizza bread' WHEN '2403' THEN '2403 19 21, 2403 19; biris' END AS decided_by,
-    CASE a.heading WHEN '8471' THEN '8471 Machines of all kinds for all uses.' WHEN '0401' THEN '0401 Fresh milk, whole.' WHEN '2106' THEN '[Notification 19/2025, in force 2026-02-01] 2106 90 20 Pan masala' END AS entry
-    FROM ({_NAMED}) a WHERE a.heading NOT IN ('2401', '2402', '2404', '6309')"""
+    CASE a.heading WHEN '8471' THEN '8471 Machines of all kinds for all uses.' WHEN '0401' THEN '0401 Fresh milk, whole.' WHEN '6309' THEN '63 [other than 6309] Other made up articles. Schedule II - 9%' WHEN '2106' THEN '[Notification 19/2025, in force 2026-02-01] 2106 90 20 Pan masala'
+      WHEN '2401' THEN '[Notification 19/2025, in force 2026-02-01] 2401 Unmanufactured tobacco; tobacco refuse [other than tobacco leaves]' WHEN '2402' THEN '[Notification 19/2025, in force 2026-02-01] 2402 Cigars, cheroots, cigarillos and cigarettes, of tobacco or of tobacco substitutes'
+      WHEN '2404' THEN '[Notification 19/2025, in force 2026-02-01] 2404 11 00 Products containing tobacco or reconstituted tobacco and intended for inhalation without combustion' END AS entry
+    FROM ({_NAMED}) a"""
 )
 def explained_headings(spark, d):
     entries = _schedules(spark)
-    out = lookup.explained(lookup.match_headings(view(spark, d, _ASKED), *entries), *entries).where("heading NOT IN ('2401', '2402', '2404', '6309')")  # their entries are long sentences
+    out = lookup.explained(lookup.match_headings(view(spark, d, _ASKED), *entries), *entries)
     return out.select("heading", F.size("alternatives").alias("alternatives"), "decided_by", "entry")
 
 
