@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from assaykit import labels as L
 from assaykit.functions import text
 from assaykit.functions.regex import one_of
-from assaykit.operators import queue, rescreen, validation
+from assaykit.operators import queue, rescreen, sketches, validation
 from assaykit.plans import registry
 from assaykit.plans.registry import QUERIES, SQL, query
 from assaykit.plans.views import SCORES, view
@@ -173,3 +173,18 @@ def limited_queue(spark, d):
     pool = view(spark, d, registry.POOL).select(F.col("doc_id").cast("string").alias("source_id"), "source", "text", "lang", "state", F.lit(None).cast("array<string>").alias("stale_rates"), F.lit("").alias("categories"), "pos")
     rows = queue.select_queue(pool.where("lang <> 'fr'"), pool.limit(0), limit=40)
     return rows.select(F.col("source_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"))
+
+
+@query(
+    """SELECT event_type, stratum, level, n, high, true AS close FROM (SELECT event_type, user_id % 3 AS stratum, 0 AS level, count(*) AS n, count(*) FILTER (value > 50) AS high FROM events GROUP BY 1, 2
+    UNION ALL SELECT event_type, NULL, 1, count(*), count(*) FILTER (value > 50) FROM events GROUP BY 1 UNION ALL SELECT NULL, NULL, 2, count(*), count(*) FILTER (value > 50) FROM events) t"""
+)
+def summed_days(spark, d):
+    """Daily tables of the event log, stored, then added up over models and strata; close: the merged median's exact rank is within 2 % of the middle."""
+    path = f"{_folder(spark, 'days')}/days"
+    events = registry._table(spark, d, "events").select("event_type", (F.col("user_id") % 3).alias("stratum"), "ts", "user_id", F.floor(F.col("value") * 100).cast("long").alias("cents"), (F.col("value") > 50).alias("over"))
+    sketches.store_days(sketches.daily(events, F.to_date("ts"), ["event_type", "stratum"], "cents", "user_id", {"high": F.col("over")}), path)
+    out = sketches.summed(sketches.read_days(spark, path), ["event_type", "stratum"], (50,)).withColumnsRenamed({"event_type": "e", "stratum": "s"})
+    own = F.col("e").isNull() | (F.col("e") == F.col("event_type")) & (F.col("s").isNull() | (F.col("s") == F.col("stratum")))
+    ranks = events.join(F.broadcast(out), own).groupBy("e", "s", "level", "n", "high").agg(F.avg((F.col("cents") < F.col("p50")).cast("int")).alias("below"), F.avg((F.col("cents") <= F.col("p50")).cast("int")).alias("upto"))  # a row for each model and stratum
+    return ranks.select(F.col("e").alias("event_type"), F.col("s").alias("stratum"), "level", "n", "high", ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("close"))
