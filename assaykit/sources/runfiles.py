@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections import Counter
 from dataclasses import dataclass
 
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 
-def store_of(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
+def store_of(path: str):
+    """The Arrow file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
     return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
 
 
@@ -25,6 +26,31 @@ def put(path: str, data: bytes) -> None:
         out.write(data)
 
 
+def content(path: str) -> bytes | None:
+    """A file's bytes; None if it isn't there."""
+    store, at = store_of(path)
+    try:
+        with store.open_input_stream(at) as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
+
+
+def names(folder: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    from pyarrow import fs
+
+    store, at = store_of(folder)
+    return sorted(f.base_name for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)))
+
+
+def delete(path: str) -> None:
+    """Delete a file, if it is there."""
+    store, at = store_of(path)
+    with contextlib.suppress(FileNotFoundError):
+        store.delete_file(at)
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     names: list[str]
@@ -61,33 +87,28 @@ class _RunWriter(DataSourceWriter):
         return _Written(names)
 
     def commit(self, messages) -> None:
-        store, at = store_of(self.folder)
-        whence = {}
+        whence: dict[str, list[str]] = {}
         for name in (n for m in messages for n in m.names):
-            whence.setdefault(name.split("/", 1)[1], []).append(f"{at}/{self.attempt}/{name}")
-        twice = [n for n, count in Counter({n: len(x) for n, x in whence.items()}).items() if count > 1]
-        there = {f.base_name for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True))} & set(whence)
-        same = {n for n in there if not twice and _content(store, f"{at}/{n}") == _content(store, whence[n][0])}
+            whence.setdefault(name.split("/", 1)[1], []).append(f"{self.folder}/{self.attempt}/{name}")
+        twice = sorted(n for n, paths in whence.items() if len(paths) > 1)
+        there = set(names(self.folder)) & set(whence)
+        same = {n for n in there if not twice and content(f"{self.folder}/{n}") == content(whence[n][0])}
         if twice or (there - same and not self.overwrite):
             self.abort(messages)
-            raise FileExistsError(f"{self.folder}: {sorted(twice or there - same)[0]} {'occurs twice' if twice else 'is there with another content'}")
+            raise FileExistsError(f"{self.folder}: {(twice or sorted(there - same))[0]} {'occurs twice' if twice else 'is there with another content'}")
+        store, at = store_of(self.folder)
         for name, (path,) in whence.items():
             if name not in same:
-                store.move(path, f"{at}/{name}")
+                store.move(store_of(path)[1], f"{at}/{name}")
         self._clear()
 
     def abort(self, messages) -> None:
         self._clear()
 
     def _clear(self) -> None:
-        store, at = store_of(self.folder)
-        if store.get_file_info(f"{at}/{self.attempt}").type == fs.FileType.Directory:
-            store.delete_dir(f"{at}/{self.attempt}")
-
-
-def _content(store: fs.FileSystem, path: str) -> bytes:
-    with store.open_input_stream(path) as f:
-        return f.read()
+        store, at = store_of(f"{self.folder}/{self.attempt}")
+        with contextlib.suppress(FileNotFoundError):
+            store.delete_dir(at)
 
 
 def save_runs(runs: DataFrame, folder: str, name: str = "run_id", overwrite: bool = False) -> None:

@@ -12,11 +12,10 @@ import urllib.request
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from assaykit.sources.runfiles import put, store_of
+from assaykit.sources.runfiles import content, delete, names, put
 
 
 class Unavailable(RuntimeError):
@@ -193,8 +192,7 @@ class PageStream(DataSourceStreamReader):
 
     def _next(self) -> int:
         """The first page that isn't spooled and never was."""
-        store, at = store_of(self.spool)
-        marks = [int(f.base_name.removeprefix("next-")) for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.base_name.startswith("next-")]
+        marks = [int(n.removeprefix("next-")) for n in names(self.spool) if n.startswith("next-")]
         return max(marks, default=int(self.options.get("first", "1")))
 
     def _page(self, page: int) -> dict | None:
@@ -235,31 +233,24 @@ class PageStream(DataSourceStreamReader):
         return [InputPartition(p) for p in range(start["page"], end["page"])]
 
     def read(self, partition):
-        store, at = store_of(self.spool)
-        try:
-            with store.open_input_stream(f"{at}/page-{partition.value:012d}.json") as f:
-                body = json.loads(f.read())
-        except FileNotFoundError:  # somebody cleared the spool: the server is asked again
+        data = content(f"{self.spool}/page-{partition.value:012d}.json")
+        if data is None:  # somebody cleared the spool: the server is asked again
             body = fetch_json(_url(self.options, partition.value), retries=int(self.options.get("retries", "6")))
+        else:
+            body = json.loads(data)
         yield from _rows(self.options, partition.value, body)
 
     def commit(self, end: dict) -> None:
-        store, at = store_of(self.spool)
-        for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
-            kind, _, number = f.base_name.partition("-")
-            number = number.removesuffix(".json")
+        for name in names(self.spool):
+            kind, _, number = name.removesuffix(".json").partition("-")
             if kind == "page" and int(number) < end["page"] or kind == "next" and int(number) < min(end["page"], self._next()):
-                store.delete_file(f.path)
+                delete(f"{self.spool}/{name}")
 
 
 def stopped(spool: str) -> dict | None:
     """Why the last run of a stream ended: its page, and `empty` or the error. None if none ended by itself."""
-    store, at = store_of(spool.rstrip("/"))
-    try:
-        with store.open_input_stream(f"{at}/stopped.json") as f:
-            return json.loads(f.read())
-    except FileNotFoundError:
-        return None
+    data = content(f"{spool.rstrip('/')}/stopped.json")
+    return None if data is None else json.loads(data)
 
 
 def collect_pages(spark: SparkSession, options: dict[str, str], checkpoint: str, land: Callable[[DataFrame, int], None]) -> dict | None:
@@ -271,9 +262,7 @@ def collect_pages(spark: SparkSession, options: dict[str, str], checkpoint: str,
     """
     spark.dataSource.register(PagedApi)
     spool = f"{checkpoint.rstrip('/')}/spool"
-    store, at = store_of(spool)
-    if store.get_file_info(f"{at}/stopped.json").type == fs.FileType.File:
-        store.delete_file(f"{at}/stopped.json")
+    delete(f"{spool}/stopped.json")
     pages = spark.readStream.format("paged_api").options(**options, spool=spool).load()
     query = pages.writeStream.foreachBatch(land).option("checkpointLocation", f"{checkpoint.rstrip('/')}/stream").start()
     try:

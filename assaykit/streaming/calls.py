@@ -11,11 +11,10 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.sources.runfiles import put, store_of
+from assaykit.sources.runfiles import content, names, put
 from assaykit.streaming.runs import Runner, RunnerError, timed
 
 #: What the table says of a call; extra holds all other fields of a completion, as JSON.
@@ -31,8 +30,7 @@ def call_key(prompt: Column, runner: Runner, system: str | None = None, params:
 
 def completions(spark: SparkSession, table: str) -> DataFrame:
     """The table's rows, one for each key: a call that worked, else one that failed. A table that isn't there is empty."""
-    store, at = store_of(table)
-    if store.get_file_info(at).type == fs.FileType.NotFound:
+    if not names(table):
         return spark.createDataFrame([], COMPLETION)
     rows = spark.read.schema(COMPLETION).option("recursiveFileLookup", "true").json(table)
     whole = F.struct(*(c.split()[0] for c in COMPLETION.split(", ")))
@@ -68,15 +66,13 @@ def complete_once(prompts: DataFrame, runner: Runner, table: str, system: str |
         return failed
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, at = store_of(table)
         known: dict[int, set[str]] = {}
         for frame in frames:
             for bucket, part in frame.groupby("bucket"):
                 if bucket not in known:
                     known[bucket] = set()
-                    for f in store.get_file_info(fs.FileSelector(f"{at}/{bucket:04d}", allow_not_found=True)):
-                        with store.open_input_stream(f.path) as data:
-                            known[bucket] |= {r["key"] for r in map(json.loads, data.read().splitlines()) if not r.get("error")}
+                    for name in names(f"{table}/{bucket:04d}"):
+                        known[bucket] |= {r["key"] for r in map(json.loads, (content(f"{table}/{bucket:04d}/{name}") or b"").splitlines()) if not r.get("error")}
                 left = part[~part["key"].isin(known[bucket])]
                 with ThreadPoolExecutor(together) as pool:
                     for lo in range(0, len(left), keep):
