@@ -51,6 +51,10 @@ def save_run(run: DataFrame, folder: str) -> str:
     return save_document(run, f"{folder.rstrip('/')}/{run.select('run_id').first()[0]}.json")
 
 
+# --- fixed value: the field of a probe's document that says what it isn't
+DISCLAIMER = "NOT_THE_GOLDEN_SET"
+
+
 def probe_document(aggregate: DataFrame, summaries: DataFrame, rows: DataFrame, disclaimer: str, model_key: str, model_id: str, prompt_version: str, started_at: str, finished_at: str, run: str = "run") -> DataFrame:
     """One row that holds a probe: what it is not, its model and times, the last run's summary and rows, the aggregate, all runs' summaries.
 
@@ -62,7 +66,7 @@ def probe_document(aggregate: DataFrame, summaries: DataFrame, rows: DataFrame,
     runs = summaries.agg(F.max_by(whole, run).alias("summary"), F.array_sort(F.collect_list(F.struct(F.col(run).alias("run"), whole.alias("summary")))).alias("all_runs"))
     own = rows.join(F.broadcast(last), F.col(run) == F.col("last")).agg(F.collect_list(F.struct(*(c for c in rows.columns if c != run))).alias("rows"))
     out = runs.crossJoin(own).crossJoin(aggregate.select(F.struct("*").alias("aggregate")))  # one row each
-    return out.select(F.lit(disclaimer).alias("NOT_THE_GOLDEN_SET"), *(F.lit(v).alias(k) for k, v in facts.items()), "summary", "rows", "aggregate", "all_runs")
+    return out.select(F.lit(disclaimer).alias(DISCLAIMER), *(F.lit(v).alias(k) for k, v in facts.items()), "summary", "rows", "aggregate", "all_runs")
 
 
 def _path(spark: SparkSession, path: str):
@@ -73,6 +77,7 @@ def _path(spark: SparkSession, path: str):
 def rewrite(df: DataFrame, path: str, dry_run: bool = False) -> bool:
     """Replace a folder of JSON lines by df, keeping what was there as path.bak; nothing happens on a dry run or if rows are the same.
 
+    Readers of path that begin between both renames find nothing there; pool.rewrite_pool has no such moment.
     df may read path: it is written beside it first. An older path.bak goes last, when the new rows
     are in place, so at no time is there less than one whole copy.
     """
