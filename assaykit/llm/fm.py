@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm.common import bound_batches, coded_words, remainder, text_slices
+from assaykit.llm.common import bound_batches, coded_words, remainder, text_slices, trim
 from assaykit.llm.stats import NAMES, statistics
 from assaykit.shared import fresh
 
@@ -98,7 +98,8 @@ def fit(labels: np.ndarray, owner: np.ndarray, hashes: np.ndarray, table: np.nda
     spread = with_term * (n - with_term) * ones * (n - ones)
     reached = np.sqrt(n / np.maximum(spread, 1)) * np.abs(with_both * (n - ones) - (with_term - with_both) * ones)
     some = with_term >= support
-    terms = distinct[some]
+    terms = distinct[some].astype(np.int64)
+    del distinct, code
     edges = None if table is None else np.quantile(table, np.arange(1, BINS) / BINS, axis=0).T if n else np.zeros((table.shape[1], BINS - 1))
     size = len(terms) + (0 if edges is None else BINS * len(edges))
     held = np.full(size, BINS_HELD)
@@ -111,7 +112,9 @@ def fit(labels: np.ndarray, owner: np.ndarray, hashes: np.ndarray, table: np.nda
         return machine
     ids, own = _features(terms, edges, owner, hashes, table)
     order = np.argsort(own, kind="stable")
-    ids, start = ids[order], np.searchsorted(own[order], np.arange(n + 1))
+    ids, start = ids[order].astype(np.int32), np.searchsorted(own[order], np.arange(n + 1))
+    del own, order
+    trim()
     sq_bias, sq_linear, sq_factors = 1e-8, np.full(size, 1e-8), np.full((size, rank), 1e-8)
     parts = max(1, n // batch)
     for _ in range(-(-steps // parts)):
@@ -192,8 +195,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, with_statistics: bool,
     rows = chosen.select("doc_id", "text", "y", *(f"m{k}" for k in range(len(metadata)))).mapInArrow(run, f"doc_id {kinds['doc_id']}, y {kinds['y']}, terms binary, stats binary").toArrow().sort_by("doc_id")
     y = rows.column("y").to_numpy().astype(np.int64)
     terms = rows.column("terms").to_pylist()
-    hashes = np.frombuffer(b"".join(terms), "<u4").astype(np.int64)
-    owner = np.repeat(np.arange(len(terms)), [len(x) // 4 for x in terms])
+    hashes = np.frombuffer(b"".join(terms), "<u4")
+    owner = np.repeat(np.arange(len(terms), dtype=np.int32), [len(x) // 4 for x in terms])
     stats = np.frombuffer(b"".join(rows.column("stats").to_pylist()), "<f8").reshape(len(y), len(NAMES) + len(metadata)) if with_statistics else None
     machine = fit(y, owner, hashes, stats, support=support, root=root)
     machine.metadata = metadata
