@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,9 +14,14 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?Ud{flags}){pattern}"
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once however often use names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """The first match's group, or null."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return once(F.regexp_extract(text, pattern, group), lambda x: F.when(x != "", x))
 
 
 def every(text: Column, pattern: str, group: int = 0) -> Column:
@@ -46,8 +52,8 @@ def places(text: Column, pattern: str) -> Column:
         return F.struct((start + F.length(x["match"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["match"].alias("match")))).alias("out"))
 
     matches = every(text, pattern)
-    zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.greatest(F.size(matches), F.lit(0))).alias("piece"), matches.alias("match"))
-    named = F.transform(zipped, lambda x: F.struct(x["piece"].alias("piece"), x["match"].alias("match")))
+    named = F.zip_with(F.split(text, pattern, -1), matches, lambda piece, match: F.struct(piece.alias("piece"), match.alias("match")))
+    named = F.filter(named, lambda x: x["match"].isNotNull())  # the last piece has no match after it
     return F.aggregate(named, begun, step, lambda acc: acc["out"])
 
 

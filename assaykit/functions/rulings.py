@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit import labels as L
-from assaykit.functions.regex import every, found, places, rx, squeeze
+from assaykit.functions.regex import every, found, once, places, rx, squeeze
 from assaykit.functions.text import RATE_MENTION, heading_codes, normalise
 from assaykit.shared import fresh
 
@@ -35,8 +35,7 @@ def operative_tail(text: Column) -> Column:
         return F.substring(text, m["start"] + F.length(m["match"]) + 1, F.lit(2 * QUOTE_CHARS))
 
     fit = F.filter(places(text, OPERATIVE), lambda m: (m["start"] >= floor) & (F.length(F.regexp_replace(tail(m), rx(r"^\s+|\s+$"), "")) >= TAIL_CHARS) & tail(m).rlike(DETERMINATION))
-    last = F.get(fit, F.size(fit) - 1)
-    return F.when(F.size(fit) > 0, squeeze(tail(last)))
+    return F.get(F.transform(F.slice(fit, -1, 1), lambda m: squeeze(tail(m))), F.lit(0))
 
 
 def operative_ruling(df: DataFrame, column: str, out: str = "quote") -> DataFrame:
@@ -53,29 +52,34 @@ def _plain_number(x: Column) -> Column:
 
 def outcome(quote: Column) -> Column:
     """Struct headings, rates, combined, conditional, question, schedule, held, confidence; null without a quote."""
-    headings = F.array_distinct(F.concat(heading_codes(quote, HEADING), heading_codes(quote, HEADING_MORE)))
-    rates = F.array_distinct(every(quote, RATE_MENTION, 1))
-    ordered = F.transform(F.array_sort(F.transform(rates, lambda r: F.struct(r.cast("double").alias("n"), r.alias("r")))), lambda x: x["r"])
-    half = found(quote, SPLIT_RATE, 1).cast("double")
-    combined = F.when(half.isNotNull(), _plain_number(half * 2))
-    conditional = quote.rlike(CONDITIONAL)
-    question = quote.rlike(QUESTION) & ~quote.rlike(ANSWER)
-    schedule = F.upper(found(quote, SCHEDULE, 1))
+    read = F.struct(
+        F.array_distinct(F.concat(heading_codes(quote, HEADING), heading_codes(quote, HEADING_MORE))).alias("headings"),
+        F.array_distinct(every(quote, RATE_MENTION, 1)).alias("rates"),
+        found(quote, SPLIT_RATE, 1).cast("double").alias("half"),
+        quote.rlike(CONDITIONAL).alias("conditional"),
+        (quote.rlike(QUESTION) & ~quote.rlike(ANSWER)).alias("question"),
+        F.upper(found(quote, SCHEDULE, 1)).alias("schedule"),
+    )
+    return F.when(quote.isNotNull(), once(read, _concluded))  # each pattern is searched for once
+
+
+def _concluded(read: Column) -> Column:
+    """What follows from what a quote has: see outcome."""
+    headings, schedule = read["headings"], read["schedule"]
+    ordered = F.transform(F.array_sort(F.transform(read["rates"], lambda r: F.struct(r.cast("double").alias("n"), r.alias("r")))), lambda x: x["r"])
+    combined = F.when(read["half"].isNotNull(), _plain_number(read["half"] * 2))
     old = F.create_map(*(F.lit(x) for pair in L.OLD_SCHEDULE_LABEL.items() for x in pair))
     held = F.coalesce(F.get(F.filter(F.array(F.try_element_at(old, schedule)), lambda x: x.isNotNull()), F.lit(0)), combined, F.when(F.size(ordered) == 1, F.get(ordered, F.lit(0))))
-    open_ = conditional | (F.size(headings) > 1)
-    confidence = F.when(question, CONFIDENCE[0]).when(open_, CONFIDENCE[1]).otherwise(CONFIDENCE[2])
-    return F.when(
-        quote.isNotNull(),
-        F.struct(
-            headings.alias("headings"),
-            ordered.alias("rates"),
-            combined.alias("combined"),
-            conditional.alias("conditional"),
-            question.alias("question"),
-            schedule.alias("schedule"),
-            held.alias("held"),
-            open_.alias("is_conditional"),
-            confidence.alias("confidence"),
-        ),
+    open_ = read["conditional"] | (F.size(headings) > 1)
+    confidence = F.when(read["question"], CONFIDENCE[0]).when(open_, CONFIDENCE[1]).otherwise(CONFIDENCE[2])
+    return F.struct(
+        headings.alias("headings"),
+        ordered.alias("rates"),
+        combined.alias("combined"),
+        read["conditional"].alias("conditional"),
+        read["question"].alias("question"),
+        schedule.alias("schedule"),
+        held.alias("held"),
+        open_.alias("is_conditional"),
+        confidence.alias("confidence"),
     )

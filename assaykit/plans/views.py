@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from assaykit import labels as L
+from assaykit.shared import dealt
 
 GIVEN = ",".join((*L.VALID, "12", L.UNANSWERABLE, L.UNCERTAIN, "7"))
 PREDICTED = ",".join((*L.VALID, *L.RETIRED, L.UNANSWERABLE))
@@ -76,8 +77,11 @@ SELECT 'gst-' || lpad(CAST(doc_id % 9000 - doc_id % 9000 % 2 * (doc_id % 3) AS V
 FROM {{documents}}
 """
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, sql: str, key: str | None = None) -> DataFrame:
+    """The view's rows; with a key, the tables' rows are dealt by it before."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "documents", "part") if "{" + t + "}" in sql}
+    if key:
+        tables = {t: dealt(df, key) for t, df in tables.items()}
     return spark.sql(sql, **tables)
 
 

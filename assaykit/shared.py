@@ -45,6 +45,12 @@ def passing(spark: SparkSession, folder: str) -> str:
     return folder
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over as many tasks as a shuffle has at least: for costly work on each row of a small table, which is read in few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """The name, with underscores before it until no column of df has it."""
     taken = {c.lower() for c in df.columns}
