@@ -10,7 +10,7 @@ from assaykit.functions.regex import found, rx
 from assaykit.functions.text import out_of_scope_term
 from assaykit.shared import checkpointed, fresh
 
-ID = r"^gst-\d{4}$"
+ID = r"^gst-(?:\d{4}|[1-9]\d{4,})$"  # four digits, more where these don't do
 
 
 def is_active(df: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def dangling(df: DataFrame, key: str = "id", pointer: str = "deprecated_by") ->
 
 def next_id(df: DataFrame, key: str = "id") -> DataFrame:
     """One row: the greatest well-formed id's successor, gst-0001 without any."""
-    n = F.when(F.col(key).rlike(ID), F.substring(key, 5, 4).cast("int"))
+    n = F.when(F.col(key).rlike(ID), F.substring(key, 5, 18).cast("long"))
     return df.agg(F.format_string("gst-%04d", F.coalesce(F.max(n), F.lit(0)) + 1).alias("next_id"))
 
 
