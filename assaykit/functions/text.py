@@ -108,6 +108,8 @@ RATE_MENTION = rx(r"(\d{1,2}(?:\.\d+)?)\s*%")
 COMMAND = rx(r"^(?:python\d?|py|pip\d?|pytest|git|npm|node|pwsh|powershell|docker)\b|^cd\s+(?:\S*[\\/]|\.\.)|\s--?[A-Za-z]", "i")
 HINTS = ("categories", "quantity", "labels", "state", "order_no", "hsn_candidates", "ruling_brief", "ruling_url", "pdf_pages", "truncated")
 LISTS = ("hsn_candidates",)
+_ASCII_WORD = "(?-iu:[0-9A-Za-z_])"
+ASCII_EDGE = f"(?:(?<!{_ASCII_WORD})(?={_ASCII_WORD})|(?<={_ASCII_WORD})(?!{_ASCII_WORD}))"
 OUT_OF_SCOPE = rx(rf"\b(?:{one_of(L.OUT_OF_SCOPE_TERMS)})(?:e?s)?\b", "i")
 # -------------------------------------------------------------------------------------------------
 
@@ -236,14 +238,15 @@ def _family_hits(families: dict[str, tuple[str, ...]]) -> dict[str, list[str]]:
     return {w: [name for name in families if any(f == name and (w == t or re.match(rf"{re.escape(t)}s?\b", w)) for t, f in terms)] for w, _ in terms}
 
 
-def candidate_families(text: Column, families: dict[str, tuple[str, ...]] | None = None) -> Column:
+def candidate_families(text: Column, families: dict[str, tuple[str, ...]] | None = None, edge: str = r"\b") -> Column:
     """All families of which a text has a term, as a whole word or with an s, in the families' order.
 
-    The text is searched once: at each word's beginning for the longest term of any family.
+    The text is searched once: at each word's beginning for the longest term of any family. Words end
+    where edge says, by default at what is no letter or digit of any script; ASCII_EDGE knows ASCII's alone.
     """
     families = families or L.FAMILIES
     hits = _family_hits(families)
-    terms = F.array_distinct(F.transform(every(text, rx(rf"\b(?=({trie(hits)})s?\b)", "i"), 1), lambda t: F.translate(F.lower(t), "\u017f", "s")))
+    terms = F.array_distinct(F.transform(every(text, rx(rf"{edge}(?=({trie(hits)})s?{edge})", "i"), 1), lambda t: F.translate(F.lower(t), "\u017f", "s")))
     told = F.create_map(*(x for w, names in hits.items() for x in (F.lit(w), F.array(*map(F.lit, names)))))
     return F.array_intersect(F.array(*map(F.lit, families)), F.flatten(F.transform(terms, lambda t: F.coalesce(F.try_element_at(told, t), F.array().cast("array<string>")))))
 
