@@ -319,20 +319,26 @@ def unescape(s):
     return s.map(lambda x: None if x is None else html.unescape(x))
 
 
-def strip_html(html: Column) -> Column:
-    """Tags become spaces, entities their characters, as HTML 5 reads them; white space is squeezed."""
-    return squeeze(decode_entities(F.regexp_replace(html, "<[^>]+>", " ")))
+def strip_html(html: Column, common: bool = False) -> Column:
+    """Tags become spaces, entities their characters, as HTML 5 reads them (or the common ones alone); white space is squeezed."""
+    return squeeze(decode_entities(F.regexp_replace(html, "<[^>]+>", " "), common))
 
 
-def decode_entities(text: Column) -> Column:
-    """Common entities by replacing them; texts with any other '&' by unescape, the only ones that leave the JVM."""
+def decode_entities(text: Column, common: bool = False) -> Column:
+    """Common entities by replacing them; texts with any other '&' by unescape, the only ones that leave the JVM.
+
+    With common, other entities, and those without their semicolon, stay as they are written.
+    """
     # --- fixed values: entities that can't be the beginning of another one's name
     plain = text
     for entity, char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—")):
         plain = F.replace(plain, F.lit(entity), F.lit(char))
+    replaced = F.replace(plain, F.lit("&amp;"), F.lit("&"))
+    if common:
+        return replaced
     rest = F.replace(plain, F.lit("&amp;"), F.lit(""))
     other = F.contains(rest, F.lit("&"))
-    return F.coalesce(unescape(F.when(other, text)), F.replace(plain, F.lit("&amp;"), F.lit("&")))
+    return F.coalesce(unescape(F.when(other, text)), replaced)
 
 
 def looks_like_command(text: Column) -> Column:
