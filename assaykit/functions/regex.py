@@ -35,8 +35,7 @@ def squeeze(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words between white space; a blank text has none."""
-    flat = squeeze(text)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return once(squeeze(text), lambda flat: F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " ")))
 
 
 def word_count(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit import labels as L
-from assaykit.functions.regex import every, found, one_of, places, rx, squeeze, tokens, trie, word_count
+from assaykit.functions.regex import every, found, once, one_of, places, rx, squeeze, tokens, trie, word_count
 from assaykit.shared import fresh
 
 # --- fixed values: patterns of what is stripped, in the order of application ---------------------
@@ -285,15 +285,19 @@ def describe_listing(name: Column, brands: Column, quantity: Column, packaging:
 
 def goods_excerpt(text: Column, most: int) -> Column:
     """(excerpt, truncated) from the first start marker to the first end marker 40 characters on; null if under 25 words."""
-    start = F.regexp_instr(text, F.lit(GOODS_START))
-    rest = F.substring(text, start, F.length(text))
-    after = F.substring(rest, F.lit(41), F.length(rest))
-    stop = F.regexp_instr(after, F.lit(GOODS_END))
-    body = squeeze_ends(F.when(stop > 0, F.substring(rest, F.lit(1), F.lit(39) + stop)).otherwise(rest))
-    words = tokens(body)
-    cut = F.size(words) > most
-    out = F.struct(F.when(cut, F.array_join(F.slice(words, 1, most), " ")).otherwise(body).alias("excerpt"), cut.alias("truncated"))
-    return F.when((start > 0) & (F.size(words) >= L.MIN_EXCERPT_WORDS), out)
+
+    def body(rest: Column) -> Column:
+        after = F.substring(rest, F.lit(41), F.length(rest))
+        return once(F.regexp_instr(after, F.lit(GOODS_END)), lambda stop: squeeze_ends(F.when(stop > 0, F.substring(rest, F.lit(1), F.lit(39) + stop)).otherwise(rest)))
+
+    def excerpt(whole: Column, words: Column) -> Column:
+        cut = F.size(words) > most
+        out = F.struct(F.when(cut, F.array_join(F.slice(words, 1, most), " ")).otherwise(whole).alias("excerpt"), cut.alias("truncated"))
+        return F.when(F.size(words) >= L.MIN_EXCERPT_WORDS, out)
+
+    rest = once(F.regexp_instr(text, F.lit(GOODS_START)), lambda start: F.when(start > 0, F.substring(text, start, F.length(text))))
+    first = max(most, L.MIN_EXCERPT_WORDS) + 1  # words told apart; what follows them is one more
+    return once(once(rest, body), lambda whole: once(F.split(whole, rx(r"\s+"), first), lambda words: excerpt(whole, words)))
 
 
 def heading_codes(text: Column, pattern: str, most: int | None = None) -> Column:
