@@ -132,10 +132,12 @@ def trim_edges(text: Column) -> Column:
 
 def strip_known_parties(text: Column, hashes: tuple[str, ...] = KNOWN_PARTIES) -> Column:
     """Words whose lower-case SHA-256 is among hashes become a space."""
-    told = lambda w: F.when(F.sha2(F.lower(w).cast("binary"), 256).isin(*hashes), F.lit(" ")).otherwise(w)
+    party = lambda w: F.sha2(F.lower(w).cast("binary"), 256).isin(*hashes)
+    told = lambda w: F.when(party(w), F.lit(" ")).otherwise(w)
     # both arrays are made once for a text: pieces, one more than words, then the word after each
     whole = F.zip_with(F.split(text, PARTY_WORD, -1), every(text, PARTY_WORD), lambda piece, w: F.concat(piece, F.coalesce(told(w), F.lit(""))))
-    return F.array_join(whole, "")
+    # each different word is hashed once; most texts have none of them and stay
+    return F.when(F.exists(F.array_distinct(every(text, PARTY_WORD)), party), F.array_join(whole, "")).otherwise(text)
 
 
 #: Cheap signs without which a costly pattern can't match.
@@ -145,25 +147,37 @@ SIGNS = {
     "ms_name": rx(r"M\s*/\s*s"),
     "role_name": rx(r",\s*[ACFPT]"),
     "street_address": rx(r"\d[\w\-/]*\s*,"),
-    "address": rx(r"\d{3}\s?\d{3}"),
+    "address": rx(r"\d{3}\s?\d{3}"),  # also of a sentence
     "phone": rx(r"\d{6}"),
     "rating": r"[★☆⭐✩✪✫✬✭✮✯]|/\s*5",
 }
+#: Patterns that match no full stop, and look no further than one: each sentence with the sign is searched alone.
+BY_SENTENCE = ("address",)
+#: Characters beyond ASCII that are their own form in NFKC, beside any others of these.
+_OWN_FORM = "\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u00ff\u0152\u0153\u2013\u2014\u2018-\u201e\u2022\u20ac\u20b9"
 #: Pieces of text of which one must be there, without regard to case.
 PIECES = {"url": ("://", "www."), "email": ("@",)}
 
 
+def by_sentence(text: Column, pattern: str, sign: str) -> Column:
+    """Matches become a space; each piece up to a full stop is searched alone, if it has the sign."""
+    pieces = F.split(text, r"(?<=\.)", -1)
+    return F.array_join(F.transform(pieces, lambda s: F.when(s.rlike(sign), F.regexp_replace(s, pattern, " ")).otherwise(s)), "")
+
+
 def normalise(df: DataFrame, column: str, ruling: bool = False, out: str = "normalised", applied: str = "applied", unicode: bool = True) -> DataFrame:
     """Adds the normalised text and the ordered names of the transforms that changed it.
 
     Each step is a column of its own, computed once from the one before; every pattern takes out
     something that isn't white space, so a step fired where its text differs from the last.
     """
-    steps = [("nfkc", lambda t: F.coalesce(nfkc(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t))] if unicode else []  # ASCII is its own form
+    steps = [("nfkc", lambda t: F.coalesce(nfkc(F.when(t.rlike(rf"[^\x00-\x7F{_OWN_FORM}]"), t)), t))] if unicode else []  # texts that are their own form stay in the JVM
 
     def strip(name: str, pattern: str):
         def run(t: Column) -> Column:
             new = F.regexp_replace(t, pattern, " ")
+            if name in BY_SENTENCE:
+                new = by_sentence(t, pattern, SIGNS[name])
             if name in PIECES:
                 some = F.lit(False)
                 for piece in PIECES[name]:
@@ -177,11 +191,13 @@ def normalise(df: DataFrame, column: str, ruling: bool = False, out: str = "norm
         steps += [strip(*p) for p in RULING_PATTERNS] + [("strip_known_party", strip_known_parties)]
     steps += [strip(*p) for p in COMMON_PATTERNS] + [("strip_emoji", strip_emoji), ("collapse_ws", trim_edges)]
     t = [fresh(df, f"_step{k}") for k in range(len(steps) + 1)]
+    fired = [fresh(df, f"_fired{k}") for k in range(len(steps))]
     df = df.withColumn(t[0], F.col(column))
-    for k, (_, run) in enumerate(steps):
-        df = df.withColumn(t[k + 1], run(F.col(t[k])))
-    names = F.array_compact(F.array(*(F.when(F.col(t[k + 1]) != F.col(t[k]), F.lit(name)) for k, (name, _) in enumerate(steps))))
-    return df.withColumns({out: F.col(t[-1]), applied: names}).drop(*t)
+    for k, (_, run) in enumerate(steps):  # a step's text goes as soon as the next one's is compared with it
+        df = df.withColumns({t[k + 1]: run(F.col(t[k]))} | ({fired[k - 1]: F.col(t[k]) != F.col(t[k - 1])} if k else {}))
+    df = df.withColumn(fired[-1], F.col(t[-1]) != F.col(t[-2]))
+    names = F.array_compact(F.array(*(F.when(F.col(f), F.lit(name)) for f, (name, _) in zip(fired, steps))))
+    return df.withColumns({out: F.col(t[-1]), applied: names}).drop(*t, *fired)
 
 
 def in_length_bounds(text: Column) -> Column:
