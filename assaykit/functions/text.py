@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +77,7 @@ KNOWN_PARTIES = (
 )
 PARTY_WORD = rx(r"\b[A-Za-z][A-Za-z0-9'\-]{2,}\b")
 EMOJI = r"[\p{So}\p{Cs}]"
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # \s
 EDGES = " \t\n\r-–—,;·|"
 QUANTITY = rx(r"\d\s*(?:g|gm|gms|gram|kg|mg|ml|l|ltr|lt|litre|liter|cl|oz|lb|pc|pcs|piece|pieces|pack|packs|n|no|nos|dozen)\b", "i")
 STATUTE = rx(r"Goods?\s+and\s+Services?\s+(?:Tax\s+)?(?:Act|Rules)?|GST\s+Act", "i")
@@ -122,6 +125,23 @@ def nfkc(s):
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+#: Characters that patterns without regard to case take for ASCII's letters.
+_TAKEN_FOR = {"\u017f": "s", "\u212a": "k", "\u0131": "i", "\u0130": "i"}
+
+
+def folded(text: Column) -> Column:
+    """The text in lower case: a pattern without regard to case matches no ASCII letters but those found here."""
+    odd = (F.octet_length(text) != F.length(text)) & text.rlike(f"[{''.join(_TAKEN_FOR)}]")
+    return F.lower(F.when(odd, F.translate(text, "".join(_TAKEN_FOR), "".join(_TAKEN_FOR.values()))).otherwise(text))
+
+
+def has_any(text: Column, pieces: tuple[str, ...]) -> Column:
+    some = F.lit(False)
+    for piece in pieces:
+        some = some | F.contains(text, F.lit(piece))
+    return some
+
+
 def strip_emoji(text: Column) -> Column:
     return F.regexp_replace(text, EMOJI, "")
 
@@ -142,6 +162,8 @@ def strip_known_parties(text: Column, hashes: tuple[str, ...] = KNOWN_PARTIES) -
 
 #: Cheap signs without which a costly pattern can't match.
 SIGNS = {
+    "pan": rx(r"(?=[P\d])(?:PAN|\d{4}[A-Za-z])"),
+    "arn": rx(r"\d{9}"),
     "company": rx(r"M\s*/\s*s|Messrs", "i"),
     "applicant": rx(r"M\s*/\s*s|Messrs", "i"),
     "ms_name": rx(r"M\s*/\s*s"),
@@ -151,12 +173,36 @@ SIGNS = {
     "phone": rx(r"\d{6}"),
     "rating": r"[★☆⭐✩✪✫✬✭✮✯]|/\s*5",
 }
+#: What a match begins with, where that is cheaper to look for than a word's end.
+FIRST = {"gstin": r"\d", "person_name": "[SMD]", "role_name": "[A-Z]", "proprietor": "[Pp]"}
 #: Patterns that match no full stop, and look no further than one: each sentence with the sign is searched alone.
 BY_SENTENCE = ("address",)
 #: Characters beyond ASCII that are their own form in NFKC, beside any others of these.
 _OWN_FORM = "\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u00ff\u0152\u0153\u2013\u2014\u2018-\u201e\u2022\u20ac\u20b9"
-#: Pieces of text of which one must be there, without regard to case.
-PIECES = {"url": ("://", "www."), "email": ("@",)}
+NOT_OWN_FORM = rf"[\x80-\x{{10ffff}}&&[^{_OWN_FORM}]]"
+#: Pieces of text of which one must be there, in lower case, without regard to case. None holds white space: as what is
+#: stripped becomes a space, a piece that the text lacked before is never made by stripping.
+PIECES = {
+    "applicant_field": ("applicant",),
+    "address_field": ("address",),
+    "representative": ("applicant",),
+    "registered_office": ("office",),
+    "company": ("/", "messrs"),
+    "applicant": ("/", "messrs"),
+    "ms_name": ("/",),
+    "proprietor": ("prop",),
+    "alias": ("herein",),
+    "business_address": ("business",),
+    "page_marker": ("page",),
+    "appeal_notice": ("appeal",),
+    "outset_recital": ("outset",),
+    "admissibility_recital": ("admissible",),
+    "pending_declaration": ("declares",),
+    "url": ("://", "www."),
+    "email": ("@",),
+    "furniture": ("buy", "shop", "free", "cash", "seller", "offer", "hurry", "sale", "price", "deal", "arrival", "stock", "click", "online"),
+    "rating": ("/", *"★☆⭐✩✪✫✬✭✮✯"),
+}
 
 
 def by_sentence(text: Column, pattern: str, sign: str) -> Column:
@@ -171,19 +217,18 @@ def normalise(df: DataFrame, column: str, ruling: bool = False, out: str = "norm
     Each step is a column of its own, computed once from the one before; every pattern takes out
     something that isn't white space, so a step fired where its text differs from the last.
     """
-    steps = [("nfkc", lambda t: F.coalesce(nfkc(F.when(t.rlike(rf"[^\x00-\x7F{_OWN_FORM}]"), t)), t))] if unicode else []  # texts that are their own form stay in the JVM
+    # texts that are their own form stay in the JVM; Java takes a class that leaves out many ranges some twenty times as long as one that begins at 0x80
+    steps = [("nfkc", lambda t: F.coalesce(nfkc(F.when(t.rlike(NOT_OWN_FORM), t)), t))] if unicode else []
+    first, low = len(steps), fresh(df, "_low")
 
     def strip(name: str, pattern: str):
         def run(t: Column) -> Column:
-            new = F.regexp_replace(t, pattern, " ")
+            new = F.regexp_replace(t, rx(f"(?={FIRST[name]})(?:{pattern})") if name in FIRST else pattern, " ")
             if name in BY_SENTENCE:
                 new = by_sentence(t, pattern, SIGNS[name])
-            if name in PIECES:
-                some = F.lit(False)
-                for piece in PIECES[name]:
-                    some = some | F.contains(F.lower(t) if piece != piece.upper() else t, F.lit(piece))
-                return F.when(some, new).otherwise(t)
-            return F.when(t.rlike(SIGNS[name]), new).otherwise(t) if name in SIGNS else new
+            signs = [has_any(F.col(low), PIECES[name])] if name in PIECES else []
+            signs += [t.rlike(SIGNS[name])] if name in SIGNS else []
+            return F.when(reduce(and_, signs), new).otherwise(t) if signs else new
 
         return f"strip_{name}", run
 
@@ -193,11 +238,13 @@ def normalise(df: DataFrame, column: str, ruling: bool = False, out: str = "norm
     t = [fresh(df, f"_step{k}") for k in range(len(steps) + 1)]
     fired = [fresh(df, f"_fired{k}") for k in range(len(steps))]
     df = df.withColumn(t[0], F.col(column))
-    for k, (_, run) in enumerate(steps):  # a step's text goes as soon as the next one's is compared with it
+    for k, (_, run) in enumerate(steps):  # pieces are looked for in the text before the first one is stripped; a step's text goes as soon as the next one's is compared with it
+        if k == first:
+            df = df.withColumn(low, folded(F.col(t[k])))
         df = df.withColumns({t[k + 1]: run(F.col(t[k]))} | ({fired[k - 1]: F.col(t[k]) != F.col(t[k - 1])} if k else {}))
     df = df.withColumn(fired[-1], F.col(t[-1]) != F.col(t[-2]))
     names = F.array_compact(F.array(*(F.when(F.col(f), F.lit(name)) for f, (name, _) in zip(fired, steps))))
-    return df.withColumns({out: F.col(t[-1]), applied: names}).drop(*t, *fired)
+    return df.withColumns({out: F.col(t[-1]), applied: names}).drop(*t, *fired, low)
 
 
 def in_length_bounds(text: Column) -> Column:
@@ -236,7 +283,7 @@ def is_classification(category: Column, brief: Column) -> Column:
 
 
 def is_withdrawn(text: Column) -> Column:
-    return text.rlike(WITHDRAWN)
+    return once(folded(text), lambda low: has_any(low, ("withdraw", "maintainable", "inadmissible"))) & text.rlike(WITHDRAWN)
 
 
 def is_scanned(text: Column, pages: Column) -> Column:
@@ -282,7 +329,7 @@ def clean_quantity(raw: Column) -> Column:
 
 
 def squeeze_ends(text: Column) -> Column:
-    return F.regexp_replace(text, rx(r"^\s+|\s+$"), "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def clean_packaging(raw: Column) -> Column:
@@ -304,7 +351,7 @@ def goods_excerpt(text: Column, most: int) -> Column:
 
     def body(rest: Column) -> Column:
         after = F.substring(rest, F.lit(41), F.length(rest))
-        return once(F.regexp_instr(after, F.lit(GOODS_END)), lambda stop: squeeze_ends(F.when(stop > 0, F.substring(rest, F.lit(1), F.lit(39) + stop)).otherwise(rest)))
+        return once(F.regexp_instr(after, F.lit(rx(f"(?=[DFPRWQ])(?:{GOODS_END})"))), lambda stop: squeeze_ends(F.when(stop > 0, F.substring(rest, F.lit(1), F.lit(39) + stop)).otherwise(rest)))
 
     def excerpt(whole: Column, words: Column) -> Column:
         cut = F.size(words) > most

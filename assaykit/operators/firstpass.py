@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit import labels as L
-from assaykit.functions.regex import word_count
 from assaykit.functions.rulings import operative_ruling, outcome
 from assaykit.functions.text import difficulty, goods_excerpt, is_scanned, is_withdrawn, normalise
 from assaykit.operators import lookup, validation
@@ -125,17 +124,19 @@ def reextract(records: DataFrame, text: str, pages: str, most: int) -> DataFrame
     Rows go whose text is a scan, withdrawn, without a goods passage, or too short once cleaned. Rows
     whose text is null (the source isn't at hand) stay as they are.
     """
-    x, clean, applied = (fresh(records, n) for n in ("_excerpt", "_clean", "_applied"))
+    x, cut, truncated, has, clean, applied = (fresh(records, n) for n in ("_excerpt", "_cut", "_truncated", "_has", "_clean", "_applied"))
     t = F.col(text)
     fit = t.isNotNull() & ~F.coalesce(is_scanned(t, F.col(pages)), F.lit(True)) & ~F.coalesce(is_withdrawn(t), F.lit(False))
-    df = records.withColumn(x, F.when(fit, goods_excerpt(t, most)))
-    df = normalise(df.withColumn(f"{x}_text", F.col(x)["excerpt"]), f"{x}_text", ruling=True, out=clean, applied=applied)
-    long_enough = F.coalesce(word_count(F.col(clean)) >= L.MIN_EXCERPT_WORDS, F.lit(False))
-    df = filtered_here(df, t.isNull() | long_enough)
     kept = {"input": "string", "transforms": "array<string>", "truncated": "boolean", "max_words": "int"}
-    new = {"input": F.col(clean), "transforms": F.col(applied), "truncated": F.col(x)["truncated"], "max_words": F.lit(most)}
-    old = {c: F.col(c) if c in records.columns else F.lit(None).cast(kind) for c, kind in kept.items()}
-    return df.withColumns({c: F.when(t.isNotNull(), new[c]).otherwise(old[c]) for c in kept}).drop(x, f"{x}_text", clean, applied)
+    # neither the source text nor an input that will be replaced goes through the redactions
+    old = {c: F.when(t.isNull(), F.col(c)) if c in records.columns else F.lit(None).cast(kind) for c, kind in kept.items()}
+    df = records.withColumns({x: F.when(fit, goods_excerpt(t, most)), has: t.isNotNull(), **old})
+    df = df.withColumns({cut: F.col(x)["excerpt"], truncated: F.col(x)["truncated"]}).drop(x)
+    df = normalise(df, cut, ruling=True, out=clean, applied=applied)
+    gaps = F.length(clean) - F.length(F.replace(F.col(clean), F.lit(" "), F.lit("")))  # between words: white space is squeezed
+    df = filtered_here(df, ~F.col(has) | F.coalesce(gaps >= L.MIN_EXCERPT_WORDS - 1, F.lit(False)))
+    new = {"input": F.col(clean), "transforms": F.col(applied), "truncated": F.col(truncated), "max_words": F.lit(most)}
+    return df.withColumns({c: F.when(F.col(has), new[c]).otherwise(F.col(c)) for c in kept}).drop(cut, truncated, has, clean, applied)
 
 
 def merged_transforms(*lists: Column) -> Column:
