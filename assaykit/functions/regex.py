@@ -14,6 +14,32 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?Ud{flags}){pattern}"
 
 
+_ASCII_WORD = "(?-iu:[0-9A-Za-z_])"
+ASCII_EDGE = f"(?:(?<!{_ASCII_WORD})(?={_ASCII_WORD})|(?<={_ASCII_WORD})(?!{_ASCII_WORD}))"
+#: Classes as RE2 has them, which SQL's engine uses.
+_ASCII = {"s": r"\t\n\f\r ", "d": "0-9", "w": "0-9A-Za-z_"}
+#: What RE2 takes, without regard to case, for ASCII's letters.
+_KIN = {"s": "\u017f", "k": "\u212a"}
+
+
+def ascii_rx(pattern: str) -> str:
+    """A pattern of rx as RE2 reads it: its classes and word ends are ASCII's, and of other letters s and k alone have kin."""
+    head = re.match(r"(?:\(\?[A-Za-z]+\))*", pattern)[0]
+    flags = "".join(x for x in "is" if x in head)
+    out, within = [], False
+    for part in re.findall(r"(?s)\\p\{\w+\}|\\.|.", pattern[len(head) :]):
+        kin = _KIN.get(part.lower()) if "i" in flags else None
+        if part[0] == "\\" and part[1].lower() in _ASCII:
+            part = _ASCII[part[1]] if within else f"[{'^' if part[1].isupper() else ''}{_ASCII[part[1].lower()]}]"
+        elif part == r"\b":
+            part = ASCII_EDGE
+        elif kin:
+            part = part + kin if within else f"[{part}{kin}]"
+        within = part == "[" or within and part != "]"
+        out.append(part)
+    return f"(?d{flags}){''.join(out)}"
+
+
 def once(x: Column, use: Callable[[Column], Column]) -> Column:
     """use(x), with x computed once however often use names it."""
     return F.get(F.transform(F.array(x), use), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit import labels as L
-from assaykit.functions.regex import every, found, once, one_of, places, rx, squeeze, tokens, trie, word_count
+from assaykit.functions.regex import ASCII_EDGE, ascii_rx, every, found, once, one_of, places, rx, squeeze, tokens, trie, word_count
 from assaykit.shared import fresh
 
 # --- fixed values: patterns of what is stripped, in the order of application ---------------------
@@ -111,9 +111,9 @@ RATE_MENTION = rx(r"(\d{1,2}(?:\.\d+)?)\s*%")
 COMMAND = rx(r"^(?:python\d?|py|pip\d?|pytest|git|npm|node|pwsh|powershell|docker)\b|^cd\s+(?:\S*[\\/]|\.\.)|\s--?[A-Za-z]", "i")
 HINTS = ("categories", "quantity", "labels", "state", "order_no", "hsn_candidates", "ruling_brief", "ruling_url", "pdf_pages", "truncated")
 LISTS = ("hsn_candidates",)
-_ASCII_WORD = "(?-iu:[0-9A-Za-z_])"
-ASCII_EDGE = f"(?:(?<!{_ASCII_WORD})(?={_ASCII_WORD})|(?<={_ASCII_WORD})(?!{_ASCII_WORD}))"
 OUT_OF_SCOPE = rx(rf"\b(?:{one_of(L.OUT_OF_SCOPE_TERMS)})(?:e?s)?\b", "i")
+_NO_MORE = r"[\p{L}\p{M}\p{N}_]"  # what goes on with a word, by the SQL of screens
+PLAIN_OUT_OF_SCOPE = rf"(?<!{_NO_MORE})(?:{ascii_rx(rx(rf'(?:{one_of(L.OUT_OF_SCOPE_TERMS)})(?:e?s)?', 'i'))})(?!{_NO_MORE})"
 # -------------------------------------------------------------------------------------------------
 
 
@@ -150,6 +150,10 @@ def trim_edges(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, rx(r"\s+"), " "), F.lit(EDGES))
 
 
+def plain_edges(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, r"[\t\n\x0b\f\r ]+", " "), F.lit(EDGES))
+
+
 def strip_known_parties(text: Column, hashes: tuple[str, ...] = KNOWN_PARTIES) -> Column:
     """Words whose lower-case SHA-256 is among hashes become a space."""
     party = lambda w: F.sha2(F.lower(w).cast("binary"), 256).isin(*hashes)
@@ -211,17 +215,21 @@ def by_sentence(text: Column, pattern: str, sign: str) -> Column:
     return F.array_join(F.transform(pieces, lambda s: F.when(s.rlike(sign), F.regexp_replace(s, pattern, " ")).otherwise(s)), "")
 
 
-def normalise(df: DataFrame, column: str, ruling: bool = False, out: str = "normalised", applied: str = "applied", unicode: bool = True) -> DataFrame:
+def normalise(df: DataFrame, column: str, ruling: bool = False, out: str = "normalised", applied: str = "applied", unicode: bool = True, plain: bool = False) -> DataFrame:
     """Adds the normalised text and the ordered names of the transforms that changed it.
 
+    plain: patterns know ASCII's classes alone, as in SQL, and NFKC is left out.
+
     Each step is a column of its own, computed once from the one before; every pattern takes out
     something that isn't white space, so a step fired where its text differs from the last.
     """
     # texts that are their own form stay in the JVM; Java takes a class that leaves out many ranges some twenty times as long as one that begins at 0x80
-    steps = [("nfkc", lambda t: F.coalesce(nfkc(F.when(t.rlike(NOT_OWN_FORM), t)), t))] if unicode else []
+    steps = [("nfkc", lambda t: F.coalesce(nfkc(F.when(t.rlike(NOT_OWN_FORM), t)), t))] if unicode and not plain else []
     first, low = len(steps), fresh(df, "_low")
 
     def strip(name: str, pattern: str):
+        pattern = ascii_rx(pattern) if plain else pattern
+
         def run(t: Column) -> Column:
             new = F.regexp_replace(t, rx(f"(?={FIRST[name]})(?:{pattern})") if name in FIRST else pattern, " ")
             if name in BY_SENTENCE:
@@ -234,7 +242,7 @@ def normalise(df: DataFrame, column: str, ruling: bool = False, out: str = "norm
 
     if ruling:
         steps += [strip(*p) for p in RULING_PATTERNS] + [("strip_known_party", strip_known_parties)]
-    steps += [strip(*p) for p in COMMON_PATTERNS] + [("strip_emoji", strip_emoji), ("collapse_ws", trim_edges)]
+    steps += [strip(*p) for p in COMMON_PATTERNS] + [("strip_emoji", strip_emoji), ("collapse_ws", plain_edges if plain else trim_edges)]
     t = [fresh(df, f"_step{k}") for k in range(len(steps) + 1)]
     fired = [fresh(df, f"_fired{k}") for k in range(len(steps))]
     df = df.withColumn(t[0], F.col(column))
@@ -251,23 +259,27 @@ def in_length_bounds(text: Column) -> Column:
     return F.length(text).between(L.MIN_LENGTH, L.MAX_LENGTH)
 
 
-def out_of_scope_term(text: Column) -> Column:
+def out_of_scope_term(text: Column, plain: bool = False) -> Column:
+    """plain: words end where the screens' SQL has them; looked for only where a text holds a term at all, as that costs less."""
+    if plain:
+        return F.when(once(folded(text), lambda low: has_any(low, L.OUT_OF_SCOPE_TERMS)), F.lower(found(text, PLAIN_OUT_OF_SCOPE)))
     return F.lower(found(text, OUT_OF_SCOPE))
 
 
 def scope_text(excerpt: Column, brief: Column) -> Column:
     """The brief and the excerpt's first 200 words."""
-    return F.concat_ws(" ", F.coalesce(brief, F.lit("")), F.array_join(F.slice(tokens(F.coalesce(excerpt, F.lit(""))), 1, 200), " "))
+    return F.concat_ws(" ", F.coalesce(brief, F.lit("")), F.array_join(F.slice(tokens(F.translate(F.coalesce(excerpt, F.lit("")), "\x1c\x1d\x1e\x1f", "    ")), 1, 200), " "))
 
 
 def listing_scope_text(*parts: Column) -> Column:
     return F.concat_ws(" ", *(F.coalesce(p, F.lit("")) for p in parts))
 
 
-def is_about_services(brief: Column, excerpt: Column | None = None) -> Column:
-    strong = F.regexp_replace(scope_text(excerpt if excerpt is not None else F.lit(""), brief), STATUTE, " ")
-    weak = F.regexp_replace(F.coalesce(brief, F.lit("")), STATUTE, " ")
-    return strong.rlike(SERVICE_STRONG) | strong.rlike(SERVICE_NOTIFICATION) | weak.rlike(SERVICE_WEAK)
+def is_about_services(brief: Column, excerpt: Column | None = None, plain: bool = False) -> Column:
+    read = ascii_rx if plain else str
+    strong = F.regexp_replace(scope_text(excerpt if excerpt is not None else F.lit(""), brief), read(STATUTE), " ")
+    weak = F.regexp_replace(F.coalesce(brief, F.lit("")), read(STATUTE), " ")
+    return strong.rlike(read(SERVICE_STRONG)) | strong.rlike(read(SERVICE_NOTIFICATION)) | weak.rlike(read(SERVICE_WEAK))
 
 
 def is_about_immovable(brief: Column) -> Column:
@@ -282,8 +294,8 @@ def is_classification(category: Column, brief: Column) -> Column:
     return ~is_about_services(brief) & ~is_about_immovable(brief) & (F.coalesce(category, F.lit("")).rlike(CLAUSE_A) | hinted)
 
 
-def is_withdrawn(text: Column) -> Column:
-    return once(folded(text), lambda low: has_any(low, ("withdraw", "maintainable", "inadmissible"))) & text.rlike(WITHDRAWN)
+def is_withdrawn(text: Column, plain: bool = False) -> Column:
+    return once(folded(text), lambda low: has_any(low, ("withdraw", "maintainable", "inadmissible"))) & text.rlike(ascii_rx(WITHDRAWN) if plain else WITHDRAWN)
 
 
 def is_scanned(text: Column, pages: Column) -> Column:
