@@ -260,10 +260,8 @@ def in_length_bounds(text: Column) -> Column:
 
 
 def out_of_scope_term(text: Column, plain: bool = False) -> Column:
-    """plain: words end where the screens' SQL has them; looked for only where a text holds a term at all, as that costs less."""
-    if plain:
-        return F.when(once(folded(text), lambda low: has_any(low, L.OUT_OF_SCOPE_TERMS)), F.lower(found(text, PLAIN_OUT_OF_SCOPE)))
-    return F.lower(found(text, OUT_OF_SCOPE))
+    """plain: words end where the screens' SQL has them."""
+    return F.lower(found(text, PLAIN_OUT_OF_SCOPE if plain else OUT_OF_SCOPE))
 
 
 def scope_text(excerpt: Column, brief: Column) -> Column:
